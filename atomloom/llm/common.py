@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -45,3 +46,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null: empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def worker_cache() -> dict:
+    """What a Python worker keeps from one task to the next, such as loaded tokenizers."""
+    return sys.__dict__.setdefault("_atomloom_cache", {})

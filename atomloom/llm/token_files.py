@@ -7,14 +7,18 @@ skips files, stripes and row groups by their metadata.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import new_folder
+from atomloom.llm.common import new_folder, utf8, worker_cache
 
 END_ID = 2
 ORC_OPTIONS = {
@@ -25,28 +29,62 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 
-_loaded: dict[str, object] = {}
+#: Words whose ids a Python worker remembers; when so many are held, it forgets all and begins again.
+CACHED_WORDS = 500_000
 
 
-def encoder(path: str):
-    """The tokenizer of a file, loaded once in each Python worker."""
-    if path not in _loaded:
-        import os
+#: Words that normalisation leaves as they are and that are one unit for the vocabulary: lower-case Latin letters, composed.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+_MARKS = ".,;:!?"
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
+def _encode(path: str, end_id: int):
+    """Encodes by distinct word: no token of these tokenizers spans white space, and they lower-case A-Z.
 
+    A plain word with marks behind it is two units, so the vocabulary is asked for each at once;
+    all other words take the library's whole way.
+    """
+    end = end_id.to_bytes(4, "little")
+
+    def encode_new(tokenizer, words: list[bytes]) -> dict[bytes, bytes]:
+        bytewise = tokenizer.pre_tokenizer[1]
+        letters = str.maketrans({c: bytewise.pre_tokenize_str(c)[0][0] for c in _LETTERS})
+        tails: dict[str, bytes] = {"": b""}
+        found, rest = {}, []
+        for word in words:
+            text = word.decode()
+            core = text.rstrip(_MARKS)
+            if _PLAIN.fullmatch(core):
+                tail = text[len(core) :]
+                if tail not in tails:
+                    tails[tail] = array("i", tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
+                found[word] = array("i", [t.id for t in tokenizer.model.tokenize(core.translate(letters))]).tobytes() + tails[tail]
+            else:
+                rest.append(word)
+        encoded = tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        return found | {w: array("i", x.ids).tobytes() for w, x in zip(rest, encoded)}
 
-def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_batch_fast
+        held = worker_cache()
+        if path not in held:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+            from tokenizers import Tokenizer
+
+            held[path] = Tokenizer.from_file(path), {}
+        tokenizer, known = held[path]
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            ids = [x.ids + [end_id] for x in encode(texts, add_special_tokens=False)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            texts = [text.lower().split() for text in utf8(batch.column("text"))]
+            new = [w for w in set().union(*texts) if w not in known]
+            if len(known) + len(new) > CACHED_WORDS:
+                known.clear()
+                new = list(set().union(*texts))
+            for i in range(0, len(new), 10_000):
+                known |= encode_new(tokenizer, new[i : i + 10_000])
+            rows = [b"".join([*map(known.__getitem__, words), end]) for words in texts]
+            offsets = np.cumsum([0, *(len(x) // 4 for x in rows)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+            yield pa.record_batch([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return run
 
@@ -59,6 +97,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
     repeated rows stand together, ordered by text. A null or empty text is the end id alone. An
     empty table makes an empty folder that can be read.
 
+    The tokenizer must drop white space and lower-case its input, as ``word_bpe_49k.json`` does.
     Texts, not ids, are shuffled, in ranges of doc_id, so encoding happens once and in file order.
     """
     rows = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc()).sortWithinPartitions("doc_id", "text")
