@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from atomloom.llm import chat_format, line_dedup, quality_rules, token_files
+from atomloom.llm import chat_format, license_scan, line_dedup, packing, quality_rules, token_files, topk_search
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op4_topk_search": topk_search.op4_topk_search,
+    "op5_packing": packing.op5_packing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_token_files": token_files.op7_token_files,
 }
 ORACLES = {
+    "op1_license_scan": license_scan.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op3_chat_format": chat_format.ORACLE,
+    "op4_topk_search": topk_search.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
 }
