@@ -27,6 +27,9 @@ GRADES = len(GRADE_STEPS) + 2
 MARKER_RATIO = 20.0
 RIDGE = 1e-3
 STEPS = 400
+#: Lengths in code points of the beginnings of words that are features.
+PREFIXES = (3, 4, 5, 6, 7)
+CACHED_WORDS = 200_000
 _TRIM = b".,;:!?|\"'()[]{}<>*#$%&-_"
 
 
@@ -42,9 +45,33 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(np.array(self.cuts)[None, :] - score[:, None], -500, 500)))
 
 
-def terms(text: bytes) -> set[bytes]:
-    """The distinct words of a text, A-Z in lower case, without marks at their ends."""
-    return {w.strip(_TRIM) for w in set(text.lower().split())} - {b""}
+def features(word: bytes) -> list[bytes]:
+    """A word, A-Z in lower case and without marks at its ends, and its beginnings, each with a ``*`` behind.
+
+    Languages that inflect or compound vary a word's end, so beginnings find what whole words miss.
+    """
+    word = word.strip(_TRIM)
+    if not word:
+        return []
+    text = word.decode()
+    return [word, *(text[:n].encode() + b"*" for n in PREFIXES if n <= len(text))]
+
+
+class TermFinder:
+    """Finds the features of texts among those wanted (None: all), remembering a bounded number of words."""
+
+    def __init__(self, wanted: dict[bytes, object] | None = None):
+        self.wanted, self.known = wanted, {}
+
+    def of(self, text: bytes) -> set[bytes]:
+        words = set(text.lower().split())
+        for word in [w for w in words if w not in self.known]:
+            found = features(word)
+            self.known[word] = found if self.wanted is None else [f for f in found if f in self.wanted]
+        held = {f for word in words for f in self.known[word]}
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        return held
 
 
 def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_terms: int, n_grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
@@ -77,16 +104,18 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_terms: int, n_grade
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    finder = TermFinder()
     for batch in batches:
-        found = [terms(text) for text in utf8(batch.column("text"))]
+        found = [finder.of(text) for text in utf8(batch.column("text"))]
         toxic = np.repeat(batch.column("toxic").to_numpy(), list(map(len, found)))
         yield pa.record_batch([pa.array([t for f in found for t in f], pa.binary()), pa.array(toxic, pa.int32())], names=["term", "toxic"])
 
 
 def _indexer(index: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = TermFinder(index)
         for batch in batches:
-            held = [[index[t] for t in terms(text) if t in index] for text in utf8(batch.column("text"))]
+            held = [[index[t] for t in finder.of(text)] for text in utf8(batch.column("text"))]
             yield pa.record_batch([batch.column("toxic"), pa.array(held, pa.list_(pa.int32()))], names=["toxic", "held"])
 
     return run
@@ -127,10 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, m
 
 def _scorer(model: OrdinalModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = model.weights
+        weights, finder = model.weights, TermFinder(model.weights)
         for batch in batches:
             if model.cuts:
-                score = np.array([sum(sorted(weights[t] for t in terms(text) if t in weights)) for text in utf8(batch.column("text"))], float)
+                score = np.array([sum(sorted(weights[t] for t in finder.of(text))) for text in utf8(batch.column("text"))], float)
                 p = model.at_least(score)
             else:
                 p = np.zeros((batch.num_rows, 1))
