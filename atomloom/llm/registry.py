@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from atomloom.llm import chat_format, license_scan, line_dedup, packing, piece_codec, quality_rules, token_files, topk_search, toxicity
+from atomloom.llm import chat_format, jaccard_join, license_scan, line_dedup, packing, piece_codec, quality_rules, token_files, topk_search, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_token_files": token_files.op7_token_files,
     "op8_sentencepiece": piece_codec.op8_sentencepiece,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
