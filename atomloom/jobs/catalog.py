@@ -1,10 +1,529 @@
-"""Every registered query of the analytics part, with the SQL that it is checked against."""
+"""Every registered query of the analytics part, with the SQL that it is checked against.
+
+Environments are the rows of ``embeddings`` (frame: label); atoms place them at ten times their
+first three components (species: label modulo 4); predictions come from ``lineitem`` and ``part``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from atomloom.functions import geometry, vectors
+from atomloom.operators import alchemy, compression, descriptors, kernels, neighbours, regression, scores, selection, splits
+from atomloom.tables import environments, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+ZETA = 2.0
+RC = 2.5
+SHAPE = compression.Shape(species=2, radial=2, angular=4)
+#: A fixed projection for the checks: one row for each new index.
+FIXED_U = np.array([[0.8, 0.6], [-0.6, 0.8]])
+
+ENV = "env AS (SELECT vec_id AS env_id, label::BIGINT AS frame_id, embedding::DOUBLE[] AS f FROM embeddings)"
+ATOMS = """atoms AS (SELECT vec_id AS atom_idx, label::BIGINT AS frame_id, (label % 4)::BIGINT AS species,
+  10 * embedding[1]::DOUBLE AS x, 10 * embedding[2]::DOUBLE AS y, 10 * embedding[3]::DOUBLE AS z FROM embeddings)"""
+PRED = "pred AS (SELECT l_orderkey, l_returnflag, l_linenumber, l_extendedprice AS y, l_quantity * p_retailprice AS y_pred FROM lineitem JOIN part ON l_partkey = p_partkey)"
+FLAT = "flat AS (SELECT env_id, frame_id, unnest(f) AS v, generate_subscripts(f, 1) - 1 AS i FROM env)"
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query by ``name``, and the SQL with the same result if there is any."""
+
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: (10 * F.col("embedding")[k].cast("double"))
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("long").alias("frame_id"), F.col("vec_id").alias("atom_idx"), (F.col("label") % 4).cast("long").alias("species"),
+        at(0).alias("x"), at(1).alias("y"), at(2).alias("z"),
+    )
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with the price its part would give; AQE broadcasts part only while it is small."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linenumber", "l_quantity", F.col("l_extendedprice").alias("y"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    return lines.join(parts, "l_partkey").select("l_orderkey", "l_returnflag", "l_linenumber", "y", (F.col("l_quantity") * F.col("p_retailprice")).alias("y_pred"))
+
+
+def targets(env: DataFrame) -> DataFrame:
+    return env.select(F.col("env_id").alias("id"), F.col("frame_id").cast("double").alias("y"))
+
+
+def ids(env: DataFrame) -> DataFrame:
+    return env.select(F.col("env_id").alias("id"))
+
+
+def rounded(df: DataFrame, *names: str, places: int = 9) -> DataFrame:
+    """``names`` rounded, and -0.0 as 0.0, so equal results have equal values in any engine."""
+    return df.withColumns({n: F.round(n, places) + F.lit(0.0) for n in names})
+
+
+# Kernels
+
+
+@query("kernel_power_pairs", f"WITH {ENV} SELECT a.env_id AS i, b.env_id AS j, round(list_dot_product(a.f, b.f) ** 2, 9) + 0.0 AS k FROM env a, env b")
+def kernel_power_pairs(spark, sf_dir):
+    env = environments(spark, sf_dir)
+    return rounded(kernels.power_kernel(env, env, ZETA), "k")
+
+
+@query("kernel_power_triangle_mirror", ORACLES["kernel_power_pairs"])
+def kernel_power_triangle_mirror(spark, sf_dir):
+    return rounded(kernels.power_kernel_symmetric(environments(spark, sf_dir), ZETA), "k")
+
+
+@query("kernel_group_avg", f"WITH {ENV} SELECT a.frame_id AS frame_i, b.frame_id AS frame_j, round(avg(list_dot_product(a.f, b.f) ** 2), 9) + 0.0 AS k FROM env a, env b GROUP BY ALL")
+def kernel_group_avg(spark, sf_dir):
+    env = environments(spark, sf_dir)
+    return rounded(kernels.group_kernel(env, env, ZETA), "k")
+
+
+FOLDED = "folded AS (SELECT env_id, frame_id, f, ntile(3) OVER (ORDER BY env_id) - 1 AS fold FROM env)"
+
+
+@query("kernel_rect_train_test", f"WITH {ENV}, {FOLDED} SELECT a.env_id AS i, b.env_id AS j, round(list_dot_product(a.f, b.f) ** 2, 9) + 0.0 AS k FROM folded a, folded b WHERE a.fold = 0 AND b.fold <> 0")
+def kernel_rect_train_test(spark, sf_dir):
+    env = environments(spark, sf_dir)
+    folds = splits.k_fold(env, 3, key="env_id")
+    test, train = env.join(folds.filter("fold = 0"), "env_id"), env.join(folds.filter("fold <> 0"), "env_id")
+    return rounded(kernels.power_kernel(test, train, ZETA), "k")
+
+
+@query("kernel_sub", f"WITH {ENV} SELECT a.env_id AS i, b.env_id AS j, round(list_dot_product(a.f, b.f) ** 2, 9) + 0.0 AS k FROM env a, env b WHERE a.frame_id = 0 AND b.frame_id = 1")
+def kernel_sub(spark, sf_dir):
+    env = environments(spark, sf_dir)
+    of = lambda frame: ids(env.filter(F.col("frame_id") == frame))
+    return rounded(kernels.sub_kernel(kernels.power_kernel(env, env, ZETA), of(0), of(1)), "k")
+
+
+@query("kernel_group_gradient", f"""WITH {ENV}, n AS (SELECT frame_id, count(*) AS n FROM env GROUP BY frame_id)
+SELECT a.env_id AS i, b.env_id AS j, round((a.frame_id + 2 * b.frame_id) / (na.n * nb.n), 12) + 0.0 AS g
+FROM env a JOIN n na ON na.frame_id = a.frame_id, env b JOIN n nb ON nb.frame_id = b.frame_id""")
+def kernel_group_gradient(spark, sf_dir):
+    env = environments(spark, sf_dir)
+    frames = env.select("frame_id").distinct()
+    groups = frames.select(F.col("frame_id").alias("frame_i")).join(F.broadcast(frames.select(F.col("frame_id").alias("frame_j")))).withColumn("g", (F.col("frame_i") + 2 * F.col("frame_j")).cast("double"))
+    return rounded(kernels.spread_gradient(groups, env.select("env_id", "frame_id")), "g", places=12)
+
+
+# Low-rank regression: the active environments are those of the smallest ids.
+
+_SOR = f"""WITH {ENV}, m AS (SELECT * FROM env WHERE env_id < {{m}}),
+c AS (SELECT m.env_id AS i, e.env_id AS n, e.frame_id::DOUBLE AS y, list_dot_product(m.f, e.f) ** 2 AS k FROM m, env e)"""
+
+
+def sor(spark, sf_dir, m: int):
+    env = environments(spark, sf_dir)
+    return kernels.sor_system(env, env.filter(F.col("env_id") < m), env.select("env_id", F.col("frame_id").cast("double").alias("y")), ZETA, 1.0)
+
+
+@query("sor_gram", _SOR.format(m=10) + """, g AS (SELECT a.i, b.i AS j, sum(a.k * b.k) AS s FROM c a JOIN c b USING (n) GROUP BY a.i, b.i)
+SELECT g.i, g.j, round(s + c.k, 7) + 0.0 AS k FROM g JOIN c ON c.i = g.i AND c.n = g.j""")
+def sor_gram(spark, sf_dir):
+    return rounded(sor(spark, sf_dir, 10)[0], "k", places=7)
+
+
+@query("sor_rhs", _SOR.format(m=10) + " SELECT i, round(sum(k * y), 7) + 0.0 AS b FROM c GROUP BY i")
+def sor_rhs(spark, sf_dir):
+    return rounded(sor(spark, sf_dir, 10)[1], "b", places=7)
+
+
+@query("sor_predict_m2", _SOR.format(m=2) + """, g AS (SELECT a.i, b.i AS j, sum(a.k * b.k) AS s FROM c a JOIN c b USING (n) GROUP BY a.i, b.i),
+q AS (SELECT g.i, g.j, s + c.k + CASE WHEN g.i = g.j THEN 1e-8 ELSE 0 END AS v FROM g JOIN c ON c.i = g.i AND c.n = g.j),
+r AS (SELECT i, sum(k * y) AS b FROM c GROUP BY i),
+w AS (SELECT max(v) FILTER (WHERE i = 0 AND j = 0) AS a, max(v) FILTER (WHERE i = 0 AND j = 1) AS b, max(v) FILTER (WHERE i = 1 AND j = 1) AS d FROM q),
+t AS (SELECT max(b) FILTER (WHERE i = 0) AS p, max(b) FILTER (WHERE i = 1) AS q FROM r),
+s AS (SELECT (p * d - b * q) / (a * d - b * b) AS x0, (a * q - b * p) / (a * d - b * b) AS x1 FROM w, t)
+SELECT n AS id, round(sum(k * CASE i WHEN 0 THEN x0 ELSE x1 END), 6) + 0.0 AS y_pred FROM c, s GROUP BY n""")
+def sor_predict_m2(spark, sf_dir):
+    gram, rhs, cross = sor(spark, sf_dir, 2)
+    return rounded(regression.krr_predict(cross, regression.sor_fit(gram, rhs)), "y_pred", places=6)
+
+
+# Regression
+
+
+@query("krr_predict_given_alpha", f"WITH {ENV} SELECT a.env_id AS id, round(4 * sum(list_dot_product(a.f, b.f) ** 2 * ((b.env_id % 7) - 3) / 10.0), 7) + 0.0 AS y_pred FROM env a, env b GROUP BY a.env_id")
+def krr_predict_given_alpha(spark, sf_dir):
+    env = environments(spark, sf_dir)
+    alpha = env.select(F.col("env_id").alias("id"), (((F.col("env_id") % 7) - 3) / 10.0).alias("alpha"))
+    return rounded(regression.krr_predict(kernels.power_kernel(env, env, ZETA), alpha, delta=2.0), "y_pred", places=7)
+
+
+@query("krr_fit")
+def krr_fit(spark, sf_dir):
+    env = environments(spark, sf_dir)
+    return rounded(regression.krr_fit(kernels.power_kernel(env, env, ZETA), targets(env), jitter=1e-2), "alpha", places=6)
+
+
+@query("krr_fast_cv")
+def krr_fast_cv(spark, sf_dir):
+    env = environments(spark, sf_dir)
+    folds = splits.k_fold(ids(env), 3)
+    return rounded(regression.krr_fast_cv(kernels.power_kernel(env, env, ZETA), targets(env), folds, jitter=1e-2), "y_pred", places=6)
+
+
+@query("gaussian_process")
+def gaussian_process(spark, sf_dir):
+    env = environments(spark, sf_dir)
+    train, test = env.filter("env_id % 5 <> 0"), env.filter("env_id % 5 = 0")
+    own = test.select(F.col("env_id").alias("id"), F.pow(vectors.dot(F.col("features"), F.col("features")), ZETA).alias("k"))
+    found = regression.gaussian_process(kernels.power_kernel(train, train, ZETA), kernels.power_kernel(test, train, ZETA), own, targets(train), noise=0.5)
+    return rounded(found, "y_pred", "variance", places=6)
+
+
+@query("conjugate_gradients")
+def conjugate_gradients(spark, sf_dir):
+    env = environments(spark, sf_dir)
+    return rounded(regression.conjugate_gradients(kernels.power_kernel(env, env, ZETA), targets(env), jitter=1.0, max_steps=60), "x", places=4)
+
+
+# Selection
+
+_FPS = """WITH RECURSIVE {source},
+step(n, id, d, p) AS (
+  SELECT 0, env_id, 'infinity'::DOUBLE, (SELECT min(env_id) FROM {rows}) FROM {rows}
+  UNION ALL
+  SELECT s.n + 1, s.id, s.e, first_value(s.id) OVER (ORDER BY s.e DESC, s.id)
+  FROM (
+    SELECT s.n, s.id, least(s.d, list_dot_product(a.f, a.f) ** {zeta} + list_dot_product(b.f, b.f) ** {zeta} - 2 * list_dot_product(a.f, b.f) ** {zeta}) AS e
+    FROM step s JOIN {rows} a ON a.env_id = s.id JOIN {rows} b ON b.env_id = s.p) s
+  WHERE s.n < 9)
+SELECT n::BIGINT AS rank, min(p) AS id FROM step GROUP BY n"""
+
+
+@query("fps_samples", _FPS.format(source=ENV, rows="env", zeta=2))
+def fps_samples(spark, sf_dir):
+    return selection.farthest_points(environments(spark, sf_dir), 10, zeta=ZETA).select("rank", "id")
+
+
+@query("fps_trace", _FPS.format(source=ENV, rows="env", zeta=2).replace("SELECT n::BIGINT AS rank, min(p) AS id FROM step GROUP BY n", "SELECT n::BIGINT AS rank, round(coalesce(lead(max(d)) OVER (ORDER BY n), 0), 9) + 0.0 AS distance FROM step GROUP BY n"))
+def fps_trace(spark, sf_dir):
+    return rounded(selection.farthest_points(environments(spark, sf_dir), 10, zeta=ZETA).select("rank", "distance"), "distance")
+
+
+@query("fps_features", _FPS.format(source=f"{ENV}, {FLAT}, cols AS (SELECT i AS env_id, list(v ORDER BY env_id) AS f FROM flat GROUP BY i)", rows="cols", zeta=1))
+def fps_features(spark, sf_dir):
+    return selection.farthest_points(selection.transpose(environments(spark, sf_dir)), 10).select("rank", "id")
+
+
+@query("select_features", f"WITH {ENV} SELECT env_id, 0::BIGINT AS k, f[4] AS v FROM env UNION ALL SELECT env_id, 1, f[1] FROM env UNION ALL SELECT env_id, 2, f[11] FROM env")
+def select_features(spark, sf_dir):
+    picked = environments(spark, sf_dir).select("env_id", F.posexplode(vectors.pick(F.col("features"), [3, 0, 10])).alias("k", "v"))
+    return picked.withColumn("k", F.col("k").cast("long"))
+
+
+@query("select_samples", f"WITH {ENV} SELECT env_id, frame_id, row_number() OVER (ORDER BY env_id DESC) - 1 AS rank FROM env ORDER BY env_id DESC LIMIT 5")
+def select_samples(spark, sf_dir):
+    env = environments(spark, sf_dir)
+    last = env.select(F.col("env_id").alias("id")).orderBy(F.desc("id")).limit(5)
+    from pyspark.sql import Window
+
+    chosen = last.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("id"))) - 1).cast("long"))
+    return selection.select_samples(env, chosen, 5).select("env_id", "frame_id", "rank")
+
+
+@query("symmetry_filter", f"WITH {ATOMS} SELECT frame_id, atom_idx % 5 AS class_id, min(atom_idx) AS atom_idx FROM atoms GROUP BY ALL")
+def symmetry_filter(spark, sf_dir):
+    rows = atoms(spark, sf_dir).select("frame_id", (F.col("atom_idx") % 5).alias("class_id"), "atom_idx")
+    return selection.symmetry_filter(rows)
+
+
+@query("symmetry_inverse", f"""WITH {ATOMS}, r AS (SELECT frame_id, atom_idx % 5 AS c, min(atom_idx) AS v FROM atoms GROUP BY ALL)
+SELECT frame_id, atom_idx, v AS value FROM atoms JOIN r USING (frame_id) WHERE atom_idx % 5 = c""")
+def symmetry_inverse(spark, sf_dir):
+    rows = atoms(spark, sf_dir).select("frame_id", (F.col("atom_idx") % 5).alias("class_id"), "atom_idx")
+    kept = selection.symmetry_filter(rows).withColumnRenamed("atom_idx", "value")
+    return selection.symmetry_inverse(rows, kept)
+
+
+@query("env_mapping", f"WITH {ATOMS} SELECT frame_id, row_number() OVER (ORDER BY frame_id, atom_idx) - 1 AS env_id FROM atoms WHERE species = 1")
+def env_mapping(spark, sf_dir):
+    return selection.env_mapping(atoms(spark, sf_dir), 1)
+
+
+@query("frame_offsets", f"""WITH {ATOMS}, c AS (SELECT frame_id, count(*) AS n FROM atoms WHERE species <> 0 GROUP BY frame_id)
+SELECT frame_id, n, coalesce(sum(n) OVER (ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM c""")
+def frame_offsets(spark, sf_dir):
+    return selection.frame_offsets(atoms(spark, sf_dir).filter(~F.col("species").isin(0)))
+
+
+@query("distinct_species", f"WITH {ATOMS} SELECT DISTINCT species FROM atoms")
+def distinct_species(spark, sf_dir):
+    return atoms(spark, sf_dir).select("species").distinct()
+
+
+@query("union_frames", f"WITH {ATOMS} SELECT frame_id, count(*) AS n FROM (SELECT * FROM atoms WHERE frame_id < 3 UNION ALL SELECT * FROM atoms WHERE frame_id BETWEEN 2 AND 5) GROUP BY frame_id")
+def union_frames(spark, sf_dir):
+    a = atoms(spark, sf_dir)
+    return a.filter("frame_id < 3").unionByName(a.filter("frame_id BETWEEN 2 AND 5")).groupBy("frame_id").agg(F.count("*").alias("n"))
+
+
+@query("holdout_except", f"WITH {ENV}, h AS (SELECT env_id FROM env WHERE env_id % 4 = 1) SELECT env_id FROM env EXCEPT SELECT env_id FROM h")
+def holdout_except(spark, sf_dir):
+    env = environments(spark, sf_dir).select("env_id")
+    return env.join(env.filter("env_id % 4 = 1").select(F.col("env_id").alias("out")), F.col("env_id") == F.col("out"), "left_anti")
+
+
+# Compression
+
+
+@query("cov_mean_trace", f"""WITH {ENV}, {FLAT}, p AS (SELECT i, avg(v) * sqrt(2 * (i % 4) + 1) AS p FROM flat GROUP BY i)
+SELECT i // 32 AS s, (i // 16) % 2 AS t, round(sum(p) / 8, 9) + 0.0 AS c FROM p WHERE (i // 8) % 2 = (i // 4) % 2 GROUP BY ALL""")
+def cov_mean_trace(spark, sf_dir):
+    return rounded(compression.species_covariance(environments(spark, sf_dir), SHAPE), "c")
+
+
+@query("project_fixed_u", f"""WITH {ENV}, {FLAT}, u(a, s, w) AS (VALUES (0, 0, 0.8::DOUBLE), (0, 1, 0.6), (1, 0, -0.6), (1, 1, 0.8))
+SELECT env_id, (x.a * 32 + y.a * 16 + i % 16)::BIGINT AS i, round(sum(v * x.w * y.w), 9) + 0.0 AS v
+FROM flat JOIN u x ON x.s = i // 32 JOIN u y ON y.s = (i // 16) % 2 GROUP BY ALL""")
+def project_fixed_u(spark, sf_dir):
+    projected = compression.project(environments(spark, sf_dir), SHAPE, "species", FIXED_U)
+    return rounded(projected.select("env_id", F.posexplode("features").alias("i", "v")).withColumn("i", F.col("i").cast("long")), "v")
+
+
+@query("compress_species")
+def compress_species(spark, sf_dir):
+    """The kernel of the compressed spectra with the leading component of themselves: free of the signs of eigenvectors."""
+    env = environments(spark, sf_dir)
+    u = compression.eigenvectors(compression.covariance(env, SHAPE, "species"), 1)
+    small = compression.project(env, SHAPE, "species", u, normalise=True)
+    return rounded(kernels.group_kernel(small, small, ZETA), "k", places=6)
+
+
+@query("pack_symmetric", f"""WITH {ENV}, {FLAT}, u AS (SELECT env_id, i // 8 AS a, i % 8 AS b, v FROM flat WHERE i // 8 <= i % 8)
+SELECT env_id, row_number() OVER (PARTITION BY env_id ORDER BY a, b) - 1 AS i, round(CASE WHEN a = b THEN v ELSE v * sqrt(2::DOUBLE) END, 9) + 0.0 AS v FROM u""")
+def pack_symmetric(spark, sf_dir):
+    packed = environments(spark, sf_dir).select("env_id", F.posexplode(compression.pack_symmetric(F.col("features"), 8)).alias("i", "v"))
+    return rounded(packed.withColumn("i", F.col("i").cast("long")), "v")
+
+
+@query("unlinearise", f"""WITH {ENV}, {FLAT}, g AS (SELECT s, t, n, m, l FROM range(2) a(s), range(2) b(t), range(2) c(n), range(2) d(m), range(6) e(l)),
+q AS (SELECT *, 2 * s + n AS i1, 2 * t + m AS j1 FROM g)
+SELECT env_id, ((((s * 2 + t) * 2 + n) * 2 + m) * 6 + l)::BIGINT AS k, round(v * CASE WHEN i1 = j1 THEN 1 ELSE sqrt(0.5::DOUBLE) END, 9) + 0.0 AS v
+FROM q JOIN flat ON i = (greatest(i1, j1) * (greatest(i1, j1) + 1) // 2 + least(i1, j1)) * 6 + l""")
+def unlinearise(spark, sf_dir):
+    wide = environments(spark, sf_dir).select("env_id", F.posexplode(compression.unlinearise(F.col("features"), 2, 2, 6)).alias("k", "v"))
+    return rounded(wide.withColumn("k", F.col("k").cast("long")), "v")
+
+
+@query("scale_angular", f"""WITH {ENV}, {FLAT}, s AS (SELECT env_id, i, v * (1 + (i % 4)) / 2 AS v FROM flat)
+SELECT env_id, i::BIGINT AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY env_id)), 9) + 0.0 AS v FROM s""")
+def scale_angular(spark, sf_dir):
+    scaled = compression.scale_angular(F.col("features"), [0.5, 1.0, 1.5, 2.0])
+    return rounded(environments(spark, sf_dir).select("env_id", F.posexplode(scaled).alias("i", "v")).withColumn("i", F.col("i").cast("long")), "v")
+
+
+@query("l2_normalise", f"WITH {ENV}, {FLAT} SELECT env_id, i::BIGINT AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY env_id)), 9) + 0.0 AS v FROM flat")
+def l2_normalise(spark, sf_dir):
+    flat = environments(spark, sf_dir).select("env_id", F.posexplode(vectors.normalise(F.col("features"))).alias("i", "v"))
+    return rounded(flat.withColumn("i", F.col("i").cast("long")), "v")
+
+
+@query("frame_mean_features", f"WITH {ENV}, {FLAT} SELECT frame_id, i::BIGINT AS i, round(avg(v), 9) + 0.0 AS v FROM flat GROUP BY ALL")
+def frame_mean_features(spark, sf_dir):
+    return rounded(descriptors.frame_means(environments(spark, sf_dir)).withColumn("i", F.col("i").cast("long")), "v")
+
+
+@query("sparse_features", f"WITH {ENV}, {FLAT} SELECT env_id, i::BIGINT AS i, v FROM flat WHERE abs(v) >= 0.2")
+def sparse_features(spark, sf_dir):
+    return environments(spark, sf_dir).select("env_id", F.explode(vectors.drop_small(F.col("features"), 0.2)).alias("p")).select("env_id", "p.i", "p.v")
+
+
+@query("embed_species", f"""WITH {ENV}, {FLAT}, r AS (SELECT frame_id, frame_id % 2 AS s, (i // 16) % 2 AS t, i % 16 AS i, v FROM flat),
+m AS (SELECT frame_id, s, t, i, avg(v) AS v FROM r GROUP BY ALL), k AS (SELECT DISTINCT frame_id FROM r)
+SELECT k.frame_id, a.s::BIGINT AS s, b.t::BIGINT AS t, c.i::BIGINT AS i, round(coalesce(m.v, 0), 9) + 0.0 AS v
+FROM k, range(2) a(s), range(2) b(t), range(16) c(i) LEFT JOIN m ON m.frame_id = k.frame_id AND m.s = a.s AND m.t = b.t AND m.i = c.i""")
+def embed_species(spark, sf_dir):
+    i = F.col("i").cast("long")
+    flat = environments(spark, sf_dir).select("frame_id", F.posexplode("features").alias("i", "v"))
+    rows = flat.select("frame_id", (F.col("frame_id") % 2).alias("s"), (F.floor(i / 16) % 2).alias("t"), (i % 16).alias("i"), "v")
+    two = spark.range(2)
+    grid = two.select(F.col("id").alias("s")).join(F.broadcast(two.select(F.col("id").alias("t"))))
+    return rounded(descriptors.embed_species(rows, grid), "v")
+
+
+# Geometry
+
+_NEAR = f"""WITH {ATOMS} SELECT a.frame_id, a.atom_idx AS i, b.atom_idx AS j,
+  round(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2), 9) + 0.0 AS r
+FROM atoms a JOIN atoms b ON a.frame_id = b.frame_id AND a.atom_idx <> b.atom_idx AND (b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2 < {RC * RC}"""
+
+
+@query("neighbours_cutoff", _NEAR)
+def neighbours_cutoff(spark, sf_dir):
+    return rounded(neighbours.neighbours_scan(atoms(spark, sf_dir), RC).select("frame_id", "i", "j", "r"), "r")
+
+
+@query("neighbours_binned", _NEAR)
+def neighbours_binned(spark, sf_dir):
+    return rounded(neighbours.neighbours_binned(atoms(spark, sf_dir), RC).select("frame_id", "i", "j", "r"), "r")
+
+
+_IMAGE = "((b.{a} - a.{a}) - 8 * round_even((b.{a} - a.{a}) / 8, 0))"
+
+
+@query("neighbours_image", f"""WITH {ATOMS}, p AS (SELECT a.frame_id, a.atom_idx AS i, b.atom_idx AS j, {" + ".join(_IMAGE.format(a=a) + " ** 2" for a in "xyz")} AS r2
+  FROM atoms a JOIN atoms b ON a.frame_id = b.frame_id AND a.atom_idx <> b.atom_idx)
+SELECT frame_id, i, j, round(sqrt(r2), 9) + 0.0 AS r FROM p WHERE r2 < {RC * RC}""")
+def neighbours_image(spark, sf_dir):
+    return rounded(neighbours.neighbours_scan(atoms(spark, sf_dir), RC, cell=(8.0, 8.0, 8.0)).select("frame_id", "i", "j", "r"), "r")
+
+
+@query("cutoff_weight", f"""WITH {ATOMS}, d AS (SELECT atom_idx, sqrt(x * x + y * y + z * z) AS r FROM atoms)
+SELECT atom_idx, round(CASE WHEN r <= 2.0 THEN 1 WHEN r >= 2.5 THEN 0 ELSE (1 + cos(pi() * (r - 2.0) / 0.5)) / 2 END, 9) + 0.0 AS w FROM d""")
+def cutoff_weight(spark, sf_dir):
+    p = geometry.polar(F.col("x"), F.col("y"), F.col("z"))
+    return rounded(atoms(spark, sf_dir).select("atom_idx", geometry.cutoff_weight(p["r"], RC).alias("w")), "w")
+
+
+@query("polar_coords", f"""WITH {ATOMS}, d AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM atoms)
+SELECT atom_idx, round(r, 9) + 0.0 AS r, round(CASE WHEN r = 0 THEN 0 ELSE z / r END, 9) + 0.0 AS cos_theta, round(atan2(y, x), 9) + 0.0 AS phi FROM d""")
+def polar_coords(spark, sf_dir):
+    rows = atoms(spark, sf_dir).select("atom_idx", geometry.polar(F.col("x"), F.col("y"), F.col("z")).alias("p")).select("atom_idx", "p.*")
+    return rounded(rows, "r", "cos_theta", "phi")
+
+
+@query("soap_power_spectrum")
+def soap_power_spectrum(spark, sf_dir):
+    a = atoms(spark, sf_dir)
+    spectra = descriptors.power_spectra(a, neighbours.neighbours_binned(a, RC), [0, 1, 2, 3], rc=RC, nmax=3, lmax=3, sigma=0.4)
+    return rounded(spectra.select("frame_id", "atom_idx", F.posexplode("features").alias("i", "v")).filter("v <> 0"), "v", places=6)
+
+
+# Splits
+
+
+@query("kfold", "SELECT vec_id AS id, (ntile(3) OVER (ORDER BY vec_id) - 1)::BIGINT AS fold FROM embeddings")
+def kfold(spark, sf_dir):
+    return splits.k_fold(ids(environments(spark, sf_dir)), 3)
+
+
+@query("kfold_shuffled", "SELECT vec_id AS id, (ntile(5) OVER (ORDER BY md5('7:' || vec_id), vec_id) - 1)::BIGINT AS fold FROM embeddings")
+def kfold_shuffled(spark, sf_dir):
+    return splits.k_fold(ids(environments(spark, sf_dir)), 5, seed=7)
+
+
+@query("group_kfold", """WITH f AS (SELECT frame, ntile(3) OVER (ORDER BY frame) - 1 AS fold FROM (SELECT DISTINCT label AS frame FROM embeddings))
+SELECT s.split::BIGINT AS split, vec_id AS env_id, CASE WHEN fold = s.split THEN 'test' ELSE 'train' END AS role FROM embeddings JOIN f ON frame = label, range(3) s(split)""")
+def group_kfold(spark, sf_dir):
+    return splits.group_k_fold(environments(spark, sf_dir).select("frame_id", "env_id"), 3)
+
+
+@query("shuffle_split", """WITH r AS (SELECT s.split, vec_id, row_number() OVER (PARTITION BY split ORDER BY md5((split + 11) || ':' || vec_id), vec_id) AS pos FROM embeddings, range(4) s(split))
+SELECT split::BIGINT AS split, vec_id AS id, CASE WHEN pos <= 40 THEN 'test' ELSE 'train' END AS role FROM r WHERE pos <= 140""")
+def shuffle_split(spark, sf_dir):
+    return splits.shuffle_split(ids(environments(spark, sf_dir)), 4, 100, 40, 11)
+
+
+@query("group_shuffle_split", """WITH f AS (SELECT DISTINCT label AS frame FROM embeddings),
+r AS (SELECT s.split, frame, row_number() OVER (PARTITION BY split ORDER BY md5((split + 3) || ':' || frame), frame) AS pos FROM f, range(3) s(split))
+SELECT split::BIGINT AS split, vec_id AS env_id, CASE WHEN pos <= 2 THEN 'test' ELSE 'train' END AS role FROM r JOIN embeddings ON frame = label WHERE pos <= 7""")
+def group_shuffle_split(spark, sf_dir):
+    return splits.group_shuffle_split(environments(spark, sf_dir).select("frame_id", "env_id"), 3, 5, 2, 3)
+
+
+@query("lc_split", """WITH p(n_train, repeat) AS (VALUES (20, 0), (20, 1), (50, 0)),
+r AS (SELECT n_train, repeat, vec_id, row_number() OVER (PARTITION BY n_train, repeat ORDER BY md5('5:' || n_train || ':' || repeat || ':' || vec_id), vec_id) AS pos FROM embeddings, p)
+SELECT n_train::BIGINT AS n_train, repeat::BIGINT AS repeat, vec_id AS id, CASE WHEN pos <= 30 THEN 'test' ELSE 'train' END AS role FROM r WHERE pos <= 30 + n_train""")
+def lc_split(spark, sf_dir):
+    return splits.learning_curve_split(ids(environments(spark, sf_dir)), [20, 50], [2, 1], 30, 5)
+
+
+# Scores
+
+_SCORES = "avg(abs(y_pred - y)) AS mae, sqrt(avg((y_pred - y) ** 2)) AS rmse, max(abs(y_pred - y)) AS sup, 1 - avg((y_pred - y) ** 2) / var_pop(y) AS r2"
+_ROUNDED = "round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(sup, 4) AS sup, round(r2, 6) AS r2"
+
+
+def _rounded_scores(df: DataFrame) -> DataFrame:
+    return df.withColumns({"mae": F.round("mae", 4), "rmse": F.round("rmse", 4), "sup": F.round("sup", 4), "r2": F.round("r2", 6)})
+
+
+@query("scores_all", f"WITH {PRED} SELECT {_ROUNDED} FROM (SELECT {_SCORES} FROM pred)")
+def scores_all(spark, sf_dir):
+    return _rounded_scores(scores.scores(predictions(spark, sf_dir)))
+
+
+@query("scores_by_fold", f"WITH {PRED} SELECT l_returnflag, {_ROUNDED} FROM (SELECT l_returnflag, {_SCORES} FROM pred GROUP BY l_returnflag)")
+def scores_by_fold(spark, sf_dir):
+    return _rounded_scores(scores.scores(predictions(spark, sf_dir), ["l_returnflag"]))
+
+
+@query("spearman", f"""WITH {PRED}, r AS (SELECT rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS a, rank() OVER (ORDER BY y_pred) + (count(*) OVER (PARTITION BY y_pred) - 1) / 2 AS b FROM pred)
+SELECT round(corr(a, b), 8) AS spearman FROM r""")
+def spearman(spark, sf_dir):
+    return scores.spearman(predictions(spark, sf_dir)).select(F.round("spearman", 8).alias("spearman"))
+
+
+@query("learning_curve", f"""WITH {PRED}, f AS (SELECT l_linenumber::BIGINT AS n_train, l_returnflag, {_SCORES} FROM pred GROUP BY ALL)
+SELECT n_train, {_ROUNDED} FROM (SELECT n_train, avg(mae) AS mae, avg(rmse) AS rmse, avg(sup) AS sup, avg(r2) AS r2 FROM f GROUP BY n_train)""")
+def learning_curve(spark, sf_dir):
+    rows = predictions(spark, sf_dir).withColumn("n_train", F.col("l_linenumber").cast("long"))
+    return _rounded_scores(scores.mean_scores(scores.scores(rows, ["n_train", "l_returnflag"]), ["n_train"]))
+
+
+@query("outlier_3sigma", f"""WITH {PRED}, s AS (SELECT l_orderkey % 100 AS frame_id, l_orderkey AS env_id, stddev_pop(y_pred) AS s FROM pred GROUP BY ALL)
+SELECT DISTINCT frame_id FROM s WHERE s > (SELECT 1.6 * avg(s) FROM s)""")
+def outlier_3sigma(spark, sf_dir):
+    rows = predictions(spark, sf_dir).select((F.col("l_orderkey") % 100).alias("frame_id"), F.col("l_orderkey").alias("env_id"), "y_pred")
+    return scores.outlier_frames(rows, factor=1.6)
+
+
+@query("cv_scores")
+def cv_scores(spark, sf_dir):
+    """Scores by fold of a fast cross-validation, over several strengths of the kernel."""
+    env = environments(spark, sf_dir)
+    kernel, folds = kernels.power_kernel(env, env, ZETA).persist(), splits.k_fold(ids(env), 3)
+    found = None
+    for delta in (0.5, 1.0, 2.0):
+        fold = regression.krr_fast_cv(kernel, targets(env), folds, jitter=1e-2, delta=delta).withColumn("delta", F.lit(delta))
+        found = fold if found is None else found.unionByName(fold)
+    kernel.unpersist()
+    rows = found.join(targets(env), "id")
+    return _rounded_scores(scores.mean_scores(scores.scores(rows, ["delta", "fold"]), ["delta"]))
+
+
+# Elements
+
+
+@query("element_lookup", "WITH " + ATOMS + ", e(z, symbol) AS (VALUES " + ", ".join(f"({z}, '{s}')" for z, s, *_ in alchemy.ELEMENTS) + ") SELECT symbol, count(*) AS n FROM atoms JOIN e ON e.z = 5 + species GROUP BY symbol")
+def element_lookup(spark, sf_dir):
+    named = atoms(spark, sf_dir).withColumn("z", (F.col("species") + 5).cast("int")).join(F.broadcast(alchemy.elements(spark)), "z")
+    return named.groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query("kappa_matrix", "WITH " + ATOMS + ", e(z, c, r) AS (VALUES " + ", ".join(f"({z}, {c}::DOUBLE, {r}::DOUBLE)" for z, _, c, r in alchemy.ELEMENTS) + """), p AS (SELECT * FROM e WHERE z IN (SELECT 5 + species FROM atoms))
+SELECT a.z AS z1, b.z AS z2, round(exp(-((a.c - b.c) ** 2) / 0.5) * exp(-((a.r - b.r) ** 2) / 0.5), 9) AS kappa FROM p a, p b""")
+def kappa_matrix(spark, sf_dir):
+    present = atoms(spark, sf_dir).select((F.col("species") + 5).cast("int").alias("z")).distinct()
+    return rounded(alchemy.element_similarity(alchemy.elements(spark).join(present, "z", "left_semi")), "kappa")
+
+
+@query("alchemical_loss")
+def alchemical_loss(spark, sf_dir):
+    """The two-halves loss of a fit in the basis that element similarity starts from, before and after descent on it."""
+    rows = environments(spark, sf_dir).select(F.col("env_id").alias("id"), F.col("frame_id").cast("double").alias("y"), "features")
+    _, u = alchemy.leading_vectors(alchemy.element_similarity(alchemy.elements(spark).filter("z IN (6, 8)")), 1)
+    before = alchemy.cross_loss(rows, u, 1e-3)
+    _, after = alchemy.minimise(lambda v: alchemy.cross_loss(rows, v, 1e-3), u, steps=1)
+    return spark.createDataFrame([("start", round(before, 6)), ("end", round(after, 6))], "step string, loss double")
+
+
+@query("centred_targets", f"WITH {ENV}, t AS (SELECT env_id AS id, frame_id::DOUBLE AS y FROM env ORDER BY env_id LIMIT 100) SELECT id, round(y - avg(y) OVER (), 9) + 0.0 AS y FROM t")
+def centred_targets(spark, sf_dir):
+    return rounded(alchemy.centred(targets(environments(spark, sf_dir)), 100), "y")
