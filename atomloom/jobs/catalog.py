@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomloom.functions import geometry, vectors
-from atomloom.operators import alchemy, compression, descriptors, kernels, neighbours, regression, scores, selection, splits
+from atomloom.operators import alchemy, compression, descriptors, kernels, model_selection, neighbours, regression, scores, selection, splits
 from atomloom.tables import environments, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -527,3 +527,44 @@ def alchemical_loss(spark, sf_dir):
 @query("centred_targets", f"WITH {ENV}, t AS (SELECT env_id AS id, frame_id::DOUBLE AS y FROM env ORDER BY env_id LIMIT 100) SELECT id, round(y - avg(y) OVER (), 9) + 0.0 AS y FROM t")
 def centred_targets(spark, sf_dir):
     return rounded(alchemy.centred(targets(environments(spark, sf_dir)), 100), "y")
+
+
+# Model selection
+
+
+@query("sor_cv_scores")
+def sor_cv_scores(spark, sf_dir):
+    env = environments(spark, sf_dir)
+    rows = env.select("env_id", "features", F.col("frame_id").cast("double").alias("y"))
+    folds = splits.k_fold(env.select("env_id"), 4, key="env_id", seed=1)
+    return _rounded_scores(model_selection.sor_cross_validate(rows, env.filter("env_id < 20"), folds, zeta=ZETA, scales=[0.5, 1.0, 2.0]))
+
+
+@query("sor_sweep")
+def sor_sweep(spark, sf_dir):
+    """Mean scores over folds for sizes of the active set and scales."""
+    env = environments(spark, sf_dir)
+    rows = env.select("env_id", "features", F.col("frame_id").cast("double").alias("y"))
+    folds = splits.k_fold(env.select("env_id"), 4, key="env_id", seed=1)
+
+    def score(n_active: int) -> DataFrame:
+        found = model_selection.sor_cross_validate(rows, env.filter(F.col("env_id") < n_active), folds, zeta=ZETA, scales=[0.5, 2.0])
+        return scores.mean_scores(found, ["scale"])
+
+    return _rounded_scores(model_selection.grid_search({"n_active": [5, 10, 20]}, score))
+
+
+@query("learning_curve_krr")
+def learning_curve_krr(spark, sf_dir):
+    env = environments(spark, sf_dir)
+    return _rounded_scores(model_selection.learning_curve(kernels.power_kernel(env, env, ZETA), targets(env), [50, 100, 200], [3, 2, 1], 100, seed=5, jitter=1e-2))
+
+
+@query("fps_back_map")
+def fps_back_map(spark, sf_dir):
+    """The map back from ten features picked far apart, as a table."""
+    env = environments(spark, sf_dir)
+    chosen = [r["id"] for r in selection.farthest_points(selection.transpose(env), 10).orderBy("rank").collect()]
+    a = compression.back_map(env, chosen)
+    rows = [(i, j, round(float(a[i, j]), 6) + 0.0) for i in range(len(a)) for j in range(len(a))]
+    return spark.createDataFrame(rows, "i long, j long, a double")

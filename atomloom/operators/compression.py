@@ -155,3 +155,25 @@ def unlinearise_index(species: int, radial: int, angular: int) -> list[tuple[int
 
 def unlinearise(features: Column, species: int, radial: int, angular: int) -> Column:
     return F.array(*(features[i] * f for i, f in unlinearise_index(species, radial, angular)))
+
+
+def back_map(rows: DataFrame, chosen: list[int]) -> np.ndarray:
+    """The matrix A with |A x_chosen| like |x|: the symmetric root of C C^T, C the least-squares map from chosen features to all.
+
+    Needs only the d x d sum of products of the features, which each task adds up for its rows.
+    """
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+            total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.record_batch([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
+
+    table = rows.select("features").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow()
+    v = table.column("v").to_numpy()
+    gram = v.reshape(int(np.sqrt(len(v))), -1)
+    c = np.linalg.pinv(gram[np.ix_(chosen, chosen)], rcond=1e-12) @ gram[chosen]
+    values, vectors = np.linalg.eigh(c @ c.T)
+    return (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from atomloom.functions.soap_math import density, legendre, power_spectrum, radial_overlap
-from atomloom.operators import alchemy, compression, descriptors, kernels, neighbours, regression, selection, splits
+from atomloom.operators import alchemy, compression, descriptors, kernels, model_selection, neighbours, regression, selection, splits
 from pyspark.sql import functions as F
 
 
@@ -213,3 +213,37 @@ def test_alchemy(spark):
     assert np.allclose(alchemy.ridge(rows, 1e-9), [1.0, -2.0, 0.5, 3.0])
     at, low = alchemy.minimise(lambda v: float(((v - [1, 2]) ** 2).sum()), np.zeros(2))
     assert np.allclose(at, [1, 2], atol=1e-3) and low < 1e-5
+
+
+def test_split_scores_and_sor_cross_validation(spark, x):
+    y = np.sin(np.arange(40.0))
+    env = vectors(spark, x)
+    targets = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "id long, y double")
+    folds = splits.k_fold(targets.select("id"), 4)
+    fold = np.array([r["fold"] for r in folds.orderBy("id").collect()])
+    k = (x @ x.T) ** 2
+    found = model_selection.split_scores(kernels.power_kernel(env, env, 2.0), targets, splits.fold_roles(folds, 4), ["split"], jitter=0.1, delta=0.5)
+    rows = env.select("env_id", "features").join(targets.withColumnRenamed("id", "env_id"), "env_id")
+    low = model_selection.sor_cross_validate(rows, env.filter("env_id < 6"), folds.withColumnRenamed("id", "env_id"), zeta=2.0, scales=[0.7], jitter=0.0)
+    exact, sparse = {r["split"]: r["rmse"] for r in found.collect()}, {r["fold"]: r["rmse"] for r in low.collect()}
+    for f in range(4):
+        t, v = fold != f, fold == f
+        want = k[np.ix_(v, t)] / 4 @ np.linalg.solve(k[np.ix_(t, t)] / 4 + 0.1 * np.eye(t.sum()), y[t])
+        assert math.isclose(exact[f], np.sqrt(((want - y[v]) ** 2).mean()), rel_tol=1e-6)
+        c = k[:6][:, t]
+        want = k[v][:, :6] @ np.linalg.solve(k[:6, :6] + c @ c.T / 0.49, c @ y[t] / 0.49)
+        assert math.isclose(sparse[f], np.sqrt(((want - y[v]) ** 2).mean()), rel_tol=1e-5)
+
+
+def test_log_likelihood_against_the_dense_one(x):
+    k, y, m, s = (x @ x.T) ** 2, np.cos(np.arange(40.0)), 6, 0.8
+    c = k[:m]
+    full = c.T @ np.linalg.solve(k[:m, :m], c) + s**2 * np.eye(40)
+    want = -0.5 * (y @ np.linalg.solve(full, y) + np.linalg.slogdet(full)[1] + 40 * np.log(2 * np.pi))
+    assert math.isclose(model_selection.sor_log_likelihood(c @ c.T, k[:m, :m], c @ y, float(y @ y), 40, s), want, rel_tol=1e-6)
+
+
+def test_back_map_keeps_norms_of_what_it_spans(spark, x):
+    low = x[:, :3] @ np.random.default_rng(6).normal(size=(3, 8))
+    a = compression.back_map(vectors(spark, low), [0, 1, 2])
+    assert np.allclose(np.linalg.norm(low[:, :3] @ a, axis=1), np.linalg.norm(low, axis=1))

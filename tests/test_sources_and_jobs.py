@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from atomloom.jobs.pipeline import Pipeline, Step, fingerprint
-from atomloom.sources import frames, shielding
+from atomloom.sources import frames, matrix, scf, shielding
 from atomloom.streaming.predict import predict
 
 TINY = """3
@@ -95,3 +95,29 @@ def test_predictions_on_a_stream(spark, tmp_path):
     run.stop()
     got = {r["env_id"]: r["y_pred"] for r in spark.table("predicted").collect()}
     assert np.allclose([got[i] for i in range(20)], (x @ x[:4].T) ** 2 @ (np.arange(4) - 1.5))
+
+
+def test_scf_log(spark):
+    text = """
+     lattice parameter (alat)  =      10.0000  a.u.
+               a(1) = (   1.000000   0.000000   0.000000 )
+               a(2) = (   0.000000   2.000000   0.000000 )
+               a(3) = (   0.500000   0.000000   1.500000 )
+     site n.     atom                  positions (alat units)
+         1           C   tau(   1) = (   0.1000000   0.2000000  -0.3000000  )
+         2           H   tau(   2) = (   0.0000000   0.5000000   1.0000000  )
+"""
+    logs = spark.createDataFrame([("a", text)], "path string, text string")
+    unit = 10 * scf.BOHR
+    assert np.allclose(scf.cells(logs).first()["cell"], np.array([[1, 0, 0], [0, 2, 0], [0.5, 0, 1.5]]) * unit)
+    rows = scf.sites(logs).orderBy("atom_idx").collect()
+    assert [(r["atom_idx"], r["symbol"]) for r in rows] == [(0, "C"), (1, "H")] and np.allclose([rows[0][c] for c in "xyz"], np.array([0.1, 0.2, -0.3]) * unit)
+
+
+def test_models_and_matrices_come_back(spark, tmp_path):
+    active = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "env_id long, features array<double>")
+    alpha = spark.createDataFrame([(0, 0.5), (1, -1.0)], "id long, alpha double")
+    matrix.save_model(alpha, active, {"zeta": 2}, str(tmp_path / "m"))
+    a, b, params = matrix.load_model(spark, str(tmp_path / "m"))
+    assert params == {"zeta": 2} and sorted(map(tuple, a.collect())) == [(0, 0.5), (1, -1.0)]
+    assert sorted((r["env_id"], r["features"]) for r in b.collect()) == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
