@@ -25,7 +25,7 @@ MIN_Z = 4.0
 GRADE_STEPS = (3, 8)
 GRADES = len(GRADE_STEPS) + 2
 MARKER_RATIO = 20.0
-RIDGE = 1e-3
+RIDGE = 1e-4
 STEPS = 400
 #: Lengths in code points of the beginnings of words that are features.
 PREFIXES = (3, 4, 5, 6, 7)
