@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest number of rows that any operator broadcasts of a table that can grow; it counts first and takes another way beyond.
 BROADCAST_ROWS = 200_000
@@ -23,8 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = worker_cache().setdefault("shared_dir", None) or tempfile.mkdtemp(prefix="spark-")
+        worker_cache()["shared_dir"] = where
     return where.rstrip("/")
 
 
@@ -43,11 +44,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def broadcast_if_few(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written out, and marked for broadcast if it has at most BROADCAST_ROWS rows; beyond that Spark joins it by a shuffle."""
+    df = materialise(df, label)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null: empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def worker_cache() -> dict:
-    """What a Python worker keeps from one task to the next, such as loaded tokenizers."""
+    """What a Python process keeps from one call or task to the next, such as loaded tokenizers."""
     return sys.__dict__.setdefault("_atomloom_cache", {})
