@@ -87,17 +87,18 @@ def format_chats(records: DataFrame, *, record: str = "record", layouts: list[La
     New columns: ``layout`` (the name of the mapping, null where no layout has the record's
     fingerprint), ``formatted`` (each turn as mark, role, mark, text, mark; roles and texts
     escaped) and ``loss_spans``, an array of (start, chars): where assistant texts stand in
-    ``formatted``, from code point 1 on. Columns of ``records`` of these names are replaced.
+    ``formatted``, from code point 1 on. Columns of ``records`` of these names are replaced, and
+    _print and _turns dropped.
 
     Records of an unknown layout, and null records, have no turns: an empty text and no spans.
     Null roles and texts are empty ones. Empty messages have no turns. Repeated rows are formatted
     alike. An empty table gives an empty one. Each row is formatted where it lies; nothing is shuffled.
     """
-    marked = records.withColumn("_print", fingerprint(F.col(record)))
+    marked = records.drop("_turns").withColumn("_print", fingerprint(F.col(record)))
     cases = [(F.col("_print") == x.fingerprint, x) for x in layouts]
     name = F.coalesce(*(F.when(hit, x.name) for hit, x in cases))
     turns = F.coalesce(*(F.when(hit, x.turns(F.col(record))) for hit, x in cases), F.array().cast("array<struct<role:string,text:string>>"))
-    marked = marked.select(*(c for c in records.columns if c not in (record, "layout", "formatted", "loss_spans")), name.alias("layout"), turns.alias("_turns"))
+    marked = marked.select(*(c for c in records.columns if c not in (record, "layout", "formatted", "loss_spans", "_print", "_turns")), name.alias("layout"), turns.alias("_turns"))
     escaped = marked.withColumn("_turns", F.transform("_turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))))
     formatted = F.array_join(F.transform("_turns", lambda t: F.concat(F.lit(TURN), t["role"], F.lit(TEXT), t["text"], F.lit(END))), "")
 
