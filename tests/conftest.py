@@ -6,7 +6,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).parents[1]))
+sys.path[:0] = [str(Path(__file__).parents[1]), str(Path(__file__).parent)]
 
 import atomloom  # noqa: E402
 
