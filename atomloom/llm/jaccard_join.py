@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import BROADCAST_ROWS, materialise, utf8
+from atomloom.llm.common import BROADCAST_ROWS, broadcast_if_few, materialise, utf8
 from atomloom.llm.components import connected_components
 
 WORDS = 4
 PERCENT = 85
+#: Fragments of the signatures: one for so many bytes of text, and so many at least. A task holds one of them.
+FRAGMENT_BYTES, MIN_FRAGMENTS = 32 * 2**20, 32
 #: Pairs that one task checks at a time, and words whose hashes a task remembers.
-GROUP_PAIRS = 2048
+GROUP_PAIRS = 512
 CACHED_WORDS = 300_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _U32 = np.uint64(32)
@@ -185,6 +187,10 @@ def candidates(key: np.ndarray, member: np.ndarray, size: np.ndarray, parity: np
     """
     order = np.argsort(key, kind="stable")
     key, member = key[order], member[order]
+    del order
+    same = key[1:] == key[:-1]
+    kept = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    key, member = key[kept], member[kept].astype(np.int64)  # few keys are shared
     at, lag, found, held = np.arange(len(key)), 1, [], 0
     label = np.arange(len(size)) if component is None else component
     while True:
@@ -229,9 +235,12 @@ def _pairer(percent: int, across: bool):
             parity = np.frombuffer(b"".join(table.column("parity").take(pa.array(first)).to_pylist()), np.uint64).reshape(-1, 4)
             component = table.column("component").to_numpy()[first] if across else None
             sigs = table.column("sigs").combine_chunks()
-            row = np.repeat(np.arange(len(member)), np.diff(sigs.offsets.to_numpy()))
-            meet = (fragment[row] << 32) | sigs.flatten().to_numpy().view(np.uint32).astype(np.int64)
-            pairs = candidates(meet, member[row], own[1], parity, percent, component)
+            widths = np.diff(sigs.offsets.to_numpy())
+            meet = np.repeat(fragment << 32, widths)
+            meet |= sigs.flatten().to_numpy().view(np.uint32)
+            member = np.repeat(member.astype(np.int32), widths)
+            del table, sigs, widths
+            pairs = candidates(meet, member, own[1], parity, percent, component)
             a, b = pairs // len(own[0]), pairs % len(own[0])
             yield pa.record_batch([pa.array(c) for c in (own[0][a], own[1][a], own[0][b], own[1][b])], names=["a_key", "a_size", "b_key", "b_size"])
 
@@ -266,11 +275,22 @@ def _checker(percent: int):
     return run
 
 
-def check_pairs(pairs: DataFrame, docs: DataFrame, *, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a long, b long: doc_ids of ``docs``) whose n-gram sets link.
+def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, grams): the n-gram sets of the documents that ``nodes`` (node) names, written out for all rounds to read.
+
+    The nodes are broadcast if they are few, so that texts are shuffled, once, only beyond that.
+    """
+    wanted = broadcast_if_few(nodes.select(F.col("node").alias("doc_id")).distinct(), "paired")
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
+    return materialise(texts.mapInArrow(_grams(n), "node long, grams array<long>"), "sets")
+
+
+def check_pairs(pairs: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a long, b long) whose ``sets`` (node, grams) link.
 
     Pairs are checked where they share most: at the smallest neighbour of either end. A group of
-    more than GROUP_PAIRS pairs is split by its first ends, so none grows with the data.
+    more than GROUP_PAIRS pairs is split by a hash of both ends, so that neither a group of near
+    copies nor a document with very many candidates makes a group that grows with the data.
     """
     pairs = pairs.select("a", "b")
     both = pairs.union(pairs.select("b", "a"))
@@ -278,12 +298,9 @@ def check_pairs(pairs: DataFrame, docs: DataFrame, *, n: int, percent: int) -> D
     owned = pairs.join(least.withColumnRenamed("m", "m_a"), "a").join(least.select(F.col("a").alias("b"), F.col("m").alias("m_b")), "b")
     owned = owned.select("a", "b", F.least("m_a", "m_b").alias("owner"))
     sizes = owned.groupBy("owner").agg(F.ceil(F.count("*") / GROUP_PAIRS).alias("splits"))
-    grouped = owned.join(sizes, "owner").withColumn("split", F.pmod(F.xxhash64("a"), "splits")).drop("splits")
+    grouped = owned.join(sizes, "owner").withColumn("split", F.pmod(F.xxhash64("a", "b"), "splits")).drop("splits")
     grouped = materialise(grouped, "pair-groups")
     members = grouped.select("owner", "split", F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(nodes, "doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
-    sets = texts.mapInArrow(_grams(n), "node long, grams array<long>")
     held = members.join(sets, "node")
     asked = grouped.select(*(F.col(c).alias(c) for c in ("owner", "split", "a", "b")))
     return held.groupBy("owner", "split").cogroup(asked.groupBy("owner", "split")).applyInArrow(_checker(percent), "a long, b long")
@@ -300,16 +317,16 @@ def link_documents(docs: DataFrame, *, n: int = WORDS, percent: int = PERCENT, f
     A text without words, or null, has an empty set, links with nothing, and is its own component.
     Repeated rows are linked each, alike; a doc_id whose rows differ is judged by its smallest
     text where pairs are checked. A null doc_id gets the component of its copies, or null. An
-    empty table gives an empty one.
+    empty table gives an empty one. ``fragments`` is by default in proportion to the texts.
 
     Hot groups: copies are one class before anything is paired, so a group of any size makes one
     row a task. Near copies meet in segments and are filtered by size and parity; of those left,
     only enough to connect them are checked, and then the pairs between what did not connect.
     Pairs are checked in groups of bounded size.
     """
-    spark = docs.sparkSession
     if fragments is None:
-        fragments = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+        size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+        fragments = max(MIN_FRAGMENTS, -(-size // FRAGMENT_BYTES))
     sketched = docs.select("doc_id", "text").mapInArrow(
         _sketcher(n, percent, fragments), "doc_id long, set_key long, n_shingles long, parity binary, parts array<struct<fragment:int,sigs:array<int>>>"
     )
@@ -331,12 +348,14 @@ def link_documents(docs: DataFrame, *, n: int = WORDS, percent: int = PERCENT, f
     classes = classes.join(ends, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") == F.col("s")), "left")
     classes = materialise(classes.filter("copies > 1 OR paired").select("set_key", "n_shingles", "node", F.coalesce("paired", F.lit(False)).alias("paired")), "classes")
 
+    sets = sets_of(docs, classes.filter("paired"), n)
+
     def links_of(pairs: DataFrame) -> DataFrame:
         def end(side: str) -> DataFrame:
             return classes.select(F.col("set_key").alias(f"{side}_key"), F.col("n_shingles").alias(f"{side}_size"), F.col("node").alias(side))
 
         by_node = pairs.join(end("a"), ["a_key", "a_size"]).join(end("b"), ["b_key", "b_size"]).select("a", "b")
-        return check_pairs(by_node, docs, n=n, percent=percent)
+        return check_pairs(by_node, sets, percent=percent)
 
     def table_of(reached: DataFrame, label: str) -> tuple[DataFrame, int]:
         """The component of each class, and whether that is few enough rows to broadcast."""
