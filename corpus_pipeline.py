@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import BROADCAST_ROWS, materialise
+from atomloom.llm.common import broadcast_if_few, materialise
 from atomloom.llm.jaccard_join import link_documents
 from atomloom.llm.line_dedup import dedup_lines
 from atomloom.llm.packing import pack_documents
@@ -26,9 +26,7 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
     The rejected ids are broadcast if they are few; texts are shuffled only beyond that.
     """
-    ids = materialise(rejected.select(F.col("doc_id").alias("gone")).distinct(), "rejected")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    ids = broadcast_if_few(rejected.select(F.col("doc_id").alias("gone")).distinct(), "rejected")
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
 
 
@@ -49,7 +47,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of near duplicates connect, the document of the smallest doc_id stays."""
+    """Of each group that links of near duplicates connect, the document of the smallest doc_id stays. Rows without a doc_id stay."""
     linked = link_documents(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     return without(docs, linked.filter("component_id <> doc_id")).select(COLUMNS)
 
