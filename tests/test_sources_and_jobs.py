@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from atomloom.jobs import run
 from atomloom.jobs.pipeline import Pipeline, Step, fingerprint
 from atomloom.sources import frames, matrix, scf, shielding
 from atomloom.streaming.predict import predict
@@ -121,3 +122,8 @@ def test_models_and_matrices_come_back(spark, tmp_path):
     a, b, params = matrix.load_model(spark, str(tmp_path / "m"))
     assert params == {"zeta": 2} and sorted(map(tuple, a.collect())) == [(0, 0.5), (1, -1.0)]
     assert sorted((r["env_id"], r["features"]) for r in b.collect()) == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
+
+
+def test_queries_run_from_the_command_line(spark, tmp_path):
+    run.main(["--tables", "/root/testdata/sf0.001", "--out", str(tmp_path), "kfold", "distinct_species"])
+    assert spark.read.parquet(str(tmp_path / "kfold")).count() == 500 and spark.read.parquet(str(tmp_path / "distinct_species")).count() == 4
