@@ -289,16 +289,18 @@ def check_pairs(pairs: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame
     """Those of ``pairs`` (a long, b long) whose ``sets`` (node, grams) link.
 
     Pairs are checked where they share most: at the smallest neighbour of either end. A group of
-    more than GROUP_PAIRS pairs is split by a hash of both ends, so that neither a group of near
-    copies nor a document with very many candidates makes a group that grows with the data.
+    more than GROUP_PAIRS pairs is cut into the cells of a grid, by a hash of either end: a dense
+    group's cells hold about GROUP_PAIRS pairs and few sets each, and those of a single document's
+    pairs grow with their root only.
     """
     pairs = pairs.select("a", "b")
     both = pairs.union(pairs.select("b", "a"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     owned = pairs.join(least.withColumnRenamed("m", "m_a"), "a").join(least.select(F.col("a").alias("b"), F.col("m").alias("m_b")), "b")
     owned = owned.select("a", "b", F.least("m_a", "m_b").alias("owner"))
-    sizes = owned.groupBy("owner").agg(F.ceil(F.count("*") / GROUP_PAIRS).alias("splits"))
-    grouped = owned.join(sizes, "owner").withColumn("split", F.pmod(F.xxhash64("a", "b"), "splits")).drop("splits")
+    sizes = owned.groupBy("owner").agg(F.ceil(F.sqrt(F.count("*") / GROUP_PAIRS)).alias("side"))
+    split = F.pmod(F.xxhash64("a"), "side") * F.col("side") + F.pmod(F.xxhash64("b"), "side")
+    grouped = owned.join(sizes, "owner").withColumn("split", split).drop("side")
     grouped = materialise(grouped, "pair-groups")
     members = grouped.select("owner", "split", F.explode(F.array("a", "b")).alias("node")).distinct()
     held = members.join(sets, "node")
