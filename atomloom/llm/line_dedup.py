@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import utf8
+from atomloom.llm.common import broadcast_if_few, utf8
 
 MIN_KEY_CHARS = 10
 MIN_DOCUMENTS = 2
@@ -83,7 +83,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_KEY_CHARS, min_document
     of ``docs`` named n_lines, n_dropped or shared_keys are replaced.
 
     The shuffles move one hash per document and distinct line, aggregated before they move, and
-    each text once.
+    each text once. Shared lines meet the documents by broadcast if they are few, and else in a
+    join whose large partitions Spark splits, so a very common line is no hot spot.
     """
     docs = docs.drop("n_lines", "n_dropped", "shared_keys")
     last = 2**63 - 1
@@ -93,9 +94,10 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_KEY_CHARS, min_document
     else:
         held = F.count_distinct("doc_id") >= min_documents
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("first_doc"), held.alias("held")).filter("held").select("key", "first_doc")
+    shared = broadcast_if_few(shared, "shared-lines")
     dropped = keys.join(shared, "key").filter(F.col("doc_id") > F.col("first_doc"))
     by_doc = dropped.groupBy("doc_id").agg(F.collect_set("key").alias("shared_keys")).withColumnRenamed("doc_id", "_doc")
-    rows = docs.join(by_doc, F.coalesce(docs["doc_id"], F.lit(last)) == by_doc["_doc"], "left").drop("_doc")
+    rows = docs.join(by_doc, F.coalesce(docs["doc_id"], F.lit(last)) == by_doc["_doc"], "left").drop(by_doc["_doc"])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "text string", "n_lines long", "n_dropped long"])
     return rows.mapInArrow(_rebuild(min_chars), schema).select(*docs.columns, "n_lines", "n_dropped")
 
