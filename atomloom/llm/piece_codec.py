@@ -25,8 +25,8 @@ from atomloom.llm.common import utf8, worker_cache
 
 SPACE = "▁"
 #: Characters indexed at a time, and words and units that a worker remembers; beyond that it begins again.
-INDEXED_CHARS = 500_000
-CACHED_WORDS = 400_000
+INDEXED_CHARS = 300_000
+CACHED_WORDS = 300_000
 NONE = np.iinfo(np.int32).max
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -157,12 +157,14 @@ def words_of(text: bytes) -> list[bytes]:
 
 def encode_texts(texts: list[bytes], vocabulary: Vocabulary, words: dict[bytes, bytes], units: dict[str, bytes]) -> list[bytes]:
     """The ids of each text; ``words`` and ``units`` remember what is known of earlier batches."""
-    split = [words_of(text) for text in texts]
-    new = [w for w in set().union(*split) if w not in words]
+    # Split twice, so that no more than one text is held as words.
+    new = set()
+    for text in texts:
+        new.update(set(words_of(text)).difference(words))
     if len(words) + len(new) > CACHED_WORDS:
         words.clear()
         units.clear()
-        new = list(set().union(*split))
+        new = set().union(*(set(words_of(text)) for text in texts))
     cut = {w: split_word(SPACE + w.decode(), vocabulary.pairs) for w in new}
     todo = [u for u in {u for parts in cut.values() for u in parts} if u not in units]
     chunk, size = [], 0
@@ -173,7 +175,7 @@ def encode_texts(texts: list[bytes], vocabulary: Vocabulary, words: dict[bytes,
             units |= zip(chunk, encode_units(chunk, vocabulary))
             chunk, size = [], 0
     words |= {w: b"".join([units[u] for u in parts]) for w, parts in cut.items()}
-    return [b"".join(map(words.__getitem__, own)) for own in split]
+    return [b"".join(map(words.__getitem__, words_of(text))) for text in texts]
 
 
 def _held(path: str):
