@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,13 +31,13 @@ ORC_OPTIONS = {
 }
 
 #: Words whose ids a Python worker remembers; when so many are held, it forgets all and begins again.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 600_000
 
 
-#: Words that normalisation leaves as they are and that are one unit for the vocabulary: lower-case Latin letters, composed.
+#: Letters that normalisation leaves as they are, and that make one unit for the vocabulary; a run of marks makes another.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _PLAIN = re.compile(f"[{_LETTERS}]+")
-_MARKS = ".,;:!?"
+_MARKS = string.punctuation
 
 
 def _encode(path: str, end_id: int):
@@ -47,19 +48,23 @@ def _encode(path: str, end_id: int):
     """
     end = end_id.to_bytes(4, "little")
 
-    def encode_new(tokenizer, words: list[bytes]) -> dict[bytes, bytes]:
+    def encode_new(tokenizer, words: list[bytes], cores: dict[str, bytes]) -> dict[bytes, bytes]:
         bytewise = tokenizer.pre_tokenizer[1]
         letters = str.maketrans({c: bytewise.pre_tokenize_str(c)[0][0] for c in _LETTERS})
         tails: dict[str, bytes] = {"": b""}
-        found, rest = {}, []
+        found, rest, tokenize = {}, [], tokenizer.model.tokenize
         for word in words:
             text = word.decode()
             core = text.rstrip(_MARKS)
+            tail = text[len(core) :]
+            core = core.lower()
             if _PLAIN.fullmatch(core):
-                tail = text[len(core) :]
                 if tail not in tails:
                     tails[tail] = array("i", tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
-                found[word] = array("i", [t.id for t in tokenizer.model.tokenize(core.translate(letters))]).tobytes() + tails[tail]
+                ids = cores.get(core)
+                if ids is None:
+                    ids = cores[core] = array("i", [t.id for t in tokenize(core.translate(letters))]).tobytes()
+                found[word] = ids + tails[tail]
             else:
                 rest.append(word)
         encoded = tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
@@ -71,17 +76,22 @@ def _encode(path: str, end_id: int):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
-            held[path] = Tokenizer.from_file(path), {}
-        tokenizer, known = held[path]
+            held[path] = Tokenizer.from_file(path), {}, {}
+        tokenizer, known, cores = held[path]
         for batch in batches:
-            texts = [text.lower().split() for text in utf8(batch.column("text"))]
-            new = [w for w in set().union(*texts) if w not in known]
+            texts = [text.lower() for text in utf8(batch.column("text"))]
+            # Split twice, so that no more than one text is held as words.
+            new = set()
+            for text in texts:
+                new.update(set(text.split()).difference(known))
             if len(known) + len(new) > CACHED_WORDS:
                 known.clear()
-                new = list(set().union(*texts))
+                cores.clear()
+                new = set().union(*(set(text.split()) for text in texts))
+            new = list(new)
             for i in range(0, len(new), 10_000):
-                known |= encode_new(tokenizer, new[i : i + 10_000])
-            rows = [b"".join([*map(known.__getitem__, words), end]) for words in texts]
+                known |= encode_new(tokenizer, new[i : i + 10_000], cores)
+            rows = [b"".join([*map(known.__getitem__, text.split()), end]) for text in texts]
             offsets = np.cumsum([0, *(len(x) // 4 for x in rows)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
             yield pa.record_batch([batch.column("doc_id"), ids], names=["doc_id", "ids"])
@@ -125,11 +135,11 @@ def token_starts(rows: DataFrame) -> DataFrame:
     """``rows`` (doc_id, n_tokens, file, others) with ``start``: the ids of all rows before.
 
     A file is a range of documents, so its own total is a partial sum: running sums within each
-    file are added to the sum of the files before it. Only one row a file meets in one place.
+    file are added to the sum of the files of smaller doc_ids. Only one row a file meets in one place.
     """
     within = Window.partitionBy("file").orderBy("doc_id", *(c for c in rows.columns if c not in ("doc_id", "file"))).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = totals.select("file", F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first"))
+    before = totals.select("file", F.coalesce(F.sum("total").over(Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(before, "file").withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "file")
 
 
