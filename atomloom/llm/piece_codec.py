@@ -26,7 +26,9 @@ from atomloom.llm.common import utf8, worker_cache
 SPACE = "▁"
 #: Characters indexed at a time, and words and units that a worker remembers; beyond that it begins again.
 INDEXED_CHARS = 300_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
+#: Texts whose new words are indexed together.
+SLICE_TEXTS = 2000
 NONE = np.iinfo(np.int32).max
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -188,7 +190,9 @@ def _held(path: str):
 def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = encode_texts(utf8(batch.column("text")), *_held(path))
+            texts, rows = utf8(batch.column("text")), []
+            for i in range(0, len(texts), SLICE_TEXTS):
+                rows += encode_texts(texts[i : i + SLICE_TEXTS], *_held(path))
             offsets = np.cumsum([0, *(len(x) // 4 for x in rows)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
             yield pa.record_batch([batch.column("doc_id"), ids], names=["doc_id", "ids"])
