@@ -1,8 +1,9 @@
 """License scans: recognise licences by their sentences.
 
-Texts are split into sentences, normalised sentences are looked up in a table of known licence
-sentences, and the identifiers found in a document, in order, are matched against rules, each an
-ordered list of sentence identifiers.
+Texts are split into lines and sentences, and normalised pieces are compared with a table of known
+licence sentences. A known sentence may be wrapped: it matches one piece or several that follow
+each other, so line ends, blank lines and comment marks within it are as blanks. The identifiers
+found in a document, in order, are matched against rules, each an ordered list of them.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ SENTENCES = {
     "bsd-redistribution": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "reserved-rights": ["All rights reserved"],
 }
 #: Rules: the licence, and the sentences that state it, in order; other sentences may stand between.
 RULES = [
@@ -42,8 +44,9 @@ RULES = [
     ("cc-by-nc-notice", "CC-BY-NC-4.0", ["cc-by-nc-notice"]),
     ("cc-by-notice", "CC-BY-4.0", ["cc-by-notice"]),
     ("bsd-2-text", "BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
+    ("reserved-notice", "LicenseRef-All-Rights-Reserved", ["reserved-rights"]),
 ]
-#: A sentence ends at a line's end, or after . ! ? or ; before white space.
+#: A piece ends at a line's end, or after . ! ? or ; before white space.
 BREAK = r"[\n\r]+|(?<=[.!?;])[ \t]+"
 
 
@@ -52,39 +55,57 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+def _pattern(sentence: str) -> str:
+    """Finds a normalised sentence in marked pieces, from a piece's mark to a piece's end; looks ahead only, so matches may overlap."""
+    return "(?=(<[0-9]+>" + sentence.replace(" ", "(?: |<[0-9]+>)") + ")(?:<|$))"
+
+
 def scan(docs: DataFrame, *, sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:
     """Licence rules that each document of ``docs`` (doc_id long, text string; others are ignored) meets.
 
     One row for each document and rule met: doc_id, rule_id, license, first_sentence and
-    last_sentence (numbers from 0 of the sentences where its first match begins and ends). A
-    match takes each sentence of the rule at the first place behind the one before. Documents
-    without a match, null and empty texts have no rows. Repeated rows of one doc_id are one
-    document whose sentences stand at the same numbers. An empty table gives an empty one.
-
-    The sentence table is a parameter of a few rows, so its join broadcasts; only sentences found
-    in it are shuffled, and a document's own hits are all that is gathered.
+    last_sentence (numbers from 0 of the pieces where its first match begins and ends). A match
+    takes each sentence of the rule where it ends first behind the one before; pieces without
+    letters or digits are numbered but stand in no sentence's way. Documents without a match, null
+    and empty texts have no rows. Repeated rows of one doc_id are one document whose pieces stand
+    at the same numbers. An empty table gives an empty one.
+
+    The sentence table is a parameter of a few rows. Whatever matches also stands in the whole
+    normalised text, so texts without any known sentence are left before they are split; only
+    hits are shuffled, and a document's own hits are all that is gathered.
     """
     spark = docs.sparkSession
     named = spark.createDataFrame([(s, name) for name, texts in sentences.items() for s in texts], "sentence string, sentence_id string")
     # Normalised by the same expression as the texts; a marks-only entry would match blank sentences.
-    known = named.select(normalise(F.col("sentence")).alias("sentence"), "sentence_id").filter("sentence <> ''").dropDuplicates(["sentence", "sentence_id"])
-    longest = max((len(s) for texts in sentences.values() for s in texts), default=0)
-    # Sentences that cannot be in the table go before they are normalised: too long even when blanks shrink, or without letters.
-    parts = docs.select("doc_id", F.posexplode(F.split("text", BREAK)).alias("at", "raw")).filter(F.length("raw").between(1, 4 * longest))
-    hits = parts.select("doc_id", "at", normalise(F.col("raw")).alias("sentence")).join(F.broadcast(known), "sentence")
-    found = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "sentence_id"))).alias("hits"))
+    known = sorted({tuple(r) for r in named.select(normalise(F.col("sentence")).alias("sentence"), "sentence_id").filter("sentence <> ''").collect()})
+    # Lambdas over arrays of one: what is costly is computed once, wherever the optimiser moves it.
+    holds = F.exists(F.array(normalise(F.col("text"))), lambda t: reduce(lambda c, k: c | t.contains(k[0]), known, F.lit(False)))
+    pieces = F.transform(F.split("text", BREAK), lambda raw, at: F.struct(at.alias("at"), normalise(raw).alias("words")))
+    marked = F.array_join(F.transform(F.filter(pieces, lambda p: p["words"] != ""), lambda p: F.concat(F.lit("<"), p["at"].cast("string"), F.lit(">"), p["words"])), "")
+
+    def places(text: Column, sentence: str, name: str) -> Column:
+        number = lambda m, pattern: F.regexp_extract(m, pattern, 1).cast("int")
+        spot = lambda m: F.struct(number(m, ".*<([0-9]+)>").alias("to"), number(m, "^<([0-9]+)>").alias("at"), F.lit(name).alias("sentence_id"))
+        return F.transform(F.regexp_extract_all(text, F.lit(_pattern(sentence)), 1), spot)
+
+    none = F.array().cast("array<struct<to:int,at:int,sentence_id:string>>")
+    hits = F.transform(F.array(marked), lambda t: F.flatten(F.array(*(places(t, s, name) for s, name in known), none)))
+    every = docs.filter(holds).select("doc_id", F.explode(F.flatten(hits)).alias("hit"))
+    # By their ends: taking what ends first never misses a later sentence.
+    found = every.groupBy("doc_id").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
 
     def match(ids: list[str]) -> Column:
         """(first, last) of the first match in ``hits``, last null where there is none."""
-        start = F.struct(F.lit(0).alias("done"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+        start = F.struct(F.lit(0).alias("done"), F.lit(-1).alias("end"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
         def step(state: Column, hit: Column) -> Column:
             wanted = reduce(lambda c, i: F.when(state["done"] == i, ids[i]).otherwise(c), range(len(ids)), F.lit(None).cast("string"))
-            takes = F.coalesce(hit["sentence_id"] == wanted, F.lit(False))
+            takes = F.coalesce((hit["sentence_id"] == wanted) & (hit["at"] > state["end"]), F.lit(False))
             return F.struct(
                 (state["done"] + takes.cast("int")).alias("done"),
+                F.when(takes, hit["to"]).otherwise(state["end"]).alias("end"),
                 F.when(takes & (state["done"] == 0), hit["at"]).otherwise(state["first"]).alias("first"),
-                F.when(takes & (state["done"] == len(ids) - 1), hit["at"]).otherwise(state["last"]).alias("last"),
+                F.when(takes & (state["done"] == len(ids) - 1), hit["to"]).otherwise(state["last"]).alias("last"),
             )
 
         return F.aggregate("hits", start, step)

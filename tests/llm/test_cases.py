@@ -42,6 +42,29 @@ def test_license_scan(spark):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_license_scan_of_wrapped_texts(spark):
+    import textwrap
+
+    table, at = license_scan.SENTENCES, {rule: ids for rule, _, ids in license_scan.RULES}
+    wrap = lambda rule, mark: "\n".join(textwrap.fill(table[i][-1] + ("." if i != "apache-notice" else ";"), 75, initial_indent=mark, subsequent_indent=mark) for i in at[rule])
+    apache = "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by law"
+    banner = "*" * 3000 + " Released under the " + " " * 3000 + "MIT License " + "*" * 3000
+    rows = [
+        (1, wrap("mit-text", " * ")), (2, wrap("gpl3-header", "")), (3, "Copyright X\r\n\r\n" + wrap("bsd-2-text", "   ")), (4, apache), (5, banner),
+        (6, "Copyright 2020 X. All rights reserved."), (7, "All\nrights reserved"), (8, "Not released under the\nMIT License"), (9, "Released under the\nMIT License in part"),
+        # A sentence is behind another only where it begins after the other's end.
+        (10, "you may not use this file except in compliance with the License\nLicensed under the Apache License,\nVersion 2.0"),
+    ]
+    got = {(r["doc_id"], r["rule_id"]): (r["first_sentence"], r["last_sentence"]) for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert set(got) == {(1, "mit-text"), (2, "gpl3-header"), (3, "bsd-2-text"), (4, "apache-header"), (4, "apache-notice"), (5, "mit-notice"), (6, "reserved-notice"), (7, "reserved-notice"), (10, "apache-notice")}
+    assert got[4, "apache-header"] == (0, 4) and got[4, "apache-notice"] == (0, 0) and got[7, "reserved-notice"] == (0, 1) and got[10, "apache-notice"] == (1, 2)
+    assert got[1, "mit-text"] == (0, rows[0][1].count("\n")) and got[3, "bsd-2-text"][0] == 1
+    same = {"twice": ["a b a"]}
+    assert [tuple(r)[3:] for r in license_scan.scan(docs(spark, [(1, "a\nb\na\nb\na")]), sentences=same, rules=[("r", "L", ["twice", "twice"])]).collect()] == []
+    assert [tuple(r)[3:] for r in license_scan.scan(docs(spark, [(1, "a\nb\na\na\nb\na")]), sentences=same, rules=[("r", "L", ["twice", "twice"])]).collect()] == [(0, 5)]
+    assert license_scan.scan(docs(spark, rows), sentences={}).count() == 0
+
+
 # 2
 
 
