@@ -38,10 +38,20 @@ CACHED_WORDS = 600_000
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _PLAIN = re.compile(f"[{_LETTERS}]+")
 _MARKS = string.punctuation
+#: Words that keep their case hold one of these: the beginning of every control token, as those match with case, or the
+#: first byte of a combining mark, as 'h' and a line below are composed to one letter where 'H' and a line below are not.
+_CASED = re.compile(rb"<\||\xcc")
+
+
+def _folded(text: bytes) -> bytes:
+    """``text`` with A-Z in lower case, for fewer distinct words, wherever case does not change the ids."""
+    if not _CASED.search(text):
+        return text.lower()
+    return b" ".join(w if _CASED.search(w) else w.lower() for w in text.split())
 
 
 def _encode(path: str, end_id: int):
-    """Encodes by distinct word: no token of these tokenizers spans white space, and they lower-case A-Z.
+    """Encodes by distinct word: no token of these tokenizers spans white space, and they lower-case A-Z (but see _CASED).
 
     A plain word with marks behind it is two units, so the vocabulary is asked for each at once;
     all other words take the library's whole way.
@@ -79,7 +89,7 @@ def _encode(path: str, end_id: int):
             held[path] = Tokenizer.from_file(path), {}, {}
         tokenizer, known, cores = held[path]
         for batch in batches:
-            texts = [text.lower() for text in utf8(batch.column("text"))]
+            texts = [_folded(text) for text in utf8(batch.column("text"))]
             # Split twice, so that no more than one text is held as words.
             new = set()
             for text in texts:

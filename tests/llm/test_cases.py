@@ -260,6 +260,19 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_case_is_kept_where_it_tells(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["Stop <|ENDOFTEXT|> STOP", "<|EndOfText|>", "a<|StartOfText|>B <|endoftext|> <|startoftext|>", "<|endoftext|>", "WORD<| STOP<|X|>, <|", "H\u0331a W\u030a T\u0308. Y\u030a J\u030cB E\u0301 I\u0307", "h\u0331a"]
+    rows = list(enumerate(texts))
+    token_files.write_token_files(docs(spark, rows), str(tmp_path / "t"), path)
+    got = {r["doc_id"]: r["ids"] for r in token_files.read_token_files(spark, str(tmp_path / "t")).collect()}
+    assert got == {d: library.encode(t, add_special_tokens=False).ids + [2] for d, t in rows}
+    assert 49407 not in got[1] and 49407 in got[3]
+
+
 def test_token_query_by_brute_force(spark):
     from tokenizers import Tokenizer
 
