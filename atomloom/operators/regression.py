@@ -1,7 +1,8 @@
 """Kernel regression: exact, low-rank and by conjugate gradients; validation without refitting.
 
-Kernels are long tables (i, j, k). Dense systems are solved on the driver, which is refused
-beyond MAX_DENSE rows; conjugate gradients have no such bound, as Spark multiplies the matrix.
+Kernels are long tables (i, j, k). Exact models are solved in Spark by block Cholesky, without a bound on rows;
+the dense systems of low-rank models, as small as the active set, are solved on the driver, which
+is refused beyond MAX_DENSE rows.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atomloom.operators.cholesky import Factor
+
 MAX_DENSE = 5000
 
 
@@ -26,18 +29,9 @@ def dense(kernel: DataFrame, ids: list[int]) -> np.ndarray:
     return out
 
 
-def _targets(targets: DataFrame) -> tuple[list[int], np.ndarray]:
-    rows = targets.select("id", "y").orderBy("id").limit(MAX_DENSE + 1).collect()
-    return [r["id"] for r in rows], np.array([r["y"] for r in rows], float)
-
-
 def krr_fit(kernel: DataFrame, targets: DataFrame, *, jitter: float, delta: float = 1.0) -> DataFrame:
-    """(id, alpha) with (delta**2 K + jitter I) alpha = y, by Cholesky; ``targets`` (id, y) name the rows."""
-    ids, y = _targets(targets)
-    k = delta**2 * dense(kernel, ids) + jitter * np.eye(len(ids))
-    lower = np.linalg.cholesky(k)
-    alpha = np.linalg.solve(lower.T, np.linalg.solve(lower, y))
-    return kernel.sparkSession.createDataFrame(list(zip(ids, map(float, alpha))), "id long, alpha double")
+    """(id, alpha) with (delta**2 K + jitter I) alpha = y, by block Cholesky; ``targets`` (id, y) name the rows."""
+    return Factor(kernel, targets, jitter=jitter, delta=delta).solve()
 
 
 def krr_predict(kernel: DataFrame, alpha: DataFrame, *, delta: float = 1.0) -> DataFrame:
@@ -47,22 +41,19 @@ def krr_predict(kernel: DataFrame, alpha: DataFrame, *, delta: float = 1.0) -> D
 
 
 def krr_fast_cv(kernel: DataFrame, targets: DataFrame, folds: DataFrame, *, jitter: float, delta: float = 1.0) -> DataFrame:
-    """(id, fold, y_pred): what each row is predicted by a model without its fold, from one inverse.
+    """(id, fold, y_pred): what each row is predicted by a model without its fold. ``folds`` (id, fold).
 
-    With C the inverse and alpha = C y, the error of a fold T is C_TT^-1 alpha_T. ``folds`` (id, fold).
+    Each fold's rows follow the matrix of all others through one block Cholesky, which predicts
+    them without a model being fitted; folds are few, their names are all the driver holds.
     """
-    ids, y = _targets(targets)
-    inverse = np.linalg.inv(delta**2 * dense(kernel, ids) + jitter * np.eye(len(ids)))
-    alpha = inverse @ y
-    at = {v: n for n, v in enumerate(ids)}
-    members: dict[int, list[int]] = {}
-    for r in folds.select("id", "fold").collect():  # as many rows as the dense system
-        members.setdefault(r["fold"], []).append(at[r["id"]])
-    out = []
-    for fold, rows in sorted(members.items()):
-        left = np.linalg.solve(inverse[np.ix_(rows, rows)], alpha[rows])
-        out += [(ids[r], fold, float(y[r] - e)) for r, e in zip(rows, left)]
-    return kernel.sparkSession.createDataFrame(out, "id long, fold long, y_pred double")
+    found = None
+    for fold in [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
+        own = folds.filter(F.col("fold") == fold).select("id")
+        rows = kernel.join(own.select(F.col("id").alias("i")), "i", "left_semi")
+        left = Factor(kernel, targets.join(own, "id", "left_anti"), jitter=jitter, delta=delta, extra=rows).predict()
+        left = left.select("id", F.lit(fold).cast("long").alias("fold"), "y_pred")
+        found = left if found is None else found.unionByName(left)
+    return found
 
 
 def sor_fit(gram: DataFrame, rhs: DataFrame, *, jitter: float = 1e-8) -> DataFrame:
@@ -77,25 +68,11 @@ def gaussian_process(kernel: DataFrame, cross: DataFrame, own: DataFrame, target
     """(id, y_pred, variance): kernel (training), cross (i test, j training), own (id, k of a test row with itself).
 
     The regularisation is noise**2 times the mean of the diagonal over the variance of y. With
-    the Cholesky factor L of the regularised kernel, the variance is k** - |L^-1 k*|**2, summed
-    in Spark row by row.
+    the Cholesky factor L of the regularised kernel, the variance is k** - |L^-1 k*|**2.
     """
-    ids, y = _targets(targets)
-    k = dense(kernel, ids)
-    lower = np.linalg.cholesky(k + noise**2 * np.trace(k) / len(ids) / max(np.var(y), 1e-300) * np.eye(len(ids)))
-    inverse = np.linalg.inv(lower)
-    alpha = inverse.T @ (inverse @ y)
-    at = {v: n for n, v in enumerate(ids)}
-
-    def run(table):
-        import pyarrow as pa
-
-        row = np.zeros(len(ids))
-        row[[at[j] for j in table.column("j").to_pylist()]] = table.column("k").to_numpy()
-        part = inverse @ row
-        return pa.table({"id": table.column("i").slice(0, 1), "y_pred": [float(row @ alpha)], "explained": [float(part @ part)]})
-
-    found = cross.groupBy("i").applyInArrow(run, "id long, y_pred double, explained double")
+    diagonal = kernel.filter("i = j").join(targets.select(F.col("id").alias("i")), "i", "left_semi").agg(F.sum("k")).first()[0]
+    n, spread = targets.agg(F.count("*"), F.var_pop("y")).first()
+    found = Factor(kernel, targets, jitter=noise**2 * diagonal / n / max(spread, 1e-300), extra=cross).predict()
     return found.join(own.select("id", F.col("k").alias("k_own")), "id").select("id", "y_pred", (F.col("k_own") - F.col("explained")).alias("variance"))
 
 

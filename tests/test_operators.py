@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from atomloom.functions.soap_math import density, legendre, power_spectrum, radial_overlap
-from atomloom.operators import alchemy, compression, descriptors, kernels, model_selection, neighbours, regression, selection, splits
+from atomloom.operators import alchemy, cholesky, compression, descriptors, kernels, model_selection, neighbours, regression, selection, splits
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,22 @@ def test_regression_against_numpy(spark, x):
         regression.dense(kernel, list(range(6000)))
 
 
+def test_exact_models_need_no_dense_matrix(spark, x, monkeypatch):
+    monkeypatch.setattr(regression, "MAX_DENSE", 5)
+    monkeypatch.setattr(cholesky, "BLOCK_ROWS", 15)
+    env, y = vectors(spark, x), np.sin(np.arange(40.0))
+    k = (x @ x.T) ** 2
+    kernel = kernels.power_kernel(env, env, 2.0)
+    targets = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "id long, y double")
+    fitted = regression.krr_fit(kernel, targets, jitter=0.1, delta=2.0).orderBy("id").collect()
+    assert np.allclose([r["alpha"] for r in fitted], np.linalg.solve(4 * k + 0.1 * np.eye(40), y))
+    folds = targets.select("id", (F.col("id") % 2).alias("fold"))
+    got = regression.krr_fast_cv(kernel, targets, folds, jitter=0.1).orderBy("id").collect()
+    for f in range(2):
+        t, v = np.arange(40) % 2 != f, np.arange(40) % 2 == f
+        assert np.allclose([r["y_pred"] for r in got if r["fold"] == f], k[np.ix_(v, t)] @ np.linalg.solve(k[np.ix_(t, t)] + 0.1 * np.eye(20), y[t]))
+
+
 def test_gaussian_process_variance(spark, x):
     train, test = x[:30], x[30:]
     a, b = vectors(spark, train), vectors(spark, test)
