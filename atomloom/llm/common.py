@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of rows that any operator broadcasts of a table that can grow; it counts first and takes another way beyond.
@@ -50,6 +50,11 @@ def broadcast_if_few(df: DataFrame, label: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def valid_text(column: str = "text") -> Column:
+    """The texts of ``column``, where bytes that are no UTF-8 count as U+FFFD."""
+    return F.make_valid_utf8(column).alias(column)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null: empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -8,18 +8,19 @@ skips files, stripes and row groups by their metadata.
 from __future__ import annotations
 
 import os
-import re
 import string
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import new_folder, utf8, worker_cache
+from atomloom.llm.common import new_folder, valid_text, worker_cache
+from atomloom.llm.words import gather, slices, split_words, stops_of
 
 END_ID = 2
 ORC_OPTIONS = {
@@ -30,81 +31,62 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 
-#: Words whose ids a Python worker remembers; when so many are held, it forgets all and begins again.
-CACHED_WORDS = 600_000
-
-
-#: Letters that normalisation leaves as they are, and that make one unit for the vocabulary; a run of marks makes another.
+#: Letters that normalisation leaves as they are, but for A-Z, and that make one unit for the vocabulary; a run of marks makes another.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
-_PLAIN = re.compile(f"[{_LETTERS}]+")
 _MARKS = string.punctuation
-#: Words that keep their case hold one of these: the beginning of every control token, as those match with case, or the
-#: first byte of a combining mark, as 'h' and a line below are composed to one letter where 'H' and a line below are not.
-_CASED = re.compile(rb"<\||\xcc")
 
 
-def _folded(text: bytes) -> bytes:
-    """``text`` with A-Z in lower case, for fewer distinct words, wherever case does not change the ids."""
-    if not _CASED.search(text):
-        return text.lower()
-    return b" ".join(w if _CASED.search(w) else w.lower() for w in text.split())
+def _tokenizer(path: str):
+    held = worker_cache()
+    if path not in held:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
+        held[path] = Tokenizer.from_file(path)
+    return held[path]
 
-def _encode(path: str, end_id: int):
-    """Encodes by distinct word: no token of these tokenizers spans white space, and they lower-case A-Z (but see _CASED).
 
-    A plain word with marks behind it is two units, so the vocabulary is asked for each at once;
-    all other words take the library's whole way.
+def word_ids(tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of each of ``words``, end to end, and where each stops.
+
+    Letters with marks behind them are two units, so the vocabulary is asked for either at once,
+    in lower case. All other words take the library's whole way as they stand: control tokens
+    match with case, and so do letters with combining marks.
     """
-    end = end_id.to_bytes(4, "little")
-
-    def encode_new(tokenizer, words: list[bytes], cores: dict[str, bytes]) -> dict[bytes, bytes]:
-        bytewise = tokenizer.pre_tokenizer[1]
-        letters = str.maketrans({c: bytewise.pre_tokenize_str(c)[0][0] for c in _LETTERS})
-        tails: dict[str, bytes] = {"": b""}
-        found, rest, tokenize = {}, [], tokenizer.model.tokenize
-        for word in words:
-            text = word.decode()
-            core = text.rstrip(_MARKS)
-            tail = text[len(core) :]
-            core = core.lower()
-            if _PLAIN.fullmatch(core):
-                if tail not in tails:
-                    tails[tail] = array("i", tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
-                ids = cores.get(core)
-                if ids is None:
-                    ids = cores[core] = array("i", [t.id for t in tokenize(core.translate(letters))]).tobytes()
-                found[word] = ids + tails[tail]
-            else:
-                rest.append(word)
-        encoded = tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-        return found | {w: array("i", x.ids).tobytes() for w, x in zip(rest, encoded)}
+    lower = pc.ascii_lower(words)
+    core, tail = pc.utf8_rtrim(lower, _MARKS), pc.utf8_ltrim(lower, _LETTERS)
+    plain = pc.match_substring_regex(core, f"^[{_LETTERS}]+$").to_numpy(zero_copy_only=False)
+    cores, tails = (x.filter(pa.array(plain)).dictionary_encode() for x in (core, tail))
+    letters = str.maketrans({c: tokenizer.pre_tokenizer[1].pre_tokenize_str(c)[0][0] for c in _LETTERS})
+    tokenize = tokenizer.model.tokenize
+    lists = [[t.id for t in tokenize(c)] for c in " ".join(cores.dictionary.to_pylist()).translate(letters).split(" ")] if len(cores) else []
+    others = tails.dictionary.to_pylist() + words.filter(pa.array(~plain)).to_pylist()
+    lists += [x.ids for x in tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+    stops = stops_of(np.fromiter(map(len, lists), np.int64, len(lists)))
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, stops[-1])
+    # Each word is two lists; one of those besides the plain words is followed by an empty one.
+    n_cores, n_tails = len(cores.dictionary), len(tails.dictionary)
+    parts = np.empty((len(words), 2), np.int64)
+    parts[plain, 0] = cores.indices.to_numpy()
+    parts[plain, 1] = tails.indices.to_numpy() + n_cores
+    parts[~plain, 0] = np.arange(len(lists) - n_cores - n_tails) + n_cores + n_tails
+    parts[~plain, 1] = len(lists)
+    flat, ends = gather(flat, np.append(stops, stops[-1]), parts.ravel())
+    return flat, ends[::2]
+
+
+def _encode(path: str, end_id: int):
+    """Encodes by distinct word: no token of these tokenizers spans white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = worker_cache()
-        if path not in held:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-            from tokenizers import Tokenizer
-
-            held[path] = Tokenizer.from_file(path), {}, {}
-        tokenizer, known, cores = held[path]
-        for batch in batches:
-            texts = [_folded(text) for text in utf8(batch.column("text"))]
-            # Split twice, so that no more than one text is held as words.
-            new = set()
-            for text in texts:
-                new.update(set(text.split()).difference(known))
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                cores.clear()
-                new = set().union(*(set(text.split()) for text in texts))
-            new = list(new)
-            for i in range(0, len(new), 10_000):
-                known |= encode_new(tokenizer, new[i : i + 10_000], cores)
-            rows = [b"".join([*map(known.__getitem__, text.split()), end]) for text in texts]
-            offsets = np.cumsum([0, *(len(x) // 4 for x in rows)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-            yield pa.record_batch([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+        tokenizer = _tokenizer(path)
+        for batch in slices(batches):
+            offsets, index, words = split_words(batch.column("text"))
+            ids, ends = gather(*word_ids(tokenizer, words), index)
+            ends = ends[offsets]
+            ids = np.insert(ids, ends[1:], end_id)
+            ends = (ends + np.arange(len(ends))).astype(np.int32)
+            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])
 
     return run
 
@@ -114,13 +96,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
 
     Rows: doc_id, n_tokens, ids (with ``end_id`` at the end), one for each row of ``docs``. Files
     follow each other in doc_id order by name, and rows within them; a null doc_id comes first,
-    repeated rows stand together, ordered by text. A null or empty text is the end id alone. An
+    repeated rows stand together, ordered by text. A null or empty text is the end id alone; bytes
+    that are no UTF-8 count as U+FFFD. An
     empty table makes an empty folder that can be read.
 
     The tokenizer must drop white space and lower-case its input, as ``word_bpe_49k.json`` does.
     Texts, not ids, are shuffled, in ranges of doc_id, so encoding happens once and in file order.
     """
-    rows = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc()).sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", valid_text("text")).repartitionByRange(F.col("doc_id").asc()).sortWithinPartitions("doc_id", "text")
     encoded = rows.mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, ids array<int>")
     encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids").write.options(**ORC_OPTIONS).orc(folder)
 
