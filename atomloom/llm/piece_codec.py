@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The new words of a batch are joined to one text, which is indexed by a suffix array. Every piece
+The distinct words of a batch are joined to one text, which is indexed by a suffix array. Every piece
 of the vocabulary is looked up by binary search and gives a range of occurrences; these edges are
 sorted by position, and then relaxed to one path through each word.
 
@@ -12,23 +12,25 @@ summed scores, as for unigram vocabularies, would give other pieces than the lib
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import utf8, worker_cache
+from atomloom.llm.common import valid_text, worker_cache
+from atomloom.llm.words import distinct, gather, slices, stops_of
 
 SPACE = "▁"
-#: Characters indexed at a time, and words and units that a worker remembers; beyond that it begins again.
+#: Characters indexed at a time.
 INDEXED_CHARS = 300_000
-CACHED_WORDS = 200_000
-#: Texts whose new words are indexed together.
-SLICE_TEXTS = 2000
+#: Longer units than this are merged one by one with a heap, as rounds over all units merge once a unit.
+LONG_UNIT = 256
 NONE = np.iinfo(np.int32).max
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -56,25 +58,41 @@ class Vocabulary:
         by_score = sorted(range(len(pieces)), key=lambda k: -model.get_score(normal[k]))
         self.rank = np.empty(len(pieces), np.int32)
         self.rank[by_score] = np.arange(len(pieces))
-        self.pairs = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
+        self.id_of_rank = np.empty(len(pieces), np.int32)
+        self.id_of_rank[self.rank] = self.id
+        # Which characters may stand side by side in a piece: a number for each that is in a longer one (0: none), and a table of pairs.
+        inner = sorted({c for p in pieces if len(p) > 1 for c in p})
+        self.kind = np.zeros(0x110000, np.uint16)
+        self.kind[list(map(ord, inner))] = np.arange(1, len(inner) + 1)
+        self.joins = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+        for p in pieces:
+            kinds = self.kind[list(map(ord, p))]
+            self.joins[kinds[:-1], kinds[1:]] = True
         self.text = {i: model.id_to_piece(i).replace(SPACE, " ").encode() for i in normal} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.text |= {i: b"" for i in ids if model.is_control(i)} | {self.unknown: " ⁇ ".encode()}
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """The positions of ``codes`` in the order of what begins there, by prefix doubling up to ``depth`` characters."""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    width = 1
+    own, rank = np.unique(codes, return_inverse=True)
+    width, n = 1, len(codes)
+    if len(own) < 2**15 - 1:  # four characters at once
+        padded = np.concatenate((rank + 1, np.zeros(4, np.int64)))
+        key = (padded[:n] << 45) | (padded[1 : n + 1] << 30) | (padded[2 : n + 2] << 15) | padded[3 : n + 3]
+        width = 4
+    else:
+        key = rank.astype(np.int64)
     while True:
-        after = np.zeros_like(rank)
-        after[:-width] = rank[width:]
-        key = rank * (len(codes) + 2) + after
-        order = np.argsort(key, kind="stable")
-        width *= 2
-        if width >= depth or width >= len(codes):
+        order = np.argsort(key)
+        if width >= depth or width >= n:
             return order
         ordered = key[order]
+        rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([1], ordered[1:] != ordered[:-1])))
+        after = np.zeros_like(rank)
+        after[:-width] = rank[width:]
+        key = rank * (n + 2) + after
+        width *= 2
 
 
 def edges(codes: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -117,85 +135,123 @@ def relax(starts: np.ndarray, ends: np.ndarray, unit: np.ndarray, cost: np.ndarr
     return starts[by_start], ends[by_start]
 
 
-def encode_units(units: list[str], vocabulary: Vocabulary) -> list[bytes]:
-    """The piece ids of each of ``units`` (none empty) as little-endian 32-bit integers."""
-    text = "\0".join(units)
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    sizes = np.array(list(map(len, units)))
-    first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+def relax_long(first: int, stop: int, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``relax``, for the one unit from ``first`` to ``stop``: a heap of merges over linked neighbours, in n log n steps."""
+    longest, n = cost.shape[1] - 1, stop - first
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins here; after is also where it ends
+    alive = [True] * n
+    table = cost[first:stop].tolist()
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and after[j] - i <= longest and table[i][after[j] - i] < NONE:
+            heapq.heappush(heap, (table[i][after[j] - i], i, j, after[j]))
+
+    heap: list[tuple[int, int, int, int]] = []
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, i, j, end = heapq.heappop(heap)
+        if not alive[i] or after[i] != j or not alive[j] or after[j] != end:
+            continue  # one of the two has been merged since
+        alive[j] = False
+        after[i] = end
+        if end < n:
+            before[end] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    starts = np.flatnonzero(alive)
+    return starts + first, np.array(after)[starts] + first
+
+
+def index_units(codes: np.ndarray, stops: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The piece ids of the units that ``stops`` cuts ``codes`` into, and how many each has. No unit is empty."""
     start, piece = edges(codes, vocabulary)
     cost = np.full((len(codes), vocabulary.longest + 1), NONE, np.int32)
-    own = np.full(cost.shape, -1, np.int32)
     cost[start, vocabulary.length[piece]] = vocabulary.rank[piece]
-    own[start, vocabulary.length[piece]] = vocabulary.id[piece]
-    unit = np.repeat(np.arange(len(units)), sizes)
-    at = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[unit]
-    starts, ends = relax(at, at + 1, unit, cost)
-    ids = own[starts, ends - starts]
-    pieces = [[i] for i in ids.tolist()]
-    for k in np.flatnonzero(ids < 0).tolist():  # a character that is no piece: its bytes
-        pieces[k] = [vocabulary.bytes.get(b, vocabulary.unknown) for b in chr(codes[starts[k]]).encode()]
-    counts = np.array(list(map(len, pieces)), np.int64)
-    flat = ids if counts.max(initial=1) == 1 and (ids >= 0).all() else np.array([i for p in pieces for i in p], np.int32)
-    stops = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(starts, np.append(first, len(codes) + 1))]
-    data = flat.astype("<i4").tobytes()
-    return [data[4 * a : 4 * b] for a, b in zip(stops.tolist(), stops[1:].tolist())]
-
-
-def split_word(word: str, pairs: set[str]) -> list[str]:
-    """``word`` cut where two characters meet that no piece holds side by side; no piece spans a cut."""
-    cuts = [k + 1 for k in range(len(word) - 1) if word[k : k + 2] not in pairs]
-    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
-
-
-def words_of(text: bytes) -> list[bytes]:
+    sizes = np.diff(stops)
+    unit = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(np.repeat(sizes <= LONG_UNIT, sizes))
+    found = [relax(at, at + 1, unit[at], cost)]
+    found += [relax_long(int(stops[k]), int(stops[k + 1]), cost) for k in np.flatnonzero(sizes > LONG_UNIT)]
+    starts, ends = (np.concatenate(x) for x in zip(*found))
+    if len(found) > 1:
+        order = np.argsort(starts)
+        starts, ends = starts[order], ends[order]
+    rank = cost[starts, ends - starts]
+    ids = np.where(rank < NONE, vocabulary.id_of_rank[np.where(rank < NONE, rank, 0)], -1).astype(np.int32)
+    unit, odd = unit[starts], np.flatnonzero(ids < 0)
+    if len(odd):  # a character that is no piece: its bytes
+        spelt = [[vocabulary.bytes.get(b, vocabulary.unknown) for b in chr(c).encode()] for c in codes[starts[odd]].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[odd] = list(map(len, spelt))
+        ids, unit = np.repeat(ids, times), np.repeat(unit, times)
+        ids[ids < 0] = [b for s in spelt for b in s]
+    return ids, np.bincount(unit, minlength=len(sizes))
+
+
+def word_pieces(words: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The piece ids of each of ``words``, with the space mark before it, end to end, and where each stops.
+
+    Words are cut to units where two characters meet that no piece holds side by side; no piece
+    spans a cut. Of the distinct units, so many are indexed together as make INDEXED_CHARS, cut at units' ends.
+    """
+    marked = [SPACE + w for w in words.to_pylist()]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+    word_stops = stops_of(np.fromiter(map(len, marked), np.int64, len(marked)))
+    del marked
+    if not len(codes):
+        return np.zeros(0, np.int32), word_stops
+    kind = vocabulary.kind[codes]
+    cut = np.concatenate(([True], ~vocabulary.joins[kind[:-1], kind[1:]], [True]))
+    cut[word_stops] = True
+    stops = np.flatnonzero(cut)
+    spans = pa.Array.from_buffers(pa.large_binary(), len(stops) - 1, [None, pa.py_buffer(4 * stops), pa.py_buffer(codes)])
+    _, index, units = distinct(pa.LargeListArray.from_arrays(pa.array([0, len(spans)], pa.int64()), spans))
+    codes = np.frombuffer(b"".join(units.to_pylist()), np.uint32)
+    sizes = pc.binary_length(units).to_numpy() // 4
+    ends = stops_of(sizes)
+    ids, counts, at = [], [], 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + INDEXED_CHARS, "right")) - 1)
+        own, count = index_units(codes[ends[at] : ends[to]], ends[at : to + 1] - ends[at], vocabulary)
+        ids.append(own)
+        counts.append(count)
+        at = to
+    flat, unit_ends = gather(np.concatenate(ids), stops_of(np.concatenate(counts)), index)
+    return flat, unit_ends[np.searchsorted(stops, word_stops)]
+
+
+def words_of(text: str) -> list[str]:
     """The words of a text, each without the space mark before it. No piece has a mark behind another character."""
-    if not text:
-        return []
-    if b"  " not in text and SPACE.encode() not in text and not text.startswith(b" ") and not text.endswith(b" "):
-        return text.split(b" ")
-    return [run[1:].encode() for run in _RUNS.findall(SPACE + text.decode().replace(" ", SPACE))]
-
-
-def encode_texts(texts: list[bytes], vocabulary: Vocabulary, words: dict[bytes, bytes], units: dict[str, bytes]) -> list[bytes]:
-    """The ids of each text; ``words`` and ``units`` remember what is known of earlier batches."""
-    # Split twice, so that no more than one text is held as words.
-    new = set()
-    for text in texts:
-        new.update(set(words_of(text)).difference(words))
-    if len(words) + len(new) > CACHED_WORDS:
-        words.clear()
-        units.clear()
-        new = set().union(*(set(words_of(text)) for text in texts))
-    cut = {w: split_word(SPACE + w.decode(), vocabulary.pairs) for w in new}
-    todo = [u for u in {u for parts in cut.values() for u in parts} if u not in units]
-    chunk, size = [], 0
-    for i, unit in enumerate(todo):
-        chunk.append(unit)
-        size += len(unit) + 1
-        if size >= INDEXED_CHARS or i == len(todo) - 1:
-            units |= zip(chunk, encode_units(chunk, vocabulary))
-            chunk, size = [], 0
-    words |= {w: b"".join([units[u] for u in parts]) for w, parts in cut.items()}
-    return [b"".join(map(words.__getitem__, words_of(text))) for text in texts]
-
-
-def _held(path: str):
+    return [run[1:] for run in _RUNS.findall(SPACE + text.replace(" ", SPACE))] if text else []
+
+
+def encode_texts(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order in which ``texts`` come out, their ids, end to end, and where each stops."""
+    # Texts whose words are parted by single spaces are split by Arrow, others one by one.
+    odd = pc.match_substring_regex(texts, f"^$|^ | $|  |{SPACE}|\\A\\z").to_numpy(zero_copy_only=False)
+    whole = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    single = pa.array([words_of(t) for t in texts.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string()))
+    offsets, index, words = distinct(pa.concat_arrays([whole, single]))
+    ids, ends = gather(*word_pieces(words, vocabulary), index)
+    return np.concatenate((np.flatnonzero(~odd), np.flatnonzero(odd))), ids, ends[offsets]
+
+
+def _held(path: str) -> Vocabulary:
     held = worker_cache()
     if path not in held:
-        held[path] = Vocabulary(path), {}, {}
+        held[path] = Vocabulary(path)
     return held[path]
 
 
 def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, rows = utf8(batch.column("text")), []
-            for i in range(0, len(texts), SLICE_TEXTS):
-                rows += encode_texts(texts[i : i + SLICE_TEXTS], *_held(path))
-            offsets = np.cumsum([0, *(len(x) // 4 for x in rows)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-            yield pa.record_batch([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+        for batch in slices(batches):
+            order, ids, ends = encode_texts(batch.column("text"), _held(path))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(order)), lists], names=["doc_id", "ids"])
 
     return run
 
@@ -207,7 +263,7 @@ def decode_ids(ids: np.ndarray, text: dict[int, bytes]) -> bytes:
 
 def _decoder(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = _held(path)[0].text
+        text = _held(path).text
         for batch in batches:
             column = batch.column("ids")
             flat, at = column.values.to_numpy(), column.offsets.to_numpy()
@@ -230,9 +286,9 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     ``model_path`` names a byte-pair model with byte fallback, identity normalisation and a space
     mark before the text; executors must be able to read it. A null or empty text has no ids.
     Repeated rows are encoded each; a null doc_id stays null. An empty table gives an empty one.
-    Nothing is shuffled. A worker remembers a bounded number of words from batch to batch.
+    Bytes that are no UTF-8 count as U+FFFD. Nothing is shuffled; a task holds a slice of a batch at a time.
     """
-    return docs.select("doc_id", "text").mapInArrow(_encoder(model_path), "doc_id long, ids array<int>")
+    return docs.select("doc_id", valid_text("text")).mapInArrow(_encoder(model_path), "doc_id long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
