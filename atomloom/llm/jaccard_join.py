@@ -1,34 +1,35 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The order of all n-grams, that of their hashes, is cut into segments, and what a document has of
-each segment is compared separately. Two sets that differ in at most d n-grams cannot differ in
-all of d + 1 segments, so documents that may link meet where a whole segment agrees. The pairs
-found are checked by counting their overlap.
+The order of all n-grams, that of their hashes, is cut into fragments. Pairs of documents that may
+link are found in fragments: two sets that differ in at most d n-grams cannot differ in all of
+d + 1 segments of the order, so they meet where a whole segment agrees. Of each pair found, the
+overlap is counted fragment by fragment, and the partial counts are summed by pair.
 
 Documents with equal sets are one class from the start; the work is on classes.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
-from functools import lru_cache
 from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import BROADCAST_ROWS, broadcast_if_few, materialise, utf8
+from atomloom.llm.common import BROADCAST_ROWS, broadcast_if_few, materialise, valid_text
 from atomloom.llm.components import connected_components
+from atomloom.llm.words import slices, split_words, stops_of
 
 WORDS = 4
 PERCENT = 85
 #: Fragments of the signatures: one for so many bytes of text, and so many at least. A task holds one of them.
 FRAGMENT_BYTES, MIN_FRAGMENTS = 32 * 2**20, 32
-#: Pairs that one task checks at a time, and words whose hashes a task remembers.
-GROUP_PAIRS = 512
-CACHED_WORDS = 300_000
+#: Fragments in which overlaps are counted, and pairs that one group of a fragment counts at a time.
+COUNT_FRAGMENTS, GROUP_PAIRS = 4, 256
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _U32 = np.uint64(32)
 
@@ -40,29 +41,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """The sets of n-grams of texts, as ascending 64-bit hashes."""
+def shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The set of n-grams of each of ``texts``, as ascending 64-bit hashes."""
+    import xxhash
 
-    def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def of(self, text: bytes) -> np.ndarray:
-        import xxhash
-
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh3_64_intdigest(word)
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        width = min(self.n, len(words))
-        grams = np.full(len(words) - width + 1, width, np.uint64)
-        for k in range(width):
-            grams += hashes[k : len(words) - width + 1 + k] * _ODD[k]
-        return np.unique(mix(grams))
+    offsets, index, words = split_words(pc.ascii_lower(texts))
+    names = words.to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))[index]
+    if "" in names:  # which is no word
+        kept = index != names.index("")
+        hashes, offsets = hashes[kept], stops_of(kept)[offsets]
+    padded = np.concatenate((hashes, np.zeros(n, np.uint64)))
+    # By width, for texts of fewer words than n.
+    grams = [np.full(len(hashes), 0, np.uint64)]
+    for k in range(n):
+        grams.append(grams[-1] + padded[k : len(hashes) + k] * _ODD[k])
+    for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
+        width = min(n, b - a)
+        yield np.unique(mix(grams[width][a : b - width + 1] + np.uint64(width))) if width else np.zeros(0, np.uint64)
 
 
 def most_apart(sizes: int | np.ndarray, percent: int):
@@ -70,50 +66,53 @@ def most_apart(sizes: int | np.ndarray, percent: int):
     return sizes * (100 - percent) // (100 + percent)
 
 
-@lru_cache(maxsize=100_000)
-def size_class(size: int, percent: int) -> int:
-    """Sizes fall into classes such that linked sets are in the same class or in neighbouring ones."""
-    low, k = 1, 0
-    while size > 100 * low // percent:
-        low, k = 100 * low // percent + 1, k + 1
-    return k
-
-
-@lru_cache(maxsize=10_000)
-def segments(instance: int, percent: int) -> tuple[int, int]:
-    """For sets of the classes ``instance`` - 1 and ``instance``: the number of segments, and how many may be empty without notice.
-
-    No linked sets differ in more than d segments. With d + 1 + s of them, s + 1 agree, so a set
-    with at most s empty ones shares a segment that is not empty. 0 segments: only equal sets link.
-    """
-    low, before = 1, 1
-    for _ in range(instance):
-        before, low = low, 100 * low // percent + 1
-    d = most_apart(2 * (100 * low // percent), percent)
-    if d == 0:
-        return 0, 0
-    spare = 2 + ceil(2 * d * exp(-before / (d + 1)))
-    return d + 1 + spare, spare
-
-
-def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the segments of one set, for the instances of its class and the next."""
-    mixed, own = mix(grams), []
-    top = grams >> _U32
-    first = size_class(len(grams), percent)
-    for instance in (first, first + 1):
-        count, spare = segments(instance, percent)
-        if not count:
-            continue
-        segment = (top * np.uint64(count)) >> _U32
-        starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-        held = segment[starts]
-        label = _ODD[6:7] * np.uint64(instance + 1)
-        own.append(mix(np.add.reduceat(mixed, starts) + (held + np.uint64(1)) * _ODD[5] + label))
-        if count - len(held) > spare:
-            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), held)
-            own.append(mix((empty + np.uint64(1)) * _ODD[5] + label))
-    return np.concatenate(own) if own else np.zeros(0, np.uint64)
+class Segmenter:
+    """Cuts sets to segments, of which two linked sets have one in common."""
+
+    def __init__(self, percent: int):
+        self.percent, self.lows, self.counts = percent, [1], {}
+
+    def low(self, k: int) -> int:
+        """The least size of class ``k``; linked sets are in the same class or in neighbouring ones."""
+        while len(self.lows) <= k:
+            self.lows.append(100 * self.lows[-1] // self.percent + 1)
+        return self.lows[k]
+
+    def size_class(self, size: int) -> int:
+        while self.lows[-1] <= size:
+            self.low(len(self.lows))
+        return bisect.bisect_right(self.lows, size) - 1
+
+    def segments(self, instance: int) -> tuple[int, int]:
+        """For sets of the classes ``instance`` - 1 and ``instance``: the number of segments, and how many may be empty without notice.
+
+        No linked sets differ in more than d segments. With d + 1 + s of them, s + 1 agree, so a set
+        with at most s empty ones shares a segment that is not empty. 0 segments: only equal sets link.
+        """
+        if instance not in self.counts:
+            d = most_apart(2 * (self.low(instance + 1) - 1), self.percent)
+            spare = 2 + ceil(2 * d * exp(-self.low(max(0, instance - 1)) / (d + 1)))
+            self.counts[instance] = (d + 1 + spare, spare) if d else (0, 0)
+        return self.counts[instance]
+
+    def signatures(self, grams: np.ndarray) -> np.ndarray:
+        """Hashes of the segments of one set, for the instances of its class and the next."""
+        mixed, own = mix(grams), []
+        top = grams >> _U32
+        first = self.size_class(len(grams))
+        for instance in (first, first + 1):
+            count, spare = self.segments(instance)
+            if not count:
+                continue
+            segment = (top * np.uint64(count)) >> _U32
+            starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+            held = segment[starts]
+            label = _ODD[6:7] * np.uint64(instance + 1)
+            own.append(mix(np.add.reduceat(mixed, starts) + (held + np.uint64(1)) * _ODD[5] + label))
+            if count - len(held) > spare:
+                empty = np.setdiff1d(np.arange(count, dtype=np.uint64), held)
+                own.append(mix((empty + np.uint64(1)) * _ODD[5] + label))
+        return np.concatenate(own) if own else np.zeros(0, np.uint64)
 
 
 _PART = pa.struct([("fragment", pa.int32()), ("sigs", pa.list_(pa.int32()))])
@@ -126,12 +125,11 @@ def _sketcher(n: int, percent: int, fragments: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sent = Shingler(n), set()
-        for batch in batches:
+        segmenter, sent = Segmenter(percent), set()
+        for batch in slices(batches):
             keys, sizes, parity, counts = [], [], [], []
             fragment, sigs, widths = [], [], []
-            for text in utf8(batch.column("text")):
-                grams = shingler.of(text)
+            for grams in shingles(batch.column("text"), n):
                 key = int(mix(np.add.reduce(mix(grams ^ _ODD[7]), keepdims=True))[0].astype(np.int64)) if len(grams) else None
                 keys.append(key)
                 sizes.append(len(grams))
@@ -142,7 +140,7 @@ def _sketcher(n: int, percent: int, fragments: int):
                 sent.add((key, len(grams)))
                 bits = np.bincount((grams & np.uint64(255)).astype(np.int64), minlength=256) & 1
                 parity.append(np.packbits(bits.astype(np.uint8)).tobytes())
-                sig = signatures(grams, percent)
+                sig = segmenter.signatures(grams)
                 where = ((sig >> _U32) % np.uint64(fragments)).astype(np.int32)
                 order = np.argsort(where, kind="stable")
                 where = where[order]
@@ -185,28 +183,43 @@ def candidates(key: np.ndarray, member: np.ndarray, size: np.ndarray, parity: np
     that join what is not joined yet are returned, enough to connect all; with it, all pairs of
     unlike component.
     """
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, member = key[order], member[order]
     del order
     same = key[1:] == key[:-1]
     kept = np.concatenate((same, [False])) | np.concatenate(([False], same))
     key, member = key[kept], member[kept].astype(np.int64)  # few keys are shared
-    at, lag, found, held = np.arange(len(key)), 1, [], 0
+    order = np.lexsort((size[member], key))
+    key, member = key[order], member[order]
     label = np.arange(len(size)) if component is None else component
+
+    def mixed(key: np.ndarray, member: np.ndarray) -> np.ndarray:
+        """Whether the members of each position's key are of several labels."""
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        own = label[member]
+        return np.repeat(np.minimum.reduceat(own, starts) < np.maximum.reduceat(own, starts), np.diff(np.append(starts, len(key))))
+
+    lag, found, held = 1, [], 0
+    kept = mixed(key, member) if len(key) else np.zeros(0, bool)
+    key, member = key[kept], member[kept]
+    at = np.arange(len(key))
     while True:
         at = at[at + lag < len(key)]
         at = at[key[at] == key[at + lag]]
+        a, b = member[at], member[at + lag]
+        # Sizes ascend within a key, so who is too small for this partner is so for all further ones.
+        near = 100 * size[a] >= percent * size[b]
+        at, a, b = at[near], a[near], b[near]
         if not len(at):
             break
-        a, b = member[at], member[at + lag]
-        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        fits = (label[a] != label[b]) & (100 * small >= percent * large)
+        fits = label[a] != label[b]
         a, b = a[fits], b[fits]
         apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
         fits = apart <= most_apart(size[a] + size[b], percent)
         pairs = np.unique(np.minimum(a, b)[fits] * len(size) + np.maximum(a, b)[fits])
-        if component is None:
+        if component is None and len(pairs):
             settle(label, pairs // len(size), pairs % len(size))
+            at = at[mixed(key, member)[at]]  # a group that has grown together is done
         found.append(pairs)
         held += len(pairs)
         if held > 4_000_000:
@@ -248,64 +261,75 @@ def _pairer(percent: int, across: bool):
 
 
 def _grams(n: int):
+    """node, text -> node, fragment, grams: a row for each fragment of the order in which a set has any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
-        for batch in batches:
-            sets = [shingler.of(text).view(np.int64) for text in utf8(batch.column("text"))]
-            offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.record_batch([batch.column("node"), grams], names=["node", "grams"])
+        for batch in slices(batches):
+            nodes, fragments, sets = [], [], []
+            for node, grams in zip(batch.column("node").to_pylist(), shingles(batch.column("text"), n)):
+                cuts = [0, *np.searchsorted(grams, _CUTS).tolist(), len(grams)]
+                for fragment, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    if b > a:
+                        nodes.append(node)
+                        fragments.append(fragment)
+                        sets.append(grams[a:b].view(np.int64))
+            offsets = pa.array(stops_of(np.array(list(map(len, sets)), np.int64)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(fragments, pa.int32()), lists], names=["node", "fragment", "grams"])
 
     return run
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
+_CUTS = np.array([(k << 64) // COUNT_FRAGMENTS for k in range(1, COUNT_FRAGMENTS)], np.uint64)
+_PARTIAL = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64())])
 
-def _checker(percent: int):
-    def run(members: pa.Table, pairs: pa.Table) -> pa.Table:
-        sets = {node: np.asarray(grams.values) for node, grams in zip(members.column("node").to_pylist(), members.column("grams"))}
-        linked = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-            x, y = sets[a], sets[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pairs.select(["a", "b"]).filter(pa.array(linked, pa.bool_())).cast(_LINKS)
 
-    return run
+def _partial_overlaps(members: pa.Table, pairs: pa.Table) -> pa.Table:
+    """The overlap of each pair in one fragment, where it is not 0."""
+    sets = {node: np.asarray(grams.values) for node, grams in zip(members.column("node").to_pylist(), members.column("grams"))}
+    found = []
+    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+        if a in sets and b in sets and (both := len(np.intersect1d(sets[a], sets[b], assume_unique=True))):
+            found.append((a, b, both))
+    return pa.Table.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], schema=_PARTIAL)
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, grams): the n-gram sets of the documents that ``nodes`` (node) names, written out for all rounds to read.
+    """(node, fragment, grams): the n-gram sets of the documents that ``nodes`` (node) names, written out for all rounds to read.
 
     The nodes are broadcast if they are few, so that texts are shuffled, once, only beyond that.
     """
     wanted = broadcast_if_few(nodes.select(F.col("node").alias("doc_id")).distinct(), "paired")
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
-    return materialise(texts.mapInArrow(_grams(n), "node long, grams array<long>"), "sets")
+    texts = docs.select("doc_id", valid_text("text")).join(wanted, "doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
+    return materialise(texts.mapInArrow(_grams(n), "node long, fragment int, grams array<long>"), "sets")
 
 
 def check_pairs(pairs: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a long, b long) whose ``sets`` (node, grams) link.
+    """Those of ``pairs`` (a, a_size, b, b_size, all long) whose ``sets`` (node, fragment, grams) link, as (a, b).
 
-    Pairs are checked where they share most: at the smallest neighbour of either end. A group of
+    Each fragment counts its part of every pair's overlap by itself; parts are summed by pair.
+    Pairs are counted where they share most: at the smallest neighbour of either end. A group of
     more than GROUP_PAIRS pairs is cut into the cells of a grid, by a hash of either end: a dense
     group's cells hold about GROUP_PAIRS pairs and few sets each, and those of a single document's
     pairs grow with their root only.
     """
-    pairs = pairs.select("a", "b")
-    both = pairs.union(pairs.select("b", "a"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     owned = pairs.join(least.withColumnRenamed("m", "m_a"), "a").join(least.select(F.col("a").alias("b"), F.col("m").alias("m_b")), "b")
-    owned = owned.select("a", "b", F.least("m_a", "m_b").alias("owner"))
+    owned = owned.select("a", "a_size", "b", "b_size", F.least("m_a", "m_b").alias("owner"))
     sizes = owned.groupBy("owner").agg(F.ceil(F.sqrt(F.count("*") / GROUP_PAIRS)).alias("side"))
     split = F.pmod(F.xxhash64("a"), "side") * F.col("side") + F.pmod(F.xxhash64("b"), "side")
-    grouped = owned.join(sizes, "owner").withColumn("split", split).drop("side")
-    grouped = materialise(grouped, "pair-groups")
+    grouped = materialise(owned.join(sizes, "owner").withColumn("split", split).drop("side"), "pair-groups")
     members = grouped.select("owner", "split", F.explode(F.array("a", "b")).alias("node")).distinct()
     held = members.join(sets, "node")
-    asked = grouped.select(*(F.col(c).alias(c) for c in ("owner", "split", "a", "b")))
-    return held.groupBy("owner", "split").cogroup(asked.groupBy("owner", "split")).applyInArrow(_checker(percent), "a long, b long")
+    every = F.explode(F.sequence(F.lit(0), F.lit(COUNT_FRAGMENTS - 1))).alias("fragment")
+    asked = grouped.select(*(F.col(c).alias(c) for c in ("owner", "split", "a", "b")), every)
+    cell = ["owner", "split", "fragment"]
+    partial = held.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(_partial_overlaps, "a long, b long, both long")
+    overlap = partial.groupBy("a", "b").agg(F.sum("both").alias("both"))
+    given = grouped.select(F.col("a").alias("x"), "a_size", F.col("b").alias("y"), "b_size").distinct()
+    counted = overlap.join(given, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")))
+    return counted.filter(100 * F.col("both") >= percent * (F.col("a_size") + F.col("b_size") - F.col("both"))).select("a", "b")
 
 
 def link_documents(docs: DataFrame, *, n: int = WORDS, percent: int = PERCENT, fragments: int | None = None) -> DataFrame:
@@ -318,8 +342,8 @@ def link_documents(docs: DataFrame, *, n: int = WORDS, percent: int = PERCENT, f
 
     A text without words, or null, has an empty set, links with nothing, and is its own component.
     Repeated rows are linked each, alike; a doc_id whose rows differ is judged by its smallest
-    text where pairs are checked. A null doc_id gets the component of its copies, or null. An
-    empty table gives an empty one. ``fragments`` is by default in proportion to the texts.
+    text where pairs are checked. A null doc_id gets the component of its copies, or null.
+    Bytes that are no UTF-8 count as U+FFFD. An empty table gives an empty one. ``fragments`` is by default in proportion to the texts.
 
     Hot groups: copies are one class before anything is paired, so a group of any size makes one
     row a task. Near copies meet in segments and are filtered by size and parity; of those left,
@@ -329,7 +353,7 @@ def link_documents(docs: DataFrame, *, n: int = WORDS, percent: int = PERCENT, f
     if fragments is None:
         size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
         fragments = max(MIN_FRAGMENTS, -(-size // FRAGMENT_BYTES))
-    sketched = docs.select("doc_id", "text").mapInArrow(
+    sketched = docs.select("doc_id", valid_text("text")).mapInArrow(
         _sketcher(n, percent, fragments), "doc_id long, set_key long, n_shingles long, parity binary, parts array<struct<fragment:int,sigs:array<int>>>"
     )
     sketched = materialise(sketched, "sketches")
@@ -337,7 +361,7 @@ def link_documents(docs: DataFrame, *, n: int = WORDS, percent: int = PERCENT, f
     def paired(rows: DataFrame, tasks: int, across: bool) -> DataFrame:
         parts = rows.select("set_key", "n_shingles", "parity", "component", F.explode("parts").alias("p"))
         parts = parts.select("p.fragment", "set_key", "n_shingles", "parity", "p.sigs", "component").withColumn("task", F.pmod("fragment", F.lit(tasks)))
-        dealt = parts.repartition(tasks, "task").drop("task")
+        dealt = parts.repartitionById(tasks, F.col("task").cast("int")).drop("task")
         found = dealt.mapInArrow(_pairer(percent, across), "a_key long, a_size long, b_key long, b_size long")
         return materialise(found.distinct(), "pairs")
 
@@ -356,7 +380,7 @@ def link_documents(docs: DataFrame, *, n: int = WORDS, percent: int = PERCENT, f
         def end(side: str) -> DataFrame:
             return classes.select(F.col("set_key").alias(f"{side}_key"), F.col("n_shingles").alias(f"{side}_size"), F.col("node").alias(side))
 
-        by_node = pairs.join(end("a"), ["a_key", "a_size"]).join(end("b"), ["b_key", "b_size"]).select("a", "b")
+        by_node = pairs.join(end("a"), ["a_key", "a_size"]).join(end("b"), ["b_key", "b_size"]).select("a", "a_size", "b", "b_size")
         return check_pairs(by_node, sets, percent=percent)
 
     def table_of(reached: DataFrame, label: str) -> tuple[DataFrame, int]:

@@ -11,10 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import materialise, utf8
+from atomloom.llm.common import materialise, valid_text
+from atomloom.llm.words import slices, split_words
 
 #: Bound on the labelled rows that a model is fitted on, by the order of a hash of doc_id.
 SAMPLE_ROWS = 20_000
@@ -29,15 +31,14 @@ RIDGE = 1e-4
 STEPS = 400
 #: Lengths in code points of the beginnings of words that are features.
 PREFIXES = (3, 4, 5, 6, 7)
-CACHED_WORDS = 200_000
-_TRIM = b".,;:!?|\"'()[]{}<>*#$%&-_"
+_TRIM = ".,;:!?|\"'()[]{}<>*#$%&-_"
 
 
 @dataclass(frozen=True)
 class OrdinalModel:
     """``weights`` by term, and the ascending cuts between grades; without cuts nothing is toxic."""
 
-    weights: dict[bytes, float]
+    weights: dict[str, float]
     cuts: tuple[float, ...]
 
     def at_least(self, score: np.ndarray) -> np.ndarray:
@@ -45,33 +46,37 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(np.array(self.cuts)[None, :] - score[:, None], -500, 500)))
 
 
-def features(word: bytes) -> list[bytes]:
-    """A word, A-Z in lower case and without marks at its ends, and its beginnings, each with a ``*`` behind.
+def features(words: pa.Array) -> Iterator[pa.DictionaryArray]:
+    """The features of each of ``words``, kind by kind: the word itself, and each of its beginnings with a ``*`` behind.
 
+    Words count with A-Z in lower case and without marks at their ends; null where there is none.
     Languages that inflect or compound vary a word's end, so beginnings find what whole words miss.
     """
-    word = word.strip(_TRIM)
-    if not word:
-        return []
-    text = word.decode()
-    return [word, *(text[:n].encode() + b"*" for n in PREFIXES if n <= len(text))]
+    words = pc.utf8_trim(pc.ascii_lower(words), _TRIM)
+    length = pc.utf8_length(words)
+    yield pc.if_else(pc.greater(length, 0), words, pa.scalar(None, pa.string())).dictionary_encode()
+    for n in PREFIXES:
+        begun = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, n), "*", "")
+        yield pc.if_else(pc.greater_equal(length, n), begun, pa.scalar(None, pa.string())).dictionary_encode()
 
 
-class TermFinder:
-    """Finds the features of texts among those wanted (None: all), remembering a bounded number of words."""
+def held_once(texts: pa.Array, wanted: pa.Array | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Which features each of ``texts`` holds, kind by kind: (text, feature), once each, and the names of features.
 
-    def __init__(self, wanted: dict[bytes, object] | None = None):
-        self.wanted, self.known = wanted, {}
-
-    def of(self, text: bytes) -> set[bytes]:
-        words = set(text.lower().split())
-        for word in [w for w in words if w not in self.known]:
-            found = features(word)
-            self.known[word] = found if self.wanted is None else [f for f in found if f in self.wanted]
-        held = {f for word in words for f in self.known[word]}
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        return held
+    With ``wanted``, only those, numbered by their place in it.
+    """
+    offsets, index, words = split_words(texts)
+    text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    for kind in features(words):
+        names = kind.dictionary
+        number = pc.fill_null(kind.indices, -1).to_numpy().astype(np.int64)
+        if wanted is not None:
+            place = np.append(pc.fill_null(pc.index_in(names, value_set=wanted), -1).to_numpy().astype(np.int64), -1)
+            names, number = wanted, place[number]
+        own = number[index]
+        hit = own >= 0
+        pairs = np.unique(text[hit] * max(1, len(names)) + own[hit])
+        yield pairs // max(1, len(names)), pairs % max(1, len(names)), names
 
 
 def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_terms: int, n_grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
@@ -104,19 +109,22 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_terms: int, n_grade
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    finder = TermFinder()
-    for batch in batches:
-        found = [finder.of(text) for text in utf8(batch.column("text"))]
-        toxic = np.repeat(batch.column("toxic").to_numpy(), list(map(len, found)))
-        yield pa.record_batch([pa.array([t for f in found for t in f], pa.binary()), pa.array(toxic, pa.int32())], names=["term", "toxic"])
+    """The documents that hold each term, n, and the toxic ones of them, t, and as many of half 1: one row for each slice."""
+    for batch in slices(batches):
+        toxic, half = (batch.column(c).to_numpy().astype(np.int64) for c in ("toxic", "half"))
+        for text, term, names in held_once(batch.column("text")):
+            counts = (np.bincount(term, w, minlength=len(names)).astype(np.int64) for w in (None, toxic[text], half[text], (toxic * half)[text]))
+            yield pa.record_batch([names, *map(pa.array, counts)], names=["term", "n", "t", "n1", "t1"])
 
 
-def _indexer(index: dict[bytes, int]):
+def _indexer(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = TermFinder(index)
-        for batch in batches:
-            held = [[index[t] for t in finder.of(text)] for text in utf8(batch.column("text"))]
-            yield pa.record_batch([batch.column("toxic"), pa.array(held, pa.list_(pa.int32()))], names=["toxic", "held"])
+        wanted = pa.array(terms, pa.string())
+        for batch in slices(batches):
+            held = np.sort(np.concatenate([text * max(1, len(terms)) + term for text, term, _ in held_once(batch.column("text"), wanted)]))
+            ends = np.searchsorted(held, np.arange(batch.num_rows + 1) * max(1, len(terms)))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((held % max(1, len(terms))).astype(np.int32)))
+            yield pa.record_batch([batch.column("toxic"), batch.column("half"), lists], names=["toxic", "half", "held"])
 
     return run
 
@@ -124,48 +132,58 @@ def _indexer(index: dict[bytes, int]):
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS) -> OrdinalModel:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1; other values and nulls are left out).
 
-    Labels say toxic or not; grades of toxic documents come from how many marker terms they hold,
-    terms at least MARKER_RATIO times as frequent among toxic documents. At most ``sample_rows``
-    labelled rows are read, chosen by a hash of doc_id, and at most ``max_terms`` terms kept, those
-    whose frequency differs most between the classes. Repeated texts count once, repeated labels
-    of a doc_id as the largest. Where either class is missing, the model has no terms or cuts.
+    Labels say toxic or not, so severity is a proxy: a toxic document's grade is by how many marker
+    terms it holds, terms at least MARKER_RATIO times as frequent among toxic documents. Markers
+    are taken from the half of the sample that the document is not in, so that no document's
+    grade comes from its own label. At most ``sample_rows`` labelled rows are read, chosen by a
+    hash of doc_id, and at most ``max_terms`` terms kept, those whose frequency differs most
+    between the classes. Repeated texts count once, repeated labels of a doc_id as the largest.
+    Where either class is missing, the model has no terms or cuts.
     """
     chosen = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["text", "toxic"])
-    sample = materialise(sample.select("text", "toxic"), "toxic-sample")
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n_not, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
+    sample = docs.select("doc_id", valid_text("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["text", "toxic"])
+    sample = materialise(sample.select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")), "toxic-sample")
+    sizes = {(r["toxic"], r["half"]): r["count"] for r in sample.groupBy("toxic", "half").count().collect()}
+    of = lambda toxic, half: sizes.get((toxic, half), 0)
+    n_not, n_toxic = (of(x, 0) + of(x, 1) for x in (0, 1))
     if not n_not or not n_toxic:
         return OrdinalModel({}, ())
-    counts = sample.mapInArrow(_term_rows, "term binary, toxic int").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
-    p, q = (F.col("t") + 0.5) / (n_toxic + 1.0), (F.col("n") - F.col("t") + 0.5) / (n_not + 1.0)
-    pooled = (F.col("n") + 1.0) / (n_not + n_toxic + 2.0)
+    counts = sample.mapInArrow(_term_rows, "term string, n long, t long, n1 long, t1 long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n", "t", "n1", "t1")))
+
+    def ratio(n: Column, t: Column, others: int, toxic: int) -> tuple[Column, Column]:
+        return (t + 0.5) / (toxic + 1.0), (n - t + 0.5) / (others + 1.0)
+
+    n, t, n1, t1 = map(F.col, ("n", "t", "n1", "t1"))
+    p, q = ratio(n, t, n_not, n_toxic)
+    (p0, q0), (p1, q1) = ratio(n - n1, t - t1, of(0, 0), of(1, 0)), ratio(n1, t1, of(0, 1), of(1, 1))
+    pooled = (n + 1.0) / (n_not + n_toxic + 2.0)
     z = (p - q) / F.sqrt(pooled * (1 - F.least(pooled, F.lit(0.999))) * (1.0 / n_toxic + 1.0 / n_not))
-    best = counts.filter(F.col("n") >= MIN_TERM_DOCUMENTS).select("term", z.alias("z"), (p / q).alias("ratio")).filter(F.abs("z") >= MIN_Z)
+    best = counts.filter(n >= MIN_TERM_DOCUMENTS).select("term", z.alias("z"), F.array(p0 / q0, p1 / q1).alias("ratios")).filter(F.abs("z") >= MIN_Z)
     kept = best.orderBy(F.desc(F.abs("z")), "term").limit(max_terms).collect()
-    index = {bytes(r["term"]): i for i, r in enumerate(kept)}
-    markers = np.array([r["z"] > 0 and r["ratio"] >= MARKER_RATIO for r in kept], bool)
-    rows = sample.mapInArrow(_indexer(index), "toxic int, held array<int>").collect()  # no more than sample_rows
+    terms = [r["term"] for r in kept]
+    markers = np.array([[r["z"] > 0 and x >= MARKER_RATIO for x in r["ratios"]] for r in kept], bool).reshape(-1, 2)
+    rows = sample.mapInArrow(_indexer(terms), "toxic int, half int, held array<int>").collect()  # no more than sample_rows
     held = [sorted(r["held"]) for r in rows]
-    hits = np.array([markers[h].sum() for h in held])
+    hits = np.array([markers[h, 1 - r["half"]].sum() for h, r in zip(held, rows)])
     grades = np.array([r["toxic"] for r in rows]) * (1 + sum(hits >= step for step in GRADE_STEPS))
-    weights, cuts = fit_ordinal(held, grades, len(index))
-    return OrdinalModel({t: float(weights[i]) for t, i in index.items()}, tuple(map(float, cuts)))
+    weights, cuts = fit_ordinal(held, grades, len(terms))
+    return OrdinalModel(dict(zip(terms, map(float, weights))), tuple(map(float, cuts)))
 
 
 def _scorer(model: OrdinalModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, finder = model.weights, TermFinder(model.weights)
-        for batch in batches:
+        wanted, weights = pa.array(list(model.weights), pa.string()), np.array(list(model.weights.values()), float)
+        for batch in slices(batches):
+            score = np.zeros(batch.num_rows)
             if model.cuts:
-                score = np.array([sum(sorted(weights[t] for t in finder.of(text))) for text in utf8(batch.column("text"))], float)
+                for text, term, _ in held_once(batch.column("text"), wanted):
+                    score += np.bincount(text, weights[term], minlength=batch.num_rows)
                 p = model.at_least(score)
             else:
                 p = np.zeros((batch.num_rows, 1))
-            names = [n for n in batch.schema.names if n != "text"]
             own = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1), pa.int64())]
-            yield pa.record_batch([*(batch.column(n) for n in names), *own], names=[*names, "expected_severity", "p_toxic", "grade"])
+            yield pa.record_batch([batch.column("doc_id"), *own], names=["doc_id", "expected_severity", "p_toxic", "grade"])
 
     return run
 
@@ -175,10 +193,10 @@ def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
     Returns doc_id, expected_severity (0 to the highest grade), p_toxic (of grade 1 or more) and
     grade (the highest that is at least as likely as not). Null and empty texts hold no terms.
-    Repeated rows are graded each, alike. An empty table gives an empty one. Nothing is shuffled;
+    Bytes that are no UTF-8 count as U+FFFD. Repeated rows are graded each, alike. An empty table gives an empty one. Nothing is shuffled;
     the model, at most MAX_TERMS terms, travels with the task.
     """
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id long, expected_severity double, p_toxic double, grade long")
+    return docs.select("doc_id", valid_text("text")).mapInArrow(_scorer(model), "doc_id long, expected_severity double, p_toxic double, grade long")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
