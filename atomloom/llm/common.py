@@ -33,6 +33,39 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/atomloom-{label}-{uuid.uuid4().hex}"
 
 
+#: The scratch scopes that are open, the innermost last.
+_SCOPES: list[Scratch] = []
+
+
+class Scratch:
+    """A scope whose tables, as ``materialise`` writes them, are removed at its end, but for those to keep.
+
+    What is kept goes over to the scope around it, if there is one. Only what no result still to
+    be computed reads may be left to go.
+    """
+
+    def __init__(self):
+        self.tables: list[tuple[SparkSession, str]] = []
+        self.kept: set[str] = set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept |= {t._written_to for t in tables}
+
+    def __enter__(self) -> Scratch:
+        _SCOPES.append(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _SCOPES.remove(self)
+        for spark, where in self.tables:
+            if where in self.kept:
+                if _SCOPES:
+                    _SCOPES[-1].tables.append((spark, where))
+                continue
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -40,14 +73,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     Python work again for each use.
     """
     where = new_folder(df.sparkSession, label)
+    if _SCOPES:
+        _SCOPES[-1].tables.append((df.sparkSession, where))
     df.write.option("compression", "zstd").parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    table = df.sparkSession.read.schema(df.schema).parquet(where)
+    table._written_to = where
+    return table
 
 
 def broadcast_if_few(df: DataFrame, label: str) -> DataFrame:
     """``df`` written out, and marked for broadcast if it has at most BROADCAST_ROWS rows; beyond that Spark joins it by a shuffle."""
-    df = materialise(df, label)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    table = materialise(df, label)
+    if table.count() > BROADCAST_ROWS:
+        return table
+    small = F.broadcast(table)
+    small._written_to = table._written_to
+    return small
 
 
 def valid_text(column: str = "text") -> Column:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import BROADCAST_ROWS, broadcast_if_few, materialise, valid_text
+from atomloom.llm.common import Scratch, broadcast_if_few, materialise, valid_text
 from atomloom.llm.components import connected_components
 from atomloom.llm.words import slices, split_words, stops_of
 
@@ -189,7 +189,7 @@ def candidates(key: np.ndarray, member: np.ndarray, size: np.ndarray, parity: np
     same = key[1:] == key[:-1]
     kept = np.concatenate((same, [False])) | np.concatenate(([False], same))
     key, member = key[kept], member[kept].astype(np.int64)  # few keys are shared
-    order = np.lexsort((size[member], key))
+    order = np.lexsort((member, size[member], key))  # one order in all fragments, so that they find the same pairs
     key, member = key[order], member[order]
     label = np.arange(len(size)) if component is None else component
 
@@ -365,38 +365,38 @@ def link_documents(docs: DataFrame, *, n: int = WORDS, percent: int = PERCENT, f
         found = dealt.mapInArrow(_pairer(percent, across), "a_key long, a_size long, b_key long, b_size long")
         return materialise(found.distinct(), "pairs")
 
-    # First enough pairs to connect all that may belong together, so that a group of near copies has no more of them than members.
-    pairs = paired(sketched.withColumn("component", F.lit(None).cast("long")), fragments, False)
-
-    # A class is known by its smallest doc_id. Only classes of several documents, or in a pair, need a row.
-    classes = sketched.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a_key").alias("k"), F.col("a_size").alias("s")), F.struct(F.col("b_key").alias("k"), F.col("b_size").alias("s")))).alias("e")).select("e.k", "e.s", F.lit(True).alias("paired")).distinct()
-    classes = classes.join(ends, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") == F.col("s")), "left")
-    classes = materialise(classes.filter("copies > 1 OR paired").select("set_key", "n_shingles", "node", F.coalesce("paired", F.lit(False)).alias("paired")), "classes")
-
-    sets = sets_of(docs, classes.filter("paired"), n)
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        def end(side: str) -> DataFrame:
-            return classes.select(F.col("set_key").alias(f"{side}_key"), F.col("n_shingles").alias(f"{side}_size"), F.col("node").alias(side))
-
-        by_node = pairs.join(end("a"), ["a_key", "a_size"]).join(end("b"), ["b_key", "b_size"]).select("a", "a_size", "b", "b_size")
-        return check_pairs(by_node, sets, percent=percent)
-
-    def table_of(reached: DataFrame, label: str) -> tuple[DataFrame, int]:
-        """The component of each class, and whether that is few enough rows to broadcast."""
-        table = materialise(classes.join(reached, "node", "left").select("set_key", "n_shingles", "paired", F.coalesce("component", "node").alias("component")), label)
-        rows = table.count()
-        return (F.broadcast(table) if rows <= BROADCAST_ROWS else table), rows
-
-    reached = connected_components(links_of(pairs))
-    # Then all pairs that are left between unlike components. Any class that has one was in a pair before.
-    table, rows = table_of(reached, "components")
-    unsettled = sketched.filter(F.size("parts") > 0).join(table.filter("paired"), ["set_key", "n_shingles"])
-    pairs = paired(unsettled, max(8, min(fragments, rows // 20_000)), True)
-    more = links_of(pairs)
-    reached = connected_components(more.union(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    table, _ = table_of(reached, "components")
+    with Scratch() as scratch:
+        # First enough pairs to connect all that may belong together, so that a group of near copies has no more of them than members.
+        pairs = paired(sketched.withColumn("component", F.lit(None).cast("long")), fragments, False)
+
+        # A class is known by its smallest doc_id. Only classes of several documents, or in a pair, need a row.
+        classes = sketched.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("a_key").alias("k"), F.col("a_size").alias("s")), F.struct(F.col("b_key").alias("k"), F.col("b_size").alias("s")))).alias("e")).select("e.k", "e.s", F.lit(True).alias("paired")).distinct()
+        classes = classes.join(ends, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") == F.col("s")), "left")
+        classes = materialise(classes.filter("copies > 1 OR paired").select("set_key", "n_shingles", "node", F.coalesce("paired", F.lit(False)).alias("paired")), "classes")
+
+        sets = sets_of(docs, classes.filter("paired"), n)
+
+        def links_of(pairs: DataFrame) -> DataFrame:
+            def end(side: str) -> DataFrame:
+                return classes.select(F.col("set_key").alias(f"{side}_key"), F.col("n_shingles").alias(f"{side}_size"), F.col("node").alias(side))
+
+            by_node = pairs.join(end("a"), ["a_key", "a_size"]).join(end("b"), ["b_key", "b_size"]).select("a", "a_size", "b", "b_size")
+            return check_pairs(by_node, sets, percent=percent)
+
+        def table_of(reached: DataFrame) -> DataFrame:
+            """The component of each class, broadcast if few."""
+            return broadcast_if_few(classes.join(reached, "node", "left").select("set_key", "n_shingles", "paired", F.coalesce("component", "node").alias("component")), "components")
+
+        reached = connected_components(links_of(pairs))
+        # Then all pairs that are left between unlike components. Any class that has one was in a pair before.
+        table = table_of(reached)
+        unsettled = sketched.filter(F.size("parts") > 0).join(table.filter("paired"), ["set_key", "n_shingles"])
+        pairs = paired(unsettled, max(8, min(fragments, table.count() // 20_000)), True)
+        more = links_of(pairs)
+        reached = connected_components(more.union(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        table = table_of(reached)
+        scratch.keep(table)
     rows = sketched.select("doc_id", "set_key", "n_shingles").join(table, ["set_key", "n_shingles"], "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -6,10 +6,12 @@ columns of documents. Its result is written before the next stage reads it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import broadcast_if_few, materialise
+from atomloom.llm.common import Scratch, broadcast_if_few, materialise
 from atomloom.llm.jaccard_join import link_documents
 from atomloom.llm.line_dedup import dedup_lines
 from atomloom.llm.packing import pack_documents
@@ -21,24 +23,26 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id (null too) is in ``rejected``.
+def without(docs: DataFrame, rejected: Callable[[], DataFrame]) -> DataFrame:
+    """``docs`` without the rows whose doc_id (null too) ``rejected`` returns; what it writes on its way is removed.
 
     The rejected ids are broadcast if they are few; texts are shuffled only beyond that.
     """
-    ids = broadcast_if_few(rejected.select(F.col("doc_id").alias("gone")).distinct(), "rejected")
+    with Scratch() as scratch:
+        ids = broadcast_if_few(rejected().select(F.col("doc_id").alias("gone")).distinct(), "rejected")
+        scratch.keep(ids)
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that fail a base rule, or that their host's verdict rejects; null and empty texts do. Others stay as they are."""
-    return without(docs, judge(docs).filter("NOT kept")).select(COLUMNS)
+    return without(docs, lambda: judge(docs).filter("NOT kept")).select(COLUMNS)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of severity grade 1 or more go, under a model fitted to the labelled documents of ``sf_dir`` among ``docs``."""
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return without(docs, grade(docs, model).filter("grade > 0")).select(COLUMNS)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return without(docs, lambda: grade(docs, fit(docs, labels)).filter("grade > 0")).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +52,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of near duplicates connect, the document of the smallest doc_id stays. Rows without a doc_id stay."""
-    linked = link_documents(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
-    return without(docs, linked.filter("component_id <> doc_id")).select(COLUMNS)
+    return without(docs, lambda: link_documents(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).filter("component_id <> doc_id")).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,5 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with Scratch() as scratch:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            scratch.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

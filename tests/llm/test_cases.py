@@ -373,7 +373,32 @@ def test_linked_sets_share_a_signature(common, extra, less, percent):
     a, b = set(common), set(sorted(common)[less:]) | extra
     if a != b and b and 100 * len(a & b) >= percent * len(a | b):
         x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
-        assert set(jaccard_join.signatures(x, percent).tolist()) & set(jaccard_join.signatures(y, percent).tolist())
+        segmenter = jaccard_join.Segmenter(percent)
+        assert set(segmenter.signatures(x).tolist()) & set(segmenter.signatures(y).tolist())
+
+
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_size_classes(percent):
+    """Linked sets are of the same class or of neighbouring ones."""
+    segmenter = jaccard_join.Segmenter(percent)
+    for size in [*range(1, 300), 5000, 123_456]:
+        assert segmenter.low(k := segmenter.size_class(size)) <= size < segmenter.low(k + 1)
+        assert segmenter.size_class(100 * size // percent) - k <= 1
+
+
+def test_a_large_family_of_near_copies(spark):
+    """Thousands of unlike near copies, exact copies beside them, and a stranger that shares most of their words."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(3000):
+        words = list(base)
+        for at in rng.integers(0, 300, size=2):
+            words[at] = f"x{rng.integers(10**6)}"
+        rows.append((k + 10, " ".join(words)))
+    rows += [(5, "cold " + " ".join(base[:150])), *((9000 + k, " ".join(base)) for k in range(500))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_documents(docs(spark, rows)).collect()}
+    assert got[5] == 5 and {c for d, c in got.items() if d != 5} == {10}
 
 
 def test_connected_components(spark):
