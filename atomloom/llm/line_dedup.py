@@ -12,11 +12,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from atomloom.llm.common import broadcast_if_few, utf8
+from atomloom.llm.common import BROADCAST_ROWS, materialise, utf8, valid_text
 
 MIN_KEY_CHARS = 10
 MIN_DOCUMENTS = 2
+#: Parts into which a shared line's documents are dealt where shared lines are not broadcast.
+SALTS = 16
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -84,9 +87,10 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_KEY_CHARS, min_document
 
     The shuffles move one hash per document and distinct line, aggregated before they move, and
     each text once. Shared lines meet the documents by broadcast if they are few, and else in a
-    join whose large partitions Spark splits, so a very common line is no hot spot.
+    join in which each line's documents are dealt to SALTS parts, so a very common line is no hot
+    spot. Bytes that are no UTF-8 count, and come back, as U+FFFD.
     """
-    docs = docs.drop("n_lines", "n_dropped", "shared_keys")
+    docs = docs.drop("n_lines", "n_dropped", "shared_keys").withColumn("text", valid_text("text"))
     last = 2**63 - 1
     keys = docs.select(F.coalesce("doc_id", F.lit(last)).alias("doc_id"), "text").mapInArrow(_keys(min_chars), "doc_id long, key binary")
     if min_documents == 2:
@@ -94,11 +98,16 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_KEY_CHARS, min_document
     else:
         held = F.count_distinct("doc_id") >= min_documents
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("first_doc"), held.alias("held")).filter("held").select("key", "first_doc")
-    shared = broadcast_if_few(shared, "shared-lines")
-    dropped = keys.join(shared, "key").filter(F.col("doc_id") > F.col("first_doc"))
+    shared = materialise(shared, "shared-lines")
+    if shared.count() <= BROADCAST_ROWS:
+        met = keys.join(F.broadcast(shared), "key")
+    else:
+        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    dropped = met.filter(F.col("doc_id") > F.col("first_doc"))
     by_doc = dropped.groupBy("doc_id").agg(F.collect_set("key").alias("shared_keys")).withColumnRenamed("doc_id", "_doc")
     rows = docs.join(by_doc, F.coalesce(docs["doc_id"], F.lit(last)) == by_doc["_doc"], "left").drop(by_doc["_doc"])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "text string", "n_lines long", "n_dropped long"])
+    schema = StructType([*(f for f in docs.schema if f.name != "text"), StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     return rows.mapInArrow(_rebuild(min_chars), schema).select(*docs.columns, "n_lines", "n_dropped")
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import BROADCAST_ROWS, materialise, utf8
+from atomloom.llm.common import BROADCAST_ROWS, materialise, utf8, valid_text
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -22,8 +22,10 @@ MAX_REPEAT_PERCENT = 50
 MAX_SYMBOL_PERCENT = 50
 MAX_DUP_LINE_PERCENT = 50
 MIN_MEAN_WORD, MAX_MEAN_WORD = 2.0, 20.0
-#: Shrunken failure rates from which a host is watched, and blocked.
-WATCHED_RATE, BLOCKED_RATE = 0.5, 0.8
+#: Multiples of the corpus's odds of failure that a host's must surely exceed to be watched, and blocked, and the least rate of a blocked host.
+WATCHED_TIMES, BLOCKED_TIMES, BLOCKED_RATE = 2.0, 5.0, 0.5
+#: Standard deviations of a host's rate that count as sure.
+SURE = 2.0
 #: Host parts into which a hot host's documents are salted where the host table is not broadcast.
 SALTS = 64
 
@@ -63,22 +65,24 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(batch.column(n) for n in names), *(pa.array(x, pa.int64()) for x in own)], names=[*names, *_MEASURES])
 
 
-def judge(docs: DataFrame, *, host: str = "source", watched_rate: float = WATCHED_RATE, blocked_rate: float = BLOCKED_RATE) -> DataFrame:
+def judge(docs: DataFrame, *, host: str = "source", watched_times: float = WATCHED_TIMES, blocked_times: float = BLOCKED_TIMES) -> DataFrame:
     """A verdict on every row of ``docs`` (doc_id, text, the ``host`` column; others are ignored).
 
     Base rules: at least 50 words, at most half of them in repeated three-word windows. Soft
     rules: symbols at most half as many as words, at most half of the lines repeated, mean word
     length within 2 to 20. A host's rate is the share of its documents that fail any rule, as
-    the mean of a beta posterior: prior by the method of moments over all hosts. Documents that
-    fail a base rule go. Of the others, a blocked host loses all, a watched one those that fail a
+    the mean of a beta posterior: prior by the method of moments over all hosts. A host is
+    watched whose rate lies, by two standard deviations of the posterior, above that of
+    ``watched_times`` the odds of the prior's mean, and blocked where it lies so above that of
+    ``blocked_times`` those odds and above a half. Documents that fail a base rule go. Of the others, a blocked host loses all, a watched one those that fail a
     soft rule, any other host those that fail two.
 
     Returns doc_id, the measures, base_failed, n_soft_failed, host_rate, host_verdict (open,
-    watched or blocked) and kept. A null or empty text has no words and fails. A null host is a
-    host of its own. Repeated rows are judged alike, each for itself. An empty table gives an
+    watched or blocked) and kept. A null or empty text has no words and fails. Bytes that are no UTF-8
+    count as U+FFFD. A null host is a host of its own. Repeated rows are judged alike, each for itself. An empty table gives an
     empty one. Hosts are summed on each task before the shuffle, so no host is gathered whole.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("\0none")).alias("host"), "text")
+    rows = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("\0none")).alias("host"), valid_text("text"))
     measured = rows.mapInArrow(_measured, "doc_id long, host string, " + ", ".join(f"{m} long" for m in _MEASURES))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     mean_word = F.try_divide("word_chars", "n_words")
@@ -98,7 +102,9 @@ def judge(docs: DataFrame, *, host: str = "source", watched_rate: float = WATCHE
     facts = hosts.agg(F.count("*").alias("hosts"), F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("n")).alias("noise")).first()
     a, b = beta_prior(facts["mean"], facts["var"], facts["noise"])
     host_rate = (F.col("n_failed") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    verdict = F.when(host_rate >= blocked_rate, "blocked").when(host_rate >= watched_rate, "watched").otherwise("open")
+    surely = host_rate - SURE * F.sqrt(host_rate * (1 - host_rate) / (F.col("n") + F.lit(a + b + 1)))
+    rate_at = lambda times: times * a / (b + times * a)
+    verdict = F.when(surely > max(rate_at(blocked_times), BLOCKED_RATE), "blocked").when(surely > rate_at(watched_times), "watched").otherwise("open")
     verdicts = hosts.select("host", host_rate.alias("host_rate"), verdict.alias("host_verdict"))
     if facts["hosts"] <= BROADCAST_ROWS:
         joined = measured.join(F.broadcast(verdicts), "host")
@@ -164,10 +170,12 @@ facts AS (SELECT avg(n_failed / n) AS m0, coalesce(var_samp(n_failed / n), 0) AS
 prior AS (
   SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * noise, m * (1 - m) / 1001) - 1, 1), 1000) AS s
   FROM (SELECT *, least(greatest(m0, 0.001), 0.999) AS m FROM facts)),
-verdicts AS (SELECT host, (n_failed + m * s) / (n + s) AS rate FROM hosts, prior)
+rates AS (SELECT host, n + s + 1 AS seen, m, (n_failed + m * s) / (n + s) AS rate FROM hosts, prior),
+verdicts AS (
+  SELECT host, rate, CASE WHEN sure > greatest(5 * m / (1 + 4 * m), 0.5) THEN 'blocked' WHEN sure > 2 * m / (1 + m) THEN 'watched' ELSE 'open' END AS verdict
+  FROM (SELECT *, rate - 2 * sqrt(rate * (1 - rate) / seen) AS sure FROM rates))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND rate < 0.8 AND n_soft <= CASE WHEN rate >= 0.5 THEN 0 ELSE 1 END AS kept,
-       round(rate, 9) AS host_rate,
-       CASE WHEN rate >= 0.8 THEN 'blocked' WHEN rate >= 0.5 THEN 'watched' ELSE 'open' END AS host_verdict
+       NOT base_failed AND verdict <> 'blocked' AND n_soft <= CASE WHEN verdict = 'watched' THEN 0 ELSE 1 END AS kept,
+       round(rate, 9) AS host_rate, verdict AS host_verdict
 FROM ruled JOIN verdicts USING (host)
 """
