@@ -83,16 +83,28 @@ class Segmenter:
             self.low(len(self.lows))
         return bisect.bisect_right(self.lows, size) - 1
 
-    def segments(self, instance: int) -> tuple[int, int]:
-        """For sets of the classes ``instance`` - 1 and ``instance``: the number of segments, and how many may be empty without notice.
+    def segments(self, instance: int) -> tuple[int, int, int]:
+        """For sets of the classes ``instance`` - 1 and ``instance``: the number of segments, how many may be light without notice, and the most n-grams of a light one.
 
         No linked sets differ in more than d segments. With d + 1 + s of them, s + 1 agree, so a set
-        with at most s empty ones shares a segment that is not empty. 0 segments: only equal sets link.
+        with at most s light ones shares a segment that is not light. Segments of a single n-gram
+        agree wherever texts share a passage, so they are light too where enough others are left.
+        0 segments: only equal sets link.
         """
         if instance not in self.counts:
             d = most_apart(2 * (self.low(instance + 1) - 1), self.percent)
-            spare = 2 + ceil(2 * d * exp(-self.low(max(0, instance - 1)) / (d + 1)))
-            self.counts[instance] = (d + 1 + spare, spare) if d else (0, 0)
+            least = self.low(max(0, instance - 1))
+            light, spare = 1, 2
+
+            def wanted() -> float:
+                mean = least / (d + 1 + spare)
+                return 2 + 1.5 * (d + 1 + spare) * exp(-mean) * (1 + mean * light)
+
+            while spare < wanted() and spare <= d:
+                spare += 1
+            if spare > d:
+                light, spare = 0, 2 + ceil(2 * d * exp(-least / (d + 1)))
+            self.counts[instance] = (d + 1 + spare, spare, light) if d else (0, 0, 0)
         return self.counts[instance]
 
     def signatures(self, grams: np.ndarray) -> np.ndarray:
@@ -101,25 +113,39 @@ class Segmenter:
         top = grams >> _U32
         first = self.size_class(len(grams))
         for instance in (first, first + 1):
-            count, spare = self.segments(instance)
+            count, spare, light = self.segments(instance)
             if not count:
                 continue
             segment = (top * np.uint64(count)) >> _U32
             starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
             held = segment[starts]
             label = _ODD[6:7] * np.uint64(instance + 1)
-            own.append(mix(np.add.reduceat(mixed, starts) + (held + np.uint64(1)) * _ODD[5] + label))
-            if count - len(held) > spare:
+            sums = mix(np.add.reduceat(mixed, starts) + (held + np.uint64(1)) * _ODD[5] + label)
+            heavy = np.diff(np.append(starts, len(grams))) > light
+            if count - heavy.sum() > spare:  # too many are light, so that these must do
                 empty = np.setdiff1d(np.arange(count, dtype=np.uint64), held)
-                own.append(mix((empty + np.uint64(1)) * _ODD[5] + label))
+                own += [sums, mix((empty + np.uint64(1)) * _ODD[5] + label)]
+            else:
+                own.append(sums[heavy])
         return np.concatenate(own) if own else np.zeros(0, np.uint64)
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """How many n-grams fall to each number of lowest bits, modulo 2: at least 256 bits, and one or more for each n-gram; packed."""
+    width = max(256, 1 << (len(grams) - 1).bit_length())
+    return np.packbits(np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1)
+
+
+def folded(parity: np.ndarray, size: int) -> np.ndarray:
+    """``parities`` as of fewer bits, ``size`` bytes of them."""
+    return np.bitwise_xor.reduce(parity.reshape(-1, size), axis=0)
+
+
 _PART = pa.struct([("fragment", pa.int32()), ("sigs", pa.list_(pa.int32()))])
 
 
 def _sketcher(n: int, percent: int, fragments: int):
-    """doc_id, text -> doc_id, set_key, n_shingles, parity (of the n-grams by their lowest 8 bits), parts (signatures by fragment).
+    """doc_id, text -> doc_id, set_key, n_shingles, parity (of 256 bits), parities (of more), parts (signatures by fragment).
 
     Copies within a task have parts only once.
     """
@@ -127,7 +153,7 @@ def _sketcher(n: int, percent: int, fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter, sent = Segmenter(percent), set()
         for batch in slices(batches):
-            keys, sizes, parity, counts = [], [], [], []
+            keys, sizes, parity, wide, counts = [], [], [], [], []
             fragment, sigs, widths = [], [], []
             for grams in shingles(batch.column("text"), n):
                 key = int(mix(np.add.reduce(mix(grams ^ _ODD[7]), keepdims=True))[0].astype(np.int64)) if len(grams) else None
@@ -135,11 +161,13 @@ def _sketcher(n: int, percent: int, fragments: int):
                 sizes.append(len(grams))
                 if key is None or (key, len(grams)) in sent:
                     parity.append(None)
+                    wide.append(None)
                     counts.append(0)
                     continue
                 sent.add((key, len(grams)))
-                bits = np.bincount((grams & np.uint64(255)).astype(np.int64), minlength=256) & 1
-                parity.append(np.packbits(bits.astype(np.uint8)).tobytes())
+                bits = parities(grams)
+                parity.append(folded(bits, 32).tobytes())
+                wide.append(bits.tobytes())
                 sig = segmenter.signatures(grams)
                 where = ((sig >> _U32) % np.uint64(fragments)).astype(np.int32)
                 order = np.argsort(where, kind="stable")
@@ -158,8 +186,8 @@ def _sketcher(n: int, percent: int, fragments: int):
 
             lists = pa.ListArray.from_arrays(offsets(flat(widths)), pa.array(flat(sigs)))
             parts = pa.ListArray.from_arrays(offsets(counts), pa.StructArray.from_arrays([pa.array(flat(fragment)), lists], fields=list(_PART)))
-            columns = [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parity, pa.binary()), parts]
-            yield pa.record_batch(columns, names=["doc_id", "set_key", "n_shingles", "parity", "parts"])
+            columns = [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parity, pa.binary()), pa.array(wide, pa.binary()), parts]
+            yield pa.record_batch(columns, names=["doc_id", "set_key", "n_shingles", "parity", "parities", "parts"])
 
     return run
 
@@ -260,6 +288,25 @@ def _pairer(percent: int, across: bool):
     return run
 
 
+_PLAUSIBLE = ["a", "a_size", "b", "b_size"]
+
+
+def _plausible(percent: int):
+    """Pairs whose parities are no further apart than linked sets can be; parities differ in no more bits than the sets in n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            most = most_apart(batch.column("a_size").to_numpy() + batch.column("b_size").to_numpy(), percent).tolist()
+            for x, y, most_bits in zip(batch.column("a_bits").to_pylist(), batch.column("b_bits").to_pylist(), most):
+                size = min(len(x), len(y))
+                apart = folded(np.frombuffer(x, np.uint8), size) ^ folded(np.frombuffer(y, np.uint8), size)
+                kept.append(int(np.bitwise_count(apart).sum()) <= most_bits)
+            yield batch.select(_PLAUSIBLE).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
 def _grams(n: int):
     """node, text -> node, fragment, grams: a row for each fragment of the order in which a set has any."""
 
@@ -295,7 +342,7 @@ def _partial_overlaps(members: pa.Table, pairs: pa.Table) -> pa.Table:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, fragment, grams): the n-gram sets of the documents that ``nodes`` (node) names, written out for all rounds to read.
+    """(node, fragment, grams): the n-gram sets of the documents that ``nodes`` (node) names, written out.
 
     The nodes are broadcast if they are few, so that texts are shuffled, once, only beyond that.
     """
@@ -354,7 +401,7 @@ def link_documents(docs: DataFrame, *, n: int = WORDS, percent: int = PERCENT, f
         size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
         fragments = max(MIN_FRAGMENTS, -(-size // FRAGMENT_BYTES))
     sketched = docs.select("doc_id", valid_text("text")).mapInArrow(
-        _sketcher(n, percent, fragments), "doc_id long, set_key long, n_shingles long, parity binary, parts array<struct<fragment:int,sigs:array<int>>>"
+        _sketcher(n, percent, fragments), "doc_id long, set_key long, n_shingles long, parity binary, parities binary, parts array<struct<fragment:int,sigs:array<int>>>"
     )
     sketched = materialise(sketched, "sketches")
 
@@ -370,19 +417,19 @@ def link_documents(docs: DataFrame, *, n: int = WORDS, percent: int = PERCENT, f
         pairs = paired(sketched.withColumn("component", F.lit(None).cast("long")), fragments, False)
 
         # A class is known by its smallest doc_id. Only classes of several documents, or in a pair, need a row.
-        classes = sketched.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+        classes = sketched.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("parities").alias("bits"))
         ends = pairs.select(F.explode(F.array(F.struct(F.col("a_key").alias("k"), F.col("a_size").alias("s")), F.struct(F.col("b_key").alias("k"), F.col("b_size").alias("s")))).alias("e")).select("e.k", "e.s", F.lit(True).alias("paired")).distinct()
         classes = classes.join(ends, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") == F.col("s")), "left")
-        classes = materialise(classes.filter("copies > 1 OR paired").select("set_key", "n_shingles", "node", F.coalesce("paired", F.lit(False)).alias("paired")), "classes")
-
-        sets = sets_of(docs, classes.filter("paired"), n)
+        classes = materialise(classes.filter("copies > 1 OR paired").select("set_key", "n_shingles", "node", F.coalesce("paired", F.lit(False)).alias("paired"), F.when(F.col("paired"), F.col("bits")).alias("bits")), "classes")
 
         def links_of(pairs: DataFrame) -> DataFrame:
             def end(side: str) -> DataFrame:
-                return classes.select(F.col("set_key").alias(f"{side}_key"), F.col("n_shingles").alias(f"{side}_size"), F.col("node").alias(side))
+                return classes.select(F.col("set_key").alias(f"{side}_key"), F.col("n_shingles").alias(f"{side}_size"), F.col("node").alias(side), F.col("bits").alias(f"{side}_bits"))
 
-            by_node = pairs.join(end("a"), ["a_key", "a_size"]).join(end("b"), ["b_key", "b_size"]).select("a", "a_size", "b", "b_size")
-            return check_pairs(by_node, sets, percent=percent)
+            by_node = pairs.join(end("a"), ["a_key", "a_size"]).join(end("b"), ["b_key", "b_size"]).select(*_PLAUSIBLE, "a_bits", "b_bits")
+            likely = materialise(by_node.mapInArrow(_plausible(percent), "a long, a_size long, b long, b_size long"), "plausible")
+            sets = sets_of(docs, likely.select(F.explode(F.array("a", "b")).alias("node")), n)
+            return check_pairs(likely, sets, percent=percent)
 
         def table_of(reached: DataFrame) -> DataFrame:
             """The component of each class, broadcast if few."""
