@@ -568,3 +568,94 @@ def fps_back_map(spark, sf_dir):
     a = compression.back_map(env, chosen)
     rows = [(i, j, round(float(a[i, j]), 6) + 0.0) for i in range(len(a)) for j in range(len(a))]
     return spark.createDataFrame(rows, "i long, j long, a double")
+
+
+# Closed forms of fits, scaling of compressed spectra, losses
+
+_Y = f"WITH {ENV} SELECT env_id AS id, round(frame_id::DOUBLE, 6) + 0.0 AS y FROM env"
+
+
+@query("krr_fit_residual", _Y)
+def krr_fit_residual(spark, sf_dir):
+    """(K + jitter I) alpha of the fit, which must be y again."""
+    env = environments(spark, sf_dir)
+    alpha = regression.krr_fit(kernels.power_kernel(env, env, ZETA), targets(env), jitter=1e-2)
+    back = regression.krr_predict(kernels.power_kernel(env, env, ZETA), alpha).join(alpha, "id")
+    return rounded(back.select("id", (F.col("y_pred") + 1e-2 * F.col("alpha")).alias("y")), "y", places=6)
+
+
+@query("cg_features_residual", _Y)
+def cg_features_residual(spark, sf_dir):
+    """(X X^T + ridge I) x of the conjugate gradients on features, which must be y again."""
+    env = environments(spark, sf_dir)
+    x = regression.conjugate_gradients_features(env.join(targets(env).withColumnRenamed("id", "env_id"), "env_id").withColumnRenamed("env_id", "id"), ridge=0.5)
+    rows = env.join(x.withColumnRenamed("id", "env_id"), "env_id")
+    q = [r["q"] for r in rows.select(F.posexplode("features").alias("i", "v"), "x").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("q")).orderBy("i").collect()]
+    back = vectors.dot(F.col("features"), F.array(*map(F.lit, q))) + 0.5 * F.col("x")
+    return rounded(rows.select(F.col("env_id").alias("id"), back.alias("y")), "y", places=6)
+
+
+_SCALED = f"WITH {ENV}, {FLAT}, x AS (SELECT env_id, i, v, i // 32 AS s, (i // 16) % 2 AS t, (i // 8) % 2 AS n, (i // 4) % 2 AS m, i % 4 AS l FROM flat)"
+_W2 = "CASE {0} WHEN 0 THEN 0.5::DOUBLE ELSE 2 END"
+
+
+def _long(rows: DataFrame) -> DataFrame:
+    return rounded(rows.select("env_id", F.posexplode("features").alias("i", "v")).withColumn("i", F.col("i").cast("long")), "v")
+
+
+@query("scale_diagonal", f"{_SCALED} SELECT env_id, i::BIGINT AS i, round(v * {_W2.format('s')} * {_W2.format('t')}, 9) + 0.0 AS v FROM x")
+def scale_diagonal(spark, sf_dir):
+    return _long(compression.scale_features(environments(spark, sf_dir), SHAPE, "species", [0.5, 2.0]))
+
+
+@query("scale_full", f"""{_SCALED}, u(a, s, w) AS (VALUES (0, 0, 1::DOUBLE), (0, 1, 0.5), (1, 0, 0.25), (1, 1, 2))
+SELECT env_id, (p.a * 32 + q.a * 16 + i % 16)::BIGINT AS i, round(sum(v * p.w * q.w), 9) + 0.0 AS v FROM x JOIN u p ON p.s = x.s JOIN u q ON q.s = x.t GROUP BY ALL""")
+def scale_full(spark, sf_dir):
+    return _long(compression.scale_features(environments(spark, sf_dir), SHAPE, "species", [1.0, 0.5, 0.25, 2.0], full=True))
+
+
+@query("scale_relative_angular", f"{_SCALED} SELECT env_id, i::BIGINT AS i, round(v * (l + 1) / 2 * {_W2.format('s')} * {_W2.format('t')}, 9) + 0.0 AS v FROM x")
+def scale_relative_angular(spark, sf_dir):
+    return _long(compression.scale_features(environments(spark, sf_dir), SHAPE, "angular+species", [0.5, 1.0, 1.5, 2.0, 0.5, 2.0]))
+
+
+@query("scale_relative_species", f"{_SCALED} SELECT env_id, i::BIGINT AS i, round(v * (s + 1) * (t + 1) * {_W2.format('n')} * {_W2.format('m')}, 9) + 0.0 AS v FROM x")
+def scale_relative_species(spark, sf_dir):
+    return _long(compression.scale_features(environments(spark, sf_dir), SHAPE, "species+radial", [1.0, 2.0, 0.5, 2.0]))
+
+
+def _one_active(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    env = environments(spark, sf_dir)
+    return env.select("env_id", "features", F.col("frame_id").cast("double").alias("y")), env.filter("env_id = 0").select("env_id", "features")
+
+
+_ONE = f"WITH {ENV}, a AS (SELECT f FROM env WHERE env_id = 0), k AS (SELECT env_id, frame_id::DOUBLE AS y, list_dot_product(env.f, a.f) ** 2 AS k FROM env, a), o AS (SELECT list_dot_product(f, f) ** 2 AS own FROM a)"
+
+
+@query("sor_log_likelihood_m1", f"""{_ONE}, t AS (SELECT sum(k * k) AS g, sum(k * y) AS b, sum(y * y) AS yy, count(*) AS n FROM k), s(scale) AS (VALUES (0.5::DOUBLE), (2)),
+z AS (SELECT scale, n, own + 1e-8 AS own, own + 1e-8 + g / scale ** 2 AS system, b / scale ** 2 AS b, yy / scale ** 2 AS yy FROM t, s, o)
+SELECT scale, round(-0.5 * (yy - b * b / system + ln(system) - ln(own) + 2 * n * ln(scale) + n * ln(2 * pi())), 5) + 0.0 AS log_likelihood FROM z""")
+def sor_log_likelihood_m1(spark, sf_dir):
+    """The log-likelihood of all rows, with one active environment so that SQL can follow."""
+    rows, active = _one_active(spark, sf_dir)
+    return rounded(model_selection.log_likelihood(rows, active, zeta=ZETA, scales=[0.5, 2.0]), "log_likelihood", places=5)
+
+
+@query("sor_loss_m1", f"""{_ONE}, f AS (SELECT k.*, ntile(3) OVER (ORDER BY env_id) - 1 AS fold FROM k), s(scale) AS (VALUES (0.5::DOUBLE), (2)),
+t AS (SELECT g.fold, sum(f.k * f.k) AS g, sum(f.k * f.y) AS b FROM f JOIN (SELECT DISTINCT fold FROM f) g ON f.fold <> g.fold GROUP BY g.fold),
+w AS (SELECT scale, fold, b / scale ** 2 / (own + 1e-8 + g / scale ** 2) AS alpha FROM t, s, o)
+SELECT scale, round(avg((alpha * k - y) ** 2), 7) + 0.0 AS mse FROM f JOIN w USING (fold) GROUP BY scale""")
+def sor_loss_m1(spark, sf_dir):
+    """The loss that hyper-parameters are chosen by, with one active environment so that SQL can follow."""
+    rows, active = _one_active(spark, sf_dir)
+    return rounded(model_selection.sor_loss(rows, active, splits.k_fold(rows.select("env_id"), 3, key="env_id"), zeta=ZETA, scales=[0.5, 2.0]), "mse", places=7)
+
+
+@query("describe_norms", f"WITH {ATOMS} SELECT frame_id, atom_idx, 1.0::DOUBLE AS norm, 0.0::DOUBLE AS asymmetry FROM atoms")
+def describe_norms(spark, sf_dir):
+    """Of each spectrum: its norm, and how far it is from p[s, t, n, m, l] = p[t, s, m, n, l]."""
+    found = descriptors.describe(atoms(spark, sf_dir), [0, 1, 2, 3], rc=RC, nmax=3, lmax=3, sigma=0.4)
+    order = np.arange(4 * 4 * 3 * 3 * 4).reshape(4, 4, 3, 3, 4).transpose(1, 0, 3, 2, 4).ravel().tolist()
+    other = F.zip_with("features", vectors.pick(F.col("features"), order), lambda a, b: F.abs(a - b))
+    rows = found.select("frame_id", "atom_idx", vectors.norm(F.col("features")).alias("norm"), F.array_max(other).alias("asymmetry"))
+    return rounded(rows, "norm", "asymmetry")

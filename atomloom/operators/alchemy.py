@@ -13,8 +13,9 @@ WIDTH = 0.5
 def element_similarity(elements: DataFrame, *, width: float = WIDTH) -> DataFrame:
     """(z1, z2, kappa) over pairs of ``elements`` (z, electronegativity, radius): the product of a Gaussian in either property.
 
-    The table of elements has about a hundred rows at most, so all its pairs are few.
+    Elements without properties are left out. The table has about a hundred rows at most, so all its pairs are few.
     """
+    elements = elements.filter("electronegativity IS NOT NULL AND radius IS NOT NULL")
     a, b = (elements.select(*(F.col(c).alias(f"{c}{k}") for c in ("z", "electronegativity", "radius"))) for k in (1, 2))
 
     def bell(name: str):
@@ -134,5 +135,14 @@ ELEMENTS = [
 ]
 
 
+#: The symbols of the elements from 1 to 83, in order.
+SYMBOLS = """
+H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe
+Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi
+""".split()
+
+
 def elements(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ELEMENTS, "z int, symbol string, electronegativity double, radius double")
+    """(z, symbol, electronegativity, radius), the last two null where ELEMENTS has none."""
+    known = {z: (e, r) for z, _, e, r in ELEMENTS}
+    return spark.createDataFrame([(z, s, *known.get(z, (None, None))) for z, s in enumerate(SYMBOLS, 1)], "z int, symbol string, electronegativity double, radius double")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atomloom.functions import vectors
+
 #: For each type: how the weighted mean becomes covariances (leading axes number them), and how projections act.
 KINDS = {
     "species": ("stnml->st", "as,bt,stnml->abnml"),
@@ -123,6 +125,67 @@ def scale_angular(features: Column, weights: list[float]) -> Column:
     return F.transform(scaled, lambda v: v / size)
 
 
+def scale_features(rows: DataFrame, shape: Shape, kind: str, factors: list[float], *, full: bool = False) -> DataFrame:
+    """``rows`` with projected ``features`` scaled on both legs of ``kind``; ``shape`` is that of the projected spectra.
+
+    ``factors`` begin with relative ones, where the type has them: one for each l in an "angular+"
+    type, which it multiplies, or one for each species in a "species+" type, on both species
+    legs. The others are weights of the legs' components, or with ``full`` a square matrix by rows.
+    """
+    relative = shape.angular if kind.startswith("angular+") else shape.species if kind.startswith("species+") else 0
+    lead, rest = np.array(factors[:relative], float), np.array(factors[relative:], float)
+    u = rest.reshape(int(round(np.sqrt(rest.size))), -1) if full else np.diag(rest)
+    leading = {"angular+": (shape.angular,), "species+": (shape.species, shape.species)}.get(kind.split("+")[0] + "+" if "+" in kind else "", ())
+    scaled = project(rows, shape, kind, np.broadcast_to(u, (*leading, *u.shape)))
+    if not relative:
+        return scaled
+    if kind.startswith("angular+"):
+        weights = np.tile(lead, scaled_size(shape, kind, len(u)) // shape.angular)
+    else:
+        weights = np.repeat(np.outer(lead, lead).ravel(), scaled_size(shape, kind, len(u)) // shape.species**2)
+    w = F.array(*(F.lit(float(x)) for x in weights))
+    return scaled.withColumn("features", F.zip_with("features", w, lambda v, f: v * f))
+
+
+def scaled_size(shape: Shape, kind: str, legs: int) -> int:
+    """Components of a spectrum of ``shape`` when each leg of ``kind`` has ``legs`` components."""
+    own = {"species": shape.species, "angular+species": shape.species}.get(kind, shape.radial if "*" not in kind else shape.species * shape.radial)
+    return shape.size // own**2 * legs**2
+
+
+@dataclass
+class Compressor:
+    """A fitted compression: its type, the leading eigenvectors, and scaling factors if any; ``pack`` and ``unpack`` are for storage."""
+
+    shape: Shape
+    kind: str
+    u: np.ndarray
+    factors: list[float] | None = None
+    full: bool = False
+
+    @classmethod
+    def fit(cls, rows: DataFrame, shape: Shape, kind: str, keep: int, *, factors: list[float] | None = None, full: bool = False) -> Compressor:
+        return cls(shape, kind, eigenvectors(covariance(rows, shape, kind), keep), factors, full)
+
+    @property
+    def small(self) -> Shape:
+        keep = self.u.shape[-2]
+        return Shape(keep, self.shape.radial, self.shape.angular) if self.kind.endswith("species") else Shape(self.shape.species, keep, self.shape.angular)
+
+    def transform(self, rows: DataFrame, *, normalise: bool = True) -> DataFrame:
+        small = project(rows, self.shape, self.kind, self.u)
+        if self.factors is not None:
+            small = scale_features(small, self.small, self.kind, self.factors, full=self.full)
+        return small.withColumn("features", vectors.normalise(F.col("features"))) if normalise else small
+
+    def pack(self) -> dict:
+        return {"shape": [self.shape.species, self.shape.radial, self.shape.angular], "kind": self.kind, "u": self.u.tolist(), "factors": self.factors, "full": self.full}
+
+    @classmethod
+    def unpack(cls, state: dict) -> Compressor:
+        return cls(Shape(*state["shape"]), state["kind"], np.array(state["u"]), state["factors"], state["full"])
+
+
 def pack_symmetric(features: Column, n: int) -> Column:
     """The upper triangle of an n x n matrix, row by row, what lies off the diagonal times sqrt(2); norms stay."""
     return F.array(*(features[i * n + j] * (1.0 if i == j else math.sqrt(2)) for i in range(n) for j in range(i, n)))

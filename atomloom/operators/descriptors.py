@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from atomloom.functions.geometry import cutoff_weight
 from atomloom.functions.soap_math import density, power_spectrum
+from atomloom.functions.vectors import drop_small
+from atomloom.operators.neighbours import neighbours_binned
 
 
 def descriptor_size(n_species: int, nmax: int, lmax: int) -> int:
@@ -43,6 +45,19 @@ def power_spectra(centres: DataFrame, pairs: DataFrame, species: list[int], *, r
     return rows.groupBy("frame_id", "atom_idx").applyInArrow(one, "frame_id long, atom_idx long, features array<double>")
 
 
+def describe(atoms: DataFrame, species: list[int], *, rc: float, nmax: int, lmax: int, sigma: float, mean: bool = False, sparse: float | None = None) -> DataFrame:
+    """Features of ``atoms`` (frame_id, atom_idx, species, x, y, z) in one call: neighbours, spectra, and what becomes of them.
+
+    Returns (frame_id, atom_idx, features); with ``mean`` one row a frame without atom_idx, the
+    mean over its atoms; with ``sparse`` features as (i, v) for components of at least that size.
+    """
+    found = power_spectra(atoms, neighbours_binned(atoms, rc), species, rc=rc, nmax=nmax, lmax=lmax, sigma=sigma)
+    if mean:
+        means = frame_means(found).groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p"))
+        found = means.select("frame_id", F.col("p.v").alias("features"))
+    return found if sparse is None else found.withColumn("features", drop_small(F.col("features"), sparse))
+
+
 def frame_means(rows: DataFrame) -> DataFrame:
     """(frame_id, i, v): the mean of each feature over the environments of a frame; summed on each task first."""
     return rows.select("frame_id", F.posexplode("features").alias("i", "v")).groupBy("frame_id", "i").agg(F.avg("v").alias("v"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomloom.operators import regression, scores, splits
+from atomloom.operators.alchemy import minimise
 
 
 def split_scores(kernel: DataFrame, targets: DataFrame, roles: DataFrame, by: list[str], *, jitter: float, delta: float = 1.0) -> DataFrame:
@@ -105,6 +106,53 @@ def sor_log_likelihood(gram: np.ndarray, k_mm: np.ndarray, rhs: np.ndarray, yy:
     return float(-0.5 * (yy / scale**2 - part @ part + log_det + n * np.log(2 * np.pi)))
 
 
+def log_likelihood(rows: DataFrame, active: DataFrame, *, zeta: float, scales: list[float], jitter: float = 1e-8) -> DataFrame:
+    """(scale, log_likelihood) of low-rank models of ``rows`` (env_id, features, y) over ``active`` (env_id, features), from one pass over the rows."""
+    basis, crossed = _sor_parts(rows, active, zeta)
+    m = len(basis)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((m + 1, m + 1))
+        n = 0
+        for batch in batches:
+            k = crossed(batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1))
+            own = np.concatenate((k, batch.column("y").to_numpy()[:, None]), axis=1)
+            total += own.T @ own
+            n += batch.num_rows
+        yield pa.record_batch([pa.array(np.arange(total.size + 1)), pa.array(np.append(total.ravel(), n))], names=["i", "v"])
+
+    table = rows.select("features", "y").mapInArrow(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow()
+    v = table.column("v").to_numpy()
+    sums, k_mm = v[:-1].reshape(m + 1, m + 1), crossed(basis) + jitter * np.eye(m)
+    found = [(float(s), sor_log_likelihood(sums[:m, :m], k_mm, sums[:m, m], sums[m, m], int(v[-1]), s)) for s in scales]
+    return rows.sparkSession.createDataFrame(found, "scale double, log_likelihood double")
+
+
+def sor_loss(rows: DataFrame, active: DataFrame, folds: DataFrame, *, zeta: float, scales: list[float], jitter: float = 1e-8) -> DataFrame:
+    """(scale, mse): the squared error of what a low-rank model without a row's fold predicts for it, averaged over all rows."""
+    sizes = folds.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"))
+    found = sor_cross_validate(rows, active, folds, zeta=zeta, scales=scales, jitter=jitter).join(F.broadcast(sizes), "fold")
+    return found.groupBy("scale").agg((F.sum(F.col("rmse") ** 2 * F.col("n")) / F.sum("n")).alias("mse"))
+
+
+def optimise_scaling(spectra: DataFrame, active_ids: DataFrame, folds: DataFrame, compressor, start: list[float], *, zeta: float, steps: int = 10, jitter: float = 1e-8) -> tuple[list[float], float]:
+    """The noise scale and scaling factors of ``compressor`` that minimise ``sor_loss``, and that loss: descent from ``start`` (scale, factors...).
+
+    ``spectra`` (env_id, y, features) uncompressed, ``active_ids`` (env_id). Each value of the loss
+    is two passes over the spectra, so factors are few; the scale is optimised by its logarithm.
+    """
+
+    def loss(x: np.ndarray) -> float:
+        compressor.factors = list(map(float, x[1:]))
+        small = compressor.transform(spectra.select("env_id", "y", "features"))
+        active = small.join(active_ids.select("env_id"), "env_id", "left_semi").select("env_id", "features")
+        return sor_loss(small, active, folds, zeta=zeta, scales=[float(np.exp(x[0]))], jitter=jitter).first()["mse"]
+
+    x, value = minimise(loss, np.array([np.log(start[0]), *start[1:]]), steps=steps)
+    compressor.factors = list(map(float, x[1:]))
+    return [float(np.exp(x[0])), *compressor.factors], float(value)
+
+
 def grid_search(grid: dict[str, list], score: Callable[..., DataFrame]) -> DataFrame:
     """The rows of ``score(**point)`` for all points of ``grid``, with its parameters as columns; the last parameter varies fastest.
 

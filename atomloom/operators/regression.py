@@ -8,6 +8,7 @@ is refused beyond MAX_DENSE rows.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,3 +109,48 @@ def conjugate_gradients(kernel: DataFrame, targets: DataFrame, *, jitter: float,
         direction = residual + size / before * direction
     kernel.unpersist()
     return spark.createDataFrame(list(zip(ids, map(float, x))), "id long, x double")
+
+
+def conjugate_gradients_features(rows: DataFrame, *, ridge: float, max_steps: int = 1000, tolerance: float = 1e-25) -> DataFrame:
+    """(id, x) with (X X^T + ridge I) x = y for ``rows`` (id, y, features), X having the features by rows.
+
+    Every vector of the iteration is a multiple of y plus X times a vector as short as the
+    features, so one pass sums X^T X, X^T y and y y, the steps are taken on those numbers, and x
+    is a function of each row. Neither X X^T nor a vector of all rows is ever in one place.
+    """
+
+    def partial(batches):
+        total = None
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+            own = np.concatenate((x, batch.column("y").to_numpy()[:, None]), axis=1)
+            total = own.T @ own if total is None else total + own.T @ own
+        if total is not None:
+            yield pa.record_batch([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
+
+    sums = rows.select("features", "y").mapInArrow(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow()
+    v = sums.column("v").to_numpy()
+    if not len(v):
+        return rows.select("id", F.col("y").alias("x"))
+    both = v.reshape(int(np.sqrt(len(v))), -1)
+    gram, xy, yy = both[:-1, :-1], both[:-1, -1], both[-1, -1]
+
+    # A vector b y + X w is (b, w).
+    def inner(p: np.ndarray, q: np.ndarray) -> float:
+        return float(p[0] * q[0] * yy + (p[0] * q[1:] + q[0] * p[1:]) @ xy + p[1:] @ gram @ q[1:])
+
+    def times(p: np.ndarray) -> np.ndarray:
+        return ridge * p + np.concatenate(([0.0], p[0] * xy + gram @ p[1:]))
+
+    x, residual = np.zeros(len(both)), np.eye(1, len(both))[0]
+    direction, size = residual, yy
+    for _ in range(max_steps):
+        if size <= tolerance:
+            break
+        product = times(direction)
+        step = size / inner(direction, product)
+        x, residual = x + step * direction, residual - step * product
+        size, before = max(inner(residual, residual), 0.0), size
+        direction = residual + size / before * direction
+    dot = F.aggregate(F.zip_with("features", F.array(*(F.lit(float(w)) for w in x[1:])), lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
+    return rows.select("id", (F.col("y") * F.lit(float(x[0])) + dot).alias("x"))

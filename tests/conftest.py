@@ -14,15 +14,6 @@ import atomloom  # noqa: E402
 cloudpickle.register_pickle_by_value(atomloom)
 
 
-def _can_import(batches):
-    import importlib.util
-
-    import pyarrow as pa
-
-    for _ in batches:
-        yield pa.record_batch([pa.array([importlib.util.find_spec("atomloom") is not None])], names=["found"])
-
-
 @pytest.fixture(scope="session")
 def spark():
     # Python workers get neither the repository's folder nor a path to it: all that a task needs must travel with it.
@@ -39,6 +30,15 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    assert not session.range(1).mapInArrow(_can_import, "found boolean").first()["found"]
+
+    def can_import(batches):
+        import importlib.util
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.record_batch([pa.array([importlib.util.find_spec("atomloom") is not None])], names=["found"])
+
+    assert not session.range(1).mapInArrow(can_import, "found boolean").first()["found"]
     yield session
     session.stop()

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -263,3 +264,48 @@ def test_back_map_keeps_norms_of_what_it_spans(spark, x):
     low = x[:, :3] @ np.random.default_rng(6).normal(size=(3, 8))
     a = compression.back_map(vectors(spark, low), [0, 1, 2])
     assert np.allclose(np.linalg.norm(low[:, :3] @ a, axis=1), np.linalg.norm(low, axis=1))
+
+
+def test_conjugate_gradients_on_features(spark, x):
+    y = np.sin(np.arange(len(x)))
+    rows = spark.createDataFrame([(i, float(y[i]), x[i].tolist()) for i in range(len(x))], "id long, y double, features array<double>")
+    got = {r["id"]: r["x"] for r in regression.conjugate_gradients_features(rows, ridge=0.3).collect()}
+    want = np.linalg.solve(x @ x.T + 0.3 * np.eye(len(x)), y)
+    assert np.allclose([got[i] for i in range(len(x))], want, atol=1e-7)
+    assert regression.conjugate_gradients_features(rows.limit(0), ridge=0.3).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["species", "angular+species", "radial", "angular+radial", "species+radial"])
+def test_a_compressor_comes_back(spark, kind):
+    shape, rng = compression.Shape(2, 3, 2), np.random.default_rng(0)
+    rows = spark.createDataFrame([(i, rng.normal(size=shape.size).tolist()) for i in range(9)], "env_id long, features array<double>")
+    factors = [1.0, 2.0] if kind.startswith(("angular", "species+")) else []
+    fitted = compression.Compressor.fit(rows, shape, kind, 2, factors=[*factors, 0.5, 1.5])
+    again = compression.Compressor.unpack(json.loads(json.dumps(fitted.pack())))
+    a, b = ({r["env_id"]: r["features"] for r in c.transform(rows).collect()} for c in (fitted, again))
+    assert a == b and all(abs(np.linalg.norm(v) - 1) < 1e-12 for v in a.values()) and len(a[0]) == fitted.small.size
+
+
+def test_scaling_is_optimised(spark):
+    """A target that one component alone determines: the other's weight falls, and so does the loss."""
+    shape, rng = compression.Shape(2, 1, 1), np.random.default_rng(4)
+    v = rng.normal(size=(60, 4))
+    rows = spark.createDataFrame([(i, float(v[i, 0]), v[i].tolist()) for i in range(60)], "env_id long, y double, features array<double>")
+    compressor = compression.Compressor(shape, "species", np.eye(2), [1.0, 1.0])
+    folds = splits.k_fold(rows.select("env_id"), 3, key="env_id")
+    active, start = rows.filter("env_id < 8").select("env_id"), [0.5, 1.0, 1.0]
+    small = compressor.transform(rows)
+    before = model_selection.sor_loss(small, small.join(active, "env_id", "left_semi").select("env_id", "features"), folds, zeta=1.0, scales=[0.5], jitter=1e-6).first()["mse"]
+    found, after = model_selection.optimise_scaling(rows, active, folds, compressor, start, zeta=1.0, steps=1, jitter=1e-6)
+    assert after < before and len(found) == 3 and compressor.factors == found[1:]
+
+
+def test_describe_options(spark):
+    rng = np.random.default_rng(2)
+    atoms = spark.createDataFrame([(f, i, int(i % 2), *map(float, rng.uniform(0, 3, 3))) for f in range(2) for i in range(5)], "frame_id long, atom_idx long, species long, x double, y double, z double")
+    kw = dict(rc=2.0, nmax=2, lmax=1, sigma=0.4)
+    each = {(r["frame_id"], r["atom_idx"]): np.array(r["features"]) for r in descriptors.describe(atoms, [0, 1], **kw).collect()}
+    mean = {r["frame_id"]: np.array(r["features"]) for r in descriptors.describe(atoms, [0, 1], mean=True, **kw).collect()}
+    assert all(np.allclose(mean[f], np.mean([each[f, i] for i in range(5)], axis=0)) for f in range(2))
+    sparse = {(r["frame_id"], r["atom_idx"]): {p["i"]: p["v"] for p in r["features"]} for r in descriptors.describe(atoms, [0, 1], sparse=0.05, **kw).collect()}
+    assert all(p == {i: x for i, x in enumerate(each[k]) if abs(x) >= 0.05} for k, p in sparse.items())

@@ -1,7 +1,9 @@
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from atomloom.jobs import run
+from atomloom.jobs import experiments, run
 from atomloom.jobs.pipeline import Pipeline, Step, fingerprint
 from atomloom.sources import frames, matrix, scf, shielding
 from atomloom.streaming.predict import predict
@@ -127,3 +129,26 @@ def test_models_and_matrices_come_back(spark, tmp_path):
 def test_queries_run_from_the_command_line(spark, tmp_path):
     run.main(["--tables", "/root/testdata/sf0.001", "--out", str(tmp_path), "kfold", "distinct_species"])
     assert spark.read.parquet(str(tmp_path / "kfold")).count() == 500 and spark.read.parquet(str(tmp_path / "distinct_species")).count() == 4
+
+
+def test_columns_of_atoms_and_vectors_are_kept(spark, tmp_path):
+    (tmp_path / "a.xyz").write_text('2\nLattice="5 0 0 0 6 0 0 0 7" Properties=species:S:1:pos:R:3:charge:R:1:force:R:3 energy=-1.5\nO 0 0 0 0.25 1 2 3\nH 1 0 0 -0.5 4 5 6\n')
+    given = frames.read_frames(spark, str(tmp_path / "a.xyz"))
+    frames.write_frames(given, str(tmp_path / "out"))
+    again = frames.read_frames(spark, str(tmp_path / "out" / "*.txt"))
+    keys = lambda f: [(r["symbol"], r["x"], r["extra"]) for r in frames.atoms_of(f).orderBy("atom_idx").collect()]
+    assert keys(again) == keys(given) and keys(given)[0][2] == {"charge": "0.25", "force": "1 2 3"}
+    (tmp_path / "y.dat").write_text("1.5\n-2\n\n3e1\n")
+    assert sorted(map(tuple, frames.read_vector(spark, str(tmp_path / "y.dat")).collect())) == [(0, 1.5), (1, -2.0), (2, 30.0)]
+
+
+def test_jobs_take_parameters(spark, tmp_path):
+    tables, out = "/root/testdata/sf0.001", str(tmp_path)
+    config = {"features": f"{tables}/embeddings.parquet", "train_sizes": [40, 80], "n_repeats": [2, 1], "test_size": 50, "zeta": 2.0, "jitter": 1e-2, "delta": 1.0, "seed": 3}
+    (tmp_path / "lc.json").write_text(json.dumps(config))
+    experiments.main(["learning-curve", "--config", str(tmp_path / "lc.json"), "--out", f"{out}/lc"])
+    assert sorted(r["n_train"] for r in spark.read.parquet(f"{out}/lc").collect()) == [40, 80]
+    experiments.main(["sparse-sweep", "--features", f"{tables}/embeddings.parquet", "--active", "10", "20", "--scale", "0.5", "2", "--delta", "1", "2", "--folds", "3", "--out", f"{out}/sweep"])
+    assert spark.read.parquet(f"{out}/sweep").count() == 8
+    experiments.main(["kernel-cv", "--features", f"{tables}/embeddings.parquet", "--delta", "1", "--folds", "2", "--first", "60", "--out", f"{out}/cv"])
+    assert spark.read.parquet(f"{out}/cv").count() == 1
