@@ -1,7 +1,7 @@
 """Chat formatting: records of unlike layouts become canonical turns, and those a marked text.
 
-A record's nested field paths are hashed to a fingerprint, which selects the declarative mapping
-from that layout to turns. All of it is DataFrame functions: no Python runs on the executors.
+A record's nested field paths, as far as any layout knows them, are hashed to a fingerprint, which
+selects the declarative mapping from that layout to turns. All of it is DataFrame functions: no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ TRAINED_ROLE = "assistant"
 
 @dataclass(frozen=True)
 class Layout:
-    """One layout of records. ``paths`` is the tree of its field paths, members in ascending order, values as ``*``.
+    """One layout of records.
 
     Either ``messages`` names an array and its members for role and text, or ``parts`` lists the
     turns in order: a role, and the members that its text joins (a line feed between, nulls and
@@ -30,14 +30,21 @@ class Layout:
     """
 
     name: str
-    paths: str
     messages: tuple[str, str, str] | None = None
     parts: tuple[tuple[str, tuple[str, ...]], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
 
+    @property
+    def paths(self) -> set[str]:
+        """The field paths that records of this layout have; [] stands for the members of an array."""
+        if self.messages is not None:
+            array, *members = self.messages
+            return {f"{array}[].{m}" for m in members}
+        return {m for _, members in self.parts for m in members}
+
     @property
     def fingerprint(self) -> str:
-        return hashlib.sha256(self.paths.encode()).hexdigest()
+        return hashlib.sha256("\n".join(sorted(self.paths)).encode()).hexdigest()
 
     def turns(self, record: Column) -> Column:
         def get(path: str, kind: str) -> Column:
@@ -55,19 +62,29 @@ class Layout:
 
 
 LAYOUTS = [
-    Layout("messages", "OBJECT<messages: ARRAY<OBJECT<content: *, role: *>>>", messages=("messages", "role", "content")),
-    Layout("shared", "OBJECT<conversations: ARRAY<OBJECT<from: *, value: *>>>", messages=("conversations", "from", "value"), roles=(("human", "user"), ("gpt", "assistant"))),
-    Layout("prompt", "OBJECT<prompt: *, response: *>", parts=(("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout("system_prompt", "OBJECT<prompt: *, response: *, system: *>", parts=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout("instruction", "OBJECT<instruction: *, output: *>", parts=(("user", ("instruction",)), ("assistant", ("output",)))),
-    Layout("instruction_input", "OBJECT<input: *, instruction: *, output: *>", parts=(("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Layout("messages", messages=("messages", "role", "content")),
+    Layout("shared", messages=("conversations", "from", "value"), roles=(("human", "user"), ("gpt", "assistant"))),
+    Layout("prompt", parts=(("user", ("prompt",)), ("assistant", ("response",)))),
+    Layout("system_prompt", parts=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Layout("instruction", parts=(("user", ("instruction",)), ("assistant", ("output",)))),
+    Layout("instruction_input", parts=(("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Layout("question", parts=(("user", ("question",)), ("assistant", ("answer",)))),
 ]
 
 
-def fingerprint(record: Column) -> Column:
-    """The SHA-256 of a variant record's nested field paths: its inferred schema without the types of values."""
-    paths = F.regexp_replace(F.schema_of_variant(record), r"(?<=: |ARRAY<)(?!OBJECT<|ARRAY<)[A-Z][A-Z_]*(?:\(\d+,\d+\))?(?=[,>])", "*")
-    return F.sha2(paths, 256)
+def has_path(record: Column, path: str) -> Column:
+    """Whether a variant record has the field ``path``; in an array, whether any member has."""
+    head, _, tail = path.partition("[].")
+    if not tail:
+        return F.try_variant_get(record, f"$.{path}", "variant").isNotNull()
+    members = F.try_variant_get(record, f"$.{head}", "array<variant>")
+    return F.coalesce(F.exists(members, lambda x: has_path(x, tail)), F.lit(False))
+
+
+def fingerprint(record: Column, layouts: list[Layout] = LAYOUTS) -> Column:
+    """The SHA-256 of those nested field paths of a variant record that any of ``layouts`` knows; other members do not matter."""
+    known = sorted(set().union(*(x.paths for x in layouts)))
+    return F.sha2(F.array_join(F.array(*(F.when(has_path(record, p), p) for p in known)), "\n"), 256)
 
 
 def escape(text: Column) -> Column:
@@ -90,11 +107,13 @@ def format_chats(records: DataFrame, *, record: str = "record", layouts: list[La
     ``formatted``, from code point 1 on. Columns of ``records`` of these names are replaced, and
     _print and _turns dropped.
 
-    Records of an unknown layout, and null records, have no turns: an empty text and no spans.
+    Members that no layout knows do not matter. Records with the paths of no layout, or of several
+    at once, and null records, have a null ``layout``, by which to count them, and no turns: an
+    empty text and no spans.
     Null roles and texts are empty ones. Empty messages have no turns. Repeated rows are formatted
     alike. An empty table gives an empty one. Each row is formatted where it lies; nothing is shuffled.
     """
-    marked = records.drop("_turns").withColumn("_print", fingerprint(F.col(record)))
+    marked = records.drop("_turns").withColumn("_print", fingerprint(F.col(record), layouts))
     cases = [(F.col("_print") == x.fingerprint, x) for x in layouts]
     name = F.coalesce(*(F.when(hit, x.name) for hit, x in cases))
     turns = F.coalesce(*(F.when(hit, x.turns(F.col(record))) for hit, x in cases), F.array().cast("array<struct<role:string,text:string>>"))

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atomloom.llm.common import valid_text
+
 #: Known sentences of public licences and licence notices, by identifier.
 SENTENCES = {
     "mit-notice": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License"],
@@ -21,7 +23,7 @@ SENTENCES = {
     "as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"],
     "apache-notice": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")"],
     "apache-condition": ["you may not use this file except in compliance with the License"],
-    "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
     "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3"],
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
@@ -31,6 +33,18 @@ SENTENCES = {
     "bsd-redistribution": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "bsd-endorsement": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "isc-as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"],
+    "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "lgpl21-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-free": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl3-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "mpl2-subject": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
+    "unlicense-free": ["This is free and unencumbered software released into the public domain"],
+    "cc0-notice": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"],
+    "cc-by-sa-notice": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "reserved-rights": ["All rights reserved"],
 }
 #: Rules: the licence, and the sentences that state it, in order; other sentences may stand between.
@@ -44,6 +58,16 @@ RULES = [
     ("cc-by-nc-notice", "CC-BY-NC-4.0", ["cc-by-nc-notice"]),
     ("cc-by-notice", "CC-BY-4.0", ["cc-by-notice"]),
     ("bsd-2-text", "BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
+    ("bsd-3-text", "BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorsement"]),
+    ("isc-text", "ISC", ["isc-grant", "isc-as-is"]),
+    ("gpl2-header", "GPL-2.0", ["gpl2-free"]),
+    ("lgpl21-header", "LGPL-2.1", ["lgpl21-free"]),
+    ("lgpl3-header", "LGPL-3.0", ["lgpl3-free"]),
+    ("agpl3-header", "AGPL-3.0", ["agpl3-free"]),
+    ("mpl2-header", "MPL-2.0", ["mpl2-subject", "mpl2-copy"]),
+    ("unlicense-text", "Unlicense", ["unlicense-free"]),
+    ("cc0-notice", "CC0-1.0", ["cc0-notice"]),
+    ("cc-by-sa-notice", "CC-BY-SA-4.0", ["cc-by-sa-notice"]),
     ("reserved-notice", "LicenseRef-All-Rights-Reserved", ["reserved-rights"]),
 ]
 #: A piece ends at a line's end, or after . ! ? or ; before white space.
@@ -67,14 +91,15 @@ def scan(docs: DataFrame, *, sentences: dict[str, list[str]] = SENTENCES, rules:
     last_sentence (numbers from 0 of the pieces where its first match begins and ends). A match
     takes each sentence of the rule where it ends first behind the one before; pieces without
     letters or digits are numbered but stand in no sentence's way. Documents without a match, null
-    and empty texts have no rows. Repeated rows of one doc_id are one document whose pieces stand
+    and empty texts have no rows. Bytes that are no UTF-8
+    count as U+FFFD. Repeated rows of one doc_id are one document whose pieces stand
     at the same numbers. An empty table gives an empty one.
 
     The sentence table is a parameter of a few rows. Whatever matches also stands in the whole
     normalised text, so texts without any known sentence are left before they are split; only
     hits are shuffled, and a document's own hits are all that is gathered.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.withColumn("text", valid_text("text"))
     named = spark.createDataFrame([(s, name) for name, texts in sentences.items() for s in texts], "sentence string, sentence_id string")
     # Normalised by the same expression as the texts; a marks-only entry would match blank sentences.
     known = sorted({tuple(r) for r in named.select(normalise(F.col("sentence")).alias("sentence"), "sentence_id").filter("sentence <> ''").collect()})

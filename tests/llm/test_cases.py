@@ -65,6 +65,15 @@ def test_license_scan_of_wrapped_texts(spark):
     assert license_scan.scan(docs(spark, rows), sentences={}).count() == 0
 
 
+def test_public_licence_headers(spark):
+    """Wrapped and commented as they stand in files."""
+    gpl2 = "/*\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.\n */"
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT SHALL"
+    got = {(r["doc_id"], r["license"]) for r in license_scan.scan(docs(spark, [(1, gpl2), (2, mpl), (3, isc)])).collect()}
+    assert got == {(1, "GPL-2.0"), (2, "MPL-2.0"), (3, "ISC")}
+
+
 # 2
 
 
@@ -146,6 +155,24 @@ def test_turns_tie_and_lack_values(spark):
     assert list(map(tuple, got[1])) == [("", ""), ("user", "a"), ("user", "a"), ("user", "b")] and list(map(tuple, got[None])) == [("user", "x")]
 
 
+def test_members_that_no_layout_knows(spark):
+    """They do not matter; records of no layout, or of several, are counted by their null layout."""
+    records = [
+        '{"messages":[{"role":"user","content":"a","name":"x"},{"role":"assistant","content":"b"}]}',
+        '{"id":7,"meta":{"k":[1,2]},"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b","weight":1}]}',
+        '{"prompt":5,"response":"b","tags":["t"]}',
+        '{"question":"a","answer":"b","source":{"url":"u"}}',
+        '{"prompt":"a","response":"b","messages":[{"role":"user","content":"a"}]}',
+        '{"text":"a"}',
+        "{}",
+        '{"messages":[]}',
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "i int, json string").select("i", F.expr("parse_json(json)").alias("record"))
+    got = {r["i"]: (r["layout"], [tuple(t) for t in r["turns"]]) for r in chat_format.format_chats(df).select("i", "layout", chat_format.read_turns(F.col("formatted")).alias("turns")).collect()}
+    two = lambda a: [("user", a), ("assistant", "b")]
+    assert got == {0: ("messages", two("a")), 1: ("shared", two("a")), 2: ("prompt", two("5")), 3: ("question", two("a")), 4: (None, []), 5: (None, []), 6: (None, []), 7: (None, [])}
+
+
 # 4
 
 
