@@ -32,7 +32,7 @@ class BallTree:
         todo = [(0, len(vectors), -1)]
         while todo:
             start, end, parent = todo.pop()
-            own = vectors[self.order[start:end]]
+            own = vectors[self.order[start:end]].astype(np.float64)
             centre = own.mean(axis=0, dtype=np.float64)
             node = len(centres)
             if parent >= 0:
@@ -83,18 +83,24 @@ def search(tree: BallTree, ids: np.ndarray, query: np.ndarray, own_id: int, boun
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors by rows, as floor(SCALE * x): doubles where no inner product can pass 2**53, else 64-bit integers, or Python's beyond those."""
     column = column.combine_chunks()
-    flat = column.flatten().to_numpy()
-    rows = flat.reshape(len(column), -1)
-    # Doubles multiply fast, and exactly where no sum can pass 2**53.
-    top = float(np.abs(rows).max(initial=0))
-    return rows.astype(np.float64) if top * top * max(rows.shape[1], 1) < 2**52 else rows
+    rows = column.flatten().to_numpy().reshape(len(column), -1)
+    with np.errstate(over="ignore"):
+        scaled = np.floor(rows * SCALE)
+    top = float(np.abs(scaled).max(initial=0))
+    if top * top * max(rows.shape[1], 1) < 2**52:
+        return scaled
+    if top * top * max(rows.shape[1], 1) < 2**62:
+        return scaled.astype(np.int64)
+    return np.array([[int(y) if np.isfinite(y) else int(x) * SCALE for x, y in zip(*both)] for both in zip(rows.tolist(), scaled.tolist())], object)
 
 
 def _both(vectors: pa.Table, queries: pa.Table, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     table, asked = _matrix(vectors.column("v")), _matrix(queries.column("v"))
-    if table.dtype != asked.dtype:
-        table, asked = table.astype(np.int64), asked.astype(np.int64)
+    if table.dtype != asked.dtype:  # either may be small where the other is not
+        exact = np.vectorize(int, otypes=[object])
+        table, asked = (x if x.dtype == object or not x.size else exact(x) for x in (table, asked))
     tree = BallTree(table)
     ids = vectors.column("vec_id").to_numpy()[tree.order]
     least = queries.column("least").to_pylist() if "least" in queries.column_names else [None] * len(queries)
@@ -103,6 +109,7 @@ def _both(vectors: pa.Table, queries: pa.Table, k: int) -> Iterator[tuple[int, l
         yield own, search(tree, ids, asked[i], own, bounds[i], k, -np.inf if least[i] is None else least[i])
 
 
+_LONG = 2**63 - 1
 _SEEDS = pa.schema([("vec_id", pa.int64()), ("least", pa.int64())])
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -115,9 +122,11 @@ def top_k(vectors: DataFrame, *, k: int = K, query_every: int = QUERY_EVERY, sha
     query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id, and fewer than ``k``
     candidates give fewer rows.
 
-    Rows with a null vec_id or vector, or null or non-finite components, take no part. vec_id is
-    a key: of rows that repeat it, the smallest vector counts. Vectors of another length than the
-    query's are no candidates; those of length 0 take no part. An empty table gives an empty one.
+    Rows with a null vec_id or vector, or null or non-finite components, take no part. Rows that
+    repeat a vec_id are candidates each for itself; where a query's rows do, it is the smallest of
+    its vectors. Scores are exact at any size of components, and returned as the nearest long
+    where they are beyond it. Vectors of another length than the query's are no candidates; those
+    of length 0 take no part. An empty table gives an empty one.
 
     Vectors and queries meet in cells, a shard of vectors by a block of queries, of bounded size.
     Only each cell's k best per query are shuffled again.
@@ -125,7 +134,7 @@ def top_k(vectors: DataFrame, *, k: int = K, query_every: int = QUERY_EVERY, sha
     clean = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).filter(
         "vec_id IS NOT NULL AND size(e) > 0 AND NOT exists(e, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
     )
-    scaled = clean.groupBy("vec_id").agg(F.min("e").alias("e")).select("vec_id", F.transform("e", lambda x: F.floor(x * SCALE)).alias("v"), F.size("e").alias("dim"))
+    scaled = clean.select("vec_id", F.col("e").alias("v"), F.size("e").alias("dim"))
     shards = max(1, -(-vectors.count() // shard_vectors))
     blocks = max(1, -(-shards * shard_vectors // (query_every * BLOCK_QUERIES)))
     rows = scaled.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
@@ -133,15 +142,17 @@ def top_k(vectors: DataFrame, *, k: int = K, query_every: int = QUERY_EVERY, sha
 
     def seeds(table: pa.Table) -> pa.Table:
         asked = table.filter(pa.array(table.column("vec_id").to_numpy() % query_every == 0))
-        found = [(own, best[k - 1][0] if len(best) == k else None) for own, best in _both(table, asked, k)] if len(asked) else []
-        return pa.Table.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(_SEEDS)], schema=_SEEDS)
+        found = [(own, best[k - 1][0] if len(best) == k and best[k - 1][0] > -_LONG else None) for own, best in _both(table, asked, k)] if len(asked) else []
+        return pa.Table.from_arrays([pa.array([x[i] if x[i] is None else min(x[i], _LONG) for x in found], f.type) for i, f in enumerate(_SEEDS)], schema=_SEEDS)
 
     def cell(table: pa.Table, asked: pa.Table) -> pa.Table:
-        found = [(own, i, score) for own, best in _both(table, asked, k) for score, i in best] if len(table) and len(asked) else []
+        found = [(own, i, max(-_LONG - 1, min(score, _LONG))) for own, best in _both(table, asked, k) for score, i in best] if len(table) and len(asked) else []
         return pa.Table.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(_FOUND)], schema=_FOUND)
 
     least = rows.groupBy("dim", "shard").applyInArrow(seeds, "vec_id long, least long")
-    queries = scaled.filter(is_query).join(least, "vec_id", "left").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
+    least = least.groupBy("vec_id").agg(F.when(F.count("*") == 1, F.min("least")).alias("least"))  # of a repeated one it is not known whose
+    asked = scaled.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    queries = asked.join(least, "vec_id", "left").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # columns of their own, beside those of rows
     left = rows.withColumn("block", every(blocks)).groupBy("dim", "shard", "block")

@@ -196,6 +196,16 @@ def test_top_k_by_brute_force(spark, copies):
     assert topk_search.top_k(df.filter("vec_id < 4 OR vec_id = 1100")).count() == 3  # fewer candidates than k
 
 
+def test_top_k_of_huge_components_and_repeated_rows(spark):
+    rows = [(0, [3e38, 1.0]), (1, [3e38, 2.0]), (2, [3e38, 2.0]), (3, [1e18, 5.0]), (4, [-3e38, 0.0]), (5, [0.0, 1.0]), (5, [0.0, 7.0]), (5, [0.0, 7.0])]
+    got = {}
+    for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    top, low = 2**63 - 1, -(2**63)
+    # Of two beyond the longs the larger stays first, though both are returned as the largest.
+    assert got == {0: [(1, top), (2, top), (3, top), (5, 7 * 1024 * 1024), (5, 7 * 1024 * 1024), (5, 1024 * 1024), (4, low)]}
+
+
 # 5
 
 
