@@ -176,8 +176,8 @@ def test_members_that_no_layout_knows(spark):
 # 4
 
 
-@pytest.mark.parametrize("copies", [0, 150])
-def test_top_k_by_brute_force(spark, copies):
+@pytest.mark.parametrize("copies, cells", [(0, {"shard_vectors": 100}), (150, {"shard_vectors": 8, "cell_queries": 1})])
+def test_top_k_by_brute_force(spark, copies, cells):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 8)).astype(np.float32)
     x[:copies] = x[0]  # ties
@@ -185,7 +185,7 @@ def test_top_k_by_brute_force(spark, copies):
     rows += [(700, None, 1), (800, [1.0] * 7 + [float("nan")], 1), (900, [1.0] * 7 + [None], 1), (1000, [float("inf")] * 8, 1), (1100, [1.0, 2.0], 1), (1200, [], 1), (None, [1.0] * 8, 1), (500, rows[500][1], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard int")
     got = {}
-    for r in topk_search.top_k(df, shard_vectors=100).orderBy("query_id", "rank").collect():
+    for r in topk_search.top_k(df, **cells).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     v = np.floor(x.astype(np.float64) * 1024).astype(np.int64)
     for q in range(0, 600, 100):
@@ -196,6 +196,12 @@ def test_top_k_by_brute_force(spark, copies):
     assert topk_search.top_k(df.filter("vec_id < 4 OR vec_id = 1100")).count() == 3  # fewer candidates than k
 
 
+def test_top_k_of_one_row_many_times(spark):
+    rows = spark.range(3000).selectExpr("if(id < 2900, 7, id) AS vec_id", "array(double(if(id < 2900, 1, 2)), 0D) AS embedding")
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in topk_search.top_k(rows.filter("vec_id = 7 OR vec_id IN (2900, 2901)"), k=4, shard_vectors=1).orderBy("rank").collect()]
+    assert got == [(2900, 2901, 4 * 1024**2), *[(2900, 7, 2 * 1024**2)] * 3]
+
+
 def test_top_k_of_huge_components_and_repeated_rows(spark):
     rows = [(0, [3e38, 1.0]), (1, [3e38, 2.0]), (2, [3e38, 2.0]), (3, [1e18, 5.0]), (4, [-3e38, 0.0]), (5, [0.0, 1.0]), (5, [0.0, 7.0]), (5, [0.0, 7.0])]
     got = {}
