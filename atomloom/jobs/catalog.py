@@ -106,8 +106,7 @@ def kernel_rect_train_test(spark, sf_dir):
 @query("kernel_sub", f"WITH {ENV} SELECT a.env_id AS i, b.env_id AS j, round(list_dot_product(a.f, b.f) ** 2, 9) + 0.0 AS k FROM env a, env b WHERE a.frame_id = 0 AND b.frame_id = 1")
 def kernel_sub(spark, sf_dir):
     env = environments(spark, sf_dir)
-    of = lambda frame: ids(env.filter(F.col("frame_id") == frame))
-    return rounded(kernels.sub_kernel(kernels.power_kernel(env, env, ZETA), of(0), of(1)), "k")
+    return rounded(kernels.power_kernel(env.filter("frame_id = 0"), env.filter("frame_id = 1"), ZETA), "k")
 
 
 @query("kernel_group_gradient", f"""WITH {ENV}, n AS (SELECT frame_id, count(*) AS n FROM env GROUP BY frame_id)
@@ -160,8 +159,8 @@ def sor_predict_m2(spark, sf_dir):
 @query("krr_predict_given_alpha", f"WITH {ENV} SELECT a.env_id AS id, round(4 * sum(list_dot_product(a.f, b.f) ** 2 * ((b.env_id % 7) - 3) / 10.0), 7) + 0.0 AS y_pred FROM env a, env b GROUP BY a.env_id")
 def krr_predict_given_alpha(spark, sf_dir):
     env = environments(spark, sf_dir)
-    alpha = env.select(F.col("env_id").alias("id"), (((F.col("env_id") % 7) - 3) / 10.0).alias("alpha"))
-    return rounded(regression.krr_predict(kernels.power_kernel(env, env, ZETA), alpha, delta=2.0), "y_pred", places=7)
+    train = env.withColumn("alpha", ((F.col("env_id") % 7) - 3) / 10.0)
+    return rounded(regression.krr_predict_rows(env, train, ZETA, delta=2.0), "y_pred", places=7)
 
 
 @query("krr_fit")
@@ -218,7 +217,8 @@ def fps_trace(spark, sf_dir):
 
 @query("fps_features", _FPS.format(source=f"{ENV}, {FLAT}, cols AS (SELECT i AS env_id, list(v ORDER BY env_id) AS f FROM flat GROUP BY i)", rows="cols", zeta=1))
 def fps_features(spark, sf_dir):
-    return selection.farthest_points(selection.transpose(environments(spark, sf_dir)), 10).select("rank", "id")
+    picked = selection.farthest_features(environments(spark, sf_dir), 10)
+    return spark.createDataFrame(list(enumerate(picked)), "rank long, id long")
 
 
 @query("select_features", f"WITH {ENV} SELECT env_id, 0::BIGINT AS k, f[4] AS v FROM env UNION ALL SELECT env_id, 1, f[1] FROM env UNION ALL SELECT env_id, 2, f[11] FROM env")
@@ -267,10 +267,10 @@ def distinct_species(spark, sf_dir):
     return atoms(spark, sf_dir).select("species").distinct()
 
 
-@query("union_frames", f"WITH {ATOMS} SELECT frame_id, count(*) AS n FROM (SELECT * FROM atoms WHERE frame_id < 3 UNION ALL SELECT * FROM atoms WHERE frame_id BETWEEN 2 AND 5) GROUP BY frame_id")
+@query("union_frames", f"WITH {ATOMS} SELECT frame_id, count(*) AS n FROM (SELECT * FROM atoms WHERE frame_id < 6 UNION ALL SELECT * FROM atoms WHERE frame_id >= 4) GROUP BY frame_id")
 def union_frames(spark, sf_dir):
     a = atoms(spark, sf_dir)
-    return a.filter("frame_id < 3").unionByName(a.filter("frame_id BETWEEN 2 AND 5")).groupBy("frame_id").agg(F.count("*").alias("n"))
+    return a.filter("frame_id < 6").unionByName(a.filter("frame_id >= 4")).groupBy("frame_id").agg(F.count("*").alias("n"))
 
 
 @query("holdout_except", f"WITH {ENV}, h AS (SELECT env_id FROM env WHERE env_id % 4 = 1) SELECT env_id FROM env EXCEPT SELECT env_id FROM h")
@@ -381,7 +381,7 @@ _IMAGE = "((b.{a} - a.{a}) - 8 * round_even((b.{a} - a.{a}) / 8, 0))"
   FROM atoms a JOIN atoms b ON a.frame_id = b.frame_id AND a.atom_idx <> b.atom_idx)
 SELECT frame_id, i, j, round(sqrt(r2), 9) + 0.0 AS r FROM p WHERE r2 < {RC * RC}""")
 def neighbours_image(spark, sf_dir):
-    return rounded(neighbours.neighbours_scan(atoms(spark, sf_dir), RC, cell=(8.0, 8.0, 8.0)).select("frame_id", "i", "j", "r"), "r")
+    return rounded(neighbours.neighbours_wrapped(atoms(spark, sf_dir), RC, (8.0, 8.0, 8.0)).select("frame_id", "i", "j", "r"), "r")
 
 
 @query("cutoff_weight", f"""WITH {ATOMS}, d AS (SELECT atom_idx, sqrt(x * x + y * y + z * z) AS r FROM atoms)
@@ -524,9 +524,9 @@ def alchemical_loss(spark, sf_dir):
     return spark.createDataFrame([("start", round(before, 6)), ("end", round(after, 6))], "step string, loss double")
 
 
-@query("centred_targets", f"WITH {ENV}, t AS (SELECT env_id AS id, frame_id::DOUBLE AS y FROM env ORDER BY env_id LIMIT 100) SELECT id, round(y - avg(y) OVER (), 9) + 0.0 AS y FROM t")
+@query("centred_targets", f"WITH {ENV}, t AS (SELECT env_id AS id, frame_id::DOUBLE AS y FROM env) SELECT id, round(y - avg(y) OVER (), 9) + 0.0 AS y FROM t")
 def centred_targets(spark, sf_dir):
-    return rounded(alchemy.centred(targets(environments(spark, sf_dir)), 100), "y")
+    return rounded(alchemy.centred(targets(environments(spark, sf_dir))), "y")
 
 
 # Model selection
@@ -564,8 +564,7 @@ def learning_curve_krr(spark, sf_dir):
 def fps_back_map(spark, sf_dir):
     """The map back from ten features picked far apart, as a table."""
     env = environments(spark, sf_dir)
-    chosen = [r["id"] for r in selection.farthest_points(selection.transpose(env), 10).orderBy("rank").collect()]
-    a = compression.back_map(env, chosen)
+    a = compression.back_map(env, selection.farthest_features(env, 10))
     rows = [(i, j, round(float(a[i, j]), 6) + 0.0) for i in range(len(a)) for j in range(len(a))]
     return spark.createDataFrame(rows, "i long, j long, a double")
 

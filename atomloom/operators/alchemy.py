@@ -121,9 +121,9 @@ def minimise(loss, start: np.ndarray, *, steps: int = 10, memory: int = 5, width
     return x, value
 
 
-def centred(rows: DataFrame, n_train: int) -> DataFrame:
-    """The first ``n_train`` of ``rows`` (id, y) with y less its mean over them."""
-    first = rows.orderBy("id").limit(n_train)
+def centred(rows: DataFrame, n_train: int | None = None) -> DataFrame:
+    """``rows`` (id, y), or the first ``n_train`` of them, with y less its mean over them."""
+    first = rows if n_train is None else rows.orderBy("id").limit(n_train)
     mean = first.agg(F.avg("y").alias("m"))
     return first.join(F.broadcast(mean)).withColumn("y", F.col("y") - F.col("m")).drop("m")
 

@@ -26,13 +26,14 @@ _BLOCK = "bi long, bj long, m binary"
 _PART = "block long, at long, y_pred double, explained double"
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder where driver and executors share ``spark.checkpoint.dir``; in local mode a temporary one where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
-    return f"{where.rstrip('/')}/atomloom-cholesky-{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/atomloom-{label}-{uuid.uuid4().hex}"
 
 
 def _places(ids: DataFrame, rows: int, first: int = 0) -> tuple[DataFrame, int]:
@@ -65,7 +66,7 @@ class Factor:
 
     def __init__(self, kernel: DataFrame, targets: DataFrame, *, jitter: float, delta: float = 1.0, extra: DataFrame | None = None, block_rows: int | None = None):
         spark, rows = kernel.sparkSession, block_rows or BLOCK_ROWS
-        self.spark, self.folder = spark, _folder(spark)
+        self.spark, self.folder = spark, shared_folder(spark, "cholesky")
         placed, self.n = _places(targets.select("id"), rows)
         self.places = self._write(placed, "places")
         entries = [kernel.select("i", "j", (F.lit(delta**2) * F.col("k")).alias("v")), targets.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(float(jitter)).alias("v"))]

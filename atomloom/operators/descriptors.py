@@ -13,6 +13,10 @@ from atomloom.functions.vectors import drop_small
 from atomloom.operators.neighbours import neighbours_binned
 
 
+#: Centres whose neighbours meet in one group, on average.
+GROUP_CENTRES = 64
+
+
 def descriptor_size(n_species: int, nmax: int, lmax: int) -> int:
     return n_species**2 * nmax**2 * (lmax + 1)
 
@@ -22,7 +26,8 @@ def power_spectra(centres: DataFrame, pairs: DataFrame, species: list[int], *, r
 
     ``pairs`` are neighbours within ``rc`` (frame_id, i, j, species, dx, dy, dz, r); a centre
     counts as its own neighbour too. Features run over (species, species, n, n', l). Species that
-    are not listed are left out. Each centre's neighbours, bounded by the cutoff, meet in one group.
+    are not listed are left out. Each centre's neighbours, bounded by the cutoff, meet in one
+    group, of about GROUP_CENTRES centres.
     """
     at = {s: k for k, s in enumerate(species)}
     around = pairs.select("frame_id", F.col("i").alias("atom_idx"), "species", "dx", "dy", "dz", cutoff_weight(F.col("r"), rc).alias("w"))
@@ -30,7 +35,7 @@ def power_spectra(centres: DataFrame, pairs: DataFrame, species: list[int], *, r
     wanted = around.join(centres.select("frame_id", "atom_idx"), ["frame_id", "atom_idx"], "left_semi")
     rows = wanted.unionByName(own).filter(F.col("species").isin(list(species)) & (F.col("w") > 0))
 
-    def one(table: pa.Table) -> pa.Table:
+    def spectrum(table: pa.Table) -> np.ndarray:
         d = np.stack([table.column(c).to_numpy() for c in ("dx", "dy", "dz")], axis=1)
         w, kind = table.column("w").to_numpy(), np.array([at[s] for s in table.column("species").to_pylist()])
         f = [density(d[kind == k], w[kind == k], nmax=nmax, lmax=lmax, rc=rc, sigma=sigma) if (kind == k).any() else None for k in range(len(at))]
@@ -39,10 +44,18 @@ def power_spectra(centres: DataFrame, pairs: DataFrame, species: list[int], *, r
             for t in range(len(at)):
                 if f[s] is not None and f[t] is not None:
                     p[s, t] = power_spectrum(f[s], f[t])
-        flat = p.ravel() / (np.sqrt((p**2).sum()) or 1.0)
-        return pa.table({"frame_id": table.column("frame_id").slice(0, 1), "atom_idx": table.column("atom_idx").slice(0, 1), "features": pa.array([flat])})
-
-    return rows.groupBy("frame_id", "atom_idx").applyInArrow(one, "frame_id long, atom_idx long, features array<double>")
+        return p.ravel() / (np.sqrt((p**2).sum()) or 1.0)
+
+    def group(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("frame_id", "ascending"), ("atom_idx", "ascending")])
+        frame, atom = table.column("frame_id").to_numpy(), table.column("atom_idx").to_numpy()
+        starts = [0, *(np.flatnonzero((frame[1:] != frame[:-1]) | (atom[1:] != atom[:-1])) + 1)]
+        found = [spectrum(table.slice(s, e - s)) for s, e in zip(starts, [*starts[1:], len(frame)])]
+        return pa.table({"frame_id": frame[starts], "atom_idx": atom[starts], "features": pa.array(found, pa.list_(pa.float64()))})
+
+    groups = max(1, -(-centres.count() // GROUP_CENTRES))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("frame_id", "atom_idx"), F.lit(groups)))
+    return rows.groupBy("group").applyInArrow(group, "frame_id long, atom_idx long, features array<double>")
 
 
 def describe(atoms: DataFrame, species: list[int], *, rc: float, nmax: int, lmax: int, sigma: float, mean: bool = False, sparse: float | None = None) -> DataFrame:

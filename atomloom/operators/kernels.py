@@ -64,6 +64,26 @@ def _cells(left: DataFrame, right: DataFrame, zeta: float, block_rows: int, grou
     return a.groupBy("bi", "bj").cogroup(b.groupBy("bi", "bj")).applyInArrow(pairs, schema)
 
 
+def weighted_kernel(left: DataFrame, right: DataFrame, zeta: float, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(i, s): the sum of (x_i . y_j) ** zeta * alpha_j over ``right`` (env_id, features, alpha), for each of ``left`` (env_id, features).
+
+    Each cell sums over its j before anything is shuffled, so no pair leaves a task.
+    """
+    (a, n_a), (b, n_b) = _blocks(left.select("env_id", "features"), block_rows, 0), _blocks(right.select("env_id", "features", "alpha"), block_rows, 1)
+    a = a.withColumnRenamed("block", "bi").withColumn("bj", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
+    b = b.withColumnRenamed("block", "bj").withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(n_a - 1))))
+    b = b.select(*(F.col(c).alias(c) for c in b.columns))
+
+    def sums(x: pa.Table, y: pa.Table) -> pa.Table:
+        s = np.zeros(len(x))
+        if len(x) and len(y):
+            s = (_stack(x.column("features")) @ _stack(y.column("features")).T) ** zeta @ y.column("alpha").to_numpy()
+        return pa.table({"i": x.column("env_id"), "s": s})
+
+    cells = a.groupBy("bi", "bj").cogroup(b.groupBy("bi", "bj")).applyInArrow(sums, "i long, s double")
+    return cells.groupBy("i").agg(F.sum("s").alias("s"))
+
+
 def power_kernel_symmetric(rows: DataFrame, zeta: float, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """power_kernel of ``rows`` with themselves from one triangle: i >= j is computed, the rest mirrored.
 

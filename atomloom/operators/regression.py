@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomloom.operators.cholesky import Factor
+from atomloom.operators.kernels import weighted_kernel
 
 MAX_DENSE = 5000
 
@@ -41,6 +42,11 @@ def krr_predict(kernel: DataFrame, alpha: DataFrame, *, delta: float = 1.0) -> D
     return joined.groupBy(F.col("i").alias("id")).agg((delta**2 * F.sum(F.col("k") * F.col("alpha"))).alias("y_pred"))
 
 
+def krr_predict_rows(rows: DataFrame, train: DataFrame, zeta: float, *, delta: float = 1.0) -> DataFrame:
+    """krr_predict for ``rows`` (env_id, features) and ``train`` (env_id, features, alpha), without a kernel between them being made."""
+    return weighted_kernel(rows, train, zeta).select(F.col("i").alias("id"), (delta**2 * F.col("s")).alias("y_pred"))
+
+
 def krr_fast_cv(kernel: DataFrame, targets: DataFrame, folds: DataFrame, *, jitter: float, delta: float = 1.0) -> DataFrame:
     """(id, fold, y_pred): what each row is predicted by a model without its fold. ``folds`` (id, fold).
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atomloom.operators.order import running
+
 
 def scores(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """mae, rmse, sup and r2 of ``rows`` (y_pred, y), in one aggregation; of each group where ``by`` names columns.
@@ -25,13 +27,12 @@ def scores(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 def spearman(rows: DataFrame) -> DataFrame:
     """The rank correlation of ``rows`` (y_pred, y), equal values with their mean rank.
 
-    Ranks come from counts of distinct values, so rows that tie are summed before they are ranked.
+    Ranks come from counts of distinct values, so rows that tie are summed before they are ranked, by ranges.
     """
 
     def ranked(name: str) -> DataFrame:
         counts = rows.groupBy(name).agg(F.count("*").alias("c"))
-        upto = F.sum("c").over(Window.orderBy(name))
-        return counts.select(name, (upto - (F.col("c") - 1) / 2).alias(f"rank_{name}"))
+        return running(counts, [F.col(name)], weight="c").select(name, (F.col("before") + (F.col("c") + 1) / 2).alias(f"rank_{name}"))
 
     both = rows.join(ranked("y_pred"), "y_pred").join(ranked("y"), "y")
     return both.agg(F.corr("rank_y_pred", "rank_y").alias("spearman"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atomloom.operators.order import running
+
 #: Steps after which the running distances are written out instead of being derived again.
 WRITE_EVERY = 25
 
@@ -54,11 +56,37 @@ def farthest_points(rows: DataFrame, n_select: int, *, zeta: float = 1.0, start:
     return spark.createDataFrame([(r, i, float(d)) for r, (i, d) in enumerate(zip(picked, [*trace, 0.0]))], "rank long, id long, distance double")
 
 
-def transpose(rows: DataFrame) -> DataFrame:
-    """Features as rows: (env_id = feature number, features = its values by ascending env_id). For row counts that fit one value."""
-    long = rows.select("env_id", F.posexplode("features").alias("i", "v"))
-    gathered = long.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("env_id", "v"))).alias("r"))
-    return gathered.select(F.col("i").cast("long").alias("env_id"), F.transform("r", lambda p: p["v"]).alias("features"))
+def feature_products(rows: DataFrame) -> np.ndarray:
+    """X^T X of ``rows`` (features): d x d numbers, summed on each task before they move."""
+
+    def partial(batches):
+        total = 0.0
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+            total = total + x.T @ x
+        if np.ndim(total):
+            yield pa.record_batch([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
+
+    sums = rows.select("features").mapInArrow(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow()
+    v = sums.column("v").to_numpy()
+    return v.reshape(int(np.sqrt(len(v))), -1)
+
+
+def farthest_features(rows: DataFrame, n_select: int, *, start: int = 0) -> list[int]:
+    """Features picked one by one, each farthest, over all ``rows`` (features), from those before; ties go to the smaller.
+
+    Squared distances of columns follow from the products of features, so one pass is all that reads the rows.
+    """
+    g = feature_products(rows)
+    if not len(g):
+        return []
+    picked, d = [start], np.full(len(g), np.inf)
+    while len(picked) < min(n_select, len(g)):
+        p = picked[-1]
+        d = np.minimum(d, np.diag(g) + g[p, p] - 2 * g[p])
+        d[picked] = -np.inf
+        picked.append(int(d.argmax()))
+    return picked
 
 
 def select_samples(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
@@ -82,18 +110,12 @@ def symmetry_inverse(atoms: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def env_mapping(atoms: DataFrame, species: int) -> DataFrame:
-    """(frame_id, env_id): atoms of a species numbered from 0 by frame and position.
-
-    Counts by frame are added up first, so the only unpartitioned window is over one row a frame.
-    """
-    kept = atoms.filter(F.col("species") == species)
-    offsets = frame_offsets(kept).select("frame_id", "start")
-    within = F.row_number().over(Window.partitionBy("frame_id").orderBy("atom_idx")) - 1
-    return kept.withColumn("w", within).join(offsets, "frame_id").select("frame_id", (F.col("start") + F.col("w")).alias("env_id"))
+    """(frame_id, env_id): atoms of a species numbered from 0 by frame and position; a large frame is ranked in parts too."""
+    kept = atoms.filter(F.col("species") == species).select("frame_id", "atom_idx")
+    return running(kept, [F.col("frame_id"), F.col("atom_idx")]).select("frame_id", F.col("before").alias("env_id"))
 
 
 def frame_offsets(atoms: DataFrame) -> DataFrame:
     """(frame_id, n, start): centres of each frame, and those of all frames before."""
     counts = atoms.groupBy("frame_id").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("frame_id").rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select("frame_id", "n", F.coalesce(before, F.lit(0)).alias("start"))
+    return running(counts, [F.col("frame_id")], weight="n").withColumnRenamed("before", "start")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atomloom.operators.order import running
+
 
 def shuffle_key(seed: Column | int, key: str) -> Column:
     seed = F.lit(seed) if isinstance(seed, int) else seed
@@ -21,10 +23,13 @@ def _order(key: str, seed: int | None) -> list[Column]:
 def k_fold(ids: DataFrame, n_splits: int, *, key: str = "id", seed: int | None = None) -> DataFrame:
     """(key, fold): ``n_splits`` folds of consecutive rows, the first ones larger by one where they do not divide.
 
-    Ids are ranked in one window: they are one narrow column, and the fold of each depends on all.
+    Ids are ranked by ranges, so no task sees all of them.
     """
-    fold = F.ntile(n_splits).over(Window.orderBy(*_order(key, seed))) - 1
-    return ids.select(key).withColumn("fold", fold.cast("long"))
+    ranked = running(ids.select(key), _order(key, seed))
+    size, larger = divmod(ids.count(), n_splits)
+    at, cut = F.col("before"), larger * (size + 1)
+    fold = F.when(at < cut, F.floor(at / (size + 1))).otherwise(larger + F.floor((at - cut) / max(size, 1)))
+    return ranked.select(key, fold.cast("long").alias("fold"))
 
 
 def fold_roles(folds: DataFrame, n_splits: int, *, key: str = "id") -> DataFrame:
@@ -63,7 +68,8 @@ def learning_curve_split(ids: DataFrame, train_sizes: list[int], n_repeats: list
     dealt = ids.select(key, plan.alias("p")).select(key, "p.n_train", "p.repeat")
     order = shuffle_key(F.concat_ws(":", F.lit(seed).cast("string"), F.col("n_train").cast("string"), F.col("repeat").cast("string")), key)
     at = F.row_number().over(Window.partitionBy("n_train", "repeat").orderBy(order, key))
-    dealt = dealt.withColumn("at", at).filter(F.col("at") <= n_test + F.col("n_train"))
+    # The first filter, on a constant, lets each task drop what comes too late before it moves.
+    dealt = dealt.withColumn("at", at).filter(F.col("at") <= n_test + max(train_sizes, default=0)).filter(F.col("at") <= n_test + F.col("n_train"))
     return dealt.select("n_train", "repeat", key, F.when(F.col("at") <= n_test, "test").otherwise("train").alias("role"))
 
 
