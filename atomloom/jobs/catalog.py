@@ -6,6 +6,7 @@ first three components (species: label modulo 4); predictions come from ``lineit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from atomloom.functions import geometry, vectors
 from atomloom.operators import alchemy, compression, descriptors, kernels, model_selection, neighbours, regression, scores, selection, splits
+from atomloom.operators.cholesky import shared_folder
 from atomloom.tables import environments, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,29 +121,60 @@ def kernel_group_gradient(spark, sf_dir):
     return rounded(kernels.spread_gradient(groups, env.select("env_id", "frame_id")), "g", places=12)
 
 
-# Low-rank regression: the active environments are those of the smallest ids.
+# Selection by farthest points, as SQL that picks while ``more`` holds
 
-_SOR = f"""WITH {ENV}, m AS (SELECT * FROM env WHERE env_id < {{m}}),
-c AS (SELECT m.env_id AS i, e.env_id AS n, e.frame_id::DOUBLE AS y, list_dot_product(m.f, e.f) ** 2 AS k FROM m, env e)"""
+_FPS_STEPS = """WITH RECURSIVE {source},
+step(n, id, d, p) AS (
+  SELECT 0, env_id, 'infinity'::DOUBLE, (SELECT min(env_id) FROM {rows}) FROM {rows}
+  UNION ALL
+  SELECT s.n + 1, s.id, s.e, first_value(s.id) OVER (ORDER BY s.e DESC, s.id)
+  FROM (
+    SELECT s.n, s.id, least(s.d, list_dot_product(a.f, a.f) ** {zeta} + list_dot_product(b.f, b.f) ** {zeta} - 2 * list_dot_product(a.f, b.f) ** {zeta}) AS e
+    FROM step s JOIN {rows} a ON a.env_id = s.id JOIN {rows} b ON b.env_id = s.p) s
+  WHERE {more})"""
+
+# Low-rank regression: the active environments are the farthest points, half the square root of the table in number.
+
+_CROSS = "c AS (SELECT m.env_id AS i, e.env_id AS n, e.frame_id::DOUBLE AS y, list_dot_product(m.f, e.f) ** 2 AS k FROM m, env e)"
+_SOR = _FPS_STEPS.format(source=ENV, rows="env", zeta=2, more="s.n + 1 < (SELECT ceil(sqrt(count(*)) / 2) FROM env)") + f", m AS (SELECT * FROM env WHERE env_id IN (SELECT p FROM step)), {_CROSS}"
+_SOR_2 = f"WITH {ENV}, m AS (SELECT * FROM env WHERE env_id < 2), {_CROSS}"
+
+
+def active_ids(env: DataFrame) -> list[int]:
+    """Farthest points in the order in which they are picked: few, as they are the size of the dense system."""
+    n = math.ceil(math.sqrt(env.count()) / 2)
+    return [r["id"] for r in selection.farthest_points(env, n, zeta=ZETA, folder=shared_folder(env.sparkSession, "farthest")).orderBy("rank").collect()]
 
 
-def sor(spark, sf_dir, m: int):
+def sor(spark, sf_dir, active: list[int] | None = None):
     env = environments(spark, sf_dir)
-    return kernels.sor_system(env, env.filter(F.col("env_id") < m), env.select("env_id", F.col("frame_id").cast("double").alias("y")), ZETA, 1.0)
+    active = active_ids(env) if active is None else active
+    return kernels.sor_system(env, env.filter(F.col("env_id").isin(active)), env.select("env_id", F.col("frame_id").cast("double").alias("y")), ZETA, 1.0)
 
 
-@query("sor_gram", _SOR.format(m=10) + """, g AS (SELECT a.i, b.i AS j, sum(a.k * b.k) AS s FROM c a JOIN c b USING (n) GROUP BY a.i, b.i)
+@query("sor_gram", _SOR + """, g AS (SELECT a.i, b.i AS j, sum(a.k * b.k) AS s FROM c a JOIN c b USING (n) GROUP BY a.i, b.i)
 SELECT g.i, g.j, round(s + c.k, 7) + 0.0 AS k FROM g JOIN c ON c.i = g.i AND c.n = g.j""")
 def sor_gram(spark, sf_dir):
-    return rounded(sor(spark, sf_dir, 10)[0], "k", places=7)
+    return rounded(sor(spark, sf_dir)[0], "k", places=7)
 
 
-@query("sor_rhs", _SOR.format(m=10) + " SELECT i, round(sum(k * y), 7) + 0.0 AS b FROM c GROUP BY i")
+@query("sor_rhs", _SOR + " SELECT i, round(sum(k * y), 7) + 0.0 AS b FROM c GROUP BY i")
 def sor_rhs(spark, sf_dir):
-    return rounded(sor(spark, sf_dir, 10)[1], "b", places=7)
+    return rounded(sor(spark, sf_dir)[1], "b", places=7)
 
 
-@query("sor_predict_m2", _SOR.format(m=2) + """, g AS (SELECT a.i, b.i AS j, sum(a.k * b.k) AS s FROM c a JOIN c b USING (n) GROUP BY a.i, b.i),
+@query("sor_fit_residual", _SOR + " SELECT i, round(sum(k * y), 4) + 0.0 AS b FROM c GROUP BY i")
+def sor_fit_residual(spark, sf_dir):
+    """(gram + jitter I) alpha of the low-rank fit, which must be its right side again."""
+    gram, rhs, _ = sor(spark, sf_dir)
+    gram = gram.persist()
+    alpha = regression.sor_fit(gram, rhs, jitter=1e-8)
+    back = gram.join(alpha.withColumnRenamed("id", "j"), "j").groupBy("i").agg(F.sum(F.col("k") * F.col("alpha")).alias("s"))
+    back = back.join(alpha.withColumnRenamed("id", "i"), "i").select("i", (F.col("s") + 1e-8 * F.col("alpha")).alias("b"))
+    return rounded(back, "b", places=4)
+
+
+@query("sor_predict_m2", _SOR_2 + """, g AS (SELECT a.i, b.i AS j, sum(a.k * b.k) AS s FROM c a JOIN c b USING (n) GROUP BY a.i, b.i),
 q AS (SELECT g.i, g.j, s + c.k + CASE WHEN g.i = g.j THEN 1e-8 ELSE 0 END AS v FROM g JOIN c ON c.i = g.i AND c.n = g.j),
 r AS (SELECT i, sum(k * y) AS b FROM c GROUP BY i),
 w AS (SELECT max(v) FILTER (WHERE i = 0 AND j = 0) AS a, max(v) FILTER (WHERE i = 0 AND j = 1) AS b, max(v) FILTER (WHERE i = 1 AND j = 1) AS d FROM q),
@@ -149,7 +182,8 @@ t AS (SELECT max(b) FILTER (WHERE i = 0) AS p, max(b) FILTER (WHERE i = 1) AS q
 s AS (SELECT (p * d - b * q) / (a * d - b * b) AS x0, (a * q - b * p) / (a * d - b * b) AS x1 FROM w, t)
 SELECT n AS id, round(sum(k * CASE i WHEN 0 THEN x0 ELSE x1 END), 6) + 0.0 AS y_pred FROM c, s GROUP BY n""")
 def sor_predict_m2(spark, sf_dir):
-    gram, rhs, cross = sor(spark, sf_dir, 2)
+    """Predictions of the fit with two active environments, for which SQL can solve the system."""
+    gram, rhs, cross = sor(spark, sf_dir, [0, 1])
     return rounded(regression.krr_predict(cross, regression.sor_fit(gram, rhs)), "y_pred", places=6)
 
 
@@ -193,15 +227,7 @@ def conjugate_gradients(spark, sf_dir):
 
 # Selection
 
-_FPS = """WITH RECURSIVE {source},
-step(n, id, d, p) AS (
-  SELECT 0, env_id, 'infinity'::DOUBLE, (SELECT min(env_id) FROM {rows}) FROM {rows}
-  UNION ALL
-  SELECT s.n + 1, s.id, s.e, first_value(s.id) OVER (ORDER BY s.e DESC, s.id)
-  FROM (
-    SELECT s.n, s.id, least(s.d, list_dot_product(a.f, a.f) ** {zeta} + list_dot_product(b.f, b.f) ** {zeta} - 2 * list_dot_product(a.f, b.f) ** {zeta}) AS e
-    FROM step s JOIN {rows} a ON a.env_id = s.id JOIN {rows} b ON b.env_id = s.p) s
-  WHERE s.n < 9)
+_FPS = _FPS_STEPS.replace("{more}", "s.n < 9") + """
 SELECT n::BIGINT AS rank, min(p) AS id FROM step GROUP BY n"""
 
 
@@ -520,7 +546,7 @@ def alchemical_loss(spark, sf_dir):
     rows = environments(spark, sf_dir).select(F.col("env_id").alias("id"), F.col("frame_id").cast("double").alias("y"), "features")
     _, u = alchemy.leading_vectors(alchemy.element_similarity(alchemy.elements(spark).filter("z IN (6, 8)")), 1)
     before = alchemy.cross_loss(rows, u, 1e-3)
-    _, after = alchemy.minimise(lambda v: alchemy.cross_loss(rows, v, 1e-3), u, steps=1)
+    _, after = alchemy.minimise(lambda v: alchemy.cross_loss(rows, v, 1e-3), u)
     return spark.createDataFrame([("start", round(before, 6)), ("end", round(after, 6))], "step string, loss double")
 
 
@@ -537,21 +563,23 @@ def sor_cv_scores(spark, sf_dir):
     env = environments(spark, sf_dir)
     rows = env.select("env_id", "features", F.col("frame_id").cast("double").alias("y"))
     folds = splits.k_fold(env.select("env_id"), 4, key="env_id", seed=1)
-    return _rounded_scores(model_selection.sor_cross_validate(rows, env.filter("env_id < 20"), folds, zeta=ZETA, scales=[0.5, 1.0, 2.0]))
+    return _rounded_scores(model_selection.sor_cross_validate(rows, env.filter(F.col("env_id").isin(active_ids(env))), folds, zeta=ZETA, scales=[0.5, 1.0, 2.0]))
 
 
 @query("sor_sweep")
 def sor_sweep(spark, sf_dir):
-    """Mean scores over folds for sizes of the active set and scales."""
+    """Mean scores over folds for sizes of the active set, the first points of one selection, and scales."""
     env = environments(spark, sf_dir)
     rows = env.select("env_id", "features", F.col("frame_id").cast("double").alias("y"))
     folds = splits.k_fold(env.select("env_id"), 4, key="env_id", seed=1)
 
+    active = active_ids(env)
+
     def score(n_active: int) -> DataFrame:
-        found = model_selection.sor_cross_validate(rows, env.filter(F.col("env_id") < n_active), folds, zeta=ZETA, scales=[0.5, 2.0])
+        found = model_selection.sor_cross_validate(rows, env.filter(F.col("env_id").isin(active[:n_active])), folds, zeta=ZETA, scales=[0.5, 2.0])
         return scores.mean_scores(found, ["scale"])
 
-    return _rounded_scores(model_selection.grid_search({"n_active": [5, 10, 20]}, score))
+    return _rounded_scores(model_selection.grid_search({"n_active": sorted({-(-len(active) // 4), -(-len(active) // 2), len(active)})}, score))
 
 
 @query("learning_curve_krr")

@@ -49,6 +49,27 @@ def reduced_features(rows: DataFrame, u: np.ndarray) -> DataFrame:
     return rows.select("id", "y", "features").mapInArrow(run, "id long, y double, features array<double>")
 
 
+def half_sums(rows: DataFrame) -> list[np.ndarray]:
+    """For each half of ``rows`` (id, y, features), by parity of id: the products of (features, y, 1) with themselves, in one pass."""
+
+    def run(batches):
+        totals = [None, None]
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+            both = np.concatenate((x, batch.column("y").to_numpy()[:, None], np.ones((batch.num_rows, 1))), axis=1)
+            odd = batch.column("id").to_numpy() % 2 != 0
+            for half, own in enumerate((both[~odd], both[odd])):
+                totals[half] = own.T @ own + (0.0 if totals[half] is None else totals[half])
+        for half, total in enumerate(totals):
+            if total is not None:
+                yield pa.record_batch([pa.array(np.full(total.size, half)), pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["half", "i", "v"])
+
+    table = rows.mapInArrow(run, "half long, i long, v double").groupBy("half", "i").agg(F.sum("v").alias("v")).orderBy("half", "i").toArrow()
+    half, v = table.column("half").to_numpy(), table.column("v").to_numpy()
+    d = int(np.sqrt(max((half == 0).sum(), (half == 1).sum(), 4)))
+    return [v[half == h].reshape(d, d) if (half == h).any() else np.zeros((d, d)) for h in (0, 1)]
+
+
 def ridge(rows: DataFrame, penalty: float) -> np.ndarray:
     """Weights of a linear fit of y by ``rows`` (y, features); sums of products are formed on each task and added up."""
 
@@ -69,15 +90,16 @@ def ridge(rows: DataFrame, penalty: float) -> np.ndarray:
 
 
 def cross_loss(rows: DataFrame, u: np.ndarray, penalty: float) -> float:
-    """The mean squared error of two halves of ``rows`` (by parity of id), each predicted by a fit to the other."""
-    reduced = reduced_features(rows, u)
-    total, count = 0.0, 0
-    for half in (0, 1):
-        w = ridge(reduced.filter(F.pmod("id", F.lit(2)) != half), penalty)
-        dotted = F.aggregate(F.zip_with("features", F.array(*map(F.lit, map(float, w))), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        error = reduced.filter(F.pmod("id", F.lit(2)) == half).agg(F.sum(F.pow(dotted - F.col("y"), 2)).alias("s"), F.count("*").alias("n")).first()
-        total, count = total + (error["s"] or 0.0), count + error["n"]
-    return total / max(count, 1)
+    """The mean squared error of two halves of ``rows`` (by parity of id), each predicted by a fit to the other.
+
+    Fits and errors follow from the sums of products of either half, so a value is one pass.
+    """
+    halves = half_sums(reduced_features(rows, u))
+    total = 0.0
+    for own, other in (halves, halves[::-1]):
+        w = np.linalg.solve(other[:-2, :-2] + penalty * np.eye(len(other) - 2), other[:-2, -2])
+        total += float(w @ own[:-2, :-2] @ w - 2 * w @ own[:-2, -2] + own[-2, -2])
+    return total / max(float(halves[0][-1, -1] + halves[1][-1, -1]), 1.0)
 
 
 def minimise(loss, start: np.ndarray, *, steps: int = 10, memory: int = 5, width: float = 1e-4) -> tuple[np.ndarray, float]:

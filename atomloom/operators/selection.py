@@ -69,7 +69,8 @@ def feature_products(rows: DataFrame) -> np.ndarray:
 
     sums = rows.select("features").mapInArrow(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow()
     v = sums.column("v").to_numpy()
-    return v.reshape(int(np.sqrt(len(v))), -1)
+    d = int(np.sqrt(len(v)))
+    return v.reshape(d, d)
 
 
 def farthest_features(rows: DataFrame, n_select: int, *, start: int = 0) -> list[int]:

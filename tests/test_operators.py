@@ -309,3 +309,54 @@ def test_describe_options(spark):
     assert all(np.allclose(mean[f], np.mean([each[f, i] for i in range(5)], axis=0)) for f in range(2))
     sparse = {(r["frame_id"], r["atom_idx"]): {p["i"]: p["v"] for p in r["features"]} for r in descriptors.describe(atoms, [0, 1], sparse=0.05, **kw).collect()}
     assert all(p == {i: x for i, x in enumerate(each[k]) if abs(x) >= 0.05} for k, p in sparse.items())
+
+
+def test_neighbours_wrapped_finds_what_the_scan_finds(spark):
+    x = np.random.default_rng(4).uniform(-9, 9, (60, 3))
+    atoms = spark.createDataFrame([(i % 2, i, 0, *map(float, p)) for i, p in enumerate(x)], "frame_id long, atom_idx long, species long, x double, y double, z double")
+    for cell in ((8.0, 8.0, 8.0), (4.0, 5.5, 9.0), (2.6, 12.0, 7.0)):
+        want, got = (sorted((r["i"], r["j"], round(r["r"], 9)) for r in found.collect()) for found in (neighbours.neighbours_scan(atoms, 2.5, cell=cell), neighbours.neighbours_wrapped(atoms, 2.5, cell)))
+        assert want == got and want
+
+
+def test_running_totals_over_several_ranges(spark):
+    from atomloom.operators.order import running
+
+    rows = spark.range(1000).selectExpr("id * 7 % 1000 AS id", "id % 3 AS w")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r["id"]: (r["w"], r["before"]) for r in running(rows, [F.desc("id")], weight="w").collect()}
+        numbers = {r["id"]: r["before"] for r in running(rows, [F.col("id")]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    total = 0
+    for i in sorted(got, reverse=True):
+        assert got[i][1] == total
+        total += got[i][0]
+    assert numbers == {i: i for i in range(1000)}
+    assert running(rows.limit(0), [F.col("id")]).count() == 0
+
+
+def test_farthest_features_by_columns(spark):
+    x = np.random.default_rng(5).normal(size=(40, 12))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "env_id long, features array<double>")
+    picked, d = [0], np.full(12, np.inf)
+    while len(picked) < 12:
+        d = np.minimum(d, ((x - x[:, [picked[-1]]]) ** 2).sum(axis=0))
+        d[picked] = -1
+        picked.append(int(d.argmax()))
+    assert selection.farthest_features(rows, 20) == picked
+    assert selection.farthest_features(rows.limit(0), 3) == []
+
+
+def test_cross_loss_is_that_of_two_fits(spark):
+    rng = np.random.default_rng(6)
+    x, y, u = rng.normal(size=(30, 8)), rng.normal(size=30), np.array([[0.5], [1.5]])
+    rows = spark.createDataFrame([(i, float(y[i]), [float(v) for v in x[i]]) for i in range(30)], "id long, y double, features array<double>")
+    z = np.einsum("sa,tb,zstr->zabr", u, u, x.reshape(30, 2, 2, -1)).reshape(30, -1)
+    error = 0.0
+    for half in (0, 1):
+        fit, test = np.arange(30) % 2 != half, np.arange(30) % 2 == half
+        w = np.linalg.solve(z[fit].T @ z[fit] + 0.1 * np.eye(z.shape[1]), z[fit].T @ y[fit])
+        error += ((z[test] @ w - y[test]) ** 2).sum()
+    assert np.isclose(alchemy.cross_loss(rows, u, 0.1), error / 30)
