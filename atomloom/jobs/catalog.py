@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from atomloom.functions import geometry, vectors
 from atomloom.operators import alchemy, compression, descriptors, kernels, model_selection, neighbours, regression, scores, selection, splits
 from atomloom.operators.cholesky import shared_folder
+from atomloom.sources import frames, scf, shielding
 from atomloom.tables import environments, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,7 +213,10 @@ def krr_fast_cv(spark, sf_dir):
 
 @query("gaussian_process")
 def gaussian_process(spark, sf_dir):
-    env = environments(spark, sf_dir)
+    return _process(environments(spark, sf_dir))
+
+
+def _process(env: DataFrame) -> DataFrame:
     train, test = env.filter("env_id % 5 <> 0"), env.filter("env_id % 5 = 0")
     own = test.select(F.col("env_id").alias("id"), F.pow(vectors.dot(F.col("features"), F.col("features")), ZETA).alias("k"))
     found = regression.gaussian_process(kernels.power_kernel(train, train, ZETA), kernels.power_kernel(test, train, ZETA), own, targets(train), noise=0.5)
@@ -322,7 +326,12 @@ def project_fixed_u(spark, sf_dir):
     return rounded(projected.select("env_id", F.posexplode("features").alias("i", "v")).withColumn("i", F.col("i").cast("long")), "v")
 
 
-@query("compress_species")
+@query("compress_species", f"""WITH {ENV}, {FLAT}, p AS (SELECT i, avg(v) * sqrt(2 * (i % 4) + 1) AS p FROM flat GROUP BY i),
+c AS (SELECT sum(p) FILTER (WHERE i < 16) AS a, sum(p) FILTER (WHERE i >= 16 AND i < 48) / 2 AS b, sum(p) FILTER (WHERE i >= 48) AS d FROM p WHERE (i // 8) % 2 = (i // 4) % 2),
+u AS (SELECT cos(atan2(2 * b, a - d) / 2) AS u0, sin(atan2(2 * b, a - d) / 2) AS u1 FROM c),
+w AS (SELECT env_id, frame_id, i % 16 AS r, sum(v * CASE WHEN i < 32 THEN u0 ELSE u1 END * CASE WHEN (i // 16) % 2 = 0 THEN u0 ELSE u1 END) AS v FROM flat, u GROUP BY ALL),
+g AS (SELECT env_id, frame_id, list(v ORDER BY r) AS g, sqrt(sum(v * v)) AS size FROM w GROUP BY ALL)
+SELECT x.frame_id AS frame_i, y.frame_id AS frame_j, round(avg((list_dot_product(x.g, y.g) / x.size / y.size) ** 2), 6) + 0.0 AS k FROM g x, g y GROUP BY ALL""")
 def compress_species(spark, sf_dir):
     """The kernel of the compressed spectra with the leading component of themselves: free of the signs of eigenvectors."""
     env = environments(spark, sf_dir)
@@ -513,11 +522,14 @@ def outlier_3sigma(spark, sf_dir):
 @query("cv_scores")
 def cv_scores(spark, sf_dir):
     """Scores by fold of a fast cross-validation, over several strengths of the kernel."""
-    env = environments(spark, sf_dir)
+    return _cv_scores(environments(spark, sf_dir), 1e-2)
+
+
+def _cv_scores(env: DataFrame, jitter: float) -> DataFrame:
     kernel, folds = kernels.power_kernel(env, env, ZETA).persist(), splits.k_fold(ids(env), 3)
     found = None
     for delta in (0.5, 1.0, 2.0):
-        fold = regression.krr_fast_cv(kernel, targets(env), folds, jitter=1e-2, delta=delta).withColumn("delta", F.lit(delta))
+        fold = regression.krr_fast_cv(kernel, targets(env), folds, jitter=jitter, delta=delta).withColumn("delta", F.lit(delta))
         found = fold if found is None else found.unionByName(fold)
     kernel.unpersist()
     rows = found.join(targets(env), "id")
@@ -686,3 +698,182 @@ def describe_norms(spark, sf_dir):
     other = F.zip_with("features", vectors.pick(F.col("features"), order), lambda a, b: F.abs(a - b))
     rows = found.select("frame_id", "atom_idx", vectors.norm(F.col("features")).alias("norm"), F.array_max(other).alias("asymmetry"))
     return rounded(rows, "norm", "asymmetry")
+
+
+# Fits to one feature x: the kernel of rows i and j is z[i] z[j] with z = x * x, whose systems SQL can solve.
+
+_Z = f"""WITH {ENV}, z AS (SELECT env_id AS id, frame_id::DOUBLE AS y, (10 * f[1]) ** 2 AS z, ntile(3) OVER (ORDER BY env_id) - 1 AS fold FROM env)"""
+
+
+def one_feature(spark, sf_dir) -> DataFrame:
+    return environments(spark, sf_dir).withColumn("features", F.array(10 * F.col("features")[0]))
+
+
+_REST = "t AS (SELECT g.fold, sum(z * y) AS zy, sum(z * z) AS zz FROM z JOIN (SELECT DISTINCT fold FROM z) g ON g.fold <> z.fold GROUP BY g.fold)"
+
+
+@query("krr_fast_cv_one_feature", f"{_Z}, {_REST} SELECT id, fold, round(4 * z * zy / (1 + 4 * zz), 6) + 0.0 AS y_pred FROM z JOIN t USING (fold)")
+def krr_fast_cv_one_feature(spark, sf_dir):
+    env = one_feature(spark, sf_dir)
+    found = regression.krr_fast_cv(kernels.power_kernel(env, env, ZETA), targets(env), splits.k_fold(ids(env), 3), jitter=1.0, delta=2.0)
+    return rounded(found, "y_pred", places=6)
+
+
+@query("gaussian_process_one_feature", f"""{_Z}, t AS (SELECT sum(z * y) AS zy, sum(z * z) AS zz, 0.25 * avg(z * z) / var_pop(y) AS noise FROM z WHERE id % 5 <> 0)
+SELECT id, round(z * zy / (noise + zz), 6) + 0.0 AS y_pred, round(z * z * noise / (noise + zz), 6) + 0.0 AS variance FROM z, t WHERE id % 5 = 0""")
+def gaussian_process_one_feature(spark, sf_dir):
+    return _process(one_feature(spark, sf_dir))
+
+
+@query("conjugate_gradients_one_feature", f"{_Z}, t AS (SELECT sum(z * y) AS zy, sum(z * z) AS zz FROM z) SELECT id, round(y - z * zy / (1 + zz), 5) + 0.0 AS x FROM z, t")
+def conjugate_gradients_one_feature(spark, sf_dir):
+    env = one_feature(spark, sf_dir)
+    return rounded(regression.conjugate_gradients(kernels.power_kernel(env, env, ZETA), targets(env), jitter=1.0, tolerance=1e-20), "x", places=5)
+
+
+_MEANS = "avg(mae) AS mae, avg(rmse) AS rmse, avg(sup) AS sup, avg(r2) AS r2"
+
+
+@query("cv_scores_one_feature", f"""{_Z}, {_REST}, d(delta) AS (VALUES (0.5::DOUBLE), (1), (2)),
+p AS (SELECT delta, fold, y, delta ** 2 * z * zy / (1 + delta ** 2 * zz) AS y_pred FROM z JOIN t USING (fold), d),
+f AS (SELECT delta, fold, {_SCORES} FROM p GROUP BY ALL) SELECT delta, {_ROUNDED} FROM (SELECT delta, {_MEANS} FROM f GROUP BY delta)""")
+def cv_scores_one_feature(spark, sf_dir):
+    return _cv_scores(one_feature(spark, sf_dir), 1.0)
+
+
+@query("learning_curve_one_feature", f"""{_Z}, s(n_train, repeat) AS (VALUES (20, 0), (20, 1), (50, 0)),
+r AS (SELECT n_train, repeat, z, y, row_number() OVER (PARTITION BY n_train, repeat ORDER BY md5('5:' || n_train || ':' || repeat || ':' || id), id) AS pos FROM z, s),
+t AS (SELECT n_train, repeat, sum(z * y) AS zy, sum(z * z) AS zz FROM r WHERE pos > 30 AND pos <= 30 + n_train GROUP BY ALL),
+p AS (SELECT n_train, repeat, y, z * zy / (1 + zz) AS y_pred FROM r JOIN t USING (n_train, repeat) WHERE pos <= 30),
+f AS (SELECT n_train, repeat, {_SCORES} FROM p GROUP BY ALL) SELECT n_train::BIGINT AS n_train, {_ROUNDED} FROM (SELECT n_train, {_MEANS} FROM f GROUP BY n_train)""")
+def learning_curve_one_feature(spark, sf_dir):
+    env = one_feature(spark, sf_dir)
+    return _rounded_scores(model_selection.learning_curve(kernels.power_kernel(env, env, ZETA), targets(env), [20, 50], [2, 1], 30, seed=5, jitter=1.0))
+
+
+@query("grid_search_m1", f"""{_ONE}, f AS (SELECT k.*, ntile(3) OVER (ORDER BY env_id) - 1 AS fold FROM k), s(delta, scale) AS (VALUES (0.5::DOUBLE, 0.5::DOUBLE), (0.5, 2), (2, 0.5), (2, 2)),
+t AS (SELECT g.fold, sum(f.k * f.k) AS g, sum(f.k * f.y) AS b FROM f JOIN (SELECT DISTINCT fold FROM f) g ON f.fold <> g.fold GROUP BY g.fold),
+w AS (SELECT delta, scale, fold, delta ** 2 * b / scale ** 2 / (delta ** 2 * own + 1e-8 + delta ** 4 * g / scale ** 2) AS alpha FROM t, s, o),
+p AS (SELECT delta, scale, fold, y, alpha * delta ** 2 * k AS y_pred FROM f JOIN w USING (fold)),
+q AS (SELECT delta, scale, fold, {_SCORES} FROM p GROUP BY ALL) SELECT delta, scale, {_ROUNDED} FROM (SELECT delta, scale, {_MEANS} FROM q GROUP BY ALL)""")
+def grid_search_m1(spark, sf_dir):
+    """Mean scores over folds by strength of the kernel and scale, with one active environment so that SQL can follow."""
+    rows, active = _one_active(spark, sf_dir)
+    folds = splits.k_fold(rows.select("env_id"), 3, key="env_id")
+
+    def score(delta: float) -> DataFrame:
+        return scores.mean_scores(model_selection.sor_cross_validate(rows, active, folds, zeta=ZETA, scales=[0.5, 2.0], delta=delta), ["scale"])
+
+    return _rounded_scores(model_selection.grid_search({"delta": [0.5, 2.0]}, score))
+
+
+@query("alchemical_loss_d1", f"""WITH {ENV}, x AS (SELECT env_id % 2 AS half, frame_id::DOUBLE AS y, 0.64 * f[1] + 0.48 * f[2] + 0.48 * f[3] + 0.36 * f[4] AS x FROM env),
+w AS (SELECT 1 - half AS half, sum(x * y) / (sum(x * x) + 1e-3) AS w FROM x GROUP BY half) SELECT round(avg((w * x - y) ** 2), 6) + 0.0 AS loss FROM x JOIN w USING (half)""")
+def alchemical_loss_d1(spark, sf_dir):
+    """The two-halves loss with features that a vector of two species reduces to one."""
+    rows = environments(spark, sf_dir).select(F.col("env_id").alias("id"), F.col("frame_id").cast("double").alias("y"), F.slice("features", 1, 4).alias("features"))
+    loss = alchemy.cross_loss(rows, np.array([[0.8], [0.6]]), 1e-3)
+    return spark.createDataFrame([(round(loss, 6),)], "loss double")
+
+
+@query("back_map_two", f"""WITH {ENV}, {FLAT}, g AS (SELECT b.i, sum(p.f[1] * b.v) AS g1, sum(p.f[6] * b.v) AS g2 FROM flat b JOIN env p USING (env_id) GROUP BY b.i),
+k AS (SELECT max(g1) FILTER (WHERE i = 0) AS a, max(g2) FILTER (WHERE i = 0) AS b, max(g2) FILTER (WHERE i = 5) AS d FROM g),
+c AS (SELECT (d * g1 - b * g2) / (a * d - b * b) AS c1, (a * g2 - b * g1) / (a * d - b * b) AS c2 FROM g, k),
+m AS (SELECT sum(c1 * c1) AS a, sum(c1 * c2) AS b, sum(c2 * c2) AS d FROM c), r AS (SELECT *, sqrt(a * d - b * b) AS s FROM m),
+e(i, j) AS (VALUES (0, 0), (0, 1), (1, 0), (1, 1))
+SELECT i::BIGINT AS i, j::BIGINT AS j, round((CASE WHEN i <> j THEN b WHEN i = 0 THEN a + s ELSE d + s END) / sqrt(a + d + 2 * s), 6) + 0.0 AS a FROM r, e""")
+def back_map_two(spark, sf_dir):
+    """The map back from two features, whose symmetric root has a closed form."""
+    a = compression.back_map(environments(spark, sf_dir), [0, 5])
+    return spark.createDataFrame([(i, j, round(float(a[i, j]), 6) + 0.0) for i in range(2) for j in range(2)], "i long, j long, a double")
+
+
+# With one radial point and l up to 1, a spectrum follows from a sum and a vector sum over the neighbours of each species.
+
+_POINT = (RC + 3 * 0.4) / 2
+_RATIO = f"{_POINT} * r / 0.16"
+
+
+@query("soap_spectrum_one_point", f"""WITH {ATOMS}, n AS (
+  SELECT a.frame_id, a.atom_idx, b.species, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2) AS r
+  FROM atoms a JOIN atoms b ON a.frame_id = b.frame_id AND (b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2 < {RC * RC}),
+w AS (SELECT *, CASE WHEN r <= 2.0 THEN 1 ELSE (1 + cos(pi() * (r - 2.0) / 0.5)) / 2 END AS w FROM n),
+g AS (SELECT *, CASE WHEN abs({_POINT} - r) >= 2.0 THEN 0 WHEN r <= 1e-5 THEN w * exp(-({_POINT} ** 2) / 0.32)
+  ELSE w * exp(-(({_POINT} - r) ** 2) / 0.32) * (1 - exp(-2 * {_RATIO})) / (2 * {_RATIO}) END AS g FROM w),
+h AS (SELECT *, CASE WHEN r <= 1e-5 THEN 0 ELSE g * ((1 + exp(-2 * {_RATIO})) / (1 - exp(-2 * {_RATIO})) - 1 / ({_RATIO})) / r END AS h FROM g),
+s AS (SELECT frame_id, atom_idx, species, sum(g) AS g, sum(h * dx) AS x, sum(h * dy) AS y, sum(h * dz) AS z FROM h GROUP BY ALL),
+p AS (SELECT frame_id, atom_idx, (a.species * 4 + b.species) * 2 + l AS i, CASE l WHEN 0 THEN a.g * b.g ELSE sqrt(3::DOUBLE) * (a.x * b.x + a.y * b.y + a.z * b.z) END AS v
+  FROM s a JOIN s b USING (frame_id, atom_idx), range(2) k(l)),
+q AS (SELECT frame_id, atom_idx, i::BIGINT AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY frame_id, atom_idx)), 6) + 0.0 AS v FROM p)
+SELECT * FROM q WHERE v <> 0""")
+def soap_spectrum_one_point(spark, sf_dir):
+    found = descriptors.describe(atoms(spark, sf_dir), [0, 1, 2, 3], rc=RC, nmax=1, lmax=1, sigma=0.4)
+    rows = found.select("frame_id", "atom_idx", F.posexplode("features").alias("i", "v")).withColumn("i", F.col("i").cast("long"))
+    return rounded(rows, "v", places=6).filter("v <> 0")
+
+
+# Parsers, over logs and frames that are written from the rows of embeddings, and parameter grids
+
+
+def _whole(k: int):
+    return F.floor(100 * F.col("embedding")[k].cast("double")).cast("string")
+
+
+def _tensor_text(first: int):
+    return F.concat(*(F.concat(*(F.concat(F.lit(" "), _whole(first + 3 * i + j)) for j in range(3)), F.lit("\n")) for i in range(3)))
+
+
+_TRACE = "round((floor(100 * embedding[{}]::DOUBLE) + floor(100 * embedding[{}]::DOUBLE) + floor(100 * embedding[{}]::DOUBLE)) / 3{}, 2) + 0.0"
+
+
+@query("shielding_isotropic", f"""SELECT vec_id AS env_id, {_TRACE.format(1, 5, 9, " + floor(100 * embedding[31]::DOUBLE)")} AS local,
+{_TRACE.format(10, 14, 18, "")} AS total, {_TRACE.format(19, 23, 27, "")} AS macroscopic FROM embeddings""")
+def shielding_isotropic(spark, sf_dir):
+    head = lambda name, value: F.concat(F.lit(f"  Atom 1 C pos: (0.0 0.0 0.0) {name} sigma: "), value, F.lit("\n"))
+    text = F.concat(
+        head("core", _whole(30)), head("bare", F.lit("0.0")), _tensor_text(0), head("Total", F.lit("0.0")), _tensor_text(9),
+        F.lit("  Macroscopic shape contribution in ppm:\n"), _tensor_text(18),
+    )
+    logs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path"), text.alias("text"))
+    records = shielding.contributions(logs)
+    found = None
+    for name, own in (("local", shielding.local_shielding(records)), ("total", shielding.total_shielding(records)), ("macroscopic", shielding.macroscopic(logs))):
+        own = own.select(F.col("path").alias("env_id"), (shielding.isotropic(F.col("tensor")) + F.lit(0.0)).alias(name))
+        found = own if found is None else found.join(own, "env_id")
+    return found
+
+
+@query("scf_sites", """SELECT vec_id AS env_id, k AS atom_idx, CASE k WHEN 0 THEN 'Si' ELSE 'O' END AS symbol,
+round(floor(100 * embedding[3 * k + 1]::DOUBLE) * 10 * 0.529177210903, 9) + 0.0 AS x, round(floor(100 * embedding[3 * k + 2]::DOUBLE) * 10 * 0.529177210903, 9) + 0.0 AS y,
+round(floor(100 * embedding[3 * k + 3]::DOUBLE) * 10 * 0.529177210903, 9) + 0.0 AS z, round(20 * 0.529177210903, 9) AS edge FROM embeddings, range(2) s(k)""")
+def scf_sites(spark, sf_dir):
+    site = lambda k, s: F.concat(F.lit(f"   {k + 1}   {s}  tau(   {k + 1}) = ( "), F.concat_ws(" ", *(_whole(3 * k + i) for i in range(3))), F.lit(" )\n"))
+    text = F.concat(F.lit("lattice parameter (alat) = 10.0 a.u.\n a(1) = ( 2.0 0.0 0.0 )\n a(2) = ( 0.0 2.0 0.0 )\n a(3) = ( 0.0 0.0 2.0 )\n"), site(0, "Si"), site(1, "O"))
+    logs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path"), text.alias("text"))
+    edges = scf.cells(logs).select("path", F.col("cell")[2][2].alias("edge"))
+    return rounded(scf.sites(logs).join(edges, "path").withColumnRenamed("path", "env_id"), "x", "y", "z", "edge")
+
+
+@query("frames_round_trip", f"WITH {ATOMS} SELECT atom_idx // 16 AS block, atom_idx, ['C', 'H', 'N', 'O'][species + 1] AS symbol, round(x, 10) + 0.0 AS x, round(y, 10) + 0.0 AS y, round(z, 10) + 0.0 AS z, frame_id FROM atoms")
+def frames_round_trip(spark, sf_dir):
+    """Atoms in frames of at most 16, written as extended-XYZ text with further columns and read back."""
+    symbol = F.element_at(F.array(*map(F.lit, "CHNO")), F.col("species").cast("int") + 1)
+    extra = F.create_map(F.lit("frame"), F.col("frame_id").cast("string"), F.lit("id"), F.col("atom_idx").cast("string"))
+    own = F.struct(F.col("atom_idx"), symbol.alias("symbol"), "x", "y", "z", extra.alias("extra"))
+    cell = F.array(*(F.array(*(F.lit(8.0 if i == j else 0.0) for j in range(3))) for i in range(3)))
+    blocks = atoms(spark, sf_dir).groupBy(F.floor(F.col("atom_idx") / 16).alias("block")).agg(F.collect_list(own).alias("atoms"))
+    written = frames.format_frames(blocks.select("atoms", cell.alias("cell"), F.array(*[F.lit(True)] * 3).alias("pbc"), F.create_map(F.lit("block"), F.col("block").cast("string")).alias("info")))
+    back = frames.parse_texts(written.select(F.lit("").alias("path"), F.col("value").alias("text")))
+    rows = back.select(F.col("info")["block"].cast("long").alias("block"), F.explode("atoms").alias("a"))
+    return rounded(rows.select("block", F.col("a.extra")["id"].cast("long").alias("atom_idx"), "a.symbol", "a.x", "a.y", "a.z", F.col("a.extra")["frame"].cast("long").alias("frame_id")), "x", "y", "z", places=10)
+
+
+@query("param_grid_counts", """WITH g(point, scale_by, filter_above, filter_first) AS (VALUES (0, '1.0', '5.0', '0'), (1, '2.0', '5.0', '0'), (2, '1.0', '5.0', '3'), (3, '2.0', '5.0', '3'),
+  (4, '1.0', '20.0', '0'), (5, '2.0', '20.0', '0'), (6, '1.0', '20.0', '3'), (7, '2.0', '20.0', '3'))
+SELECT point::BIGINT AS point, scale_by, filter_above, filter_first, count(*) FILTER (WHERE l_quantity * scale_by::DOUBLE > filter_above::DOUBLE AND l_linenumber > filter_first::INT) AS n FROM lineitem, g GROUP BY ALL""")
+def param_grid_counts(spark, sf_dir):
+    """The points of a grid of two steps, each with the number of rows that pass it."""
+    grid = splits.param_grid(spark, [("scale", {"by": [1.0, 2.0]}), ("filter", {"above": [5.0, 20.0], "first": [0, 3]})])
+    passes = (F.col("l_quantity") * F.col("scale_by").cast("double") > F.col("filter_above").cast("double")) & (F.col("l_linenumber") > F.col("filter_first").cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_linenumber").join(F.broadcast(grid))
+    return rows.groupBy("point", "scale_by", "filter_above", "filter_first").agg(F.count(F.when(passes, 1)).alias("n"))

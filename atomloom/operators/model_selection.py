@@ -43,22 +43,22 @@ def split_scores(kernel: DataFrame, targets: DataFrame, roles: DataFrame, by: li
     return scores.scores(needed.groupBy(*by).applyInArrow(fit, schema), by)
 
 
-def _sor_parts(rows: DataFrame, active: DataFrame, zeta: float) -> tuple[np.ndarray, Callable]:
+def _sor_parts(rows: DataFrame, active: DataFrame, zeta: float, delta: float = 1.0) -> tuple[np.ndarray, Callable]:
     basis = np.array([p["features"] for p in active.orderBy("env_id").collect()], float)
 
     def crossed(x: np.ndarray) -> np.ndarray:
-        return (x @ basis.T) ** zeta
+        return delta**2 * (x @ basis.T) ** zeta
 
     return basis, crossed
 
 
-def sor_cross_validate(rows: DataFrame, active: DataFrame, folds: DataFrame, *, zeta: float, scales: list[float], jitter: float = 1e-8) -> DataFrame:
+def sor_cross_validate(rows: DataFrame, active: DataFrame, folds: DataFrame, *, zeta: float, scales: list[float], jitter: float = 1e-8, delta: float = 1.0) -> DataFrame:
     """Scores by scale and fold of low-rank models: ``rows`` (env_id, features, y), ``active`` (env_id, features), ``folds`` (env_id, fold).
 
-    One pass sums K_MN K_NM and K_MN y by fold; what a model without a fold needs is the total
+    The kernel is delta**2 times the power kernel. One pass sums K_MN K_NM and K_MN y by fold; what a model without a fold needs is the total
     less the fold's own, so no fold is summed twice. A second pass predicts.
     """
-    basis, crossed = _sor_parts(rows, active, zeta)
+    basis, crossed = _sor_parts(rows, active, zeta, delta)
     m = len(basis)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,16 +74,18 @@ def learning_curve_split(ids: DataFrame, train_sizes: list[int], n_repeats: list
 
 
 def param_grid(spark, steps: list[tuple[str, dict[str, list]]]) -> DataFrame:
-    """All combinations of the parameters of ``steps``, numbered; the last step's vary fastest, so a shared prefix can be kept.
+    """All combinations of the parameters of ``steps``, numbered; the first step's vary fastest, within a step the last parameter's.
 
     Values that are no lists count as single ones. Columns: point, then step_parameter as strings.
     """
     grid = spark.range(1).select(F.array(F.lit("")).alias("_"))
-    names = []
+    names, order = [], []
     for step, params in steps:
+        own = []
         for name, values in params.items():
             values = values if isinstance(values, (list, tuple)) else [values]
             names.append(f"{step}_{name}")
             grid = grid.select("*", F.posexplode(F.array(*(F.lit(str(v)) for v in values))).alias(f"_p{len(names)}", names[-1]))
-    order = [F.col(f"_p{k + 1}") for k in range(len(names))]
+            own.append(F.col(f"_p{len(names)}"))
+        order = own + order
     return grid.select((F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("point"), *names)

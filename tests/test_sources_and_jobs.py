@@ -135,6 +135,9 @@ def test_columns_of_atoms_and_vectors_are_kept(spark, tmp_path):
     (tmp_path / "a.xyz").write_text('2\nLattice="5 0 0 0 6 0 0 0 7" Properties=species:S:1:pos:R:3:charge:R:1:force:R:3 energy=-1.5\nO 0 0 0 0.25 1 2 3\nH 1 0 0 -0.5 4 5 6\n')
     given = frames.read_frames(spark, str(tmp_path / "a.xyz"))
     frames.write_frames(given, str(tmp_path / "out"))
+    files = frames.read_frame_files(spark, str(tmp_path / "out" / "*.txt"))
+    assert files.schema == given.schema
+    assert files.drop("path").collect() == frames.read_frames(spark, str(tmp_path / "out" / "*.txt")).drop("path").collect()
     again = frames.read_frames(spark, str(tmp_path / "out" / "*.txt"))
     keys = lambda f: [(r["symbol"], r["x"], r["extra"]) for r in frames.atoms_of(f).orderBy("atom_idx").collect()]
     assert keys(again) == keys(given) and keys(given)[0][2] == {"charge": "0.25", "force": "1 2 3"}
@@ -152,3 +155,9 @@ def test_jobs_take_parameters(spark, tmp_path):
     assert spark.read.parquet(f"{out}/sweep").count() == 8
     experiments.main(["kernel-cv", "--features", f"{tables}/embeddings.parquet", "--delta", "1", "--folds", "2", "--first", "60", "--out", f"{out}/cv"])
     assert spark.read.parquet(f"{out}/cv").count() == 1
+
+
+def test_texts_without_frames(spark):
+    texts = spark.createDataFrame([("a", None), ("b", ""), ("c", "1\n\nC 0 0 1\n\n1\nk=2\nH 1 2 3\n")], "path string, text string")
+    rows = frames.parse_texts(texts).orderBy("frame_id").collect()
+    assert [(r["path"], r["frame_id"], r["info"], r["atoms"][0]["z"]) for r in rows] == [("c", 0, {}, 1.0), ("c", 1, {"k": "2"}, 3.0)]
