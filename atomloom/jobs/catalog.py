@@ -118,7 +118,7 @@ FROM env a JOIN n na ON na.frame_id = a.frame_id, env b JOIN n nb ON nb.frame_id
 def kernel_group_gradient(spark, sf_dir):
     env = environments(spark, sf_dir)
     frames = env.select("frame_id").distinct()
-    groups = frames.select(F.col("frame_id").alias("frame_i")).join(F.broadcast(frames.select(F.col("frame_id").alias("frame_j")))).withColumn("g", (F.col("frame_i") + 2 * F.col("frame_j")).cast("double"))
+    groups = frames.select(F.col("frame_id").alias("frame_i")).crossJoin(frames.select(F.col("frame_id").alias("frame_j"))).withColumn("g", (F.col("frame_i") + 2 * F.col("frame_j")).cast("double"))
     return rounded(kernels.spread_gradient(groups, env.select("env_id", "frame_id")), "g", places=12)
 
 
@@ -201,14 +201,14 @@ def krr_predict_given_alpha(spark, sf_dir):
 @query("krr_fit")
 def krr_fit(spark, sf_dir):
     env = environments(spark, sf_dir)
-    return rounded(regression.krr_fit(kernels.power_kernel(env, env, ZETA), targets(env), jitter=1e-2), "alpha", places=6)
+    return rounded(regression.krr_fit_rows(env, targets(env), ZETA, jitter=1e-2), "alpha", places=6)
 
 
 @query("krr_fast_cv")
 def krr_fast_cv(spark, sf_dir):
     env = environments(spark, sf_dir)
     folds = splits.k_fold(ids(env), 3)
-    return rounded(regression.krr_fast_cv(kernels.power_kernel(env, env, ZETA), targets(env), folds, jitter=1e-2), "y_pred", places=6)
+    return rounded(regression.krr_fast_cv_rows(env, targets(env), folds, ZETA, jitter=1e-2), "y_pred", places=6)
 
 
 @query("gaussian_process")
@@ -218,8 +218,7 @@ def gaussian_process(spark, sf_dir):
 
 def _process(env: DataFrame) -> DataFrame:
     train, test = env.filter("env_id % 5 <> 0"), env.filter("env_id % 5 = 0")
-    own = test.select(F.col("env_id").alias("id"), F.pow(vectors.dot(F.col("features"), F.col("features")), ZETA).alias("k"))
-    found = regression.gaussian_process(kernels.power_kernel(train, train, ZETA), kernels.power_kernel(test, train, ZETA), own, targets(train), noise=0.5)
+    found = regression.gaussian_process_rows(train, test, targets(train), ZETA, noise=0.5)
     return rounded(found, "y_pred", "variance", places=6)
 
 
@@ -526,12 +525,10 @@ def cv_scores(spark, sf_dir):
 
 
 def _cv_scores(env: DataFrame, jitter: float) -> DataFrame:
-    kernel, folds = kernels.power_kernel(env, env, ZETA).persist(), splits.k_fold(ids(env), 3)
-    found = None
+    folds, found = splits.k_fold(ids(env), 3), None
     for delta in (0.5, 1.0, 2.0):
-        fold = regression.krr_fast_cv(kernel, targets(env), folds, jitter=jitter, delta=delta).withColumn("delta", F.lit(delta))
+        fold = regression.krr_fast_cv_rows(env, targets(env), folds, ZETA, jitter=jitter, delta=delta).withColumn("delta", F.lit(delta))
         found = fold if found is None else found.unionByName(fold)
-    kernel.unpersist()
     rows = found.join(targets(env), "id")
     return _rounded_scores(scores.mean_scores(scores.scores(rows, ["delta", "fold"]), ["delta"]))
 
@@ -618,8 +615,8 @@ _Y = f"WITH {ENV} SELECT env_id AS id, round(frame_id::DOUBLE, 6) + 0.0 AS y FRO
 def krr_fit_residual(spark, sf_dir):
     """(K + jitter I) alpha of the fit, which must be y again."""
     env = environments(spark, sf_dir)
-    alpha = regression.krr_fit(kernels.power_kernel(env, env, ZETA), targets(env), jitter=1e-2)
-    back = regression.krr_predict(kernels.power_kernel(env, env, ZETA), alpha).join(alpha, "id")
+    alpha = regression.krr_fit_rows(env, targets(env), ZETA, jitter=1e-2)
+    back = regression.krr_predict_rows(env, env.join(alpha.withColumnRenamed("id", "env_id"), "env_id"), ZETA).join(alpha, "id")
     return rounded(back.select("id", (F.col("y_pred") + 1e-2 * F.col("alpha")).alias("y")), "y", places=6)
 
 

@@ -61,34 +61,40 @@ def _each(f, columns: tuple[str, ...]):
     return run
 
 
+def _packed(points: DataFrame, places: DataFrame) -> DataFrame:
+    """(block, x): the features of ``points`` (id, features) that lie in each block, as the bytes of a matrix."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        x = np.array(table.column("features").combine_chunks().flatten(), float)
+        return pa.table({"block": table.column("block").slice(0, 1), "x": pa.array([x.tobytes()], pa.binary())})
+
+    return points.join(places, "id").select("block", "at", "features").groupBy("block").applyInArrow(pack, "block long, x binary")
+
+
 class Factor:
-    """The factor L of delta**2 ``kernel`` + jitter I over the ids of ``targets`` (id, y), with L^-1 y and, for ``extra`` (i, j, k), L^-1 of each i's row."""
+    """The factor L of delta**2 K + jitter I over the ids of ``targets`` (id, y), with L^-1 y and, for extra rows, L^-1 of each one's row of K.
 
-    def __init__(self, kernel: DataFrame, targets: DataFrame, *, jitter: float, delta: float = 1.0, extra: DataFrame | None = None, block_rows: int | None = None):
+    K is ``kernel`` (i, j, k), and ``extra`` has rows of the same kind; or with ``zeta`` K is the
+    power kernel of ``kernel`` (id, features), and so are the rows of ``extra`` (id, features).
+    Then blocks come from blocks of features, and entries of K are never rows of a table.
+    """
+
+    def __init__(self, kernel: DataFrame, targets: DataFrame, *, jitter: float, delta: float = 1.0, extra: DataFrame | None = None, zeta: float | None = None, block_rows: int | None = None):
         spark, rows = kernel.sparkSession, block_rows or BLOCK_ROWS
         self.spark, self.folder = spark, shared_folder(spark, "cholesky")
         placed, self.n = _places(targets.select("id"), rows)
         self.places = self._write(placed, "places")
-        entries = [kernel.select("i", "j", (F.lit(delta**2) * F.col("k")).alias("v")), targets.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(float(jitter)).alias("v"))]
-        left = self.places.select(F.col("id").alias("i"), F.col("block").alias("bi"), F.col("at").alias("ai"), F.col("n").alias("ni"))
-        right = self.places.select(F.col("id").alias("j"), F.col("block").alias("bj"), F.col("at").alias("aj"), F.col("n").alias("nj"))
-        cells = entries[0].unionByName(entries[1]).join(left, "i").join(right, "j").filter("bi >= bj").drop("i", "j")
-        #: Sizes of all blocks, so that blocks without an entry are there as zeros.
-        sizes = self.places.groupBy("block").agg(F.first("n").alias("n"))
-        si, sj = (sizes.select(F.col("block").alias(f"b{c}"), F.lit(0).cast("long").alias(f"a{c}"), F.col("n").alias(f"n{c}")) for c in "ij")
-        zero = F.lit(0.0).alias("v")
-        cells = cells.unionByName(si.crossJoin(sj).filter("bi >= bj").select("*", zero))
         self.extra_places, m = None, 0
         if extra is not None:
-            placed, m = _places(extra.select(F.col("i").alias("id")).distinct(), rows, self.n)
+            placed, m = _places(extra.select(F.col("i" if zeta is None else "id").alias("id")).distinct(), rows, self.n)
             self.extra_places = self._write(placed, "extra")
-            at = self.extra_places.select(F.col("id").alias("i"), F.col("block").alias("bi"), F.col("at").alias("ai"), F.col("n").alias("ni"))
-            sizes = self.extra_places.groupBy(F.col("block").alias("bi")).agg(F.lit(0).cast("long").alias("ai"), F.first("n").alias("ni"))
-            cells = cells.unionByName(extra.select("i", "j", (F.lit(delta**2) * F.col("k")).alias("v")).join(at, "i").join(right, "j").drop("i", "j"))
-            cells = cells.unionByName(sizes.crossJoin(sj).select("*", zero))
         self.last = self.n + m  # the block of the row y
+        right = self.places.select(F.col("id").alias("j"), F.col("block").alias("bj"), F.col("at").alias("aj"), F.col("n").alias("nj"))
         one = lambda v: F.lit(v).cast("long")
-        cells = cells.unionByName(targets.select(F.col("id").alias("j"), F.col("y").cast("double").alias("v")).join(right, "j").select(one(self.last).alias("bi"), one(0).alias("ai"), one(1).alias("ni"), "bj", "aj", "nj", "v"))
+        cells = targets.select(F.col("id").alias("j"), F.col("y").cast("double").alias("v")).join(right, "j").select(one(self.last).alias("bi"), one(0).alias("ai"), one(1).alias("ni"), "bj", "aj", "nj", "v")
+        if zeta is None:
+            cells = cells.unionByName(self._entries(kernel, targets, extra, right, jitter, delta))
 
         def gather(table: pa.Table) -> pa.Table:
             ai, aj, v = (table.column(c).to_numpy() for c in ("ai", "aj", "v"))
@@ -96,11 +102,48 @@ class Factor:
             m = np.bincount(ai * nj + aj, weights=v, minlength=ni * nj)
             return pa.table({"bi": table.column("bi").slice(0, 1), "bj": table.column("bj").slice(0, 1), "m": pa.array([m.tobytes()], pa.binary())})
 
-        state = self._write(cells.groupBy("bi", "bj").applyInArrow(gather, _BLOCK), "blocks")
+        blocks = cells.groupBy("bi", "bj").applyInArrow(gather, _BLOCK)
+        if zeta is not None:
+            blocks = blocks.unionByName(self._products(kernel, extra, zeta, jitter, delta))
+        state = self._write(blocks, "blocks")
         self.blocks = None
         for k in range(self.n):
             state = self._step(state, k)
 
+    def _entries(self, kernel: DataFrame, targets: DataFrame, extra: DataFrame | None, right: DataFrame, jitter: float, delta: float) -> DataFrame:
+        """Where each entry of ``kernel``, of the diagonal and of ``extra`` belongs; a zero in each block, so that blocks without an entry are there."""
+        entries = [kernel.select("i", "j", (F.lit(delta**2) * F.col("k")).alias("v")), targets.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(float(jitter)).alias("v"))]
+        left = self.places.select(F.col("id").alias("i"), F.col("block").alias("bi"), F.col("at").alias("ai"), F.col("n").alias("ni"))
+        cells = entries[0].unionByName(entries[1]).join(left, "i").join(right, "j").filter("bi >= bj").drop("i", "j")
+        sizes = self.places.groupBy("block").agg(F.first("n").alias("n"))
+        si, sj = (sizes.select(F.col("block").alias(f"b{c}"), F.lit(0).cast("long").alias(f"a{c}"), F.col("n").alias(f"n{c}")) for c in "ij")
+        zero = F.lit(0.0).alias("v")
+        cells = cells.unionByName(si.crossJoin(sj).filter("bi >= bj").select("*", zero))
+        if extra is not None:
+            at = self.extra_places.select(F.col("id").alias("i"), F.col("block").alias("bi"), F.col("at").alias("ai"), F.col("n").alias("ni"))
+            sizes = self.extra_places.groupBy(F.col("block").alias("bi")).agg(F.lit(0).cast("long").alias("ai"), F.first("n").alias("ni"))
+            cells = cells.unionByName(extra.select("i", "j", (F.lit(delta**2) * F.col("k")).alias("v")).join(at, "i").join(right, "j").drop("i", "j"))
+            cells = cells.unionByName(sizes.crossJoin(sj).select("*", zero))
+        return cells
+
+    def _products(self, points: DataFrame, extra: DataFrame | None, zeta: float, jitter: float, delta: float) -> DataFrame:
+        """The blocks of the power kernel of ``points`` and below them of ``extra``, each from two blocks of features that meet by an equi-join."""
+        own = self._write(_packed(points, self.places), "features")
+        left = own if extra is None else own.unionByName(_packed(extra, self.extra_places))
+        above = F.sequence(F.lit(0).cast("long"), F.least("block", F.lit(self.n - 1).cast("long")))
+        below = F.sequence("block", F.lit(self.last - 1).cast("long"))
+        left = left.select(F.col("block").alias("bi"), F.explode(above).alias("bj"), "x")
+        right = own.select(F.col("block").alias("bj"), F.explode(below).alias("bi"), F.col("x").alias("y"))
+        sizes = self.places.groupBy(F.col("block").alias("bj")).agg(F.first("n").alias("n"))
+
+        def product(bi, bj, x, y, n):
+            y = np.frombuffer(y).reshape(n, -1)
+            m = delta**2 * (np.frombuffer(x).reshape(-1, y.shape[1]) @ y.T) ** zeta
+            return bi, bj, m + jitter * np.eye(n) if bi == bj else m
+
+        pairs = left.join(right.join(F.broadcast(sizes), "bj"), ["bi", "bj"])
+        return pairs.mapInArrow(_each(product, ("bi", "bj", "x", "y", "n")), _BLOCK)
+
     def _write(self, df: DataFrame, name: str, mode: str = "errorifexists") -> DataFrame:
         df.write.mode(mode).parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")

@@ -7,11 +7,14 @@ is refused beyond MAX_DENSE rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atomloom.functions.vectors import dot
 from atomloom.operators.cholesky import Factor
 from atomloom.operators.kernels import weighted_kernel
 
@@ -36,6 +39,15 @@ def krr_fit(kernel: DataFrame, targets: DataFrame, *, jitter: float, delta: floa
     return Factor(kernel, targets, jitter=jitter, delta=delta).solve()
 
 
+def krr_fit_rows(rows: DataFrame, targets: DataFrame, zeta: float, *, jitter: float, delta: float = 1.0) -> DataFrame:
+    """krr_fit with the power kernel of ``rows`` (env_id, features), of which no entry becomes a row of a table."""
+    return Factor(_points(rows), targets, jitter=jitter, delta=delta, zeta=zeta).solve()
+
+
+def _points(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("env_id").alias("id"), "features")
+
+
 def krr_predict(kernel: DataFrame, alpha: DataFrame, *, delta: float = 1.0) -> DataFrame:
     """(id, y_pred): delta**2 times the sum of k alpha over the training rows, for each i of ``kernel``."""
     joined = kernel.join(alpha.select(F.col("id").alias("j"), "alpha"), "j")
@@ -53,13 +65,31 @@ def krr_fast_cv(kernel: DataFrame, targets: DataFrame, folds: DataFrame, *, jitt
     Each fold's rows follow the matrix of all others through one block Cholesky, which predicts
     them without a model being fitted; folds are few, their names are all the driver holds.
     """
-    found = None
-    for fold in [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
-        own = folds.filter(F.col("fold") == fold).select("id")
+
+    def left_out(own: DataFrame) -> Factor:
         rows = kernel.join(own.select(F.col("id").alias("i")), "i", "left_semi")
-        left = Factor(kernel, targets.join(own, "id", "left_anti"), jitter=jitter, delta=delta, extra=rows).predict()
+        return Factor(kernel, targets.join(own, "id", "left_anti"), jitter=jitter, delta=delta, extra=rows)
+
+    return _by_fold(left_out, folds)
+
+
+def krr_fast_cv_rows(rows: DataFrame, targets: DataFrame, folds: DataFrame, zeta: float, *, jitter: float, delta: float = 1.0) -> DataFrame:
+    """krr_fast_cv with the power kernel of ``rows`` (env_id, features), of which no entry becomes a row of a table."""
+    points = _points(rows)
+
+    def left_out(own: DataFrame) -> Factor:
+        return Factor(points, targets.join(own, "id", "left_anti"), jitter=jitter, delta=delta, extra=points.join(own, "id", "left_semi"), zeta=zeta)
+
+    return _by_fold(left_out, folds)
+
+
+def _by_fold(left_out: Callable[[DataFrame], Factor], folds: DataFrame) -> DataFrame:
+    found, folds = None, folds.persist()
+    for fold in [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
+        left = left_out(folds.filter(F.col("fold") == fold).select("id")).predict()
         left = left.select("id", F.lit(fold).cast("long").alias("fold"), "y_pred")
         found = left if found is None else found.unionByName(left)
+    folds.unpersist()  # what is predicted from has been written
     return found
 
 
@@ -83,6 +113,15 @@ def gaussian_process(kernel: DataFrame, cross: DataFrame, own: DataFrame, target
     return found.join(own.select("id", F.col("k").alias("k_own")), "id").select("id", "y_pred", (F.col("k_own") - F.col("explained")).alias("variance"))
 
 
+def gaussian_process_rows(train: DataFrame, test: DataFrame, targets: DataFrame, zeta: float, *, noise: float) -> DataFrame:
+    """gaussian_process with the power kernel of ``train`` and ``test`` (env_id, features), of which no entry becomes a row of a table."""
+    own = F.pow(dot(F.col("features"), F.col("features")), zeta)
+    n, spread = targets.agg(F.count("*"), F.var_pop("y")).first()
+    diagonal = train.join(targets.select(F.col("id").alias("env_id")), "env_id", "left_semi").agg(F.sum(own)).first()[0]
+    found = Factor(_points(train), targets, jitter=noise**2 * diagonal / n / max(spread, 1e-300), extra=_points(test), zeta=zeta).predict()
+    return found.join(test.select(F.col("env_id").alias("id"), own.alias("k_own")), "id").select("id", "y_pred", (F.col("k_own") - F.col("explained")).alias("variance"))
+
+
 def conjugate_gradients(kernel: DataFrame, targets: DataFrame, *, jitter: float, max_steps: int = 100, tolerance: float = 1e-10) -> DataFrame:
     """(id, x) with (K + jitter I) x = y, without a dense matrix anywhere.
 

@@ -66,11 +66,14 @@ def test_exact_models_need_no_dense_matrix(spark, x, monkeypatch):
     targets = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "id long, y double")
     fitted = regression.krr_fit(kernel, targets, jitter=0.1, delta=2.0).orderBy("id").collect()
     assert np.allclose([r["alpha"] for r in fitted], np.linalg.solve(4 * k + 0.1 * np.eye(40), y))
+    again = regression.krr_fit_rows(env, targets, 2.0, jitter=0.1, delta=2.0).orderBy("id").collect()
+    assert np.allclose([r["alpha"] for r in again], [r["alpha"] for r in fitted])
     folds = targets.select("id", (F.col("id") % 2).alias("fold"))
-    got = regression.krr_fast_cv(kernel, targets, folds, jitter=0.1).orderBy("id").collect()
-    for f in range(2):
-        t, v = np.arange(40) % 2 != f, np.arange(40) % 2 == f
-        assert np.allclose([r["y_pred"] for r in got if r["fold"] == f], k[np.ix_(v, t)] @ np.linalg.solve(k[np.ix_(t, t)] + 0.1 * np.eye(20), y[t]))
+    for found in (regression.krr_fast_cv(kernel, targets, folds, jitter=0.1), regression.krr_fast_cv_rows(env, targets, folds, 2.0, jitter=0.1)):
+        got = found.orderBy("id").collect()
+        for f in range(2):
+            t, v = np.arange(40) % 2 != f, np.arange(40) % 2 == f
+            assert np.allclose([r["y_pred"] for r in got if r["fold"] == f], k[np.ix_(v, t)] @ np.linalg.solve(k[np.ix_(t, t)] + 0.1 * np.eye(20), y[t]))
 
 
 def test_gaussian_process_variance(spark, x):
@@ -80,10 +83,12 @@ def test_gaussian_process_variance(spark, x):
     targets = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "id long, y double")
     k, ks = (train @ train.T) ** 2, (test @ train.T) ** 2
     own = spark.createDataFrame([(i, float((v @ v) ** 2)) for i, v in enumerate(test)], "id long, k double")
-    found = regression.gaussian_process(kernels.power_kernel(a, a, 2.0), kernels.power_kernel(b, a, 2.0), own, targets, noise=0.3).orderBy("id").collect()
     reg = k + 0.09 * np.trace(k) / 30 / np.var(y) * np.eye(30)
-    assert np.allclose([r["y_pred"] for r in found], ks @ np.linalg.solve(reg, y))
-    assert np.allclose([r["variance"] for r in found], (test**2).sum(1) ** 2 - np.einsum("ij,ji->i", ks, np.linalg.solve(reg, ks.T)))
+    by_kernel = regression.gaussian_process(kernels.power_kernel(a, a, 2.0), kernels.power_kernel(b, a, 2.0), own, targets, noise=0.3)
+    for found in (by_kernel, regression.gaussian_process_rows(a, b, targets, 2.0, noise=0.3)):
+        found = found.orderBy("id").collect()
+        assert np.allclose([r["y_pred"] for r in found], ks @ np.linalg.solve(reg, y))
+        assert np.allclose([r["variance"] for r in found], (test**2).sum(1) ** 2 - np.einsum("ij,ji->i", ks, np.linalg.solve(reg, ks.T)))
 
 
 def test_sor_equals_dense_system(spark, x):
