@@ -107,8 +107,10 @@ class Factor:
             blocks = blocks.unionByName(self._products(kernel, extra, zeta, jitter, delta))
         state = self._write(blocks, "blocks")
         self.blocks = None
+        self._drop("features")
         for k in range(self.n):
             state = self._step(state, k)
+            self._drop(f"rest-{k - 1}" if k else "blocks")  # nothing reads what was left before the step
 
     def _entries(self, kernel: DataFrame, targets: DataFrame, extra: DataFrame | None, right: DataFrame, jitter: float, delta: float) -> DataFrame:
         """Where each entry of ``kernel``, of the diagonal and of ``extra`` belongs; a zero in each block, so that blocks without an entry are there."""
@@ -148,6 +150,10 @@ class Factor:
         df.write.mode(mode).parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
+    def _drop(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def _step(self, state: DataFrame, k: int) -> DataFrame:
         def below(bi, bj, m, d):
             lower = np.linalg.cholesky(_matrix(d, int((len(d) // 8) ** 0.5)))
@@ -166,9 +172,12 @@ class Factor:
             return state
         panel = self.blocks.filter((F.col("bj") == k) & (F.col("bi") > k))
         sizes = self.places.groupBy(F.col("block").alias("bj")).agg(F.first("n").alias("columns"))
-        rest = state.filter(F.col("bj") > k).join(F.broadcast(sizes), "bj")
-        rest = rest.join(panel.select("bi", F.col("m").alias("p")), "bi").join(panel.select(F.col("bi").alias("bj"), F.col("m").alias("q")), "bj")
-        left = spread(rest, rows * (self.n - k)).mapInArrow(_each(less, ("bi", "bj", "m", "p", "q", "columns")), _BLOCK)
+        # Each block below goes where it is needed, so that what is left of the matrix moves once a step.
+        first, end, last = (F.lit(v).cast("long") for v in (k + 1, self.n - 1, self.last))
+        p = panel.select("bi", F.explode(F.sequence(first, F.least("bi", end))).alias("bj"), F.col("m").alias("p"))
+        q = panel.filter(F.col("bi") < self.n).select(F.explode(F.sequence("bi", last)).alias("to"), F.col("bi").alias("bj"), F.col("m").alias("q")).withColumnRenamed("to", "bi")
+        rest, p, q = (spread(df, rows * (self.n - k)) for df in (state.filter(F.col("bj") > k).join(F.broadcast(sizes), "bj"), p, q))
+        left = rest.join(p, ["bi", "bj"]).join(q, ["bi", "bj"]).mapInArrow(_each(less, ("bi", "bj", "m", "p", "q", "columns")), _BLOCK)
         return self._write(left, f"rest-{k}")
 
     def predict(self) -> DataFrame:
