@@ -9,6 +9,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows_of(frame) -> list[str]:
     frame = frame[sorted(frame.columns)]
+    gone = frame.columns[frame.isna().any()]
+    frame = frame.assign(**{c: frame[c].astype(object).where(frame[c].notna(), None) for c in gone})  # a null of any kind
     return sorted(map(repr, frame.itertuples(index=False, name=None)))
 
 
