@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest number of rows that any operator broadcasts of a table that can grow; it counts first and takes another way beyond.
@@ -91,6 +91,22 @@ def broadcast_if_few(df: DataFrame, label: str) -> DataFrame:
     return small
 
 
+def numbered(rows: DataFrame, groups: list[str], order: list[str], label: str) -> DataFrame:
+    """``rows`` with ``place``, how many rows of the same ``groups`` (columns without nulls) come before each by ``order``, and ``n``, how many there are.
+
+    Nulls in ``order`` come first, and rows that tie follow each other in any order. Rows are dealt
+    by ranges and written, so that a group of any size is numbered in parts; one total a range of
+    each group is all that meets. A Scratch around it must keep the table until the result is written.
+    """
+    dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*groups, *order, "_tie").withColumn("_range", F.spark_partition_id())
+    table, keys = materialise(dealt, label), ["_range", *groups]
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = table.groupBy(*keys).agg(F.count("*").alias("_total"))
+    before = totals.select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"), F.sum("_total").over(Window.partitionBy(*groups)).alias("n"))
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "_tie")) - 1
+    return table.withColumn("_within", within).join(before, keys).select(*rows.columns, (F.col("_before") + F.col("_within")).alias("place"), "n")
+
+
 def valid_text(column: str = "text") -> Column:
     """The texts of ``column``, where bytes that are no UTF-8 count as U+FFFD."""
     return F.make_valid_utf8(column).alias(column)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from atomloom.llm import chat_format, jaccard_join, license_scan, line_dedup, packing, piece_codec, quality_rules, token_files, topk_search, toxicity
+from atomloom.llm import chat_format, jaccard_join, lexical_search, license_scan, line_dedup, merkle_manifest, packing, piece_codec, quality_rules, sharding, token_files, topk_search, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sentencepiece": piece_codec.op8_sentencepiece,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_sharding": sharding.op13_sharding,
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
@@ -22,4 +25,7 @@ ORACLES = {
     "op3_chat_format": chat_format.ORACLE,
     "op4_topk_search": topk_search.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
+    "op12_merkle_manifest": merkle_manifest.ORACLE,
+    "op13_sharding": sharding.ORACLE,
 }
