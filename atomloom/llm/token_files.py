@@ -79,14 +79,16 @@ def _encode(path: str, end_id: int):
     """Encodes by distinct word: no token of these tokenizers spans white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer, place = _tokenizer(path), 0
         for batch in slices(batches):
             offsets, index, words = split_words(batch.column("text"))
             ids, ends = gather(*word_ids(tokenizer, words), index)
             ends = ends[offsets]
             ids = np.insert(ids, ends[1:], end_id)
             ends = (ends + np.arange(len(ends))).astype(np.int32)
-            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])
+            places = pa.array(np.arange(place, place + batch.num_rows))
+            place += batch.num_rows
+            yield pa.record_batch([batch.column("doc_id"), places, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "place", "ids"])
 
     return run
 
@@ -94,7 +96,7 @@ def _encode(path: str, end_id: int):
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = END_ID) -> None:
     """Encode ``docs`` (doc_id long, text string; others are ignored) and write ORC files to ``folder``.
 
-    Rows: doc_id, n_tokens, ids (with ``end_id`` at the end), one for each row of ``docs``. Files
+    Rows: doc_id, place (in its file, from 0), n_tokens, ids (with ``end_id`` at the end), one for each row of ``docs``. Files
     follow each other in doc_id order by name, and rows within them; a null doc_id comes first,
     repeated rows stand together, ordered by text. A null or empty text is the end id alone; bytes
     that are no UTF-8 count as U+FFFD. An
@@ -104,14 +106,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
     Texts, not ids, are shuffled, in ranges of doc_id, so encoding happens once and in file order.
     """
     rows = docs.select("doc_id", valid_text("text")).repartitionByRange(F.col("doc_id").asc()).sortWithinPartitions("doc_id", "text")
-    encoded = rows.mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, ids array<int>")
-    encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids").write.options(**ORC_OPTIONS).orc(folder)
+    encoded = rows.mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, place long, ids array<int>")
+    encoded.select("doc_id", "place", F.size("ids").cast("long").alias("n_tokens"), "ids").write.options(**ORC_OPTIONS).orc(folder)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of the files, with the file each is in; filters on doc_id are pushed to ORC's metadata."""
-    rows = spark.read.schema("doc_id long, n_tokens long, ids array<int>").orc(folder)
-    return rows.select("doc_id", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"))
+    rows = spark.read.schema("doc_id long, place long, n_tokens long, ids array<int>").orc(folder)
+    return rows.select("doc_id", "place", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"))
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +127,15 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_starts(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, n_tokens, file, others) with ``start``: the ids of all rows before.
+    """``rows`` (doc_id, n_tokens, file, others) with ``start``: the ids of all rows before, in the order of the files.
+
+    Rows of one doc_id are told apart by ``place``; without it they must be alike.
 
     A file is a range of documents, so its own total is a partial sum: running sums within each
     file are added to the sum of the files of smaller doc_ids. Only one row a file meets in one place.
     """
-    within = Window.partitionBy("file").orderBy("doc_id", *(c for c in rows.columns if c not in ("doc_id", "file"))).rowsBetween(Window.unboundedPreceding, -1)
+    order = ["place"] if "place" in rows.columns else ["doc_id"]
+    within = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first"))
     before = totals.select("file", F.coalesce(F.sum("total").over(Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(before, "file").withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "file")
@@ -142,5 +147,5 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     write_token_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
-    checked = read_token_files(spark, folder).mapInArrow(_crc, "doc_id long, n_tokens long, file string, ids_crc32 long")
+    checked = read_token_files(spark, folder).mapInArrow(_crc, "doc_id long, place long, n_tokens long, file string, ids_crc32 long")
     return token_starts(checked).select("doc_id", "start", "n_tokens", "ids_crc32")

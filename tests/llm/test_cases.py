@@ -374,6 +374,21 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_starts_follow_the_files_where_a_doc_id_repeats(spark, tmp_path):
+    texts = ["a b c d e", "z", "b", "a much longer text than the others", "a"]
+    rows = [*((1, t) for t in texts), (0, "first"), (2, "last"), (None, "b c"), (None, "a")]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_token_files(docs(spark, rows), str(tmp_path / "t"), path)
+    read = token_files.read_token_files(spark, str(tmp_path / "t"))
+    found = token_files.token_starts(read).collect()
+    ordered = sorted(found, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["place"]))
+    assert [r["start"] for r in ordered] == [sum(r["n_tokens"] for r in ordered[:i]) for i in range(len(rows))]
+    flat = [t for r in ordered for t in r["ids"]]
+    assert all(flat[r["start"] : r["start"] + r["n_tokens"]] == r["ids"] for r in found)
+    in_files = [r["ids"] for r in sorted(read.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["place"]))]
+    assert in_files == [r["ids"] for r in ordered]
+
+
 def test_case_is_kept_where_it_tells(spark, tmp_path):
     from tokenizers import Tokenizer
 
