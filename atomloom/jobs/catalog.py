@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atomloom.functions import geometry, vectors
-from atomloom.operators import alchemy, compression, descriptors, kernels, model_selection, neighbours, regression, scores, selection, splits
-from atomloom.operators.cholesky import shared_folder
+from atomloom.operators import alchemy, compression, descriptors, kernels, low_rank, matrix_free, model_selection, neighbours, regression, scores, selection, splits
 from atomloom.sources import frames, scf, shielding
 from atomloom.tables import environments, table
 
@@ -144,7 +143,11 @@ _SOR_2 = f"WITH {ENV}, m AS (SELECT * FROM env WHERE env_id < 2), {_CROSS}"
 def active_ids(env: DataFrame) -> list[int]:
     """Farthest points in the order in which they are picked: few, as they are the size of the dense system."""
     n = math.ceil(math.sqrt(env.count()) / 2)
-    return [r["id"] for r in selection.farthest_points(env, n, zeta=ZETA, folder=shared_folder(env.sparkSession, "farthest")).orderBy("rank").collect()]
+    return [r["id"] for r in selection.farthest_points(env, n, zeta=ZETA).orderBy("rank").collect()]
+
+
+def with_y(env: DataFrame) -> DataFrame:
+    return env.select("env_id", "features", F.col("frame_id").cast("double").alias("y"))
 
 
 def sor(spark, sf_dir, active: list[int] | None = None):
@@ -167,9 +170,10 @@ def sor_rhs(spark, sf_dir):
 @query("sor_fit_residual", _SOR + " SELECT i, round(sum(k * y), 4) + 0.0 AS b FROM c GROUP BY i")
 def sor_fit_residual(spark, sf_dir):
     """(gram + jitter I) alpha of the low-rank fit, which must be its right side again."""
-    gram, rhs, _ = sor(spark, sf_dir)
-    gram = gram.persist()
-    alpha = regression.sor_fit(gram, rhs, jitter=1e-8)
+    env = environments(spark, sf_dir)
+    active = active_ids(env)
+    gram, _, _ = sor(spark, sf_dir, active)
+    alpha = low_rank.fit(with_y(env), env.filter(F.col("env_id").isin(active)), ZETA, scale=1.0, jitter=1e-8).persist()
     back = gram.join(alpha.withColumnRenamed("id", "j"), "j").groupBy("i").agg(F.sum(F.col("k") * F.col("alpha")).alias("s"))
     back = back.join(alpha.withColumnRenamed("id", "i"), "i").select("i", (F.col("s") + 1e-8 * F.col("alpha")).alias("b"))
     return rounded(back, "b", places=4)
@@ -184,8 +188,10 @@ s AS (SELECT (p * d - b * q) / (a * d - b * b) AS x0, (a * q - b * p) / (a * d -
 SELECT n AS id, round(sum(k * CASE i WHEN 0 THEN x0 ELSE x1 END), 6) + 0.0 AS y_pred FROM c, s GROUP BY n""")
 def sor_predict_m2(spark, sf_dir):
     """Predictions of the fit with two active environments, for which SQL can solve the system."""
-    gram, rhs, cross = sor(spark, sf_dir, [0, 1])
-    return rounded(regression.krr_predict(cross, regression.sor_fit(gram, rhs)), "y_pred", places=6)
+    env = environments(spark, sf_dir)
+    active = env.filter("env_id < 2")
+    alpha = low_rank.fit(with_y(env), active, ZETA, scale=1.0).withColumnRenamed("id", "env_id")
+    return rounded(regression.krr_predict_rows(env, active.join(alpha, "env_id"), ZETA), "y_pred", places=6)
 
 
 # Regression
@@ -225,7 +231,12 @@ def _process(env: DataFrame) -> DataFrame:
 @query("conjugate_gradients")
 def conjugate_gradients(spark, sf_dir):
     env = environments(spark, sf_dir)
-    return rounded(regression.conjugate_gradients(kernels.power_kernel(env, env, ZETA), targets(env), jitter=1.0, max_steps=60), "x", places=4)
+    return rounded(_by_steps(env, 1.0).withColumnRenamed("alpha", "x"), "x", places=4)
+
+
+def _by_steps(env: DataFrame, jitter: float) -> DataFrame:
+    """The fit without a matrix, over four blocks at least."""
+    return matrix_free.solve(env, targets(env), ZETA, jitter=jitter, block_rows=min(matrix_free.BLOCK_ROWS, -(-env.count() // 4)))
 
 
 # Selection
@@ -565,25 +576,42 @@ def centred_targets(spark, sf_dir):
 # Model selection
 
 
-@query("sor_cv_scores")
+# Systems of any size, for each number ``a`` of active environments (the first picked), scale and fold, solved by elimination.
+_SOR_CV = f"""{_SOR}, folds AS (SELECT vec_id AS n, ntile(4) OVER (ORDER BY md5('1:' || vec_id), vec_id) - 1 AS fold FROM embeddings),
+picked AS (SELECT n + 1 AS r, min(p) AS env_id FROM step GROUP BY n), size AS (SELECT count(*) AS m FROM picked),
+x AS (SELECT r AS i, c.n, y, k, fold FROM c JOIN picked ON env_id = c.i JOIN folds USING (n)),
+g AS (SELECT a.fold, a.i, b.i AS j, sum(a.k * b.k) AS s FROM x a JOIN x b ON b.n = a.n GROUP BY ALL UNION ALL SELECT fold, i, 0, sum(k * y) FROM x GROUP BY ALL),
+rest AS (SELECT i, j, fold, sum(s) OVER (PARTITION BY i, j) - s AS s FROM g),
+own AS (SELECT a.r AS i, b.r AS j, c.k + CASE WHEN a.r = b.r THEN 1e-8 ELSE 0 END AS k FROM c JOIN picked a ON a.env_id = c.i JOIN picked b ON b.env_id = c.n),
+try(a, scale) AS ({{tries}}),
+q(t, a, scale, fold, i, j, v) AS (
+  SELECT 0, a, scale, fold, i, j, s / scale ** 2 + coalesce(own.k, 0) FROM try, rest LEFT JOIN own USING (i, j) WHERE i <= a AND j <= a
+  UNION ALL
+  SELECT t + 1, a, scale, fold, i, j, CASE WHEN i = t + 1 THEN v / d ELSE v - left_v * top_v / d END
+  FROM (SELECT *, max(v) FILTER (WHERE i = t + 1 AND j = t + 1) OVER (PARTITION BY a, scale, fold) AS d, max(v) FILTER (WHERE j = t + 1) OVER (PARTITION BY a, scale, fold, i) AS left_v,
+    max(v) FILTER (WHERE i = t + 1) OVER (PARTITION BY a, scale, fold, j) AS top_v FROM q WHERE t < a)),
+pred AS (SELECT a, scale, x.fold, n, any_value(y) AS y, sum(k * v) AS y_pred FROM q JOIN x ON x.i = q.i AND x.fold = q.fold WHERE t = a AND j = 0 GROUP BY ALL),
+f AS (SELECT a, scale, fold, {_SCORES} FROM pred GROUP BY ALL)"""
+
+
+@query("sor_cv_scores", _SOR_CV.format(tries="SELECT m, scale FROM size, (VALUES (0.5::DOUBLE), (1), (2)) s(scale)") + f" SELECT scale, fold::BIGINT AS fold, {_ROUNDED} FROM f")
 def sor_cv_scores(spark, sf_dir):
     env = environments(spark, sf_dir)
-    rows = env.select("env_id", "features", F.col("frame_id").cast("double").alias("y"))
     folds = splits.k_fold(env.select("env_id"), 4, key="env_id", seed=1)
-    return _rounded_scores(model_selection.sor_cross_validate(rows, env.filter(F.col("env_id").isin(active_ids(env))), folds, zeta=ZETA, scales=[0.5, 1.0, 2.0]))
+    return _rounded_scores(model_selection.sor_cross_validate(with_y(env), env.filter(F.col("env_id").isin(active_ids(env))), folds, zeta=ZETA, scales=[0.5, 1.0, 2.0]))
 
 
-@query("sor_sweep")
+@query("sor_sweep", _SOR_CV.format(tries="SELECT DISTINCT a, scale FROM size, (VALUES (0.5::DOUBLE), (2)) s(scale), unnest([(m + 3) // 4, (m + 1) // 2, m]) u(a)") + f"""
+SELECT a::INT AS n_active, scale, {_ROUNDED} FROM (SELECT a, scale, avg(mae) AS mae, avg(rmse) AS rmse, avg(sup) AS sup, avg(r2) AS r2 FROM f GROUP BY ALL)""")
 def sor_sweep(spark, sf_dir):
     """Mean scores over folds for sizes of the active set, the first points of one selection, and scales."""
     env = environments(spark, sf_dir)
-    rows = env.select("env_id", "features", F.col("frame_id").cast("double").alias("y"))
     folds = splits.k_fold(env.select("env_id"), 4, key="env_id", seed=1)
 
     active = active_ids(env)
 
     def score(n_active: int) -> DataFrame:
-        found = model_selection.sor_cross_validate(rows, env.filter(F.col("env_id").isin(active[:n_active])), folds, zeta=ZETA, scales=[0.5, 2.0])
+        found = model_selection.sor_cross_validate(with_y(env), env.filter(F.col("env_id").isin(active[:n_active])), folds, zeta=ZETA, scales=[0.5, 2.0])
         return scores.mean_scores(found, ["scale"])
 
     return _rounded_scores(model_selection.grid_search({"n_active": sorted({-(-len(active) // 4), -(-len(active) // 2), len(active)})}, score))
@@ -618,6 +646,15 @@ def krr_fit_residual(spark, sf_dir):
     return rounded(back.select("id", (F.col("y_pred") + 1e-2 * F.col("alpha")).alias("y")), "y", places=6)
 
 
+@query("krr_matrix_free_residual", _Y)
+def krr_matrix_free_residual(spark, sf_dir):
+    """(K + jitter I) alpha of the fit by steps, over several blocks, which must be y again."""
+    env = environments(spark, sf_dir)
+    alpha = _by_steps(env, 1e-2)
+    back = regression.krr_predict_rows(env, env.join(alpha.withColumnRenamed("id", "env_id"), "env_id"), ZETA).join(alpha, "id")
+    return rounded(back.select("id", (F.col("y_pred") + 1e-2 * F.col("alpha")).alias("y")), "y", places=6)
+
+
 @query("cg_features_residual", _Y)
 def cg_features_residual(spark, sf_dir):
     """(X X^T + ridge I) x of the conjugate gradients on features, which must be y again."""
@@ -807,6 +844,39 @@ def soap_spectrum_one_point(spark, sf_dir):
     return rounded(rows, "v", places=6).filter("v <> 0")
 
 
+# Frames of two files, two in three of them periodic in a skewed cell and with atoms off by lattice vectors; two radial points and l up to 2.
+
+_CELL = ((8.0, 0.0, 0.0), (2.0, 7.0, 0.0), (1.0, 1.0, 9.0))
+_AT = [f"(({_POINT}::DOUBLE) * (1 {sign} 1 / sqrt(3::DOUBLE)))" for sign in "-+"]
+
+
+@query("soap_periodic_two_points", f"""WITH {ATOMS}, own AS (SELECT 'f' || (atom_idx % 2) AS path, * FROM atoms),
+k AS (SELECT unnest(range(-4, 5)) AS k), shift AS (SELECT a.k AS p, b.k AS q, c.k AS r, 8 * a.k + 2 * b.k + c.k AS sx, 7 * b.k + c.k AS sy, 9 * c.k AS sz FROM k a, k b, k c),
+d AS (SELECT a.path, a.frame_id, a.atom_idx, b.species, b.x + sx - a.x AS dx, b.y + sy - a.y AS dy, b.z + sz - a.z AS dz
+  FROM own a JOIN own b ON a.path = b.path AND a.frame_id = b.frame_id JOIN shift ON a.frame_id % 3 > 0 OR (p = 0 AND q = 0 AND r = 0)),
+n AS (SELECT *, row_number() OVER () AS id, sqrt(dx ** 2 + dy ** 2 + dz ** 2) AS r FROM d WHERE dx ** 2 + dy ** 2 + dz ** 2 < {RC * RC}),
+w AS (SELECT *, n AS point, CASE n WHEN 0 THEN {_AT[0]} ELSE {_AT[1]} END AS pt, CASE WHEN r <= 2.0 THEN 1 ELSE (1 + cos(pi() * (r - 2.0) / 0.5)) / 2 END AS w FROM n, range(2) s(n)),
+z AS (SELECT *, pt * r / 0.16 AS z, CASE WHEN abs(pt - r) >= 2.0 THEN 0 WHEN r <= 1e-5 THEN w * pt * exp(-(pt ** 2) / 0.32) ELSE w * pt * exp(-((pt - r) ** 2) / 0.32) * (1 - exp(-2 * pt * r / 0.16)) / (2 * pt * r / 0.16) END AS g0 FROM w),
+y AS (SELECT *, CASE WHEN r <= 1e-5 THEN 0 ELSE g0 * ((1 + exp(-2 * z)) / (1 - exp(-2 * z)) - 1 / z) END AS g1 FROM z),
+g AS (SELECT *, CASE WHEN r <= 1e-5 THEN 0 ELSE g0 - 3 * g1 / z END AS g2 FROM y),
+b AS (SELECT a.path, a.frame_id, a.atom_idx, ((a.species * 4 + b.species) * 2 + a.point) * 2 + b.point AS i, a.g0 * b.g0 AS v0, a.g1 * b.g1 AS v1, a.g2 * b.g2 AS v2,
+  CASE WHEN a.r <= 1e-5 OR b.r <= 1e-5 THEN 0 ELSE (a.dx * b.dx + a.dy * b.dy + a.dz * b.dz) / (a.r * b.r) END AS c FROM g a JOIN g b ON a.path = b.path AND a.frame_id = b.frame_id AND a.atom_idx = b.atom_idx),
+p AS (SELECT path, frame_id, atom_idx, (i * 3 + l)::BIGINT AS i, sum(CASE l WHEN 0 THEN v0 WHEN 1 THEN sqrt(3::DOUBLE) * v1 * c ELSE sqrt(5::DOUBLE) * v2 * (3 * c * c - 1) / 2 END) AS v FROM b, range(3) k(l) GROUP BY ALL),
+q AS (SELECT path, frame_id, atom_idx, i, round(v / sqrt(sum(v * v) OVER (PARTITION BY path, frame_id, atom_idx)), 6) + 0.0 AS v FROM p)
+SELECT * FROM q WHERE v <> 0""")
+def soap_periodic_two_points(spark, sf_dir):
+    """Spectra of every frame of two files; where a frame is periodic, its atoms are off by up to two lattice vectors along an axis."""
+    own = atoms(spark, sf_dir).withColumn("path", F.concat(F.lit("f"), F.col("atom_idx") % 2))
+    periodic = F.col("frame_id") % 3 > 0
+    off = [F.when(periodic, n).otherwise(0) for n in (F.col("atom_idx") % 5 - 2, F.col("atom_idx") % 3 - 1, F.col("atom_idx") % 4 - 2)]
+    moved = own.withColumns({a: F.col(a) + sum((off[k] * _CELL[k][i] for k in (1, 2)), off[0] * _CELL[0][i]) for i, a in enumerate("xyz")})
+    cell = F.array(*(F.array(*map(F.lit, v)) for v in _CELL))
+    cells = own.select("path", "frame_id").distinct().select("path", "frame_id", F.when(periodic, cell).alias("cell"), F.array(*[periodic] * 3).alias("pbc"))
+    found = descriptors.describe(moved, [0, 1, 2, 3], rc=RC, nmax=2, lmax=2, sigma=0.4, cells=cells, by=("path", "frame_id"))
+    rows = found.select("path", "frame_id", "atom_idx", F.posexplode("features").alias("i", "v")).withColumn("i", F.col("i").cast("long"))
+    return rounded(rows, "v", places=6).filter("v <> 0")
+
+
 # Parsers, over logs and frames that are written from the rows of embeddings, and parameter grids
 
 

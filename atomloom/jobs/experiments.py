@@ -71,10 +71,13 @@ def sparse_sweep(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """The mean spectrum of each frame of extended-XYZ files; species are symbols, in the order given."""
+    """The mean spectrum of each frame of extended-XYZ files, by path and frame number; species are symbols, in the order given. Periodic frames meet their images."""
     at = F.create_map(*(F.lit(x) for k, s in enumerate(args.species) for x in (s, k)))
-    atoms = atoms_of(read_frames(spark, args.frames)).withColumn("species", F.element_at(at, F.col("symbol"))).filter("species IS NOT NULL")
-    return descriptors.describe(atoms, list(range(len(args.species))), rc=args.rc, nmax=args.nmax, lmax=args.lmax, sigma=args.width, mean=True)
+    frames = read_frames(spark, args.frames)
+    atoms = atoms_of(frames).withColumn("species", F.element_at(at, F.col("symbol"))).filter("species IS NOT NULL")
+    cells, centres = frames.select("path", "frame_id", "cell", "pbc"), [args.species.index(s) for s in args.centres or args.species]
+    size = {"rc": args.rc, "nmax": args.nmax, "lmax": args.lmax, "sigma": args.width}
+    return descriptors.describe(atoms, list(range(len(args.species))), **size, mean=True, cells=cells, by=("path", "frame_id"), centres=centres)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -96,7 +99,7 @@ def main(argv: list[str] | None = None) -> None:
     job("sparse-sweep", sparse_sweep, *model, ("--active", {"type": int, "nargs": "+", "required": True}), ("--scale", {"type": float, "nargs": "+", "default": [1.0]}))
     job(
         "fingerprints", fingerprints, ("--frames", {"required": True}), ("--species", {"nargs": "+", "required": True}), ("--rc", {"type": float, "default": 3.5}),
-        ("--nmax", {"type": int, "default": 6}), ("--lmax", {"type": int, "default": 6}), ("--width", {"type": float, "default": 0.4}),
+        ("--centres", {"nargs": "+"}), ("--nmax", {"type": int, "default": 6}), ("--lmax", {"type": int, "default": 6}), ("--width", {"type": float, "default": 0.4}),
     )
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("atomloom").getOrCreate()

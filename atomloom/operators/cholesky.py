@@ -106,12 +106,47 @@ class Factor:
         if zeta is not None:
             blocks = blocks.unionByName(self._products(kernel, extra, zeta, jitter, delta))
         state = self._write(blocks, "blocks")
-        self.blocks = None
         self._drop("features")
+        self._factor(state)
+
+    @classmethod
+    def of_blocks(cls, blocks: DataFrame, places: DataFrame, n: int) -> Factor:
+        """The factor of a matrix that is there in blocks: ``blocks`` (bi, bj, m) of its lower triangle, with the right side y as row ``n``; ``places`` (id, block, at, n)."""
+        self = cls.__new__(cls)
+        self.spark, self.folder = blocks.sparkSession, shared_folder(blocks.sparkSession, "cholesky")
+        self.places, self.extra_places, self.n, self.last = places, None, n, n
+        self._factor(self._write(blocks, "blocks"))
+        return self
+
+    def _factor(self, state: DataFrame) -> None:
+        self.blocks = None
         for k in range(self.n):
             state = self._step(state, k)
             self._drop(f"rest-{k - 1}" if k else "blocks")  # nothing reads what was left before the step
 
+    def remove(self) -> None:
+        """Take the folder away; nothing that this factor has returned may be read after that."""
+        self._drop("")
+
+    def log_determinant(self) -> float:
+        """Of the matrix, from the diagonals of its factor's blocks."""
+
+        def run(batches):
+            for batch in batches:
+                logs = [2 * np.log(np.diag(_matrix(m.as_py(), int((len(m.as_py()) // 8) ** 0.5)))).sum() for m in batch.column("m")]
+                yield pa.record_batch([pa.array(logs, pa.float64())], names=["v"])
+
+        return self.blocks.filter("bi = bj").select("m").mapInArrow(run, "v double").agg(F.sum("v")).first()[0] or 0.0
+
+    def square(self) -> float:
+        """y K^-1 y: the square of L^-1 y."""
+
+        def run(batches):
+            for batch in batches:
+                yield pa.record_batch([pa.array([float((np.frombuffer(m.as_py()) ** 2).sum()) for m in batch.column("m")], pa.float64())], names=["v"])
+
+        return self.blocks.filter(F.col("bi") == self.last).select("m").mapInArrow(run, "v double").agg(F.sum("v")).first()[0] or 0.0
+
     def _entries(self, kernel: DataFrame, targets: DataFrame, extra: DataFrame | None, right: DataFrame, jitter: float, delta: float) -> DataFrame:
         """Where each entry of ``kernel``, of the diagonal and of ``extra`` belongs; a zero in each block, so that blocks without an entry are there."""
         entries = [kernel.select("i", "j", (F.lit(delta**2) * F.col("k")).alias("v")), targets.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(float(jitter)).alias("v"))]
@@ -151,7 +186,7 @@ class Factor:
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def _drop(self, name: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def _step(self, state: DataFrame, k: int) -> DataFrame:

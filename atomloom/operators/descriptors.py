@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from atomloom.functions.geometry import cutoff_weight
 from atomloom.functions.soap_math import density, power_spectrum
 from atomloom.functions.vectors import drop_small
-from atomloom.operators.neighbours import neighbours_binned
+from atomloom.operators.neighbours import neighbours_binned, neighbours_periodic
 
 
 #: Centres whose neighbours meet in one group, on average.
@@ -21,8 +21,8 @@ def descriptor_size(n_species: int, nmax: int, lmax: int) -> int:
     return n_species**2 * nmax**2 * (lmax + 1)
 
 
-def power_spectra(centres: DataFrame, pairs: DataFrame, species: list[int], *, rc: float, nmax: int, lmax: int, sigma: float) -> DataFrame:
-    """(frame_id, atom_idx, features) for each of ``centres`` (frame_id, atom_idx, species), of norm 1.
+def power_spectra(centres: DataFrame, pairs: DataFrame, species: list[int], *, rc: float, nmax: int, lmax: int, sigma: float, by: tuple[str, ...] = ("frame_id",)) -> DataFrame:
+    """(frame_id, atom_idx, features) for each of ``centres`` (frame_id, atom_idx, species), of norm 1; ``by`` names what tells a frame.
 
     ``pairs`` are neighbours within ``rc`` (frame_id, i, j, species, dx, dy, dz, r); a centre
     counts as its own neighbour too. Features run over (species, species, n, n', l). Species that
@@ -30,9 +30,10 @@ def power_spectra(centres: DataFrame, pairs: DataFrame, species: list[int], *, r
     group, of about GROUP_CENTRES centres.
     """
     at = {s: k for k, s in enumerate(species)}
-    around = pairs.select("frame_id", F.col("i").alias("atom_idx"), "species", "dx", "dy", "dz", cutoff_weight(F.col("r"), rc).alias("w"))
-    own = centres.select("frame_id", "atom_idx", "species", *(F.lit(0.0).alias(c) for c in ("dx", "dy", "dz")), F.lit(1.0).alias("w"))
-    wanted = around.join(centres.select("frame_id", "atom_idx"), ["frame_id", "atom_idx"], "left_semi")
+    keys = [*by, "atom_idx"]
+    around = pairs.select(*by, F.col("i").alias("atom_idx"), "species", "dx", "dy", "dz", cutoff_weight(F.col("r"), rc).alias("w"))
+    own = centres.select(*keys, "species", *(F.lit(0.0).alias(c) for c in ("dx", "dy", "dz")), F.lit(1.0).alias("w"))
+    wanted = around.join(centres.select(*keys), keys, "left_semi")
     rows = wanted.unionByName(own).filter(F.col("species").isin(list(species)) & (F.col("w") > 0))
 
     def spectrum(table: pa.Table) -> np.ndarray:
@@ -47,33 +48,46 @@ def power_spectra(centres: DataFrame, pairs: DataFrame, species: list[int], *, r
         return p.ravel() / (np.sqrt((p**2).sum()) or 1.0)
 
     def group(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("frame_id", "ascending"), ("atom_idx", "ascending")])
-        frame, atom = table.column("frame_id").to_numpy(), table.column("atom_idx").to_numpy()
-        starts = [0, *(np.flatnonzero((frame[1:] != frame[:-1]) | (atom[1:] != atom[:-1])) + 1)]
-        found = [spectrum(table.slice(s, e - s)) for s, e in zip(starts, [*starts[1:], len(frame)])]
-        return pa.table({"frame_id": frame[starts], "atom_idx": atom[starts], "features": pa.array(found, pa.list_(pa.float64()))})
+        table = table.sort_by([(k, "ascending") for k in keys])
+        new = np.zeros(max(0, len(table) - 1), bool)
+        for k in keys:
+            codes = table.column(k).combine_chunks().dictionary_encode().indices.to_numpy()
+            new |= codes[1:] != codes[:-1]
+        starts = [0, *(np.flatnonzero(new) + 1)]
+        found = [spectrum(table.slice(s, e - s)) for s, e in zip(starts, [*starts[1:], len(table)])]
+        return table.select(keys).take(starts).append_column("features", pa.array(found, pa.list_(pa.float64())))
 
     groups = max(1, -(-centres.count() // GROUP_CENTRES))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("frame_id", "atom_idx"), F.lit(groups)))
-    return rows.groupBy("group").applyInArrow(group, "frame_id long, atom_idx long, features array<double>")
+    rows = rows.withColumn("group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in centres.select(*keys).schema.fields)
+    return rows.groupBy("group").applyInArrow(group, f"{schema}, features array<double>")
 
 
-def describe(atoms: DataFrame, species: list[int], *, rc: float, nmax: int, lmax: int, sigma: float, mean: bool = False, sparse: float | None = None) -> DataFrame:
+def describe(
+    atoms: DataFrame, species: list[int], *, rc: float, nmax: int, lmax: int, sigma: float, mean: bool = False, sparse: float | None = None,
+    cells: DataFrame | None = None, by: tuple[str, ...] = ("frame_id",), centres: list[int] | None = None,
+) -> DataFrame:
     """Features of ``atoms`` (frame_id, atom_idx, species, x, y, z) in one call: neighbours, spectra, and what becomes of them.
 
     Returns (frame_id, atom_idx, features); with ``mean`` one row a frame without atom_idx, the
     mean over its atoms; with ``sparse`` features as (i, v) for components of at least that size.
+    With ``cells`` (frame_id, cell, pbc), neighbours include the images of periodic frames; frames
+    without one are open. ``by`` names the columns that tell a frame, such as (path, frame_id) for
+    frames of several files. ``centres`` are the species that get a spectrum; the others are
+    neighbours only.
     """
-    found = power_spectra(atoms, neighbours_binned(atoms, rc), species, rc=rc, nmax=nmax, lmax=lmax, sigma=sigma)
+    pairs = neighbours_binned(atoms, rc, by=by) if cells is None else neighbours_periodic(atoms, cells, rc, by=by)
+    own = atoms if centres is None else atoms.filter(F.col("species").isin(list(centres)))
+    found = power_spectra(own, pairs, species, rc=rc, nmax=nmax, lmax=lmax, sigma=sigma, by=by)
     if mean:
-        means = frame_means(found).groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p"))
-        found = means.select("frame_id", F.col("p.v").alias("features"))
+        means = frame_means(found, by=by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p"))
+        found = means.select(*by, F.col("p.v").alias("features"))
     return found if sparse is None else found.withColumn("features", drop_small(F.col("features"), sparse))
 
 
-def frame_means(rows: DataFrame) -> DataFrame:
+def frame_means(rows: DataFrame, *, by: tuple[str, ...] = ("frame_id",)) -> DataFrame:
     """(frame_id, i, v): the mean of each feature over the environments of a frame; summed on each task first."""
-    return rows.select("frame_id", F.posexplode("features").alias("i", "v")).groupBy("frame_id", "i").agg(F.avg("v").alias("v"))
+    return rows.select(*by, F.posexplode("features").alias("i", "v")).groupBy(*by, "i").agg(F.avg("v").alias("v"))
 
 
 def embed_species(rows: DataFrame, grid: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atomloom.operators import low_rank
+
 BLOCK_ROWS = 512
 
 
@@ -127,40 +129,13 @@ def spread_gradient(groups: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def sor_system(rows: DataFrame, active: DataFrame, targets: DataFrame, zeta: float, scale: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The low-rank ("subset of regressors") normal equations: (gram, rhs, cross).
+    """The low-rank ("subset of regressors") normal equations as long tables: (gram, rhs, cross).
 
     ``rows`` (env_id, features) are all environments, ``active`` those few that represent them,
     ``targets`` (env_id, y). gram (i, j, k) = K_MM + K_MN K_NM / scale**2, rhs (i, b) = K_MN y /
-    scale**2, cross (i, j, k) = K_NM. Each batch of rows meets all active ones (collected: their
-    number bounds the dense system anyway) and adds to M x M sums before the shuffle.
+    scale**2, cross (i, j, k) = K_NM. They are added up in tiles (``low_rank.Sums``) and written
+    out entry by entry only here; to fit a model, ``low_rank.fit`` needs no entries.
     """
-    points = active.orderBy("env_id").collect()
-    ids = np.array([p["env_id"] for p in points], np.int64)
-    basis = np.array([p["features"] for p in points], float)
-    m = len(ids)
-
-    def partial(batches):
-        gram, rhs = np.zeros((m, m)), np.zeros(m)
-        for batch in batches:
-            x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
-            k = (x @ basis.T) ** zeta
-            gram += k.T @ k
-            rhs += k.T @ batch.column("y").to_numpy()
-        full = np.concatenate((gram.ravel(), rhs)) / scale**2
-        i = np.concatenate((np.repeat(ids, m), ids))
-        j = pa.array(np.concatenate((np.tile(ids, m), ids)), mask=np.arange(m * m + m) >= m * m)
-        yield pa.record_batch([pa.array(i), j, pa.array(full)], names=["i", "j", "v"])
-
-    def crossed(batches):
-        for batch in batches:
-            x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
-            k = (x @ basis.T) ** zeta
-            yield pa.record_batch([pa.array(np.repeat(batch.column("env_id").to_numpy(), m)), pa.array(np.tile(ids, batch.num_rows)), pa.array(k.ravel())], names=["i", "j", "k"])
-
-    with_y = rows.select("env_id", "features").join(targets.select("env_id", "y"), "env_id").select("features", "y")
-    sums = with_y.mapInArrow(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    own = power_kernel(active, active, zeta)
-    gram = own.join(sums.filter("j IS NOT NULL"), ["i", "j"]).select("i", "j", (F.col("k") + F.col("v")).alias("k"))
-    rhs = sums.filter("j IS NULL").select("i", F.col("v").alias("b"))
-    cross = rows.select("env_id", "features").mapInArrow(crossed, "i long, j long, k double")
-    return gram, rhs, cross
+    sums = low_rank.Sums(rows.select("env_id", "features").join(targets.select("env_id", "y"), "env_id"), active, zeta)
+    gram, rhs = sums.entries(scale)
+    return gram, rhs, power_kernel(rows, active, zeta)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atomloom.operators import regression, scores, splits
+from atomloom.operators import low_rank, regression, scores, splits
 from atomloom.operators.alchemy import minimise
 
 
@@ -43,55 +43,22 @@ def split_scores(kernel: DataFrame, targets: DataFrame, roles: DataFrame, by: li
     return scores.scores(needed.groupBy(*by).applyInArrow(fit, schema), by)
 
 
-def _sor_parts(rows: DataFrame, active: DataFrame, zeta: float, delta: float = 1.0) -> tuple[np.ndarray, Callable]:
-    basis = np.array([p["features"] for p in active.orderBy("env_id").collect()], float)
-
-    def crossed(x: np.ndarray) -> np.ndarray:
-        return delta**2 * (x @ basis.T) ** zeta
-
-    return basis, crossed
-
-
-def sor_cross_validate(rows: DataFrame, active: DataFrame, folds: DataFrame, *, zeta: float, scales: list[float], jitter: float = 1e-8, delta: float = 1.0) -> DataFrame:
+def sor_cross_validate(rows: DataFrame, active: DataFrame, folds: DataFrame, *, zeta: float, scales: list[float], jitter: float = 1e-8, delta: float = 1.0, tile_rows: int | None = None) -> DataFrame:
     """Scores by scale and fold of low-rank models: ``rows`` (env_id, features, y), ``active`` (env_id, features), ``folds`` (env_id, fold).
 
-    The kernel is delta**2 times the power kernel. One pass sums K_MN K_NM and K_MN y by fold; what a model without a fold needs is the total
-    less the fold's own, so no fold is summed twice. A second pass predicts.
+    The kernel is delta**2 times the power kernel. One pass sums K_MN K_NM and K_MN y by fold, in
+    tiles; what a model without a fold needs is the total less the fold's own, so no fold is summed
+    twice. A second pass predicts, with all models of a row's fold at once.
     """
-    basis, crossed = _sor_parts(rows, active, zeta, delta)
-    m = len(basis)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
-            k, y, fold = crossed(x), batch.column("y").to_numpy(), batch.column("fold").to_numpy()
-            for f in np.unique(fold):
-                own = k[fold == f]
-                sums[f] = sums.get(f, 0) + np.concatenate((own.T @ own, (own.T @ y[fold == f])[:, None]), axis=1)
-        for f, s in sums.items():
-            yield pa.record_batch([pa.array(np.full(s.size, f)), pa.array(np.arange(s.size)), pa.array(s.ravel())], names=["fold", "i", "v"])
-
-    folded = rows.join(folds, "env_id").select("features", "y", F.col("fold").cast("long").alias("fold"))
-    table = folded.mapInArrow(partial, "fold long, i long, v double").groupBy("fold", "i").agg(F.sum("v").alias("v")).orderBy("fold", "i").toArrow()
-    fold_ids, v = np.unique(table.column("fold").to_numpy()), table.column("v").to_numpy()
-    by_fold = v.reshape(len(fold_ids), m, m + 1)
-    k_mm, total = crossed(basis), by_fold.sum(axis=0)
-    alphas = {}
-    for f, own in zip(fold_ids, by_fold):
-        for scale in scales:
-            rest = (total - own) / scale**2
-            alphas[int(f), scale] = np.linalg.solve(k_mm + rest[:, :m] + jitter * np.eye(m), rest[:, m])
-
-    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
-            k, fold = crossed(x), batch.column("fold").to_numpy()
-            for scale in scales:
-                y = np.array([row @ alphas[f, scale] for row, f in zip(k, fold.tolist())])
-                yield pa.record_batch([pa.array(np.full(len(y), scale)), batch.column("fold"), batch.column("y"), pa.array(y, pa.float64())], names=["scale", "fold", "y", "y_pred"])
-
-    return scores.scores(folded.mapInArrow(predicted, "scale double, fold long, y double, y_pred double"), ["scale", "fold"])
+    folded = rows.join(folds.select("env_id", F.col("fold").cast("long").alias("fold")), "env_id").select("env_id", "features", "y", "fold")
+    sums, alphas = low_rank.Sums(folded, active, zeta, delta=delta, tile_rows=tile_rows), None
+    for scale in scales:
+        own = sums.solve(scale, jitter, leave_out=True).withColumn("scale", F.lit(float(scale)))
+        alphas = own if alphas is None else alphas.unionByName(own)
+    # The fold is one more mark of a model, so that scores come by it.
+    alphas = alphas.withColumn("of", F.col("fold").cast("double"))
+    found = low_rank.predict(folded, active, alphas, zeta, by=["scale", "of"], delta=delta)
+    return scores.scores(found.withColumn("fold", F.col("of").cast("long")), ["scale", "fold"])
 
 
 def sor_log_likelihood(gram: np.ndarray, k_mm: np.ndarray, rhs: np.ndarray, yy: float, n: int, scale: float) -> float:
@@ -106,25 +73,15 @@ def sor_log_likelihood(gram: np.ndarray, k_mm: np.ndarray, rhs: np.ndarray, yy:
     return float(-0.5 * (yy / scale**2 - part @ part + log_det + n * np.log(2 * np.pi)))
 
 
-def log_likelihood(rows: DataFrame, active: DataFrame, *, zeta: float, scales: list[float], jitter: float = 1e-8) -> DataFrame:
-    """(scale, log_likelihood) of low-rank models of ``rows`` (env_id, features, y) over ``active`` (env_id, features), from one pass over the rows."""
-    basis, crossed = _sor_parts(rows, active, zeta)
-    m = len(basis)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((m + 1, m + 1))
-        n = 0
-        for batch in batches:
-            k = crossed(batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1))
-            own = np.concatenate((k, batch.column("y").to_numpy()[:, None]), axis=1)
-            total += own.T @ own
-            n += batch.num_rows
-        yield pa.record_batch([pa.array(np.arange(total.size + 1)), pa.array(np.append(total.ravel(), n))], names=["i", "v"])
-
-    table = rows.select("features", "y").mapInArrow(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow()
-    v = table.column("v").to_numpy()
-    sums, k_mm = v[:-1].reshape(m + 1, m + 1), crossed(basis) + jitter * np.eye(m)
-    found = [(float(s), sor_log_likelihood(sums[:m, :m], k_mm, sums[:m, m], sums[m, m], int(v[-1]), s)) for s in scales]
+def log_likelihood(rows: DataFrame, active: DataFrame, *, zeta: float, scales: list[float], jitter: float = 1e-8, tile_rows: int | None = None) -> DataFrame:
+    """(scale, log_likelihood) of low-rank models of ``rows`` (env_id, features, y) over ``active`` (env_id, features), from one pass over the rows.
+
+    Determinants and squares come from block Cholesky over the tiles of the sums.
+    """
+    sums = low_rank.Sums(rows, active, zeta, tile_rows=tile_rows)
+    yy, n = rows.agg(F.sum(F.col("y") * F.col("y")), F.count("*")).first()
+    found = [(float(s), sums.likelihood(float(s), jitter, float(yy or 0.0), n)) for s in scales]
+    sums.remove()
     return rows.sparkSession.createDataFrame(found, "scale double, log_likelihood double")
 
 

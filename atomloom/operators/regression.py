@@ -1,8 +1,7 @@
 """Kernel regression: exact, low-rank and by conjugate gradients; validation without refitting.
 
-Kernels are long tables (i, j, k). Exact models are solved in Spark by block Cholesky, without a bound on rows;
-the dense systems of low-rank models, as small as the active set, are solved on the driver, which
-is refused beyond MAX_DENSE rows.
+Kernels are long tables (i, j, k). Models are solved in Spark by block Cholesky, without a bound on rows; only the
+splits of learning curves are solved in a task each, which is refused beyond MAX_DENSE rows.
 """
 
 from __future__ import annotations
@@ -15,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomloom.functions.vectors import dot
-from atomloom.operators.cholesky import Factor
+from atomloom.operators import matrix_free
+from atomloom.operators.cholesky import BLOCK_ROWS, Factor, shared_folder
 from atomloom.operators.kernels import weighted_kernel
 
 MAX_DENSE = 5000
+#: Blocks up to which an exact fit factors its matrix.
+DIRECT_BLOCKS = 4
 
 
 def dense(kernel: DataFrame, ids: list[int]) -> np.ndarray:
@@ -40,7 +42,15 @@ def krr_fit(kernel: DataFrame, targets: DataFrame, *, jitter: float, delta: floa
 
 
 def krr_fit_rows(rows: DataFrame, targets: DataFrame, zeta: float, *, jitter: float, delta: float = 1.0) -> DataFrame:
-    """krr_fit with the power kernel of ``rows`` (env_id, features), of which no entry becomes a row of a table."""
+    """krr_fit with the power kernel of ``rows`` (env_id, features), of which no entry becomes a row of a table.
+
+    Up to DIRECT_BLOCKS blocks the matrix is factored. Beyond, it is not kept at all: conjugate
+    gradients multiply by it, and only if those do not end is it factored after all.
+    """
+    if targets.count() > DIRECT_BLOCKS * BLOCK_ROWS:
+        found = matrix_free.solve(rows, targets, zeta, jitter=jitter, delta=delta)
+        if found is not None:
+            return found
     return Factor(_points(rows), targets, jitter=jitter, delta=delta, zeta=zeta).solve()
 
 
@@ -94,11 +104,8 @@ def _by_fold(left_out: Callable[[DataFrame], Factor], folds: DataFrame) -> DataF
 
 
 def sor_fit(gram: DataFrame, rhs: DataFrame, *, jitter: float = 1e-8) -> DataFrame:
-    """(id, alpha) of the low-rank system (gram + jitter I) alpha = rhs, as small as the active set."""
-    right = {r["i"]: r["b"] for r in rhs.limit(MAX_DENSE + 1).collect()}
-    ids = sorted(right)
-    alpha = np.linalg.solve(dense(gram, ids) + jitter * np.eye(len(ids)), np.array([right[i] for i in ids]))
-    return gram.sparkSession.createDataFrame(list(zip(ids, map(float, alpha))), "id long, alpha double")
+    """(id, alpha) of the low-rank system (gram + jitter I) alpha = rhs, given entry by entry; ``low_rank.fit`` needs no entries."""
+    return krr_fit(gram, rhs.select(F.col("i").alias("id"), F.col("b").alias("y")), jitter=jitter)
 
 
 def gaussian_process(kernel: DataFrame, cross: DataFrame, own: DataFrame, targets: DataFrame, *, noise: float) -> DataFrame:
@@ -123,37 +130,33 @@ def gaussian_process_rows(train: DataFrame, test: DataFrame, targets: DataFrame,
 
 
 def conjugate_gradients(kernel: DataFrame, targets: DataFrame, *, jitter: float, max_steps: int = 100, tolerance: float = 1e-10) -> DataFrame:
-    """(id, x) with (K + jitter I) x = y, without a dense matrix anywhere.
+    """(id, x) with (K + jitter I) x = y for K given entry by entry, without a dense matrix anywhere.
 
-    Each step multiplies the long table by the current direction in Spark; vectors, as long as
-    ``targets``, are kept on the driver.
+    Vectors are columns of a table over ``targets`` (id, y). Each step multiplies the kernel by the
+    current direction, writes the table to the shared folder and removes the one before; the
+    driver holds inner products. ``matrix_free.solve`` needs no entries.
     """
-    spark = kernel.sparkSession
-    kernel = kernel.persist()
-    rows = targets.select("id", "y").orderBy("id").collect()
-    ids, b = [r["id"] for r in rows], np.array([r["y"] for r in rows], float)
-    at = {v: n for n, v in enumerate(ids)}
-
-    def times(v: np.ndarray) -> np.ndarray:
-        vector = spark.createDataFrame(list(zip(ids, map(float, v))), "j long, v double")
-        out = jitter * v
-        for r in kernel.join(vector, "j").groupBy("i").agg(F.sum(F.col("k") * F.col("v")).alias("s")).collect():
-            out[at[r["i"]]] += r["s"]
-        return out
-
-    x, residual = np.zeros_like(b), b.copy()
-    direction, size = residual.copy(), float(b @ b)
+    spark, folder = kernel.sparkSession, shared_folder(kernel.sparkSession, "gradients")
+    kernel = kernel.select("i", "j", "k").persist()
+    state = targets.select("id", F.lit(0.0).alias("x"), F.col("y").cast("double").alias("r"), F.col("y").cast("double").alias("p"))
+    size = targets.agg(F.sum(F.col("y") * F.col("y"))).first()[0] or 0.0
     least = tolerance * max(size, 1e-300)
-    for _ in range(max_steps):
+    for k in range(max_steps):
         if size <= least:
             break
-        product = times(direction)
-        step = size / float(direction @ product)
-        x, residual = x + step * direction, residual - step * product
-        size, before = float(residual @ residual), size
-        direction = residual + size / before * direction
+        sums = kernel.join(state.select(F.col("id").alias("j"), "p"), "j").groupBy(F.col("i").alias("id")).agg(F.sum(F.col("k") * F.col("p")).alias("q"))
+        held = state.join(sums, "id", "left").withColumn("q", F.coalesce("q", F.lit(0.0)) + jitter * F.col("p"))
+        held.write.parquet(f"{folder}/{k}")
+        held = spark.read.schema(held.schema).parquet(f"{folder}/{k}")
+        if k:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        step = size / held.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        left = F.col("r") - step * F.col("q")
+        size, before = held.agg(F.sum(left * left)).first()[0], size
+        state = held.select("id", (F.col("x") + step * F.col("p")).alias("x"), left.alias("r"), (left + size / before * F.col("p")).alias("p"))
     kernel.unpersist()
-    return spark.createDataFrame(list(zip(ids, map(float, x))), "id long, x double")
+    return state.select("id", "x")
 
 
 def conjugate_gradients_features(rows: DataFrame, *, ridge: float, max_steps: int = 1000, tolerance: float = 1e-25) -> DataFrame:

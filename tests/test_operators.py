@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from atomloom.functions.soap_math import density, legendre, power_spectrum, radial_overlap
-from atomloom.operators import alchemy, cholesky, compression, descriptors, kernels, model_selection, neighbours, regression, selection, splits
+from atomloom.operators import alchemy, cholesky, compression, descriptors, kernels, low_rank, matrix_free, model_selection, neighbours, regression, selection, splits
 from pyspark.sql import functions as F
 
 
@@ -365,3 +365,110 @@ def test_cross_loss_is_that_of_two_fits(spark):
         w = np.linalg.solve(z[fit].T @ z[fit] + 0.1 * np.eye(z.shape[1]), z[fit].T @ y[fit])
         error += ((z[test] @ w - y[test]) ** 2).sum()
     assert np.isclose(alchemy.cross_loss(rows, u, 0.1), error / 30)
+
+
+def test_low_rank_of_many_tiles(spark, x, monkeypatch):
+    """Tiles of a few active environments, packs of a few rows and sums in rounds give what one dense system gives."""
+    monkeypatch.setattr(low_rank, "FAN_IN", 2)
+    monkeypatch.setattr(low_rank, "PACK_BYTES", 300)
+    env, y = vectors(spark, x), np.cos(np.arange(40.0))
+    rows = env.withColumn("y", F.cos(F.col("env_id").cast("double")))
+    active = env.filter("env_id % 4 = 1")
+    k = 4 * (x[1::4] @ x.T) ** 2
+    want = np.linalg.solve(k[:, 1::4] + k @ k.T / 0.25 + 0.1 * np.eye(10), k @ y / 0.25)
+    for tile_rows in (3, 512):
+        got = low_rank.fit(rows, active, 2.0, scale=0.5, jitter=0.1, delta=2.0, tile_rows=tile_rows).orderBy("id").collect()
+        assert [r["id"] for r in got] == list(range(1, 40, 4)) and np.allclose([r["alpha"] for r in got], want)
+        sums = low_rank.Sums(rows, active, 2.0, delta=2.0, tile_rows=tile_rows)
+        gram, rhs = sums.entries(0.5, 0.1)
+        found = {(r["i"], r["j"]): r["k"] for r in gram.collect()}
+        assert len(found) == 100 and np.allclose([[found[i, j] for j in range(1, 40, 4)] for i in range(1, 40, 4)], k[:, 1::4] + k @ k.T / 0.25 + 0.1 * np.eye(10))
+        assert np.allclose([r["b"] for r in rhs.orderBy("i").collect()], k @ y / 0.25)
+        own = k[:, 1::4] + 0.1 * np.eye(10)
+        dense_ = k.T @ np.linalg.solve(own, k) + 0.25 * np.eye(40)
+        likelihood = -0.5 * (y @ np.linalg.solve(dense_, y) + np.linalg.slogdet(dense_)[1] + 40 * np.log(2 * np.pi))
+        assert math.isclose(sums.likelihood(0.5, 0.1, float(y @ y), 40), likelihood, rel_tol=1e-6)
+        sums.remove()
+
+
+def test_low_rank_validation_of_many_tiles(spark, x, monkeypatch):
+    monkeypatch.setattr(cholesky, "BLOCK_ROWS", 3)
+    env = vectors(spark, x)
+    rows = env.select("env_id", "features", F.sin(F.col("env_id").cast("double")).alias("y"))
+    folds, active = rows.select("env_id", (F.col("env_id") % 3).alias("fold")), env.filter("env_id < 10")
+    got = {(r["scale"], r["fold"]): r for r in model_selection.sor_cross_validate(rows, active, folds, zeta=2.0, scales=[0.5, 2.0], jitter=0.1).collect()}
+    y, k = np.sin(np.arange(40.0)), (x[:10] @ x.T) ** 2
+    assert len(got) == 6
+    for (scale, fold), r in got.items():
+        train = np.arange(40) % 3 != fold
+        alpha = np.linalg.solve(k[:, :10] + k[:, train] @ k[:, train].T / scale**2 + 0.1 * np.eye(10), k[:, train] @ y[train] / scale**2)
+        error = alpha @ k[:, ~train] - y[~train]
+        assert math.isclose(r["mae"], np.abs(error).mean(), rel_tol=1e-6) and math.isclose(r["rmse"], np.sqrt((error**2).mean()), rel_tol=1e-6)
+
+
+def test_farthest_points_take_few_passes(spark, monkeypatch):
+    """Hundreds of points of a few passes, the same as one by one; with copies, and with ties of all distances."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate((rng.normal(size=(400, 12)), np.eye(12), np.eye(12), np.zeros((3, 12))))
+    k = (x @ x.T) ** 2
+    d = np.diag(k)[:, None] + np.diag(k)[None, :] - 2 * k
+    picked, least = [5], d[5].copy()
+    while len(picked) < 150:
+        least[picked] = -1
+        picked.append(int(least.argmax()))
+        least = np.minimum(least, d[picked[-1]])
+    passes, one = [], selection._pass
+    monkeypatch.setattr(selection, "_pass", lambda *a: passes.append(1) or one(*a))
+    got = selection.farthest_points(vectors(spark, x), 150, zeta=2.0, start=5, batch=64).orderBy("rank").collect()
+    assert [r["id"] for r in got] == picked and len(passes) < 40
+    ties = selection.farthest_points(vectors(spark, np.eye(9)), 20, batch=4).orderBy("rank").collect()
+    assert [r["id"] for r in ties] == list(range(9))
+
+
+@pytest.mark.parametrize("pbc", [(True, True, True), (True, False, True), (False, False, True), (False, False, False)])
+def test_frames_wrapped_by_lattice_vectors_have_the_same_features(spark, pbc):
+    rng = np.random.default_rng(4)
+    cell = np.array([[4.0, 0.3, 0.0], [-1.5, 3.5, 0.2], [0.4, 0.9, 5.0]])
+    at, species = rng.uniform(size=(9, 3)) @ cell, rng.integers(0, 2, 9)
+    off = rng.integers(-3, 4, size=(9, 3)) * np.array(pbc)
+    rows = [(p, 0, i, int(species[i]), *map(float, q[i])) for p, q in (("a", at), ("b", at + off @ cell)) for i in range(9)]
+    atoms = spark.createDataFrame(rows, "path string, frame_id long, atom_idx long, species long, x double, y double, z double")
+    given = [[list(map(float, v)) if p or sum(pbc) == 3 else [0.0] * 3 for v, p in zip(cell, pbc)]] if any(pbc) else [None]
+    cells = spark.createDataFrame([(p, 0, given[0], list(pbc)) for p in "ab"], "path string, frame_id long, cell array<array<double>>, pbc array<boolean>")
+    by = ("path", "frame_id")
+    found = {(r["path"], r["atom_idx"]): r["features"] for r in descriptors.describe(atoms, [0, 1], rc=3.0, nmax=2, lmax=2, sigma=0.4, cells=cells, by=by).collect()}
+    assert len(found) == 18 and all(np.allclose(found["a", i], found["b", i], atol=1e-8) for i in range(9))
+    # All images by trying them, for the same pairs.
+    n = np.array([v for v in np.ndindex(9, 9, 9)]) - 4
+    n = n[(n * ~np.array(pbc) == 0).all(axis=1)]
+    want = sorted((i, j, round(float(r), 6)) for i in range(9) for j in range(9) for r in np.sqrt((((at[j] + n @ cell - at[i])) ** 2).sum(axis=1)) if 1e-9 < r < 3.0)
+    pairs = neighbours.neighbours_periodic(atoms, cells, 3.0, by=by).filter("path = 'b'").collect()
+    assert sorted((r["i"], r["j"], round(r["r"], 6)) for r in pairs) == want
+    means = descriptors.describe(atoms, [0, 1], rc=3.0, nmax=2, lmax=2, sigma=0.4, cells=cells, by=by, mean=True).collect()
+    assert sorted(r["path"] for r in means) == ["a", "b"] and np.allclose(means[0]["features"], np.mean([found["a", i] for i in range(9)], axis=0), atol=1e-8)
+    few = descriptors.describe(atoms, [0, 1], rc=3.0, nmax=2, lmax=2, sigma=0.4, cells=cells, by=by, centres=[1])
+    few = {(r["path"], r["atom_idx"]): r["features"] for r in few.collect()}
+    assert set(few) == {k for k in found if species[k[1]] == 1} and all(np.allclose(v, found[k]) for k, v in few.items())
+
+
+@pytest.mark.parametrize("landmarks, block_rows", [(5, 7), (1, 1000)])
+def test_matrix_free_fit(spark, x, landmarks, block_rows):
+    few = x[:24, :3]
+    env, y = vectors(spark, few), np.sin(np.arange(24.0))
+    targets = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "id long, y double")
+    want = np.linalg.solve(4 * (few @ few.T) ** 2 + 5.0 * np.eye(24), y)
+    got = matrix_free.solve(env, targets, 2.0, jitter=5.0, delta=2.0, landmarks=landmarks, block_rows=block_rows).orderBy("id").collect()
+    assert np.allclose([r["alpha"] for r in got], want, atol=1e-9)
+
+
+def test_matrix_free_ends(spark, x, monkeypatch):
+    """Of no rows, of targets that are 0, and where steps do not suffice; then the matrix is factored."""
+    env = vectors(spark, x)
+    targets = spark.createDataFrame([(i, float(i)) for i in range(40)], "id long, y double")
+    assert matrix_free.solve(env, targets.limit(0), 2.0, jitter=1.0).count() == 0
+    assert {r["alpha"] for r in matrix_free.solve(env, targets.withColumn("y", F.lit(0.0)), 2.0, jitter=1.0).collect()} == {0.0}
+    assert matrix_free.solve(env, targets, 2.0, jitter=1e-3, landmarks=1, max_steps=1) is None
+    monkeypatch.setattr(regression, "DIRECT_BLOCKS", 0)
+    monkeypatch.setattr(matrix_free.solve, "__kwdefaults__", matrix_free.solve.__kwdefaults__ | {"max_steps": 1})
+    got = regression.krr_fit_rows(env, targets, 2.0, jitter=1.0).orderBy("id").collect()
+    assert np.allclose([r["alpha"] for r in got], np.linalg.solve((x @ x.T) ** 2 + np.eye(40), np.arange(40.0)))
