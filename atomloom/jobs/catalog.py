@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atomloom.functions import geometry, vectors
-from atomloom.operators import alchemy, compression, descriptors, kernels, low_rank, matrix_free, model_selection, neighbours, regression, scores, selection, splits
+from atomloom.operators import alchemy, compression, descriptors, kernels, low_rank, matrix_free, model_selection, neighbours, regression, scaled_loss, scores, selection, splits
 from atomloom.sources import frames, scf, shielding
 from atomloom.tables import environments, table
 
@@ -563,9 +563,8 @@ def alchemical_loss(spark, sf_dir):
     """The two-halves loss of a fit in the basis that element similarity starts from, before and after descent on it."""
     rows = environments(spark, sf_dir).select(F.col("env_id").alias("id"), F.col("frame_id").cast("double").alias("y"), "features")
     _, u = alchemy.leading_vectors(alchemy.element_similarity(alchemy.elements(spark).filter("z IN (6, 8)")), 1)
-    before = alchemy.cross_loss(rows, u, 1e-3)
-    _, after = alchemy.minimise(lambda v: alchemy.cross_loss(rows, v, 1e-3), u)
-    return spark.createDataFrame([("start", round(before, 6)), ("end", round(after, 6))], "step string, loss double")
+    (_, before), *_, (_, after) = alchemy.alchemical_descent(rows, u, sigma_w=1e-3, rounds=1)[0]
+    return spark.createDataFrame([("start", round(before**2, 6)), ("end", round(after**2, 6))], "step string, loss double")
 
 
 @query("centred_targets", f"WITH {ENV}, t AS (SELECT env_id AS id, frame_id::DOUBLE AS y FROM env) SELECT id, round(y - avg(y) OVER (), 9) + 0.0 AS y FROM t")
@@ -617,10 +616,24 @@ def sor_sweep(spark, sf_dir):
     return _rounded_scores(model_selection.grid_search({"n_active": sorted({-(-len(active) // 4), -(-len(active) // 2), len(active)})}, score))
 
 
-@query("learning_curve_krr")
+@query("learning_curve_krr", f"""WITH RECURSIVE {ENV}, p(n_train, repeat) AS (VALUES (50, 0), (50, 1), (50, 2), (100, 0), (100, 1), (200, 0)),
+r AS (SELECT n_train, repeat, f, frame_id::DOUBLE AS y, env_id, row_number() OVER (PARTITION BY n_train, repeat ORDER BY md5('5:' || n_train || ':' || repeat || ':' || env_id), env_id) - 100 AS i FROM env, p),
+x AS (SELECT * FROM r WHERE i BETWEEN 1 AND n_train),
+start AS (SELECT a.n_train, a.repeat, a.i, b.i AS j, list_dot_product(a.f, b.f) ** 2 + CASE WHEN a.i = b.i THEN 1e-2 ELSE 0 END AS v FROM x a JOIN x b ON a.n_train = b.n_train AND a.repeat = b.repeat
+  UNION ALL SELECT n_train, repeat, i, 0, y FROM x),
+q(t, n_train, repeat, i, j, v) AS (
+  SELECT 0, n_train, repeat, i, j, v FROM start
+  UNION ALL
+  SELECT t + 1, n_train, repeat, i, j, CASE WHEN i = t + 1 THEN v / d ELSE v - left_v * top_v / d END
+  FROM (SELECT *, max(v) FILTER (WHERE i = t + 1 AND j = t + 1) OVER (PARTITION BY n_train, repeat) AS d, max(v) FILTER (WHERE j = t + 1) OVER (PARTITION BY n_train, repeat, i) AS left_v,
+    max(v) FILTER (WHERE i = t + 1) OVER (PARTITION BY n_train, repeat, j) AS top_v FROM q WHERE t < n_train) WHERE j = 0 OR j > t + 1),
+alpha AS (SELECT x.n_train, x.repeat, x.f, v AS alpha FROM q JOIN x ON x.n_train = q.n_train AND x.repeat = q.repeat AND x.i = q.i WHERE t = q.n_train AND j = 0),
+pred AS (SELECT r.n_train, r.repeat, r.env_id, any_value(r.y) AS y, sum(alpha * list_dot_product(r.f, a.f) ** 2) AS y_pred FROM r JOIN alpha a ON a.n_train = r.n_train AND a.repeat = r.repeat WHERE r.i <= 0 GROUP BY ALL),
+f AS (SELECT n_train, repeat, {_SCORES} FROM pred GROUP BY ALL)
+SELECT n_train::BIGINT AS n_train, {_ROUNDED} FROM (SELECT n_train, avg(mae) AS mae, avg(rmse) AS rmse, avg(sup) AS sup, avg(r2) AS r2 FROM f GROUP BY n_train)""")
 def learning_curve_krr(spark, sf_dir):
     env = environments(spark, sf_dir)
-    return _rounded_scores(model_selection.learning_curve(kernels.power_kernel(env, env, ZETA), targets(env), [50, 100, 200], [3, 2, 1], 100, seed=5, jitter=1e-2))
+    return _rounded_scores(model_selection.learning_curve_rows(env, targets(env), [50, 100, 200], [3, 2, 1], 100, ZETA, seed=5, jitter=1e-2))
 
 
 @query("fps_back_map")
@@ -808,6 +821,36 @@ def alchemical_loss_d1(spark, sf_dir):
     return spark.createDataFrame([(round(loss, 6),)], "loss double")
 
 
+@query("alchemical_gradient_d1", f"""WITH {ENV}, p AS (SELECT env_id % 2 AS half, frame_id::DOUBLE AS y, f[1] AS a, f[2] + f[3] AS b, f[4] AS c FROM env),
+x AS (SELECT half, y, 0.64 * a + 0.48 * b + 0.36 * c AS x, 1.6 * a + 0.6 * b AS d0, 0.8 * b + 1.2 * c AS d1 FROM p),
+t AS (SELECT 1 - half AS half, sum(x * y) / (sum(x * x) + 0.5) AS w, sum(x * x) + 0.5 AS s, sum(y * d0) AS y0, sum(y * d1) AS y1, 2 * sum(x * d0) AS s0, 2 * sum(x * d1) AS s1 FROM x GROUP BY half),
+w AS (SELECT half, w, (y0 - w * s0) / s AS w0, (y1 - w * s1) / s AS w1 FROM t)
+SELECT round(sum((w * x - y) ** 2) / 2 + 0.05, 5) + 0.0 AS loss, round(sum((w * x - y) * (w * d0 + x * w0)) + 0.08, 5) + 0.0 AS slope_0, round(sum((w * x - y) * (w * d1 + x * w1)) + 0.06, 5) + 0.0 AS slope_1
+FROM x JOIN w USING (half)""")
+def alchemical_gradient_d1(spark, sf_dir):
+    """The regularised two-halves loss and its whole slope by a vector of two species, which reduces the features to one."""
+    rows = environments(spark, sf_dir).select(F.col("env_id").alias("id"), F.col("frame_id").cast("double").alias("y"), F.slice("features", 1, 4).alias("features"))
+    loss, slope = alchemy.AlchemicalLoss(rows, sigma_w=0.5, sigma_u=0.1).value_and_slope(np.array([[0.8], [0.6]]))
+    return spark.createDataFrame([tuple(round(float(v), 5) + 0.0 for v in (loss, *slope.ravel()))], "loss double, slope_0 double, slope_1 double")
+
+
+@query("group_loss_m1", f"""WITH {ENV}, {FLAT}, z AS (SELECT env_id, frame_id, list(v * (1 + i % 4) / 2 ORDER BY i) AS g FROM flat GROUP BY ALL),
+k AS (SELECT a.frame_id, a.frame_id::DOUBLE AS y, avg((list_dot_product(a.g, b.g) / sqrt(list_dot_product(a.g, a.g) * list_dot_product(b.g, b.g))) ** 2) AS k FROM z a JOIN z b ON b.frame_id = 0 GROUP BY a.frame_id),
+f AS (SELECT *, ntile(3) OVER (ORDER BY frame_id) - 1 AS fold FROM k), o AS (SELECT k + 1e-3 AS own FROM k WHERE frame_id = 0), s(scale) AS (VALUES (0.5::DOUBLE), (2)),
+t AS (SELECT g.fold, sum(f.k * f.k) AS g, sum(f.k * f.y) AS b FROM f JOIN (SELECT DISTINCT fold FROM f) g ON f.fold <> g.fold GROUP BY g.fold),
+w AS (SELECT scale, fold, b / (own * scale ** 2 + g) AS alpha, -2 * scale * own * b / (own * scale ** 2 + g) ** 2 AS by_scale FROM t, s, o)
+SELECT scale, round(avg((alpha * k - y) ** 2), 7) + 0.0 AS mse, round(avg(2 * (alpha * k - y) * k * by_scale), 7) + 0.0 AS slope FROM f JOIN w USING (fold) GROUP BY scale""")
+def group_loss_m1(spark, sf_dir):
+    """The loss of group-averaged kernels of angularly weighted spectra and its slope by the scale, over all frames, with one of them active."""
+    env = environments(spark, sf_dir).select("frame_id", "features")
+    frames = env.select("frame_id").distinct().select(F.col("frame_id").alias("id"))
+    targets = splits.k_fold(frames, 3).select(F.col("id").alias("frame_id"), F.col("id").cast("double").alias("y"), "fold")
+    loss = scaled_loss.ScaledLoss(env, targets, env.filter("frame_id = 0"), scaled_loss.Scaling(scaled_loss.angular_index(64, 4)), zeta=ZETA, jitter=1e-3)
+    found = [(scale, *loss.value_and_slope(np.array([scale, 0.5, 1.0, 1.5, 2.0]))) for scale in (0.5, 2.0)]
+    loss.remove()
+    return spark.createDataFrame([(s, round(v, 7) + 0.0, round(float(g[0]), 7) + 0.0) for s, v, g in found], "scale double, mse double, slope double")
+
+
 @query("back_map_two", f"""WITH {ENV}, {FLAT}, g AS (SELECT b.i, sum(p.f[1] * b.v) AS g1, sum(p.f[6] * b.v) AS g2 FROM flat b JOIN env p USING (env_id) GROUP BY b.i),
 k AS (SELECT max(g1) FILTER (WHERE i = 0) AS a, max(g2) FILTER (WHERE i = 0) AS b, max(g2) FILTER (WHERE i = 5) AS d FROM g),
 c AS (SELECT (d * g1 - b * g2) / (a * d - b * b) AS c1, (a * g2 - b * g1) / (a * d - b * b) AS c2 FROM g, k),

@@ -1,25 +1,30 @@
-"""Command line of experiments with parameters: learning curves, validation over strengths, sweeps of low-rank models, fingerprints.
+"""Command line of experiments with parameters: learning curves, validation over strengths, sweeps of low-rank models, fingerprints, optimisation of weights and of species.
 
     python -m atomloom.jobs.experiments learning-curve --config lc.json --out DIR
     python -m atomloom.jobs.experiments kernel-cv --features DIR --delta 0.5 1 2 --out DIR
     python -m atomloom.jobs.experiments sparse-sweep --features DIR --active 100 1000 --scale 0.5 2 --delta 1 --out DIR
     python -m atomloom.jobs.experiments fingerprints --frames 'PATH.xyz' --species H C N O --out DIR
+    python -m atomloom.jobs.experiments optimise --features DIR --loss frames --angular 6 --active 100 --start 0.5 1 1 1 1 1 1 --out DIR
+    python -m atomloom.jobs.experiments optimise --features DIR --loss legs --compressor FILE.json --active 1000 --start 0.5 1 1 --out DIR
+    python -m atomloom.jobs.experiments species --features DIR --species 1 6 7 8 --keep 2 --sigma-w 1e-3 --sigma-u 1e-3 --out DIR
 
 Feature tables are Parquet with vec_id, embedding and label (id, features and target), or with
-env_id, features and y; results are Parquet.
+env_id, features and y, and frame_id where frames matter; results are Parquet.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+from dataclasses import replace
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import atomloom
-from atomloom.operators import descriptors, kernels, model_selection, regression, scores, selection, splits
+from atomloom.operators import alchemy, compression, descriptors, model_selection, regression, scaled_loss, scores, selection, splits
 from atomloom.sources.frames import atoms_of, read_frames
 
 cloudpickle.register_pickle_by_value(atomloom)
@@ -37,19 +42,18 @@ def learning_curve(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """All of it from one JSON file: features, train_sizes, n_repeats, test_size, zeta, jitter, delta, seed."""
     config = json.loads("\n".join(r["value"] for r in spark.read.text(args.config, wholetext=True).collect()))
     rows = feature_table(spark, config["features"])
-    kernel = kernels.power_kernel(rows, rows, config.get("zeta", 2.0))
     y = rows.select(F.col("env_id").alias("id"), "y")
-    return model_selection.learning_curve(kernel, y, config["train_sizes"], config["n_repeats"], config["test_size"], seed=config.get("seed", 10), jitter=config.get("jitter", 1e-8), delta=config.get("delta", 1.0))
+    return model_selection.learning_curve_rows(rows, y, config["train_sizes"], config["n_repeats"], config["test_size"], config.get("zeta", 2.0), seed=config.get("seed", 10), jitter=config.get("jitter", 1e-8), delta=config.get("delta", 1.0))
 
 
 def kernel_cv(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Mean scores over folds of exact models, for each strength of the kernel."""
     rows = feature_table(spark, args.features, args.first)
-    kernel, y = kernels.power_kernel(rows, rows, args.zeta), rows.select(F.col("env_id").alias("id"), "y")
+    y = rows.select(F.col("env_id").alias("id"), "y")
     folds = splits.k_fold(y.select("id"), args.folds)
 
     def score(delta: float) -> DataFrame:
-        found = regression.krr_fast_cv(kernel, y, folds, jitter=args.jitter, delta=delta).join(y, "id").withColumn("all", F.lit(1))
+        found = regression.krr_fast_cv_rows(rows, y, folds, args.zeta, jitter=args.jitter, delta=delta).join(y, "id").withColumn("all", F.lit(1))
         return scores.mean_scores(scores.scores(found, ["all", "fold"]), ["all"]).drop("all")
 
     return model_selection.grid_search({"delta": args.delta}, score)
@@ -80,6 +84,46 @@ def fingerprints(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return descriptors.describe(atoms, list(range(len(args.species))), **size, mean=True, cells=cells, by=("path", "frame_id"), centres=centres)
 
 
+def optimise(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """(name, start, end): the cross-validated loss, the noise scale and the weights before and after descent by their slopes.
+
+    Losses: ``noise`` has the scale alone; ``legs`` the factors of a stored compressor; ``frames`` one weight
+    for each l, on kernels that are averaged over the environments of frames. Active ones are picked far apart.
+    """
+    rows = spark.read.parquet(args.features)
+    rows = rows.select("env_id", "features", "y", *(["frame_id"] if args.loss == "frames" else [])) if "env_id" in rows.columns else rows.selectExpr("vec_id AS env_id", "cast(embedding AS array<double>) AS features", "cast(label AS double) AS y")
+    if args.loss == "frames":
+        scaling, env = scaled_loss.Scaling(scaled_loss.angular_index(len(rows.first()["features"]), args.angular)), rows.select("frame_id", "features")
+        y = rows.groupBy("frame_id").agg(F.avg("y").alias("y"))
+        means = descriptors.frame_means(env).groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p")).select(F.col("frame_id").alias("env_id"), F.col("p.v").alias("features"))
+    else:
+        legs = args.loss == "legs"
+        if legs:
+            compressor = compression.Compressor.unpack(json.loads("\n".join(r["value"] for r in spark.read.text(args.compressor, wholetext=True).collect())))
+            rows = replace(compressor, factors=None).transform(rows, normalise=False)
+        scaling = scaled_loss.Scaling(scaled_loss.leg_index(compressor.small, compressor.kind)) if legs else scaled_loss.Scaling(np.zeros((len(rows.first()["features"]), 0), int), normalise=False)
+        env, y, means = rows.select(F.col("env_id").alias("frame_id"), "features"), rows.select(F.col("env_id").alias("frame_id"), "y"), rows.select("env_id", "features")
+    folds = splits.k_fold(y.select(F.col("frame_id").alias("id")), args.folds).select(F.col("id").alias("frame_id"), "fold")
+    active = env.join(selection.farthest_points(means, args.active).select(F.col("id").alias("frame_id")), "frame_id", "left_semi")
+    loss = scaled_loss.ScaledLoss(env, y.join(folds, "frame_id"), active, scaling, zeta=args.zeta, jitter=args.jitter)
+    start = np.array(args.start, float)
+    before = loss.value(start)
+    x, after = alchemy.minimise(None, np.array([np.log(start[0]), *start[1:]]), steps=args.steps, gradient=model_selection.by_log_scale(loss), ftol=args.ftol)
+    loss.remove()
+    names = ["loss", "scale", *(f"weight_{k}" for k in range(len(start) - 1))]
+    return spark.createDataFrame(list(zip(names, [before, *start.tolist()], [after, float(np.exp(x[0])), *x[1:].tolist()])), "name string, start double, end double")
+
+
+def species(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """(round, rmse, u, kappa) of a reduced basis of species, learnt by descent from that of their similarity: u by species, and its products."""
+    rows = feature_table(spark, args.features).select(F.col("env_id").alias("id"), "features", "y")
+    _, start = alchemy.leading_vectors(alchemy.element_similarity(alchemy.elements(spark).filter(F.col("z").isin(args.species))), args.keep)
+    if len(start) != len(args.species):
+        raise ValueError("a species has no electronegativity or radius")
+    found, _ = alchemy.alchemical_descent(alchemy.centred(rows), start, sigma_w=args.sigma_w, sigma_u=args.sigma_u, rounds=args.rounds, steps=args.steps)
+    return spark.createDataFrame([(n, e, u.tolist(), (u @ u.T).tolist()) for n, (u, e) in enumerate(found)], "round long, rmse double, u array<array<double>>, kappa array<array<double>>")
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     jobs = parser.add_subparsers(required=True)
@@ -101,6 +145,16 @@ def main(argv: list[str] | None = None) -> None:
         "fingerprints", fingerprints, ("--frames", {"required": True}), ("--species", {"nargs": "+", "required": True}), ("--rc", {"type": float, "default": 3.5}),
         ("--centres", {"nargs": "+"}), ("--nmax", {"type": int, "default": 6}), ("--lmax", {"type": int, "default": 6}), ("--width", {"type": float, "default": 0.4}),
     )
+    descent = (("--features", {"required": True}), ("--steps", {"type": int, "default": 10}))
+    job(
+        "optimise", optimise, *descent, ("--loss", {"choices": ["noise", "legs", "frames"], "required": True}), ("--start", {"type": float, "nargs": "+", "required": True}),
+        ("--active", {"type": int, "required": True}), ("--angular", {"type": int, "default": 1}), ("--compressor", {}), ("--folds", {"type": int, "default": 5}),
+        ("--zeta", {"type": float, "default": 1.0}), ("--jitter", {"type": float, "default": 1e-8}), ("--ftol", {"type": float, "default": 1e-6}),
+    )
+    job(
+        "species", species, *descent, ("--species", {"type": int, "nargs": "+", "required": True}), ("--keep", {"type": int, "default": 2}), ("--rounds", {"type": int, "default": 50}),
+        ("--sigma-w", {"type": float, "default": 1e-3}), ("--sigma-u", {"type": float, "default": 0.0}),
+    )
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("atomloom").getOrCreate()
     args.run(spark, args).write.mode("overwrite").parquet(args.out)

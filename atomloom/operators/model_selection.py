@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from itertools import product
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from atomloom.operators import low_rank, regression, scores, splits
 from atomloom.operators.alchemy import minimise
+from atomloom.operators.scaled_loss import ScaledLoss, Scaling, leg_index
 
 
 def split_scores(kernel: DataFrame, targets: DataFrame, roles: DataFrame, by: list[str], *, jitter: float, delta: float = 1.0) -> DataFrame:
@@ -92,20 +94,41 @@ def sor_loss(rows: DataFrame, active: DataFrame, folds: DataFrame, *, zeta: floa
     return found.groupBy("scale").agg((F.sum(F.col("rmse") ** 2 * F.col("n")) / F.sum("n")).alias("mse"))
 
 
-def optimise_scaling(spectra: DataFrame, active_ids: DataFrame, folds: DataFrame, compressor, start: list[float], *, zeta: float, steps: int = 10, jitter: float = 1e-8) -> tuple[list[float], float]:
-    """The noise scale and scaling factors of ``compressor`` that minimise ``sor_loss``, and that loss: descent from ``start`` (scale, factors...).
+def by_log_scale(loss: ScaledLoss):
+    """The loss and its slope as functions of (log scale, factors...)."""
 
-    ``spectra`` (env_id, y, features) uncompressed, ``active_ids`` (env_id). Each value of the loss
-    is two passes over the spectra, so factors are few; the scale is optimised by its logarithm.
-    """
+    def both(x: np.ndarray) -> tuple[float, np.ndarray]:
+        scale = float(np.exp(x[0]))
+        value, slope = loss.value_and_slope(np.array([scale, *x[1:]]))
+        return value, np.array([scale * slope[0], *slope[1:]])
 
-    def loss(x: np.ndarray) -> float:
-        compressor.factors = list(map(float, x[1:]))
-        small = compressor.transform(spectra.select("env_id", "y", "features"))
-        active = small.join(active_ids.select("env_id"), "env_id", "left_semi").select("env_id", "features")
-        return sor_loss(small, active, folds, zeta=zeta, scales=[float(np.exp(x[0]))], jitter=jitter).first()["mse"]
+    return both
 
-    x, value = minimise(loss, np.array([np.log(start[0]), *start[1:]]), steps=steps)
+
+def optimise_scaling(spectra: DataFrame, active_ids: DataFrame, folds: DataFrame, compressor, start: list[float], *, zeta: float, steps: int = 10, jitter: float = 1e-8, ftol: float = 0.0) -> tuple[list[float], float]:
+    """The noise scale and scaling factors of ``compressor`` that minimise ``sor_loss``, and that loss: descent from ``start`` (scale, factors...).
+
+    ``spectra`` (env_id, y, features) uncompressed, ``active_ids`` (env_id). A step is two passes
+    over the compressed spectra whatever the number of factors; only with a full matrix of factors,
+    or joint legs of species and radial functions, the slope is taken by differences. The scale is optimised by its logarithm.
+    """
+    x = np.array([np.log(start[0]), *start[1:]])
+    if compressor.full or "*" in compressor.kind:
+
+        def loss(x: np.ndarray) -> float:
+            compressor.factors = list(map(float, x[1:]))
+            small = compressor.transform(spectra.select("env_id", "y", "features"))
+            active = small.join(active_ids.select("env_id"), "env_id", "left_semi").select("env_id", "features")
+            return sor_loss(small, active, folds, zeta=zeta, scales=[float(np.exp(x[0]))], jitter=jitter).first()["mse"]
+
+        x, value = minimise(loss, x, steps=steps, ftol=ftol)
+    else:
+        small = replace(compressor, factors=None).transform(spectra.select(F.col("env_id").alias("frame_id"), "y", "features"), normalise=False)
+        targets = spectra.select("env_id", "y").join(folds.select("env_id", "fold"), "env_id").withColumnRenamed("env_id", "frame_id")
+        active = small.join(active_ids.select(F.col("env_id").alias("frame_id")), "frame_id", "left_semi")
+        scaled = ScaledLoss(small, targets, active, Scaling(leg_index(compressor.small, compressor.kind)), zeta=zeta, jitter=jitter)
+        x, value = minimise(None, x, steps=steps, gradient=by_log_scale(scaled), ftol=ftol)
+        scaled.remove()
     compressor.factors = list(map(float, x[1:]))
     return [float(np.exp(x[0])), *compressor.factors], float(value)
 
@@ -126,6 +149,44 @@ def grid_search(grid: dict[str, list], score: Callable[..., DataFrame]) -> DataF
     return out
 
 
+def split_scores_rows(rows: DataFrame, targets: DataFrame, roles: DataFrame, by: list[str], zeta: float, *, jitter: float, delta: float = 1.0) -> DataFrame:
+    """split_scores with the power kernel of ``rows`` (env_id, features): features join the splits, and a task multiplies those of one.
+
+    No kernel entry is a row of a table. A split of more than MAX_DENSE training rows is fitted in Spark instead, one after the other.
+    """
+    points = rows.select(F.col("env_id").alias("id"), F.col("features").cast("array<double>").alias("features")).join(targets.select("id", F.col("y").cast("double").alias("y")), "id")
+    sizes = roles.filter("role = 'train'").groupBy(*by).agg(F.count("*").alias("n"))
+    large = sizes.filter(F.col("n") > regression.MAX_DENSE).select(*by).collect()
+    small = roles.join(sizes.filter(F.col("n") <= regression.MAX_DENSE).select(*by), by, "left_semi") if large else roles
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = np.array(table.column("features").combine_chunks().flatten(), float).reshape(len(table), -1)
+        y, train = table.column("y").to_numpy(), np.array(table.column("role").to_pylist()) == "train"
+        own = delta**2 * (x[train] @ x[train].T) ** zeta + jitter * np.eye(train.sum())
+        alpha = np.linalg.solve(own, y[train])
+        test = np.flatnonzero(~train)
+        found = [delta**2 * (x[test[at : at + 512]] @ x[train].T) ** zeta @ alpha for at in range(0, len(test), 512)]
+        return pa.table({c: table.column(c).take(pa.array(test)) for c in by} | {"y": y[test], "y_pred": np.concatenate([np.empty(0), *found])})
+
+    names = ", ".join(f"{c} long" for c in by)
+    found = points.join(small, "id").groupBy(*by).applyInArrow(fit, f"{names}, y double, y_pred double")
+    for split in large:
+        own = roles.filter(" AND ".join(f"{c} = {split[c]}" for c in by))
+        train = own.filter("role = 'train'").select("id")
+        env = rows.select("env_id", "features")
+        alpha = regression.krr_fit_rows(env, targets.join(train, "id", "left_semi"), zeta, jitter=jitter, delta=delta)
+        test = env.join(own.filter("role = 'test'").select(F.col("id").alias("env_id")), "env_id", "left_semi")
+        predicted = regression.krr_predict_rows(test, env.join(alpha.withColumnRenamed("id", "env_id"), "env_id"), zeta, delta=delta)
+        found = found.unionByName(predicted.join(targets, "id").select(*(F.lit(split[c]).cast("long").alias(c) for c in by), "y", "y_pred"))
+    return scores.scores(found, by)
+
+
+def learning_curve_rows(rows: DataFrame, targets: DataFrame, train_sizes: list[int], n_repeats: list[int], n_test: int, zeta: float, *, seed: int, jitter: float, delta: float = 1.0) -> DataFrame:
+    """learning_curve with the power kernel of ``rows`` (env_id, features), of which no entry becomes a row of a table."""
+    roles = splits.learning_curve_split(targets.select("id"), train_sizes, n_repeats, n_test, seed)
+    return scores.mean_scores(split_scores_rows(rows, targets, roles, ["n_train", "repeat"], zeta, jitter=jitter, delta=delta), ["n_train"])
+
+
 def learning_curve(kernel: DataFrame, targets: DataFrame, train_sizes: list[int], n_repeats: list[int], n_test: int, *, seed: int, jitter: float, delta: float = 1.0) -> DataFrame:
     """(n_train, mae, rmse, sup, r2): scores of fresh fits, averaged by the size of the training set."""
     roles = splits.learning_curve_split(targets.select("id"), train_sizes, n_repeats, n_test, seed)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from atomloom.functions.soap_math import density, legendre, power_spectrum, radial_overlap
-from atomloom.operators import alchemy, cholesky, compression, descriptors, kernels, low_rank, matrix_free, model_selection, neighbours, regression, selection, splits
+from atomloom.operators import alchemy, cholesky, compression, descriptors, kernels, low_rank, matrix_free, model_selection, neighbours, regression, scaled_loss, selection, splits
 from pyspark.sql import functions as F
 
 
@@ -472,3 +472,86 @@ def test_matrix_free_ends(spark, x, monkeypatch):
     monkeypatch.setattr(matrix_free.solve, "__kwdefaults__", matrix_free.solve.__kwdefaults__ | {"max_steps": 1})
     got = regression.krr_fit_rows(env, targets, 2.0, jitter=1.0).orderBy("id").collect()
     assert np.allclose([r["alpha"] for r in got], np.linalg.solve((x @ x.T) ** 2 + np.eye(40), np.arange(40.0)))
+
+
+@pytest.mark.parametrize("kind", sorted(k for k in compression.KINDS if "*" not in k))
+def test_leg_index_is_what_scaling_does(spark, kind):
+    shape, rng = compression.Shape(2, 3, 2), np.random.default_rng(0)
+    legs = {"species": 2, "radial": 3}[kind.split("+")[-1]]
+    relative = 2 if kind.startswith(("angular+", "species+")) else 0
+    factors = rng.uniform(0.5, 2, relative + legs)
+    x = rng.normal(size=(2, shape.size))
+    got = compression.scale_features(vectors(spark, x), shape, kind, factors.tolist()).orderBy("env_id").collect()
+    scaling = scaled_loss.Scaling(scaled_loss.leg_index(shape, kind))
+    assert np.allclose([r["features"] for r in got], x * scaling.weights(factors))
+
+
+@pytest.mark.parametrize("groups", [False, True])
+def test_gradient_of_the_loss_against_differences(spark, groups):
+    """Of the noise scale and of weights that several components share, from two passes; for single environments and for frames."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(30, 12))
+    frame = np.arange(30) % 10 if groups else np.arange(30)
+    env = vectors(spark, x, frame).select("frame_id", "features")
+    frames = sorted(set(frame.tolist()))
+    y = {f: float(np.sin(3.0 * f)) for f in frames}
+    targets = spark.createDataFrame([(f, y[f], f % 3) for f in frames], "frame_id long, y double, fold long")
+    shape = compression.Shape(2, 1, 3)
+    scaling = scaled_loss.Scaling(scaled_loss.leg_index(shape, "angular+species"))
+    loss = scaled_loss.ScaledLoss(env, targets, env.filter("frame_id < 4"), scaling, zeta=2.0, jitter=1e-3)
+    at = np.array([0.7, *rng.uniform(0.5, 1.5, 5)])
+
+    def value(p):
+        z = x * scaling.weights(p[1:])
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        k = (z @ z.T) ** 2
+        k = np.array([[k[np.ix_(frame == i, frame == j)].mean() for j in frames] for i in frames])
+        out = 0.0
+        for fold in range(3):
+            t, v = np.array([f % 3 != fold for f in frames]), np.array([f % 3 == fold for f in frames])
+            own = np.array([y[f] for f in frames])
+            alpha = np.linalg.solve(k[:4, :4] + k[:4, t] @ k[t, :4] / p[0] ** 2 + 1e-3 * np.eye(4), k[:4, t] @ own[t] / p[0] ** 2)
+            out += ((k[v, :4] @ alpha - own[v]) ** 2).sum()
+        return out / len(frames)
+
+    got, slope = loss.value_and_slope(at)
+    assert loss.passes == 2 and math.isclose(got, value(at), rel_tol=1e-9) and math.isclose(loss.value(at), got, rel_tol=1e-9)
+    want = [(value(at + 1e-5 * e) - value(at - 1e-5 * e)) / 2e-5 for e in np.eye(6)]
+    assert np.allclose(slope, want, rtol=1e-4, atol=1e-8)
+    loss.remove()
+
+
+@pytest.mark.parametrize("keep", [1, 2])
+def test_alchemical_gradient_against_differences(spark, keep):
+    """With both penalties, where w follows u; and descent by it."""
+    rng = np.random.default_rng(3)
+    x, y, u = rng.normal(size=(25, 18)), rng.normal(size=25), rng.normal(size=(3, keep))
+    rows = vectors(spark, x).select(F.col("env_id").alias("id"), "features").join(spark.createDataFrame(list(enumerate(map(float, y))), "id long, y double"), "id")
+    loss = alchemy.AlchemicalLoss(rows, sigma_w=0.3, sigma_u=0.2)
+
+    def value(u):
+        z = np.einsum("sa,tb,zstr->zabr", u, u, x.reshape(25, 3, 3, 2)).reshape(25, -1)
+        out = 0.1 * (u**2).sum()
+        for h in (0, 1):
+            t, v = np.arange(25) % 2 == h, np.arange(25) % 2 != h
+            out += 0.5 * ((z[v] @ np.linalg.solve(z[t].T @ z[t] + 0.3 * np.eye(z.shape[1]), z[t].T @ y[t]) - y[v]) ** 2).sum()
+        return out
+
+    got, slope = loss.value_and_slope(u)
+    assert loss.passes == 2 and math.isclose(got, value(u), rel_tol=1e-9) and math.isclose(loss.value(u), got, rel_tol=1e-9)
+    e = np.eye(u.size).reshape(-1, *u.shape)
+    assert np.allclose(slope.ravel(), [(value(u + 1e-5 * d) - value(u - 1e-5 * d)) / 2e-5 for d in e], rtol=1e-4, atol=1e-7)
+    found, _ = alchemy.alchemical_descent(rows, u, sigma_w=0.3, sigma_u=0.2, rounds=1, steps=3)
+    assert value(found[-1][0]) < value(u) and math.isclose(found[0][1] ** 2 * 25 / 2 + 0.1 * (u**2).sum(), value(u), rel_tol=1e-9)
+    assert np.isfinite(alchemy.AlchemicalLoss(rows.limit(1), sigma_w=0.3).value_and_slope(u)[0])
+
+
+def test_splits_are_scored_without_a_kernel_table(spark, x, monkeypatch):
+    """In tasks, and in Spark where a split is too large for one."""
+    env = vectors(spark, x)
+    targets = spark.createDataFrame([(i, float(np.sin(i))) for i in range(40)], "id long, y double")
+    want = model_selection.learning_curve(kernels.power_kernel(env, env, 2.0), targets, [10, 20], [2, 1], 8, seed=3, jitter=0.1, delta=1.5).orderBy("n_train").collect()
+    for dense_rows in (5000, 15):
+        monkeypatch.setattr(regression, "MAX_DENSE", dense_rows)
+        got = model_selection.learning_curve_rows(env, targets, [10, 20], [2, 1], 8, 2.0, seed=3, jitter=0.1, delta=1.5).orderBy("n_train").collect()
+        assert np.allclose(got, want)

@@ -1,10 +1,12 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from atomloom.jobs import experiments, run
+from atomloom.jobs import estimators, experiments, run
 from atomloom.jobs.pipeline import Pipeline, Step, fingerprint
+from atomloom.operators import compression
 from atomloom.sources import frames, matrix, scf, shielding
 from atomloom.streaming.predict import predict
 
@@ -161,3 +163,140 @@ def test_texts_without_frames(spark):
     texts = spark.createDataFrame([("a", None), ("b", ""), ("c", "1\n\nC 0 0 1\n\n1\nk=2\nH 1 2 3\n")], "path string, text string")
     rows = frames.parse_texts(texts).orderBy("frame_id").collect()
     assert [(r["path"], r["frame_id"], r["info"], r["atoms"][0]["z"]) for r in rows] == [("c", 0, {}, 1.0), ("c", 1, {"k": "2"}, 3.0)]
+
+
+@pytest.mark.parametrize("bytes_a_task", [37, 64, 200, 10**6])
+def test_one_file_is_read_by_several_tasks(spark, tmp_path, bytes_a_task):
+    """Blocks that cut frames anywhere; comments that are blank or a number, frames without atoms, blank lines between frames, a frame longer than blocks."""
+    rng = np.random.default_rng(0)
+    texts = []
+    for i in range(40):
+        n = [3, 0, 1, 25][i % 4]
+        comment = ["", "7", f'k="a b" i={i}', "12 "][int(rng.integers(4))]
+        texts.append(f"{n}\n{comment}\n" + "".join(f"C {i} {j} 0.5\n" for j in range(n)) + "\n" * int(rng.integers(0, 2)))
+    (tmp_path / "f").mkdir()
+    for name, some in (("a.xyz", texts), ("b.xyz", texts[::-1]), ("c.xyz", [])):
+        (tmp_path / "f" / name).write_text("".join(some))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_a_task)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        if bytes_a_task < 1000:
+            assert spark.read.text(str(tmp_path / "f" / "a.xyz")).rdd.getNumPartitions() > 5
+        key = lambda r: (r["path"].rsplit("/", 1)[1], r["frame_id"])
+        got = sorted(((key(r), [tuple(a) for a in r["atoms"]]) for r in frames.read_frame_files(spark, str(tmp_path / "f")).collect()), key=str)
+        few = sorted(key(r) for r in frames.read_frame_files(spark, str(tmp_path / "f"), first=7, last=9).collect())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    want = []
+    for name, some in (("a.xyz", texts), ("b.xyz", texts[::-1])):
+        want += [((name, i), [(j, "C", *map(float, a.split()[1:]), {}) for j, a in enumerate(t.rstrip("\n").split("\n")[2:] if int(t.split()[0]) else [])]) for i, t in enumerate(some)]
+    assert got == sorted(want, key=str)
+    assert few == [(n, i) for n in ("a.xyz", "b.xyz") for i in (7, 8, 9)]
+
+
+def test_kept_frames_are_read_by_range(spark, tmp_path):
+    (tmp_path / "a.xyz").write_text("".join(f"1\n\nC {i} 0 0\n" for i in range(50)))
+    frames.store_frames(frames.read_frame_files(spark, str(tmp_path / "a.xyz")), str(tmp_path / "kept"))
+    found = frames.load_frames(spark, str(tmp_path / "kept"), first=10, last=12)
+    assert [r["atoms"][0]["x"] for r in found.orderBy("frame_id").collect()] == [10.0, 11.0, 12.0]
+    assert "GreaterThanOrEqual(frame_id,10), LessThanOrEqual(frame_id,12)" in found._jdf.queryExecution().toString()
+
+
+def test_a_cut_file_is_an_error(spark, tmp_path):
+    (tmp_path / "a.xyz").write_text("2\n\nC 0 0 0\n")
+    with pytest.raises(Exception, match="lacks lines"):
+        frames.read_frame_files(spark, str(tmp_path / "a.xyz")).collect()
+
+
+def test_vectors_of_several_blocks(spark, tmp_path):
+    (tmp_path / "y.dat").write_text("".join(f"{i / 4}\n" for i in range(300)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 100)
+        assert sorted(map(tuple, frames.read_vector(spark, str(tmp_path / "y.dat")).collect())) == [(i, i / 4) for i in range(300)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_fingerprints_of_periodic_files(spark, tmp_path):
+    """Frames of two files stay apart, and atoms that meet across the boundary are neighbours."""
+    frame = lambda *rows: f'{len(rows)}\nLattice="5 0 0 0 5 0 0 0 5" pbc="T T T"\n' + "".join(f"{s} {x} 2 2\n" for s, x in rows)
+    (tmp_path / "a.xyz").write_text(frame(("C", 0.1), ("O", 4.9)))
+    (tmp_path / "b.xyz").write_text(frame(("C", 2.1), ("O", 1.9)) + frame(("C", 0.1), ("O", 2.6)))
+    experiments.main(["fingerprints", "--frames", str(tmp_path / "*.xyz"), "--species", "C", "O", "--rc", "2", "--nmax", "2", "--lmax", "1", "--out", str(tmp_path / "out")])
+    found = {(r["path"][-5:], r["frame_id"]): np.array(r["features"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(found) == {("a.xyz", 0), ("b.xyz", 0), ("b.xyz", 1)}
+    assert np.allclose(found["a.xyz", 0], found["b.xyz", 0]) and not np.allclose(found["a.xyz", 0], found["b.xyz", 1])
+
+
+def test_optimisation_jobs(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [(i, i % 20, float(np.sin(i % 20)), rng.normal(size=8).tolist()) for i in range(60)]
+    spark.createDataFrame(rows, "env_id long, frame_id long, y double, features array<double>").write.parquet(str(tmp_path / "x"))
+    common = ["--features", str(tmp_path / "x"), "--steps", "2"]
+    for name, more in (("noise", ["--start", "0.5"]), ("frames", ["--angular", "2", "--start", "0.5", "1", "1"])):
+        experiments.main(["optimise", *common, "--loss", name, "--active", "6", "--folds", "3", "--jitter", "1e-6", *more, "--out", str(tmp_path / name)])
+        found = {r["name"]: (r["start"], r["end"]) for r in spark.read.parquet(str(tmp_path / name)).collect()}
+        assert len(found) == 1 + len(more) - (1 if name == "noise" else 3) and found["loss"][1] <= found["loss"][0]
+    compressor = compression.Compressor(compression.Shape(2, 1, 2), "species", np.eye(2))
+    (tmp_path / "c.json").write_text(json.dumps(compressor.pack()))
+    experiments.main(["optimise", *common, "--loss", "legs", "--compressor", str(tmp_path / "c.json"), "--active", "6", "--start", "0.5", "1", "1", "--folds", "3", "--jitter", "1e-6", "--out", str(tmp_path / "legs")])
+    found = {r["name"]: (r["start"], r["end"]) for r in spark.read.parquet(str(tmp_path / "legs")).collect()}
+    assert set(found) == {"loss", "scale", "weight_0", "weight_1"} and found["loss"][1] < found["loss"][0]
+    experiments.main(["species", *common, "--species", "6", "8", "--keep", "1", "--rounds", "1", "--sigma-w", "0.1", "--out", str(tmp_path / "u")])
+    found = spark.read.parquet(str(tmp_path / "u")).orderBy("round").collect()
+    assert [r["round"] for r in found] == [0, 1] and found[1]["rmse"] < found[0]["rmse"] and np.array(found[0]["kappa"]).shape == (2, 2)
+
+
+def test_a_part_of_a_matrix_reads_its_blocks_only(spark, tmp_path):
+    x = np.random.default_rng(2).normal(size=(40, 30)) * (np.random.default_rng(3).uniform(size=(40, 30)) < 0.4)
+    entries = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(40) for j in range(30)], "i long, j long, k double")
+    matrix.save_blocks(entries, str(tmp_path / "m"), {"zeta": 2}, block=8, least=1e-13)
+    everything, metadata = matrix.load_blocks(spark, str(tmp_path / "m"))
+    assert metadata == {"zeta": 2, "block": 8} and everything.agg(F.sum("n")).first()[0] == (x != 0).sum() and everything.count() == 20
+    rows, columns = spark.createDataFrame([(9,), (12,), (15,), (99,)], "id long"), spark.createDataFrame([(3,), (29,)], "id long")
+    met, _ = matrix.load_blocks(spark, str(tmp_path / "m"), rows=rows, columns=columns)
+    assert {(r["bi"], r["bj"]) for r in met.collect()} == {(1, 0), (1, 3)}
+    assert "PushedFilters: [In(bi, [1,12]), In(bj, [0,3])]" in met._jdf.queryExecution().toString()
+    got = {(r["i"], r["j"]): r["k"] for r in matrix.sub_matrix(spark, str(tmp_path / "m"), rows, columns).collect()}
+    assert got == {(i, j): x[i, j] for i in (9, 12, 15) for j in (3, 29) if x[i, j]}
+
+
+def test_a_fitted_model_comes_back_in_another_session(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 16))
+    rows = spark.createDataFrame([(i, i % 12, v.tolist()) for i, v in enumerate(x)], "env_id long, frame_id long, features array<double>")
+    y = spark.createDataFrame([(i, float(np.sin(v[0]))) for i, v in enumerate(x[:50])], "id long, y double")
+    for last in (estimators.KernelRidge(zeta=2.0, jitter=1e-2), estimators.LowRank(active=8, scale=0.5, zeta=2.0, jitter=1e-6)):
+        steps = [("thin", estimators.Farthest(n=30, zeta=2.0)), ("compress", estimators.Compress(shape=[2, 2, 1], kind="species", keep=2)), ("map", estimators.Farthest(n=9, act_on="feature map")), ("model", last)]
+        model = estimators.Model(steps).fit(rows.filter("env_id < 50"), y)
+        want = {r["id"]: r["y_pred"] for r in model.predict(rows).collect()}
+        model.save(spark, str(tmp_path / type(last).__name__))
+        again = estimators.Model.load(spark.newSession(), str(tmp_path / type(last).__name__))
+        assert again.params == model.params and [type(s) for _, s in again.steps] == [type(s) for _, s in steps]
+        got = {r["id"]: r["y_pred"] for r in again.predict(rows).collect()}
+        assert set(got) == set(range(60)) and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+    with pytest.raises(TypeError):
+        steps[0][1].predict(rows)
+
+
+def test_farthest_selection_of_samples_frames_and_features(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 6))
+    rows = spark.createDataFrame([(i, i % 8, v.tolist()) for i, v in enumerate(x)], "env_id long, frame_id long, features array<double>")
+    thin = estimators.Farthest(n=5)
+    kept = {r["env_id"] for r in thin.fit_transform(rows).collect()}
+    assert kept == {r["id"] for r in thin.ranked().collect()} and len(kept) == 5 and thin.transform(rows).count() == 40
+    everything = estimators.Farthest(n=5).fit(rows, dry_run=True).ranked().orderBy("rank").collect()
+    assert len(everything) == 40 and {r["id"] for r in everything[:5]} == kept
+    frames_ = estimators.Farthest(n=3, frames=True).fit_transform(rows).groupBy("frame_id").count().collect()
+    assert len(frames_) == 3 and {r["count"] for r in frames_} == {5}
+    ids = estimators.Farthest(n=4, act_on="feature").fit(rows, dry_run=True)
+    assert sorted(ids.ranked()) == list(range(6))
+    assert {r["env_id"]: r["features"] for r in ids.transform(rows).collect()} == {i: x[i, ids.ranked()[:4]].tolist() for i in range(40)}
+    low = x[:, :3] @ rng.normal(size=(3, 6))
+    flat = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(low)], "env_id long, features array<double>")
+    mapped = estimators.Farthest(n=3, act_on="feature map").fit_transform(flat).orderBy("env_id").collect()
+    assert np.allclose([np.linalg.norm(r["features"]) for r in mapped], np.linalg.norm(low, axis=1))
