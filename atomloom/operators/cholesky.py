@@ -154,13 +154,14 @@ class Factor:
         cells = entries[0].unionByName(entries[1]).join(left, "i").join(right, "j").filter("bi >= bj").drop("i", "j")
         sizes = self.places.groupBy("block").agg(F.first("n").alias("n"))
         si, sj = (sizes.select(F.col("block").alias(f"b{c}"), F.lit(0).cast("long").alias(f"a{c}"), F.col("n").alias(f"n{c}")) for c in "ij")
-        zero = F.lit(0.0).alias("v")
-        cells = cells.unionByName(si.crossJoin(sj).filter("bi >= bj").select("*", zero))
+        zero, one = F.lit(0.0).alias("v"), lambda v: F.lit(v).cast("long")
+        below = si.withColumn("bj", F.explode(F.sequence(one(0), F.col("bi"))))
+        cells = cells.unionByName(below.join(sj, "bj").select("*", zero))
         if extra is not None:
             at = self.extra_places.select(F.col("id").alias("i"), F.col("block").alias("bi"), F.col("at").alias("ai"), F.col("n").alias("ni"))
             sizes = self.extra_places.groupBy(F.col("block").alias("bi")).agg(F.lit(0).cast("long").alias("ai"), F.first("n").alias("ni"))
             cells = cells.unionByName(extra.select("i", "j", (F.lit(delta**2) * F.col("k")).alias("v")).join(at, "i").join(right, "j").drop("i", "j"))
-            cells = cells.unionByName(sizes.crossJoin(sj).select("*", zero))
+            cells = cells.unionByName(sizes.withColumn("bj", F.explode(F.sequence(one(0), one(self.n - 1)))).join(sj, "bj").select("*", zero))
         return cells
 
     def _products(self, points: DataFrame, extra: DataFrame | None, zeta: float, jitter: float, delta: float) -> DataFrame:

@@ -93,8 +93,11 @@ def frame_means(rows: DataFrame, *, by: tuple[str, ...] = ("frame_id",)) -> Data
 def embed_species(rows: DataFrame, grid: DataFrame) -> DataFrame:
     """Mean fingerprints on the whole grid of species pairs, 0 where a frame lacks a pair.
 
-    ``rows`` (frame_id, s, t, i, v) for the species present, ``grid`` (s, t) all pairs.
+    ``rows`` (frame_id, s, t, i, v) for the species present, ``grid`` (s, t) all pairs. Components
+    and pairs are those of one fingerprint, so they are listed in the plan rather than joined.
     """
     means = rows.groupBy("frame_id", "s", "t", "i").agg(F.avg("v").alias("v"))
-    keys = rows.select("frame_id").distinct().join(F.broadcast(rows.select("i").distinct())).join(F.broadcast(grid))
+    places = F.array(*(F.lit(r["i"]) for r in rows.select("i").distinct().orderBy("i").collect()))
+    pairs = F.array(*(F.struct(F.lit(r["s"]).alias("s"), F.lit(r["t"]).alias("t")) for r in grid.select("s", "t").collect()))
+    keys = rows.select("frame_id").distinct().withColumn("i", F.explode(places)).withColumn("p", F.explode(pairs)).select("frame_id", "i", "p.s", "p.t")
     return keys.join(means, ["frame_id", "s", "t", "i"], "left").select("frame_id", "s", "t", "i", F.coalesce("v", F.lit(0.0)).alias("v"))

@@ -23,10 +23,11 @@ def _order(key: str, seed: int | None) -> list[Column]:
 def k_fold(ids: DataFrame, n_splits: int, *, key: str = "id", seed: int | None = None) -> DataFrame:
     """(key, fold): ``n_splits`` folds of consecutive rows, the first ones larger by one where they do not divide.
 
-    Ids are ranked by ranges, so no task sees all of them.
+    Ids are ranked by ranges, so no task sees all of them unless they are few.
     """
-    ranked = running(ids.select(key), _order(key, seed))
-    size, larger = divmod(ids.count(), n_splits)
+    n = ids.count()
+    ranked = running(ids.select(key), _order(key, seed), size=n)
+    size, larger = divmod(n, n_splits)
     at, cut = F.col("before"), larger * (size + 1)
     fold = F.when(at < cut, F.floor(at / (size + 1))).otherwise(larger + F.floor((at - cut) / max(size, 1)))
     return ranked.select(key, fold.cast("long").alias("fold"))
