@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from atomloom.operators.cholesky import shared_folder
 from atomloom.operators.compression import Shape, scaled_size
 
-#: Active environments or frames at most: their systems are solved on the driver.
-MAX_ACTIVE = 2048
+#: Active frames at most, as their systems are solved on the driver, and environments of theirs on average.
+MAX_ACTIVE, MAX_EACH = 2048, 16
+#: Kernel entries that are made at a time.
+STRIP = 2**20
 
 
 def leg_index(shape: Shape, kind: str) -> np.ndarray:
@@ -83,6 +85,28 @@ class Scaling:
         return (slope / sizes * x).sum(axis=0)
 
 
+@dataclass
+class _Frames:
+    """Active environments, in order of their frames: where each frame begins, the frame of each, and the sizes."""
+
+    first: np.ndarray
+    of: np.ndarray
+    sizes: np.ndarray
+
+    def mean(self, k: np.ndarray) -> np.ndarray:
+        """Columns by environment to means by frame."""
+        return np.add.reduceat(k, self.first, axis=1) / self.sizes if len(self.first) else np.zeros((len(k), 0))
+
+    def share(self, v: np.ndarray) -> np.ndarray:
+        """Columns by frame to each environment's share."""
+        return (v / self.sizes)[..., self.of]
+
+    def strips(self, rows: int) -> Iterator[slice]:
+        step = max(1, STRIP // max(1, len(self.of)))
+        for at in range(0, rows, step):
+            yield slice(at, at + step)
+
+
 class ScaledLoss:
     """The mean squared error of rows predicted without their fold, as a function of (scale, factors...).
 
@@ -95,13 +119,12 @@ class ScaledLoss:
     def __init__(self, environments: DataFrame, targets: DataFrame, active: DataFrame, scaling: Scaling, *, zeta: float, jitter: float = 1e-8):
         self.spark, self.scaling, self.zeta, self.jitter, self.passes = environments.sparkSession, scaling, zeta, jitter, 0
         self.folder, self.written = shared_folder(self.spark, "loss"), 0
-        held = active.select("frame_id", "features").orderBy("frame_id").limit(64 * MAX_ACTIVE + 1).toArrow()
+        held = active.select("frame_id", "features").orderBy("frame_id").limit(MAX_EACH * MAX_ACTIVE + 1).toArrow().sort_by("frame_id")
         self.basis = np.array(held.column("features").combine_chunks().flatten(), float).reshape(len(held), -1)
-        ids, self.of = np.unique(held.column("frame_id").to_numpy(), return_inverse=True)
-        if len(ids) > MAX_ACTIVE or len(held) > 64 * MAX_ACTIVE:
-            raise ValueError(f"{len(ids)} active frames with {len(held)} environments are more than {MAX_ACTIVE} and 64 times as many")
-        self.mean = np.zeros((len(held), len(ids)))  # environments to frames
-        self.mean[np.arange(len(held)), self.of] = 1 / np.bincount(self.of)[self.of]
+        ids, first, of, sizes = np.unique(held.column("frame_id").to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+        if len(ids) > MAX_ACTIVE or len(held) > MAX_EACH * MAX_ACTIVE:
+            raise ValueError(f"{len(ids)} active frames with {len(held)} environments; at most {MAX_ACTIVE} and {MAX_EACH} times as many")
+        self.frames = _Frames(first, of, sizes)
         targets = targets.select("frame_id", F.col("y").cast("double").alias("y"), F.col("fold").cast("long").alias("fold"))
         environments = environments.select("frame_id", F.col("features").cast("array<double>").alias("features"))
         self.environments = self._write(environments.join(targets, "frame_id"))
@@ -123,13 +146,13 @@ class ScaledLoss:
 
     def _rows(self, w: np.ndarray) -> DataFrame:
         """(k, y, fold, n, frame_id): each frame's row of K and the number of its environments. Sums of a frame are formed on each task first."""
-        basis, mean, zeta, scaling = self.scaling.forward(self.basis, w)[0], self.mean, self.zeta, self.scaling
+        basis, active, zeta, scaling = self.scaling.forward(self.basis, w)[0], self.frames, self.zeta, self.scaling
         self.passes += 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
-                k = (scaling.forward(x, w)[0] @ basis.T) ** zeta @ mean
+                k = np.concatenate([active.mean((scaling.forward(x[own], w)[0] @ basis.T) ** zeta) for own in active.strips(len(x))] or [np.zeros((0, len(active.sizes)))])
                 frames, first, at = np.unique(batch.column("frame_id").to_numpy(), return_index=True, return_inverse=True)
                 sums = np.zeros((len(frames), k.shape[1]))
                 np.add.at(sums, at, k)
@@ -149,7 +172,7 @@ class ScaledLoss:
 
     def _sums(self, rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, float, int]]:
         """By fold: K_MN K_NM, K_MN y, y y and the number of rows."""
-        m = self.mean.shape[1]
+        m = len(self.frames.sizes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
@@ -192,22 +215,25 @@ class ScaledLoss:
 
     def value(self, at: np.ndarray) -> float:
         w = self.scaling.weights(at[1:])
-        z = self.scaling.forward(self.basis, w)[0]
-        own = self.mean.T @ (z @ z.T) ** self.zeta @ self.mean
+        own = self._own(self.scaling.forward(self.basis, w)[0])
         return self._solved(self._sums(self._rows(w)), own, float(at[0]))[0]
 
+    def _own(self, z: np.ndarray) -> np.ndarray:
+        """The kernel of the active frames with themselves, a strip at a time."""
+        by_frame = np.concatenate([self.frames.mean((z[own] @ z.T) ** self.zeta) for own in self.frames.strips(len(z))] or [np.zeros((0, 0))])
+        return self.frames.mean(by_frame.T)
+
     def value_and_slope(self, at: np.ndarray) -> tuple[float, np.ndarray]:
         """The loss at (scale, factors...) and its slope by each of them, from two passes over the environments."""
         scale, factors = float(at[0]), np.asarray(at[1:], float)
-        scaling, zeta, mean = self.scaling, self.zeta, self.mean
+        scaling, zeta, active = self.scaling, self.zeta, self.frames
         w = scaling.weights(factors)
         z, sizes = scaling.forward(self.basis, w)
-        dots = z @ z.T
         rows = self._rows(w)
         if not self.single:
             rows = self._write(rows)
         sums = self._sums(rows)
-        loss, by_scale, alphas, lambdas = self._solved(sums, mean.T @ dots**zeta @ mean, scale)
+        loss, by_scale, alphas, lambdas = self._solved(sums, self._own(z), scale)
         if not len(factors):
             return loss, np.array([by_scale])
         folds, n_rows = sorted(alphas), max(1, sum(n for *_, n in sums.values()))
@@ -219,22 +245,24 @@ class ScaledLoss:
             own = fold[:, None] == np.array(folds)[None, :]
             return np.concatenate((np.where(own, 2 / n_rows * errors, -other / scale**2), np.where(own, 0.0, -errors / scale**2)), axis=1)
 
-        both = np.concatenate((a, b)) @ mean.T  # by environment of the active frames
+        both = active.share(np.concatenate((a, b)))  # by environment of the active frames
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """The slope by the weights, and by the vectors of the active environments, of each task's rows."""
             by_weight, by_basis = np.zeros(len(w)), np.zeros(z.shape)
             for batch in batches:
-                x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
-                own, own_sizes = scaling.forward(x, w)
-                products = own @ z.T
-                if "share" in batch.schema.names:
-                    share = np.array([np.frombuffer(v.as_py()) for v in batch.column("share")]).reshape(batch.num_rows, -1)
-                else:
-                    share = shares(products**zeta @ mean, batch.column("y").to_numpy(), batch.column("fold").to_numpy())
-                slope = share @ both * zeta * products ** (zeta - 1)
-                by_weight += scaling.backward(x, own, own_sizes, slope @ z)
-                by_basis += slope.T @ own
+                every = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+                for strip in active.strips(batch.num_rows):
+                    x = every[strip]
+                    own, own_sizes = scaling.forward(x, w)
+                    products = own @ z.T
+                    if "share" in batch.schema.names:
+                        share = np.array([np.frombuffer(v.as_py()) for v in batch.column("share")[strip]]).reshape(len(x), -1)
+                    else:
+                        share = shares(active.mean(products**zeta), batch.column("y").to_numpy()[strip], batch.column("fold").to_numpy()[strip])
+                    slope = share @ both * zeta * products ** (zeta - 1)
+                    by_weight += scaling.backward(x, own, own_sizes, slope @ z)
+                    by_basis += slope.T @ own
             yield pa.record_batch([pa.array([0], pa.int64()), pa.array([np.concatenate((by_weight, by_basis.ravel())).tobytes()], pa.binary())], names=["part", "m"])
 
         def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +283,9 @@ class ScaledLoss:
         flat = np.frombuffer(found["m"]) if found else np.zeros(len(w) + z.size)
         by_weight, by_basis = flat[: len(w)], flat[len(w) :].reshape(z.shape)
         by_own = -sum(np.outer(lambdas[f], alphas[f]) for f in folds)
-        slope = mean @ (by_own + by_own.T) @ mean.T * zeta * dots ** (zeta - 1)
-        by_weight = by_weight + scaling.backward(self.basis, z, sizes, by_basis + slope @ z)
+        pairs = (by_own + by_own.T) / active.sizes[:, None]
+        by_basis = by_basis + np.concatenate([active.share(pairs[active.of[own]]) * zeta * (z[own] @ z.T) ** (zeta - 1) @ z for own in active.strips(len(z))])
+        by_weight = by_weight + scaling.backward(self.basis, z, sizes, by_basis)
         if not self.single:
             self._drop(rows._where)
         return loss, np.append(by_scale, scaling.slopes(factors, by_weight))

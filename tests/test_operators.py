@@ -486,9 +486,10 @@ def test_leg_index_is_what_scaling_does(spark, kind):
     assert np.allclose([r["features"] for r in got], x * scaling.weights(factors))
 
 
-@pytest.mark.parametrize("groups", [False, True])
-def test_gradient_of_the_loss_against_differences(spark, groups):
-    """Of the noise scale and of weights that several components share, from two passes; for single environments and for frames."""
+@pytest.mark.parametrize("groups, strip", [(False, 2**20), (True, 2**20), (True, 20)])
+def test_gradient_of_the_loss_against_differences(spark, monkeypatch, groups, strip):
+    """Of the noise scale and of weights that several components share, from two passes; for single environments and for frames, in one strip or many."""
+    monkeypatch.setattr(scaled_loss, "STRIP", strip)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(30, 12))
     frame = np.arange(30) % 10 if groups else np.arange(30)
