@@ -21,19 +21,20 @@ def descriptor_size(n_species: int, nmax: int, lmax: int) -> int:
     return n_species**2 * nmax**2 * (lmax + 1)
 
 
-def power_spectra(centres: DataFrame, pairs: DataFrame, species: list[int], *, rc: float, nmax: int, lmax: int, sigma: float, by: tuple[str, ...] = ("frame_id",)) -> DataFrame:
+def power_spectra(centres: DataFrame, pairs: DataFrame, species: list[int], *, rc: float, nmax: int, lmax: int, sigma: float, by: tuple[str, ...] = ("frame_id",), only_centres: bool = False) -> DataFrame:
     """(frame_id, atom_idx, features) for each of ``centres`` (frame_id, atom_idx, species), of norm 1; ``by`` names what tells a frame.
 
     ``pairs`` are neighbours within ``rc`` (frame_id, i, j, species, dx, dy, dz, r); a centre
     counts as its own neighbour too. Features run over (species, species, n, n', l). Species that
     are not listed are left out. Each centre's neighbours, bounded by the cutoff, meet in one
-    group, of about GROUP_CENTRES centres.
+    group, of about GROUP_CENTRES centres. Pairs of other atoms are dropped, which takes a join;
+    with ``only_centres`` there must be none.
     """
     at = {s: k for k, s in enumerate(species)}
     keys = [*by, "atom_idx"]
     around = pairs.select(*by, F.col("i").alias("atom_idx"), "species", "dx", "dy", "dz", cutoff_weight(F.col("r"), rc).alias("w"))
     own = centres.select(*keys, "species", *(F.lit(0.0).alias(c) for c in ("dx", "dy", "dz")), F.lit(1.0).alias("w"))
-    wanted = around.join(centres.select(*keys), keys, "left_semi")
+    wanted = around if only_centres else around.join(centres.select(*keys), keys, "left_semi")
     rows = wanted.unionByName(own).filter(F.col("species").isin(list(species)) & (F.col("w") > 0))
 
     def spectrum(table: pa.Table) -> np.ndarray:
@@ -76,9 +77,9 @@ def describe(
     frames of several files. ``centres`` are the species that get a spectrum; the others are
     neighbours only.
     """
-    pairs = neighbours_binned(atoms, rc, by=by) if cells is None else neighbours_periodic(atoms, cells, rc, by=by)
+    pairs = neighbours_binned(atoms, rc, by=by, centres=centres) if cells is None else neighbours_periodic(atoms, cells, rc, by=by, centres=centres)
     own = atoms if centres is None else atoms.filter(F.col("species").isin(list(centres)))
-    found = power_spectra(own, pairs, species, rc=rc, nmax=nmax, lmax=lmax, sigma=sigma, by=by)
+    found = power_spectra(own, pairs, species, rc=rc, nmax=nmax, lmax=lmax, sigma=sigma, by=by, only_centres=True)
     if mean:
         means = frame_means(found, by=by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p"))
         found = means.select(*by, F.col("p.v").alias("features"))
