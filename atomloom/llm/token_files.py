@@ -126,7 +126,7 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(batch.column(n) for n in names), pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
 
 
-def token_starts(rows: DataFrame) -> DataFrame:
+def token_starts(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """``rows`` (doc_id, n_tokens, file, others) with ``start``: the ids of all rows before, in the order of the files.
 
     Rows of one doc_id are told apart by ``place``; without it they must be alike.
@@ -136,7 +136,7 @@ def token_starts(rows: DataFrame) -> DataFrame:
     """
     order = ["place"] if "place" in rows.columns else ["doc_id"]
     within = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first"))
+    totals = (rows if sizes is None else sizes).groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first"))
     before = totals.select("file", F.coalesce(F.sum("total").over(Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(before, "file").withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "file")
 
@@ -147,5 +147,6 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     write_token_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
-    checked = read_token_files(spark, folder).mapInArrow(_crc, "doc_id long, place long, n_tokens long, file string, ids_crc32 long")
-    return token_starts(checked).select("doc_id", "start", "n_tokens", "ids_crc32")
+    read = read_token_files(spark, folder)
+    checked = read.mapInArrow(_crc, "doc_id long, place long, n_tokens long, file string, ids_crc32 long")
+    return token_starts(checked, read).select("doc_id", "start", "n_tokens", "ids_crc32")
