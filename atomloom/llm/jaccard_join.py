@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from atomloom.llm.common import Scratch, broadcast_if_few, materialise, valid_text
 from atomloom.llm.components import connected_components
-from atomloom.llm.words import slices, split_words, stops_of
+from atomloom.llm.words import gather, slices, split_words, stops_of
 
 WORDS = 4
 PERCENT = 85
 #: Fragments of the signatures: one for so many bytes of text, and so many at least. A task holds one of them.
 FRAGMENT_BYTES, MIN_FRAGMENTS = 32 * 2**20, 32
+#: Words whose sets are made at a time, so that they stay in the caches.
+RUN_WORDS = 2**16
 #: Fragments in which overlaps are counted, and pairs that one group of a fragment counts at a time.
 COUNT_FRAGMENTS, GROUP_PAIRS = 4, 256
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -41,8 +43,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The set of n-grams of each of ``texts``, as ascending 64-bit hashes."""
+def set_runs(texts: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of n-grams of ``texts`` as ascending 64-bit hashes: for runs of about RUN_WORDS words, the sets end to end and where they begin and end."""
     import xxhash
 
     offsets, index, words = split_words(pc.ascii_lower(texts))
@@ -51,14 +53,37 @@ def shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     if "" in names:  # which is no word
         kept = index != names.index("")
         hashes, offsets = hashes[kept], stops_of(kept)[offsets]
-    padded = np.concatenate((hashes, np.zeros(n, np.uint64)))
-    # By width, for texts of fewer words than n.
-    grams = [np.full(len(hashes), 0, np.uint64)]
+    at = 0
+    while at < len(offsets) - 1:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + RUN_WORDS, "right")) - 1)
+        yield _sets(hashes[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at], n)
+        at = stop
+
+
+def _sets(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of texts that lie in ``words`` between ``offsets``, end to end, and where they begin and end."""
+    sizes = np.diff(offsets)
+    padded = np.concatenate((words, np.zeros(n, np.uint64)))
+    grams = np.full(len(words), n, np.uint64)
     for k in range(n):
-        grams.append(grams[-1] + padded[k : len(hashes) + k] * _ODD[k])
-    for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
-        width = min(n, b - a)
-        yield np.unique(mix(grams[width][a : b - width + 1] + np.uint64(width))) if width else np.zeros(0, np.uint64)
+        grams += padded[k : len(words) + k] * _ODD[k]
+    for text in np.flatnonzero((sizes > 0) & (sizes < n)).tolist():  # one n-gram, of all the words
+        a, b = offsets[text], offsets[text + 1]
+        grams[a] = (words[a:b] * _ODD[: b - a]).sum() + np.uint64(b - a)
+    grams = mix(grams)
+    counts = np.where(sizes < n, np.minimum(sizes, 1), sizes - n + 1)
+    for a, count in zip(offsets.tolist(), counts.tolist()):
+        grams[a : a + count].sort()
+    place = np.arange(len(words)) - np.repeat(offsets[:-1], sizes)
+    new = np.concatenate(([True], grams[1:] != grams[:-1]))[: len(grams)] | (place == 0)
+    kept = new & (place < np.repeat(counts, sizes))
+    return grams[kept], stops_of(kept)[offsets]
+
+
+def shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The set of n-grams of each of ``texts``, as ascending 64-bit hashes."""
+    for grams, stops in set_runs(texts, n):
+        yield from (grams[a:b] for a, b in zip(stops.tolist(), stops[1:].tolist()))
 
 
 def most_apart(sizes: int | np.ndarray, percent: int):
@@ -108,26 +133,34 @@ class Segmenter:
         return self.counts[instance]
 
     def signatures(self, grams: np.ndarray) -> np.ndarray:
-        """Hashes of the segments of one set, for the instances of its class and the next."""
-        mixed, own = mix(grams), []
-        top = grams >> _U32
-        first = self.size_class(len(grams))
+        """``signatures_of`` of one set."""
+        return self.signatures_of(grams, np.array([0, len(grams)]))[1]
+
+    def signatures_of(self, grams: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the segments of the sets in ``grams`` between ``stops``, for the instances of each one's class and the next: the number of the set, and the hash."""
+        sizes = np.diff(stops)
+        first = np.array([self.size_class(size) for size in sizes.tolist()], np.int64)
+        mixed, top, owners = mix(grams), grams >> _U32, np.repeat(np.arange(len(sizes)), sizes)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         for instance in (first, first + 1):
-            count, spare, light = self.segments(instance)
-            if not count:
-                continue
-            segment = (top * np.uint64(count)) >> _U32
-            starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-            held = segment[starts]
-            label = _ODD[6:7] * np.uint64(instance + 1)
-            sums = mix(np.add.reduceat(mixed, starts) + (held + np.uint64(1)) * _ODD[5] + label)
-            heavy = np.diff(np.append(starts, len(grams))) > light
-            if count - heavy.sum() > spare:  # too many are light, so that these must do
-                empty = np.setdiff1d(np.arange(count, dtype=np.uint64), held)
-                own += [sums, mix((empty + np.uint64(1)) * _ODD[5] + label)]
-            else:
-                own.append(sums[heavy])
-        return np.concatenate(own) if own else np.zeros(0, np.uint64)
+            count, spare, light = np.array([self.segments(k) if size else (0, 0, 0) for k, size in zip(instance.tolist(), sizes.tolist())], np.int64).reshape(-1, 3).T
+            segment = (top * np.repeat(count.astype(np.uint64), sizes)) >> _U32
+            new = np.concatenate(([True], (segment[1:] != segment[:-1]) | (owners[1:] != owners[:-1])))[: len(grams)]
+            starts = np.flatnonzero(new)
+            held, owner = segment[starts], owners[starts]
+            label = _ODD[6] * (instance + 1).astype(np.uint64)
+            sums = mix(np.add.reduceat(mixed, starts) + (held + np.uint64(1)) * _ODD[5] + label[owner]) if len(starts) else held
+            heavy = np.diff(np.append(starts, len(grams))) > light[owner]
+            needed = count - np.bincount(owner[heavy], minlength=len(sizes)) > spare  # too many are light, so that these must do
+            kept = (heavy | needed[owner]) & (count[owner] > 0)
+            found.append((owner[kept], sums[kept]))
+            for own in np.flatnonzero(needed & (count > 0)).tolist():
+                empty = np.ones(count[own], bool)
+                empty[held[slice(*np.searchsorted(owner, (own, own + 1)))].astype(np.int64)] = False
+                empty = np.flatnonzero(empty).astype(np.uint64)
+                found.append((np.full(len(empty), own), mix((empty + np.uint64(1)) * _ODD[5] + label[own])))
+        owner, sums = (np.concatenate(c) for c in zip(*found))
+        return owner, sums
 
 
 def parities(grams: np.ndarray) -> np.ndarray:
@@ -153,41 +186,32 @@ def _sketcher(n: int, percent: int, fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter, sent = Segmenter(percent), set()
         for batch in slices(batches):
-            keys, sizes, parity, wide, counts = [], [], [], [], []
-            fragment, sigs, widths = [], [], []
-            for grams in shingles(batch.column("text"), n):
-                key = int(mix(np.add.reduce(mix(grams ^ _ODD[7]), keepdims=True))[0].astype(np.int64)) if len(grams) else None
-                keys.append(key)
-                sizes.append(len(grams))
-                if key is None or (key, len(grams)) in sent:
-                    parity.append(None)
-                    wide.append(None)
-                    counts.append(0)
-                    continue
-                sent.add((key, len(grams)))
-                bits = parities(grams)
-                parity.append(folded(bits, 32).tobytes())
-                wide.append(bits.tobytes())
-                sig = segmenter.signatures(grams)
-                where = ((sig >> _U32) % np.uint64(fragments)).astype(np.int32)
-                order = np.argsort(where, kind="stable")
-                where = where[order]
-                starts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(where) else order
-                fragment.append(where[starts])
-                widths.append(np.diff(np.append(starts, len(where))))
-                sigs.append(sig[order].astype(np.uint32).view(np.int32))
-                counts.append(len(starts))
-
-            def flat(parts: list[np.ndarray]) -> np.ndarray:
-                return np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-
-            def offsets(sizes) -> pa.Array:
-                return pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-
-            lists = pa.ListArray.from_arrays(offsets(flat(widths)), pa.array(flat(sigs)))
-            parts = pa.ListArray.from_arrays(offsets(counts), pa.StructArray.from_arrays([pa.array(flat(fragment)), lists], fields=list(_PART)))
-            columns = [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parity, pa.binary()), pa.array(wide, pa.binary()), parts]
-            yield pa.record_batch(columns, names=["doc_id", "set_key", "n_shingles", "parity", "parities", "parts"])
+            at = 0
+            for grams, stops in set_runs(batch.column("text"), n):
+                sizes = np.diff(stops)
+                full = np.flatnonzero(sizes)
+                keys = np.zeros(len(sizes), np.uint64)
+                keys[full] = mix(np.add.reduceat(mix(grams ^ _ODD[7]), stops[full])) if len(full) else 0
+                keys, new, parity, wide = keys.view(np.int64), np.zeros(len(sizes), bool), [None] * len(sizes), [None] * len(sizes)
+                for k in full.tolist():
+                    if (known := (int(keys[k]), int(sizes[k]))) in sent:
+                        continue
+                    sent.add(known)
+                    new[k] = True
+                    bits = parities(grams[stops[k] : stops[k + 1]])
+                    parity[k], wide[k] = folded(bits, 32).tobytes(), bits.tobytes()
+                owner, sig = segmenter.signatures_of(grams[np.repeat(new, sizes)], stops_of(np.where(new, sizes, 0)))
+                where = (sig >> _U32) % np.uint64(fragments)
+                part = owner * fragments + where.astype(np.int64)
+                order = np.argsort(part)
+                part = part[order]
+                starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))[: len(part)])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(part)).astype(np.int32)), pa.array(sig[order].astype(np.uint32).view(np.int32)))
+                structs = pa.StructArray.from_arrays([pa.array((part[starts] % fragments).astype(np.int32)), lists], fields=list(_PART))
+                parts = pa.ListArray.from_arrays(pa.array(stops_of(np.bincount(part[starts] // fragments, minlength=len(sizes))).astype(np.int32)), structs)
+                columns = [batch.column("doc_id").slice(at, len(sizes)), pa.array(keys, mask=sizes == 0), pa.array(sizes), pa.array(parity, pa.binary()), pa.array(wide, pa.binary()), parts]
+                at += len(sizes)
+                yield pa.record_batch(columns, names=["doc_id", "set_key", "n_shingles", "parity", "parities", "parts"])
 
     return run
 
@@ -257,7 +281,30 @@ def candidates(key: np.ndarray, member: np.ndarray, size: np.ndarray, parity: np
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-_PARTS = pa.schema([("fragment", pa.int32()), ("set_key", pa.int64()), ("n_shingles", pa.int64()), ("parity", pa.binary()), ("sigs", pa.list_(pa.int32())), ("component", pa.int64())])
+_PACKED = "fragment int, set_key array<long>, n_shingles array<long>, parity binary, widths array<int>, sigs array<int>, component array<long>"
+_PARTS = pa.schema([("fragment", pa.int32()), ("set_key", pa.list_(pa.int64())), ("n_shingles", pa.list_(pa.int64())), ("parity", pa.binary()), ("widths", pa.list_(pa.int32())), ("sigs", pa.list_(pa.int32())), ("component", pa.list_(pa.int64()))])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """set_key, n_shingles, parity, component, parts -> a row for each fragment of a batch, so that few rows are shuffled however many fragments there are."""
+    for batch in batches:
+        lists = batch.column("parts")
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        fragment, sigs = flat.field("fragment").to_numpy(), flat.field("sigs")
+        order = np.argsort(fragment, kind="stable")
+        fragment, row, sigs = fragment[order], pa.array(row[order]), sigs.take(pa.array(order))
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1]))[: len(fragment)]), len(fragment))
+
+        def listed(values: pa.Array, at: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+
+        stops = sigs.offsets.to_numpy()
+        bits = batch.column("parity").take(row)
+        bits = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((32 * cuts).astype(np.int32).tobytes()), bits.buffers()[2]])
+        columns = [pa.array(fragment[cuts[:-1]]), *(listed(batch.column(c).take(row), cuts) for c in ("set_key", "n_shingles")), bits]
+        columns += [listed(pa.array(np.diff(stops)), cuts), listed(sigs.flatten(), stops[cuts] - stops[0]), listed(batch.column("component").take(row), cuts)]
+        yield pa.record_batch(columns, schema=_PARTS)
 
 
 def _pairer(percent: int, across: bool):
@@ -266,21 +313,25 @@ def _pairer(percent: int, across: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches, _PARTS)
         if len(table):
-            fragment = table.column("fragment").to_numpy().astype(np.int64)
-            key, size = table.column("set_key").to_numpy(), table.column("n_shingles").to_numpy()
-            # Copies that several tasks sent are one row.
-            _, first = np.unique(np.stack((fragment, key, size)), axis=1, return_index=True)
-            table, fragment = table.take(pa.array(first)), fragment[first]
-            own, first, member = np.unique(np.stack((key[first], size[first])), axis=1, return_index=True, return_inverse=True)
-            member = member.reshape(-1)
-            parity = np.frombuffer(b"".join(table.column("parity").take(pa.array(first)).to_pylist()), np.uint64).reshape(-1, 4)
-            component = table.column("component").to_numpy()[first] if across else None
-            sigs = table.column("sigs").combine_chunks()
-            widths = np.diff(sigs.offsets.to_numpy())
-            meet = np.repeat(fragment << 32, widths)
-            meet |= sigs.flatten().to_numpy().view(np.uint32)
-            member = np.repeat(member.astype(np.int32), widths)
-            del table, sigs, widths
+            table = table.combine_chunks()
+            flat = lambda c: table.column(c).chunk(0).flatten().to_numpy(zero_copy_only=False)
+            key, size, widths = flat("set_key"), flat("n_shingles"), flat("widths")
+            fragment = np.repeat(table.column("fragment").to_numpy(), np.diff(table.column("set_key").chunk(0).offsets.to_numpy()))
+            # Copies that several tasks sent are one row; of those, one for each class.
+            order = np.lexsort((fragment, size, key))
+            fragment, key, size = fragment[order].astype(np.int64), key[order], size[order]
+            other = np.concatenate(([True], (key[1:] != key[:-1]) | (size[1:] != size[:-1])))
+            kept = other | np.concatenate(([True], fragment[1:] != fragment[:-1]))
+            first, own = order[other], (key[other], size[other])
+            member, fragment = (np.cumsum(other) - 1)[kept], fragment[kept]
+            parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(-1, 4)[first]
+            component = flat("component")[first] if across else None
+            kept = order[kept]
+            sigs, _ = gather(flat("sigs").view(np.uint32), stops_of(widths), kept)
+            meet = np.repeat(fragment << 32, widths[kept])
+            meet |= sigs
+            member = np.repeat(member.astype(np.int32), widths[kept])
+            del table, sigs, widths, order, key, size, other, kept
             pairs = candidates(meet, member, own[1], parity, percent, component)
             a, b = pairs // len(own[0]), pairs % len(own[0])
             yield pa.record_batch([pa.array(c) for c in (own[0][a], own[1][a], own[0][b], own[1][b])], names=["a_key", "a_size", "b_key", "b_size"])
@@ -406,9 +457,8 @@ def link_documents(docs: DataFrame, *, n: int = WORDS, percent: int = PERCENT, f
     sketched = materialise(sketched, "sketches")
 
     def paired(rows: DataFrame, tasks: int, across: bool) -> DataFrame:
-        parts = rows.select("set_key", "n_shingles", "parity", "component", F.explode("parts").alias("p"))
-        parts = parts.select("p.fragment", "set_key", "n_shingles", "parity", "p.sigs", "component").withColumn("task", F.pmod("fragment", F.lit(tasks)))
-        dealt = parts.repartitionById(tasks, F.col("task").cast("int")).drop("task")
+        parts = rows.select("set_key", "n_shingles", "parity", "component", "parts").filter(F.size("parts") > 0).mapInArrow(_packed, _PACKED)
+        dealt = parts.repartitionById(tasks, F.pmod("fragment", F.lit(tasks)))
         found = dealt.mapInArrow(_pairer(percent, across), "a_key long, a_size long, b_key long, b_size long")
         return materialise(found.distinct(), "pairs")
 

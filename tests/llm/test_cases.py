@@ -609,3 +609,21 @@ def test_toxicity_cases(spark):
     none = toxicity.fit(df, labels.filter("toxic = 0"))
     assert none.cuts == () and {r["grade"] for r in toxicity.grade(df, none).collect()} == {0}
     assert toxicity.grade(docs(spark, []), model).count() == 0 and toxicity.fit(docs(spark, []), labels.limit(0)).weights == {}
+
+
+def test_parts_are_packed_whatever_the_number_of_fragments(spark):
+    """What is shuffled to find pairs has a row for each fragment of a batch, not for each document and fragment; the pairs are the same."""
+    texts = [" ".join(f"w{(i * 7 + k * (i // 3 * 11 + 1)) % 997}" for k in range(200)) + (" end" if i % 3 else "") for i in range(300)]
+    batch = pa.record_batch([pa.array(range(300)), pa.array(texts)], names=["doc_id", "text"])
+    packed = {}
+    for fragments in (4, 256):
+        sketches = [b.append_column("component", pa.nulls(b.num_rows, pa.int64())) for b in jaccard_join._sketcher(4, 85, fragments)(iter([batch]))]
+        rows = pa.Table.from_batches(sketches).combine_chunks().to_batches()
+        packed[fragments] = list(jaccard_join._packed(iter(rows)))
+        assert sum(b.num_rows for b in packed[fragments]) <= fragments
+        assert sum(len(b.column("set_key").flatten()) for b in packed[fragments]) == sum(len(p) for p in rows[0].column("parts").to_pylist())
+    found = [{frozenset((r["a_key"], r["b_key"])) for b in jaccard_join._pairer(85, False)(iter(p)) for r in b.to_pylist()} for p in packed.values()]
+    assert found[0] and {k for pair in found[0] for k in pair} == {k for pair in found[1] for k in pair}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = [sorted(map(tuple, jaccard_join.link_documents(docs, fragments=f).collect())) for f in (4, 256)]
+    assert links[0] == links[1] and any(c != d for d, _, c in links[0])
