@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomloom.functions.vectors import dot
-from atomloom.operators import matrix_free
+from atomloom.operators import feature_map, matrix_free
 from atomloom.operators.cholesky import BLOCK_ROWS, Factor, shared_folder
 from atomloom.operators.kernels import weighted_kernel
 
@@ -85,12 +85,36 @@ def krr_fast_cv(kernel: DataFrame, targets: DataFrame, folds: DataFrame, *, jitt
 
 def krr_fast_cv_rows(rows: DataFrame, targets: DataFrame, folds: DataFrame, zeta: float, *, jitter: float, delta: float = 1.0) -> DataFrame:
     """krr_fast_cv with the power kernel of ``rows`` (env_id, features), of which no entry becomes a row of a table."""
-    points = _points(rows)
+    return krr_fast_cv_deltas(rows, targets, folds, zeta, jitter=jitter, deltas=[delta]).drop("delta")
 
-    def left_out(own: DataFrame) -> Factor:
-        return Factor(points, targets.join(own, "id", "left_anti"), jitter=jitter, delta=delta, extra=points.join(own, "id", "left_semi"), zeta=zeta)
 
-    return _by_fold(left_out, folds)
+def krr_fast_cv_deltas(rows: DataFrame, targets: DataFrame, folds: DataFrame, zeta: float, *, jitter: float, deltas: list[float]) -> DataFrame:
+    """krr_fast_cv_rows (id, fold, y_pred, delta) for several strengths of the kernel.
+
+    Where the products of features that make up the kernel are fewer than the rows (``feature_map``),
+    one pass sums their products by fold, from which the models without each fold follow, of any
+    strength. Elsewhere, or with many folds, a matrix is factored for each.
+    """
+    points, short = _points(rows), feature_map.length(rows, zeta)
+    found = None
+    if jitter > 0 and short is not None and short <= targets.count() and 1 < folds.select("fold").distinct().count() <= feature_map.FAN_IN:
+        held = points.join(folds.select("id", "fold"), "id")
+        moments = feature_map.Moments(held.join(targets.select("id", "y"), "id"), zeta)
+        weights = moments.without_fold([jitter / delta**2 for delta in deltas])
+        for delta in deltas:
+            own = {fold: weights[fold, jitter / delta**2] for fold in moments.folds()}
+            own = feature_map.predicted_by_fold(held, own, zeta).withColumn("delta", F.lit(float(delta)))
+            found = own if found is None else found.unionByName(own)
+        moments.remove()
+        return found
+    for delta in deltas:
+
+        def left_out(own: DataFrame, delta: float = delta) -> Factor:
+            return Factor(points, targets.join(own, "id", "left_anti"), jitter=jitter, delta=delta, extra=points.join(own, "id", "left_semi"), zeta=zeta)
+
+        own = _by_fold(left_out, folds).withColumn("delta", F.lit(float(delta)))
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 def _by_fold(left_out: Callable[[DataFrame], Factor], folds: DataFrame) -> DataFrame:
@@ -121,11 +145,21 @@ def gaussian_process(kernel: DataFrame, cross: DataFrame, own: DataFrame, target
 
 
 def gaussian_process_rows(train: DataFrame, test: DataFrame, targets: DataFrame, zeta: float, *, noise: float) -> DataFrame:
-    """gaussian_process with the power kernel of ``train`` and ``test`` (env_id, features), of which no entry becomes a row of a table."""
+    """gaussian_process with the power kernel of ``train`` and ``test`` (env_id, features), of which no entry becomes a row of a table.
+
+    Where the products of features that make up the kernel are fewer than the training rows (``feature_map``), only
+    sums of those are solved: with their matrix G and jitter s, the variance is s phi (G + s I)^-1 phi.
+    """
     own = F.pow(dot(F.col("features"), F.col("features")), zeta)
     n, spread = targets.agg(F.count("*"), F.var_pop("y")).first()
     diagonal = train.join(targets.select(F.col("id").alias("env_id")), "env_id", "left_semi").agg(F.sum(own)).first()[0]
-    found = Factor(_points(train), targets, jitter=noise**2 * diagonal / n / max(spread, 1e-300), extra=_points(test), zeta=zeta).predict()
+    jitter, short = noise**2 * (diagonal or 0.0) / max(n, 1) / max(spread or 0.0, 1e-300), feature_map.length(train, zeta)
+    if jitter > 0 and short is not None and short <= n:
+        moments = feature_map.Moments(_points(train).join(targets.select("id", "y"), "id").withColumn("fold", F.lit(0)), zeta)
+        root, w = moments.inverse_root(jitter)
+        moments.remove()
+        return feature_map.predicted(_points(test), root, w, jitter, zeta)
+    found = Factor(_points(train), targets, jitter=jitter, extra=_points(test), zeta=zeta).predict()
     return found.join(test.select(F.col("env_id").alias("id"), own.alias("k_own")), "id").select("id", "y_pred", (F.col("k_own") - F.col("explained")).alias("variance"))
 
 
