@@ -37,6 +37,19 @@ def test_kernels_in_small_blocks(spark, x):
     assert np.allclose(got, [[want[np.ix_(np.arange(i, 40, 7), np.arange(j, 40, 7))].mean() for j in range(7)] for i in range(7)])
 
 
+def test_kernel_cells_are_made_in_strips_of_few_blocks(spark, x, monkeypatch):
+    monkeypatch.setattr(kernels, "STRIP_PAIRS", 30)
+    monkeypatch.setattr(kernels, "LEAST_ROWS", 1)
+    env, want = vectors(spark, x, np.arange(40) % 7), (x @ x.T) ** 2
+    for n in (40, 80, 400):  # a row goes to as many cells, however many rows there are
+        rows = env.union(vectors(spark, np.zeros((n - 40, 8)))) if n > 40 else env
+        assert kernels._blocks(rows, None, 0)[1] <= 16
+    assert np.allclose(matrix(kernels.power_kernel(env, env, 2.0), 40, 40), want)
+    assert np.allclose(matrix(kernels.power_kernel_symmetric(env, 2.0), 40, 40), want)
+    assert kernels.power_kernel(env, env, 2.0).count() == kernels.power_kernel_symmetric(env, 2.0).count() == 1600
+    assert kernels.power_kernel(env, env.limit(0), 2.0).count() == 0
+
+
 def test_regression_against_numpy(spark, x):
     env, y = vectors(spark, x), np.sin(np.arange(40.0))
     k = (x @ x.T) ** 2
