@@ -62,22 +62,45 @@ def radial_grid(nmax: int, rc: float) -> tuple[np.ndarray, np.ndarray]:
     return rc * (x + 1) / 2, rc * w / 2
 
 
-def density(d: np.ndarray, weight: np.ndarray, *, nmax: int, lmax: int, rc: float, sigma: float) -> np.ndarray:
-    """Expansion coefficients (n, l, m >= 0) of the weighted neighbours at displacements ``d`` (k, 3), summed.
-
-    Points reach three widths beyond the cutoff. m >= 1 counts twice, so it has a factor sqrt(2).
-    """
+def _factors(d: np.ndarray, weight: np.ndarray, *, nmax: int, lmax: int, rc: float, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Radial parts (l, n, k) and weighted angular parts (l, m, k) of the neighbours at displacements ``d`` (k, 3)."""
     points, w = radial_grid(nmax, rc + 3 * sigma)
     r = np.sqrt((d**2).sum(axis=1))
     cosine = np.where(r == 0, 0.0, d[:, 2] / np.where(r == 0, 1.0, r))
     angle = np.arctan2(d[:, 1], d[:, 0])
     g = radial_overlap(lmax, points[:, None], r[None, :], sigma) * np.sqrt(w)[None, :, None]
-    p = legendre(lmax, cosine)
     m = np.arange(lmax + 1)
     phase = np.exp(1j * m[:, None] * angle[None, :]) * np.where(m == 0, 1.0, math.sqrt(2))[:, None] * weight[None, :]
-    return np.einsum("lnk,lmk,mk->nlm", g, p, phase, optimize=True)
+    return g, legendre(lmax, cosine) * phase
+
+
+def density(d: np.ndarray, weight: np.ndarray, *, nmax: int, lmax: int, rc: float, sigma: float) -> np.ndarray:
+    """Expansion coefficients (n, l, m >= 0) of the weighted neighbours at displacements ``d`` (k, 3), summed.
+
+    Points reach three widths beyond the cutoff. m >= 1 counts twice, so it has a factor sqrt(2).
+    """
+    return np.einsum("lnk,lmk->nlm", *_factors(d, weight, nmax=nmax, lmax=lmax, rc=rc, sigma=sigma), optimize=True)
+
+
+def add_densities(out: np.ndarray, at: np.ndarray, d: np.ndarray, weight: np.ndarray, *, nmax: int, lmax: int, rc: float, sigma: float, batch: int = 8192) -> None:
+    """Adds to ``out`` (segment, l, n, parts) the ``density`` of the neighbours at ``d`` (k, 3) of each segment ``at`` (k, ascending); parts are real, then imaginary."""
+    for first in range(0, len(at), batch):
+        own = slice(first, first + batch)
+        g, q = _factors(d[own], weight[own], nmax=nmax, lmax=lmax, rc=rc, sigma=sigma)
+        parts = np.concatenate((q.real, q.imag), axis=1).swapaxes(1, 2)
+        starts = [0, *(np.flatnonzero(np.diff(at[own])) + 1)]
+        for s, e in zip(starts, [*starts[1:], g.shape[2]]):
+            out[at[first + s]] += g[:, :, s:e] @ parts[:, s:e]
 
 
 def power_spectrum(f: np.ndarray, h: np.ndarray) -> np.ndarray:
     """(n, n', l): the real part of the sum over m of f conj(h), over sqrt(2 l + 1)."""
     return np.einsum("nlm,klm->nkl", f, h.conj()).real / np.sqrt(2 * np.arange(f.shape[1]) + 1)
+
+
+def power_spectra(f: np.ndarray) -> np.ndarray:
+    """(centre, s, t, n, n', l): ``power_spectrum`` of the densities (centre, species, l, n, parts) of each two species."""
+    c, species, orders, n, parts = f.shape
+    f = f.transpose(0, 2, 1, 3, 4).reshape(c, orders, species * n, parts)
+    p = (f @ f.swapaxes(2, 3)).reshape(c, orders, species, n, species, n) / np.sqrt(2 * np.arange(orders) + 1)[:, None, None, None, None]
+    return p.transpose(0, 2, 4, 3, 5, 1)

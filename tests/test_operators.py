@@ -438,6 +438,20 @@ def test_farthest_points_take_few_passes(spark, monkeypatch):
     assert [r["id"] for r in ties] == list(range(9))
 
 
+def test_describe_makes_no_table_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i % 3, i, int(rng.integers(0, 3)), *map(float, rng.normal(size=3))) for i in range(150)]
+    atoms = spark.createDataFrame([*rows, (7, 200, 2, 0.0, 0.0, 0.0), (7, 201, 1, 0.5, 0.0, 0.0), (7, 202, 2, 5.0, 0.0, 0.0), (7, 203, 0, None, 0.0, 0.0)], "frame_id long, atom_idx long, species long, x double, y double, z double")
+    kw = dict(rc=1.5, nmax=2, lmax=2, sigma=0.4)
+    want = {(r["frame_id"], r["atom_idx"]): r["features"] for r in descriptors.power_spectra(atoms, neighbours.neighbours_binned(atoms, 1.5), [0, 1], **kw).collect()}
+    monkeypatch.setattr(neighbours, "_pairs", None)  # dense frames have more pairs than can be shuffled
+    monkeypatch.setattr(descriptors, "GROUP_CENTRES", 4)
+    monkeypatch.setattr(descriptors, "PART_CENTRES", 4)
+    monkeypatch.setattr(descriptors, "STRIP_PAIRS", 100)
+    got = {(r["frame_id"], r["atom_idx"]): r["features"] for r in descriptors.describe(atoms, [0, 1], **kw).collect()}
+    assert got.keys() == want.keys() and (7, 200) in got and (7, 202) not in got and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+
+
 @pytest.mark.parametrize("pbc", [(True, True, True), (True, False, True), (False, False, True), (False, False, False)])
 def test_frames_wrapped_by_lattice_vectors_have_the_same_features(spark, pbc):
     rng = np.random.default_rng(4)
