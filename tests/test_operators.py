@@ -50,6 +50,19 @@ def test_kernel_cells_are_made_in_strips_of_few_blocks(spark, x, monkeypatch):
     assert kernels.power_kernel(env, env.limit(0), 2.0).count() == 0
 
 
+def test_gradients_of_groups_are_spread_in_packs(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "PACK_ROWS", 3)
+    frames = [0] * 20 + [1] * 7 + [2, None]
+    members = spark.createDataFrame(list(enumerate(frames)), "env_id long, frame_id long")
+    groups = spark.createDataFrame([(a, b, a + 2.0 * b) for a in range(4) for b in range(4) if (a, b) != (1, 0)], "frame_i long, frame_j long, g double")
+    got = sorted(tuple(r) for r in kernels.spread_gradient(groups, members).collect())
+    n = {0: 20, 1: 7, 2: 1}
+    want = sorted((i, j, (a + 2.0 * b) / (n[a] * n[b])) for i, a in enumerate(frames) for j, b in enumerate(frames) if a in n and b in n and (a, b) != (1, 0))
+    assert got == want
+    # Pairs of packs, not pairs of groups, are dealt out to tasks.
+    assert kernels.spread_gradient(groups.filter("frame_i = 0 AND frame_j = 0"), members).select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_regression_against_numpy(spark, x):
     env, y = vectors(spark, x), np.sin(np.arange(40.0))
     k = (x @ x.T) ** 2
