@@ -50,6 +50,35 @@ def test_kernel_cells_are_made_in_strips_of_few_blocks(spark, x, monkeypatch):
     assert kernels.power_kernel(env, env.limit(0), 2.0).count() == 0
 
 
+@pytest.mark.parametrize("tile, strip", [(96, 1 << 18), (7, 100), (16, 1)])
+def test_kernel_of_a_table_with_itself_returns_each_pair_once(spark, x, monkeypatch, tile, strip):
+    monkeypatch.setattr(kernels, "TILE", tile)
+    monkeypatch.setattr(kernels, "STRIP_PAIRS", strip)
+    env, want = vectors(spark, x), np.round((x @ x.T) ** 2, 3)
+    for found in (kernels.power_kernel(env, env, 2.0, block_rows=11, places=3), kernels.power_kernel_symmetric(env, 2.0, block_rows=11, places=3)):
+        rows = found.collect()
+        assert len({(r["i"], r["j"]) for r in rows}) == len(rows) == 1600
+        assert all(abs(r["k"] - want[r["i"], r["j"]]) < 1e-12 for r in rows)
+    part = kernels.power_kernel(env.filter("env_id < 13"), env.filter("env_id >= 13"), 2.0, block_rows=11, places=3).collect()
+    assert len({(r["i"], r["j"]) for r in part}) == len(part) == 13 * 27
+    assert all(abs(r["k"] - want[r["i"], r["j"]]) < 1e-12 for r in part)
+    twice = env.union(env)  # rows that share their id are rows
+    assert kernels.power_kernel(twice, twice, 2.0, block_rows=11).groupBy("i", "j").count().filter("count <> 4").count() == 0
+
+
+def bytes_a_row(found, where):
+    found.write.parquet(str(where))
+    return sum(f.stat().st_size for f in where.glob("*.parquet")) / found.sparkSession.read.parquet(str(where)).count()
+
+
+def test_written_kernels_hold_half_of_their_numbers(spark, tmp_path):
+    x = np.random.default_rng(8).normal(size=(1200, 8))
+    env = vectors(spark, x)
+    for at, found in enumerate((kernels.power_kernel(env, env, 2.0), kernels.power_kernel_symmetric(env, 2.0))):
+        assert bytes_a_row(found, tmp_path / f"square{at}") < 7
+    assert bytes_a_row(kernels.power_kernel(env.filter("env_id % 3 = 0"), env.filter("env_id % 3 <> 0"), 2.0), tmp_path / "rect") < 8.3
+
+
 def test_gradients_of_groups_are_spread_in_packs(spark, monkeypatch):
     monkeypatch.setattr(kernels, "PACK_ROWS", 3)
     frames = [0] * 20 + [1] * 7 + [2, None]
