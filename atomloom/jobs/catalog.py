@@ -102,7 +102,7 @@ def kernel_rect_train_test(spark, sf_dir):
     env = environments(spark, sf_dir)
     folds = splits.k_fold(env, 3, key="env_id")
     test, train = env.join(folds.filter("fold = 0"), "env_id"), env.join(folds.filter("fold <> 0"), "env_id")
-    return rounded(kernels.power_kernel(test, train, ZETA), "k")
+    return kernels.power_kernel(test, train, ZETA, places=9)
 
 
 @query("kernel_sub", f"WITH {ENV} SELECT a.env_id AS i, b.env_id AS j, round(list_dot_product(a.f, b.f) ** 2, 9) + 0.0 AS k FROM env a, env b WHERE a.frame_id = 0 AND b.frame_id = 1")
