@@ -92,6 +92,17 @@ def test_gradients_of_groups_are_spread_in_packs(spark, monkeypatch):
     assert kernels.spread_gradient(groups.filter("frame_i = 0 AND frame_j = 0"), members).select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_written_gradients_hold_little_of_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kernels, "PACKS", 5, raising=False)
+    members = spark.range(2000).selectExpr("id * 1000003 AS env_id", "id % 3 AS frame_id")
+    groups = spark.range(9).selectExpr("id % 3 AS frame_i", "id DIV 3 AS frame_j", "id / 7 AS g")
+    found = kernels.spread_entries(groups, members)
+    assert bytes_a_row(found, tmp_path / "g") < 0.3
+    assert found.count() == found.distinct().count() == 4_000_000
+    at = found.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("i").alias("i"), F.count_distinct("j").alias("j"))
+    assert at.count() > 1 and at.filter("i = 2000 AND j = 2000").count() == 0  # a task meets a part of the ids
+
+
 def test_regression_against_numpy(spark, x):
     env, y = vectors(spark, x), np.sin(np.arange(40.0))
     k = (x @ x.T) ** 2
