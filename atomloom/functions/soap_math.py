@@ -6,6 +6,11 @@ import math
 
 import numpy as np
 
+#: A Gaussian counts as 0 beyond so many widths; distances up to NEAR as 0.
+WIDTHS, NEAR = 5, 1e-5
+#: Intervals of a radial table for each width of the Gaussians, and the order of its polynomials: what they are off by is near rounding.
+INTERVALS, ORDER = 128, 5
+
 
 def legendre(lmax: int, x: np.ndarray) -> np.ndarray:
     """Associated Legendre functions in the normalisation of spherical harmonics, with the Condon-Shortley sign.
@@ -28,15 +33,15 @@ def legendre(lmax: int, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def radial_overlap(lmax: int, r: np.ndarray, rij: np.ndarray, sigma: float) -> np.ndarray:
+def radial_overlap(lmax: int, r: np.ndarray, rij: np.ndarray, sigma: float, *, widths: float = WIDTHS) -> np.ndarray:
     """r times a Gaussian of width sigma about distance rij, times the modified spherical Bessel functions up to lmax.
 
     ``r`` and ``rij`` broadcast; shape (l, ...). Ratios of neighbouring orders come from a
     continued fraction taken from high orders down, which is stable where recursion upwards is
-    not; the order 0 has a form without cancellation. 0 beyond five widths, and for r near 0.
+    not; the order 0 has a form without cancellation. 0 beyond ``widths`` (five) widths, and for r near 0.
     """
     r, rij = np.broadcast_arrays(np.asarray(r, float), np.asarray(rij, float))
-    near = rij <= 1e-5
+    near = rij <= NEAR
     z = np.where(near, 1.0, r * rij / sigma**2)
     first = np.where(
         near,
@@ -44,7 +49,7 @@ def radial_overlap(lmax: int, r: np.ndarray, rij: np.ndarray, sigma: float) -> n
         r * np.exp(-((r - rij) ** 2) / (2 * sigma**2)) * -np.expm1(-2 * z) / (2 * np.maximum(z, 1e-300)),
     )
     out = np.zeros((lmax + 1, *r.shape))
-    out[0] = np.where((r <= 1e-5) | (np.abs(r - rij) >= 5 * sigma), 0.0, first)
+    out[0] = np.where((r <= NEAR) | (np.abs(r - rij) >= widths * sigma), 0.0, first)
     start = lmax + 30 + int(math.sqrt(60 * max(float(z.max(initial=1.0)), 1.0)))
     ratio, ratios = np.zeros(r.shape), []
     for l in range(start, 0, -1):  # i_l / i_(l-1)  # noqa: E741
@@ -82,15 +87,85 @@ def density(d: np.ndarray, weight: np.ndarray, *, nmax: int, lmax: int, rc: floa
     return np.einsum("lnk,lmk->nlm", *_factors(d, weight, nmax=nmax, lmax=lmax, rc=rc, sigma=sigma), optimize=True)
 
 
-def add_densities(out: np.ndarray, at: np.ndarray, d: np.ndarray, weight: np.ndarray, *, nmax: int, lmax: int, rc: float, sigma: float, batch: int = 8192) -> None:
-    """Adds to ``out`` (segment, l, n, parts) the ``density`` of the neighbours at ``d`` (k, 3) of each segment ``at`` (k, ascending); parts are real, then imaginary."""
-    for first in range(0, len(at), batch):
-        own = slice(first, first + batch)
-        g, q = _factors(d[own], weight[own], nmax=nmax, lmax=lmax, rc=rc, sigma=sigma)
-        parts = np.concatenate((q.real, q.imag), axis=1).swapaxes(1, 2)
-        starts = [0, *(np.flatnonzero(np.diff(at[own])) + 1)]
-        for s, e in zip(starts, [*starts[1:], g.shape[2]]):
-            out[at[first + s]] += g[:, :, s:e] @ parts[:, s:e]
+def radial_table(*, nmax: int, lmax: int, rc: float, sigma: float) -> np.ndarray:
+    """Values (node, l, n) of the weighted radial parts at nodes from 0 to beyond ``rc``, INTERVALS a width, before they are cut off at WIDTHS."""
+    points, w = radial_grid(nmax, rc + 3 * sigma)
+    nodes = np.arange(math.ceil(rc / sigma * INTERVALS) + ORDER) * (sigma / INTERVALS)
+    return (radial_overlap(lmax, points[:, None], nodes[None, :], sigma, widths=np.inf) * np.sqrt(w)[None, :, None]).transpose(2, 0, 1)
+
+
+class Densities:
+    """Adds up the ``density`` of many neighbours, by polynomials between the nodes of a ``radial_table``.
+
+    Legendre functions go with powers of x + iy in place of angles, and each pair costs a row of the table
+    rather than a continued fraction.
+    """
+
+    def __init__(self, table: np.ndarray, *, rc: float, sigma: float) -> None:
+        intervals, self.orders, self.n = len(table) - ORDER, table.shape[1], table.shape[2]
+        self.sigma, self.points = sigma, radial_grid(self.n, rc + 3 * sigma)[0]
+        start = np.clip(np.arange(intervals) - ORDER // 2, 0, None)
+        solved = {k: np.linalg.inv(np.vander(np.arange(ORDER + 1) - float(k), increasing=True)) for k in range(ORDER // 2 + 1)}
+        solve = np.stack([solved[k] for k in np.arange(intervals) - start])
+        flat = table.reshape(len(table), -1)
+        #: By power, then function: a row over all intervals, which stays in a core's cache.
+        self.polynomials = np.ascontiguousarray((solve @ flat[start[:, None] + np.arange(ORDER + 1)]).transpose(1, 2, 0))
+        #: The columns (l, m, imaginary) of the angular parts, m >= 0.
+        self.columns = [(l, m, part) for m in range(self.orders) for l in range(m, self.orders) for part in range(1 + (m > 0))]  # noqa: E741
+
+    def _radial(self, r: np.ndarray) -> np.ndarray:
+        t = np.where(r <= NEAR, 0.0, r * (INTERVALS / self.sigma))
+        at = np.minimum(t.astype(np.int64), self.polynomials.shape[2] - 1)
+        t -= at
+        g, more = self.polynomials[ORDER].take(at, axis=1), np.empty((self.orders * self.n, len(r)))
+        for k in range(ORDER - 1, -1, -1):
+            g *= t
+            g += self.polynomials[k].take(at, axis=1, out=more, mode="clip")
+        by_order = g.reshape(self.orders, self.n, -1)
+        by_order[1:, :, r <= NEAR] = 0.0
+        reach, most = WIDTHS * self.sigma, r.max(initial=0.0)
+        for n, point in enumerate(self.points):
+            if point >= reach or most - point >= reach:
+                by_order[:, n] *= np.abs(point - r) < reach
+        return g
+
+    def _angular(self, d: np.ndarray, r: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        x, y, z = (d / np.where(r == 0, 1.0, r)[:, None]).T.copy()
+        out, lmax = np.empty((len(self.columns), len(r))), self.orders - 1
+        column = 0
+        real, imaginary = weight * math.sqrt(1 / (4 * math.pi)), None
+        for m in range(lmax + 1):
+            if m == 1:
+                real, imaginary = -math.sqrt(3) * real * x, -math.sqrt(3) * real * y  # sqrt(3 / 2), and sqrt(2) as m >= 1 counts twice
+            elif m:
+                f = -math.sqrt((2 * m + 1) / (2 * m))
+                real, imaginary = f * (real * x - imaginary * y), f * (real * y + imaginary * x)
+            both = [real] if imaginary is None else [real, imaginary]
+            before, now = None, np.ones(len(r))
+            for l in range(m, lmax + 1):  # noqa: E741
+                if l > m:
+                    g = math.sqrt(((l - 1) ** 2 - m * m) / (4 * (l - 1) ** 2 - 1))
+                    above = z * now if before is None else z * now - g * before
+                    above *= math.sqrt((4 * l * l - 1) / (l * l - m * m))
+                    before, now = now, above
+                for part in both:
+                    np.multiply(part, now, out=out[column])
+                    column += 1
+        return out
+
+    def add(self, out: np.ndarray, at: np.ndarray, d: np.ndarray, weight: np.ndarray, *, batch: int = 4096) -> None:
+        """Adds to ``out`` (segment, l, n, parts) the neighbours at ``d`` (k, 3) of each segment ``at`` (k, best in long runs); parts are real, then imaginary."""
+        l, m, part = np.array(self.columns).T  # noqa: E741
+        for first in range(0, len(at), batch):
+            own = slice(first, first + batch)
+            r = np.sqrt((d[own] ** 2).sum(axis=1))
+            g, y = self._radial(r), self._angular(d[own], r, weight[own])
+            starts = [0, *(np.flatnonzero(np.diff(at[own])) + 1)]
+            sums = np.empty((len(starts), len(y), len(g)))
+            for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(r)])):
+                np.matmul(y[:, s:e], g[:, s:e].T, out=sums[k])
+            sums = sums.reshape(len(starts), len(l), self.orders, self.n)[:, np.arange(len(l)), l]
+            np.add.at(out, (at[own][starts][:, None], l, slice(None), m + part * self.orders), sums)  # a segment may have several runs
 
 
 def power_spectrum(f: np.ndarray, h: np.ndarray) -> np.ndarray:

@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from atomloom.functions.soap_math import density, legendre, power_spectrum, radial_overlap
+from atomloom.functions import soap_math
+from atomloom.functions.soap_math import Densities, density, legendre, power_spectrum, radial_overlap, radial_table
 from atomloom.operators import alchemy, cholesky, compression, descriptors, kernels, low_rank, matrix_free, model_selection, neighbours, regression, scaled_loss, selection, splits
 from pyspark.sql import functions as F
 
@@ -258,6 +259,31 @@ def test_radial_overlap_against_closed_forms():
     assert np.allclose(got[2][keep], (g0 - 3 * g1 / (a * r))[keep])
     assert np.allclose(radial_overlap(2, r, np.zeros(7), sigma)[1:], 0)
 
+def test_densities_by_table_equal_those_by_pair():
+    rng = np.random.default_rng(9)
+    for kw in (dict(nmax=3, lmax=3, rc=2.5, sigma=0.4), dict(nmax=5, lmax=6, rc=5.0, sigma=0.3), dict(nmax=1, lmax=0, rc=2.0, sigma=0.5)):
+        d = rng.normal(size=(3000, 3))
+        d *= kw["rc"] * rng.uniform(size=(3000, 1)) ** (1 / 3) / np.linalg.norm(d, axis=1, keepdims=True)
+        d[:6] = [(0, 0, 0), (4e-6, 0, 0), (0, 0, 1.3), (0, 0, -1.3), (0, 1.3, 0), (0, 0, kw["rc"] * (1 - 1e-12))]
+        w, at = rng.uniform(size=3000), np.repeat(rng.permutation(np.arange(60) % 7), 50)  # several runs of a segment
+        out = np.zeros((9, kw["lmax"] + 1, kw["nmax"], 2 * kw["lmax"] + 2))
+        sums = Densities(radial_table(**kw), rc=kw["rc"], sigma=kw["sigma"])
+        sums.add(out, at, d, w, batch=1000)
+        for k in range(9):
+            want = density(d[at == k], w[at == k], **kw).swapaxes(0, 1) if k < 7 else np.zeros((kw["lmax"] + 1, kw["nmax"], kw["lmax"] + 1))
+            assert np.allclose(out[k], np.concatenate([want.real, want.imag], axis=2), rtol=0, atol=1e-12)
+
+
+def test_spectra_cost_no_fraction_a_pair(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    atoms = spark.createDataFrame([(0, i, 0, *map(float, rng.normal(size=3))) for i in range(300)], "frame_id long, atom_idx long, species long, x double, y double, z double")
+    made = []
+    whole = soap_math.radial_overlap
+    monkeypatch.setattr(soap_math, "radial_overlap", lambda lmax, r, rij, sigma, **kw: made.append(rij.size) or whole(lmax, r, rij, sigma, **kw))
+    found = descriptors.describe(atoms, [0], rc=2.5, nmax=2, lmax=2, sigma=0.4)
+    monkeypatch.setattr(soap_math, "radial_overlap", None)  # tasks get the table
+    assert found.count() == 300 and sum(made) < 3000
+
 
 def test_spectra_are_rotation_invariant(spark):
     rng = np.random.default_rng(3)
