@@ -416,6 +416,31 @@ def test_neighbours_wrapped_finds_what_the_scan_finds(spark):
         assert want == got and want
 
 
+def test_distances_of_parts_that_meet(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ATOMS", 20)
+    monkeypatch.setattr(kernels, "STRIP_PAIRS", 50)
+    monkeypatch.setattr(kernels, "TILE", 7)
+    x = np.random.default_rng(4).uniform(-6, 6, (90, 3))
+    x[80:] = x[:10]  # atoms in one place
+    rows = [(i % 2, i, 0, *map(float, p)) for i, p in enumerate(x)]
+    odd = [(0, 3, 0, 0.0, 0.0, 0.0), (0, 200, 0, None, 0.0, 0.0), (0, 201, 0, float("nan"), 0.0, 0.0), (None, 202, 0, 0.0, 0.0, 0.0), (1, 203, 0, 2.5, 2.5, 2.5), (1, 204, 0, 5.0, 2.5, 2.5)]
+    atoms = spark.createDataFrame(rows + odd, "frame_id long, atom_idx long, species long, x double, y double, z double")
+    of = lambda found: sorted((r["frame_id"], r["i"], r["j"], round(r["r"], 9)) for r in found.collect())
+    want = of(neighbours.neighbours_scan(atoms, 2.5))
+    assert want and of(neighbours.distances_scan(atoms, 2.5)) == of(neighbours.distances_binned(atoms, 2.5, places=9)) == want
+    for cell in ((8.0, 8.0, 8.0), (4.0, 5.5, 9.0), (2.6, 12.0, 7.0)):
+        assert of(neighbours.distances_wrapped(atoms, 2.5, cell)) == of(neighbours.neighbours_scan(atoms, 2.5, cell=cell))
+
+
+def test_written_neighbours_hold_a_distance_once(spark, tmp_path):
+    from atomloom.jobs import catalog
+
+    x = np.random.default_rng(5).normal(scale=0.125, size=(1500, 3)).tolist()
+    spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("neighbours_cutoff", "neighbours_binned", "neighbours_image"):
+        assert bytes_a_row(catalog.QUERIES[name](spark, str(tmp_path)).coalesce(1), tmp_path / name) < 7.5
+
+
 def test_running_totals_over_several_ranges(spark):
     from atomloom.operators.order import running
 
